@@ -69,7 +69,7 @@ def casualties(fatalities: Column, notes: Column) -> Column:
     found = F.coalesce(*[F.when(F.rlike(text, F.lit("(?U)" + p)), F.regexp_extract(text, "(?U)" + p, 0))
                          for p in P.CASUALTIES])
     number = F.regexp_extract(found, r"(?U)\d+", 0)
-    deaths = F.coalesce(fatalities.try_cast("double"), F.lit(0.0)).cast("bigint")
+    deaths = F.nanvl(F.coalesce(fatalities.try_cast("double"), F.lit(0.0)), F.lit(0.0)).cast("bigint")
     return (F.when(deaths > 0, F.concat(F.lit("Yes ("), deaths.cast("string"), F.lit(")")))
             .when(~any_match(text, P.CASUALTIES, "U"), "No")
             .when(number != "", F.concat(F.lit("Yes ("), number, F.lit(")")))
