@@ -1 +1,8 @@
 """Spark jobs that audit text-event classifiers: curate, evaluate, calibrate, disagree, perturb, trace."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

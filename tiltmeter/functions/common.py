@@ -60,3 +60,12 @@ def capitalize(c: Column) -> Column:
 
 def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once per row.
+
+    An expression used inside a lambda would otherwise be computed again for
+    every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

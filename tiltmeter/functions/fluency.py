@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .common import strip
 
@@ -32,13 +32,13 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.least(F.length(a), F.length(b)) * 2.0 / F.greatest(n, F.lit(1))).otherwise(1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff–Obershelp ratio of two whole texts."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def first_valid_similarities(original: pd.Series, candidates: pd.Series, most: pd.Series) -> pd.Series:
     """For each list of candidates, the similarity of the first ``most`` valid ones, null for the others."""
     out = []

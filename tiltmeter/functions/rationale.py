@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .common import lit_array
+from .common import let, lit_array
 
 # Stop words, the similarity below which a rationale counts as
 # changed, special tokens of the tokenizers, and the number of tokens kept.
@@ -26,8 +26,11 @@ def content_words(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)).cast("double") / F.greatest(union, F.lit(1))).otherwise(1.0)
+    def share(p):
+        union = F.size(F.array_union(p["a"], p["b"]))
+        return F.when(union > 0, F.size(F.array_intersect(p["a"], p["b"])).cast("double") / F.greatest(union, F.lit(1))).otherwise(1.0)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def rationale_changed(before: Column, after: Column) -> Column:
@@ -52,20 +55,25 @@ def word_attributions(tokens: Column, scores: Column) -> Column:
     """
     both = F.transform(F.arrays_zip(tokens, scores), lambda z: F.struct(z["0"].alias("t"), z["1"].alias("s")))
     kept = F.filter(both, lambda z: ~z["t"].isin(SPECIAL_TOKENS))
-    starts = F.filter(F.transform(kept, lambda z, i: F.when((i == 0) | ~z["t"].startswith("##"), i)), lambda i: i.isNotNull())
-    size = F.size(kept)
 
     def clean(t):
         return F.when(t.startswith("##"), F.substring(t, 3, 2147483647)).otherwise(F.regexp_replace(t, "^[Ġ▁]+", ""))
 
-    def word(i, k):
-        upto = F.coalesce(F.get(starts, k + 1), size)
-        part = F.slice(kept, i + 1, upto - i)
-        return F.struct(F.array_join(F.transform(part, lambda z: clean(z["t"])), "").alias("word"),
-                        F.aggregate(part, F.lit(0.0), lambda a, z: a + z["s"]).alias("score"), k.alias("k"))
+    def words(tok):
+        starts = F.filter(F.transform(tok, lambda z, i: F.when((i == 0) | ~z["t"].startswith("##"), i)), lambda i: i.isNotNull())
+
+        def pieces(st):
+            def word(i, k):
+                part = F.slice(tok, i + 1, F.coalesce(F.get(st, k + 1), F.size(tok)) - i)
+                return F.struct(F.array_join(F.transform(part, lambda z: clean(z["t"])), "").alias("word"),
+                                F.aggregate(part, F.lit(0.0), lambda a, z: a + z["s"]).alias("score"), k.alias("k"))
+
+            return F.transform(st, word)
 
-    words = F.filter(F.transform(starts, word), lambda w: w["word"] != "")
-    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.abs(w["score"])).alias("o"), w["k"].alias("k"), w["word"].alias("word"),
+        return let(starts, pieces)
+
+    found = F.filter(let(kept, words), lambda w: w["word"] != "")
+    ordered = F.array_sort(F.transform(found, lambda w: F.struct((-F.abs(w["score"])).alias("o"), w["k"].alias("k"), w["word"].alias("word"),
                                                                  w["score"].alias("score"))))
     return F.transform(ordered, lambda w: F.struct(w["word"].alias("word"), F.round(w["score"], 6).alias("score")))
 
@@ -79,10 +87,13 @@ def last_per_word(words: Column) -> Column:
 
 def attribution_delta(before: Column, after: Column, top: int = TOP_TOKENS) -> Column:
     """array<struct<token, delta>>: perturbed minus original score per word (missing = 0), largest first."""
-    b, a = last_per_word(before), last_per_word(after)
-    words = F.array_union(F.map_keys(b), F.map_keys(a))
     zero = F.lit(0.0)
-    deltas = F.transform(words, lambda w: F.struct(w.alias("token"), F.round(
-        F.coalesce(F.try_element_at(a, w), zero) - F.coalesce(F.try_element_at(b, w), zero), 6).alias("delta")))
+
+    def moved(m):
+        keys = F.array_union(F.map_keys(m["b"]), F.map_keys(m["a"]))
+        return F.transform(keys, lambda w: F.struct(w.alias("token"), F.round(
+            F.coalesce(F.try_element_at(m["a"], w), zero) - F.coalesce(F.try_element_at(m["b"], w), zero), 6).alias("delta")))
+
+    deltas = let(F.struct(last_per_word(before).alias("b"), last_per_word(after).alias("a")), moved)
     ordered = F.array_sort(F.transform(deltas, lambda d: F.struct((-F.abs(d["delta"])).alias("o"), d["token"].alias("token"), d["delta"].alias("delta"))))
     return F.slice(F.transform(ordered, lambda d: F.struct(d["token"].alias("token"), d["delta"].alias("delta"))), 1, top)

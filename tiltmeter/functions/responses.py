@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import lookup, strip
 from .labels import CLASS_CODES, LABELS, clean_label, strict_label
@@ -65,7 +65,7 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json_object(text: pd.Series) -> pd.Series:
     return text.map(_first_object)
 

@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 EXACT_LIMIT = 10 ** 8
 
@@ -96,22 +96,22 @@ def _each(fn, *cols) -> pd.Series:
     return pd.Series([None if _none(*row) else fn(*row) for row in zip(*cols)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     return _each(chi2_1_upper, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series) -> pd.Series:
     return _each(lambda a, b: binomial_half_two_sided(int(a), int(b)), k, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def signed_rank_p(w: pd.Series, n: pd.Series, tie_sum: pd.Series, n_ties: pd.Series, n_zero: pd.Series) -> pd.Series:
     return _each(lambda a, b, c, d, e: wilcoxon_p(a, int(b), c, d > 0, e > 0), w, n, tie_sum, n_ties, n_zero)
 
@@ -123,7 +123,7 @@ def spd_interval(replicates: int, seed: int):
     interval needs only the group sizes and hits.
     """
 
-    @F.pandas_udf("lower double, upper double")
+    @F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
     def interval(key: pd.Series, n_a: pd.Series, k_a: pd.Series, n_b: pd.Series, k_b: pd.Series) -> pd.DataFrame:
         out = []
         for key_, na, ka, nb, kb in zip(key, n_a, k_a, n_b, k_b):
@@ -155,7 +155,7 @@ def permutation_gap_p(replicates: int, seed: int):
         gap = x / n_a - (k - x) / n_b
         return float(np.mean(np.abs(gap) >= abs(k_a / n_a - k_b / n_b)))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def p_value(key: pd.Series, n_a: pd.Series, k_a: pd.Series, n_b: pd.Series, k_b: pd.Series) -> pd.Series:
         p = pd.Series([draw(*row) for row in zip(key, n_a, k_a, n_b, k_b)], dtype="float64")
         return p.where(p.notna(), None)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.common import col, lit_array, ratio
+from ..functions.common import col, let, lit_array, ratio
 from ..functions.labels import LABELS, is_valid
 
 # Thresholds of the sweep, candidates of the per-class choice (the
@@ -88,21 +88,28 @@ def interpolate(p: Column, y: Column) -> Column:
 
 def class_probabilities(logits: Column, temperature: Column) -> Column:
     """Softmax of logits over temperature as array in canonical order, null for broken input."""
-    v = logits_vector(logits)
-    z = F.transform(v, lambda x: x / temperature)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    norm = F.aggregate(e, F.lit(0.0), lambda a, b: a + b) + F.lit(1e-12)
-    return F.when(v.isNotNull(), F.transform(e, lambda x: x / norm))
+    def softmax(e):
+        norm = F.aggregate(e, F.lit(0.0), lambda a, b: a + b) + F.lit(1e-12)
+        return let(norm, lambda n: F.transform(e, lambda x: x / n))
+
+    def scaled(v):
+        return let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp((x - top) / temperature)), softmax))
+
+    return let(logits_vector(logits), lambda v: F.when(v.isNotNull(), scaled(v)))
 
 
 def logits_vector(raw: Column) -> Column:
     """JSON object (missing label = 0) or six-element array to array<double>; anything else null."""
-    m = F.from_json(raw, "map<string,double>")
-    a = F.from_json(raw, "array<double>")
-    from_map = F.transform(lit_array(LABELS), lambda lab: F.coalesce(F.try_element_at(m, lab), F.lit(0.0)))
-    bad_map = F.exists(F.map_values(m), lambda x: x.isNull())
-    from_array = F.when((F.size(a) == len(LABELS)) & ~F.exists(a, lambda x: x.isNull()), a)
-    return F.when(m.isNotNull() & F.ltrim(raw).startswith("{") & ~bad_map, from_map).otherwise(from_array)
+    def from_map(m):
+        values = F.transform(lit_array(LABELS), lambda lab: F.coalesce(F.try_element_at(m, lab), F.lit(0.0)))
+        return F.when(~F.exists(F.map_values(m), lambda x: x.isNull()), values)
+
+    def from_array(a):
+        return F.when((F.size(a) == len(LABELS)) & ~F.exists(a, lambda x: x.isNull()), a)
+
+    is_map = F.startswith(F.ltrim(raw), F.lit("{"))
+    return F.when(is_map, let(F.from_json(raw, "map<string,double>"), from_map)).otherwise(
+        let(F.from_json(raw, "array<double>"), from_array))
 
 
 def apply_calibration(test: DataFrame, maps: DataFrame, params: DataFrame | None = None) -> DataFrame:

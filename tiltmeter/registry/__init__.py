@@ -1,0 +1,13 @@
+"""Registered queries and their check SQL."""
+
+from . import evaluate
+
+MODULES = [evaluate]
+
+
+def queries():
+    return {k: v for m in MODULES for k, v in m.Q.items()}
+
+
+def oracle_sql():
+    return {k: v for m in MODULES for k, v in m.O.items()}
