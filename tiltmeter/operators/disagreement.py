@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ambiguity
 from ..functions.annotate import annotate
 from .cleaning import enrich_metadata
-from .ranking import head_global, keep_one, sample_hash, sample_per_group
+from .ranking import head_global, sample_hash, stored
 
 META = ["true_label", "actor_norm", "notes"]
 
@@ -91,9 +91,10 @@ def top_percent(events: DataFrame, percent: float, score: str = "max_confidence"
     """The top ceil(n·percent/100) rows by score, at least one; ties by id hash."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
-    n = events.agg(F.count(F.lit(1)).alias("n")).select(F.greatest(
+    keyed = stored(events.select(id_col, score))
+    n = keyed.agg(F.count(F.lit(1)).alias("n")).select(F.greatest(
         F.lit(1).cast("bigint"), F.ceil(F.col("n") * F.lit(percent / 100.0))).alias("quota"))
-    return head_global(events, n, score, id_col)
+    return events.join(head_global(keyed, n, score, id_col).select(id_col), id_col, "left_semi")
 
 
 def error_kind() -> Column:

@@ -15,6 +15,7 @@ before the shuffle when a ``row_number`` is compared with a literal.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,49 +40,83 @@ def hash_levels(h: str) -> list[Column]:
     return [F.substring(F.col(h), 1, 3)]
 
 
-def mark_head(df: DataFrame, keys: Sequence[str], quota: DataFrame | int, order: Sequence[Column],
-              levels: Sequence[Column], flag: str = "in_head") -> DataFrame:
-    """Add ``flag``: true for the first ``quota`` rows of each group in ascending ``order``.
+def stored(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for a table that several passes read.
 
-    ``quota`` is a number, or a small DataFrame (keys, quota). ``levels`` are
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
+    without one gets a temporary folder; a cluster without one gets the table
+    back unstored, which is slower but right.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            return df
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tiltmeter-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def mark_bands(df: DataFrame, keys: Sequence[str], cuts: DataFrame, order: Sequence[Column],
+               levels: Sequence[Column], band: str = "band") -> DataFrame:
+    """Add ``band``: how many of its group's cuts a row lies behind, in ascending ``order``.
+
+    ``cuts`` holds (keys, cut_no, need): cut number ``cut_no`` comes after the
+    first ``need`` rows. A row of a group without cuts gets null. ``levels`` are
     coarse columns that never decrease along ``order`` (a hash prefix, a rounded
-    score); each pass counts rows per level value and keeps only the value in
-    which the cut falls. ``order`` must be a total order without nulls.
+    score): each pass counts rows per level value and goes on with the one value
+    in which a cut falls, so that only a sliver of a group is ever ranked.
+    ``order`` must be a total order without nulls.
     """
     keys = list(keys)
     names = [f"_l{i}" for i in range(len(levels))]
     d = df.withColumns({**dict(zip(names, levels)), "_o": F.struct(*order)})
     if not keys:
-        d, keys = d.withColumn("_all", F.lit(0)), ["_all"]
-    if isinstance(quota, int):
-        d = d.withColumn("_need", F.lit(quota).cast("bigint"))
-    else:
-        q = quota.select(*[k for k in keys if k != "_all"], F.col("quota").cast("bigint").alias("_need"))
-        q = q.withColumn("_all", F.lit(0)) if keys == ["_all"] else q
-        d = d.join(q, keys, "left").withColumn("_need", F.coalesce("_need", F.lit(0).cast("bigint")))
-    open_rows = d.where(F.col("_need") > 0).select(*keys, *names, "_o", "_need")
+        d, cuts, keys = d.withColumn("_all", F.lit(0)), cuts.withColumn("_all", F.lit(0)), ["_all"]
+    cuts = cuts.select(*keys, "cut_no", F.col("need").cast("bigint").alias("need"))
+    rows, group, goal = d.select(*keys, *names, "_o"), keys, cuts.where(F.col("need") > 0)
     for name in names:
-        running = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-        hist = (open_rows.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
-                .withColumn("_cum", F.sum("_n").over(running))
-                .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_n") < F.col("_need")))
-                .select(*keys, name, (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_need")))
-        open_rows = open_rows.drop("_need").join(hist, [*keys, name])
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
-    cut = (open_rows.withColumn("_r", rank).where(F.col("_r") == F.col("_need"))
-           .select(*keys, F.struct(*names, "_o").alias("_cut")))
-    inside = (F.col("_need") > 0) & (F.col("_cut").isNull() | (F.struct(*names, "_o") <= F.col("_cut")))
-    return d.join(cut, keys, "left").withColumn(flag, inside).select(*df.columns, flag)
+        running = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        hist = rows.groupBy(*group, name).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(running))
+        goal = (hist.join(goal, group).where((F.col("_cum") >= F.col("need")) & (F.col("_cum") - F.col("_n") < F.col("need")))
+                .select(*keys, "cut_no", name, (F.col("need") - F.col("_cum") + F.col("_n")).alias("need")))
+        rows = rows.join(goal.drop("need"), [c for c in rows.columns if c in (*group, name)])
+        goal, group = goal.drop(name), [*keys, "cut_no"]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_o"))
+    found = (rows.withColumn("_r", rank).join(goal, group).where(F.col("_r") == F.col("need"))
+             .select(*group, F.struct(*names, "_o").alias("_cut")))
+    lists = (cuts.join(found, [*keys, "cut_no"], "left").groupBy(*keys)
+             .agg(F.collect_list(F.struct("need", "_cut")).alias("_cuts")))
+    here = F.struct(*names, "_o")
+    behind = F.filter("_cuts", lambda c: (c["need"] <= 0) | F.coalesce(c["_cut"] < here, F.lit(False)))
+    return (d.join(lists, keys, "left").withColumn(band, F.when(F.col("_cuts").isNotNull(), F.size(behind)))
+            .select(*df.columns, band))
+
+
+def mark_head(df: DataFrame, keys: Sequence[str], quota: DataFrame, order: Sequence[Column],
+              levels: Sequence[Column], flag: str = "in_head") -> DataFrame:
+    """Add ``flag``: true for the first ``quota`` rows of each group. ``quota`` is a small table (keys, quota)."""
+    cuts = quota.select(*keys, F.lit(0).alias("cut_no"), F.col("quota").alias("need"))
+    marked = mark_bands(df, keys, cuts, order, levels, "_band")
+    return marked.withColumn(flag, F.coalesce(F.col("_band") == 0, F.lit(False))).drop("_band")
+
+
+def same_quota(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The quota table that gives every group of ``df`` the same number."""
+    if not keys:
+        return df.sparkSession.range(1).select(F.lit(n).alias("quota"))
+    return df.select(*keys).distinct().withColumn("quota", F.lit(n))
 
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], quota: DataFrame | int, seed: int, id_col: str) -> DataFrame:
     """The ``quota`` rows of each group with the smallest id hash (a seeded random sample)."""
+    quota = same_quota(df, keys, quota) if isinstance(quota, int) else quota
     h = df.withColumn("_h", sample_hash(seed, id_col))
     marked = mark_head(h, keys, quota, [F.col("_h"), F.col(id_col)], hash_levels("_h"))
     return marked.where("in_head").select(*df.columns)
 
 
-def head_global(df: DataFrame, quota: DataFrame | int, score: str, id_col: str, steps: int = 4096) -> DataFrame:
+def head_global(df: DataFrame, quota: DataFrame, score: str, id_col: str, steps: int = 4096) -> DataFrame:
     """First ``quota`` rows by score descending, then id hash, however large the quota.
 
     The score is narrowed to a slice of 1/steps, then to one value, then to a

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import CLASSES, COUNTRIES, actor_type, class_code, example_quality
-from .ranking import hash_levels, mark_head, sample_hash, sample_per_group
+from .ranking import hash_levels, mark_bands, mark_head, sample_hash, sample_per_group, stored
 
 
 def largest_remainder(counts: DataFrame, n: Column, group: str, part: list[str] | None = None,
@@ -182,33 +182,52 @@ def split_bundle(std: DataFrame, eval_codes: list[str], dev_ratio: float = 0.1,
                  test_max_per_country: int = 0, countries: dict[str, str] = COUNTRIES) -> DataFrame:
     """Standard events with a ``split`` column: train, dev and one test split per held-out country.
 
-    Evaluation countries leave the training pool by an anti join on the short
-    country list. Check the result with :func:`leakage` (rows may be in several
-    splits only when ``include_eval_in_train`` is set).
+    Evaluation countries leave the training pool. All splits of a class are
+    bands of one hash order (dev first, then train), so one counting pass gives
+    every quota and one marking pass every split. The passes read a stored table
+    of ids, classes and countries; texts are joined back at the end. Check the
+    result with :func:`leakage` (ids may be in several splits only when
+    ``include_eval_in_train`` is set).
     """
     unknown = [c for c in eval_codes if c not in countries]
     if unknown:
         raise ValueError(f"unsupported country codes: {unknown}")
-    key = F.lower(F.col("country"))
-    held = [countries[c].lower() for c in eval_codes]
-    pool = std if include_eval_in_train else std.where(~key.isin(held))
-    tagged = train_dev_split(pool, dev_ratio, seed=seed)
-
-    def shaped(part: DataFrame, balance: bool, cap: int) -> DataFrame:
-        part = balance_classes(part, seed=seed) if balance else part
-        return cap_per_class(part, cap, seed=seed) if cap > 0 else part
-
-    parts = [shaped(tagged.where("split = 'train'"), balance_train, train_max_per_class),
-             shaped(tagged.where("split = 'dev'"), balance_dev, dev_max_per_class)]
-    for code, name in zip(eval_codes, held):
-        test = std.where(key == name)
-        test = balance_classes(test, seed=seed) if balance_test else test
-        test = sample_per_group(test, [], test_max_per_country, seed, "event_id") if test_max_per_country > 0 else test
-        parts.append(test.withColumn("split", F.lit(f"test_{code}")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    held = {countries[c].lower(): f"test_{c}" for c in eval_codes}
+    narrow = stored(std.select("event_id", "event_type", F.lower("country").alias("_c")))
+    test_of = F.coalesce(*[F.when(F.col("_c") == name, F.lit(split)) for name, split in held.items()])
+    train_pool = F.lit("train") if include_eval_in_train else F.when(test_of.isNull(), "train")
+    pools = F.array_compact(F.array(train_pool, test_of))
+    units = narrow.select("event_id", "event_type", F.explode(pools).alias("pool"))
+    by_class = F.col("pool") == "train" if not balance_test else F.lit(True)
+    units = units.withColumn("unit", F.when(by_class, F.col("event_type")).otherwise(F.lit("")))
+
+    n = F.col("n")
+    c = units.groupBy("pool", "unit").agg(F.count(F.lit(1)).alias("n"))
+    is_train = F.col("pool") == "train"
+    half_even = F.bround(n.cast("double") * F.lit(float(dev_ratio))).cast("bigint")
+    c = c.withColumn("dev", F.when(is_train & (n > 1), F.least(F.greatest(half_even, F.lit(1).cast("bigint")), n - 1)).otherwise(0))
+    c = c.withColumn("rest", n - F.col("dev"))
+    pool = Window.partitionBy("pool")
+
+    def quota(size: str, balance: bool, cap: int) -> Column:
+        out = F.min(size).over(pool) if balance else F.col(size)
+        return F.least(out, F.lit(cap).cast("bigint")) if cap > 0 else out
+
+    test_cap = 0 if balance_test else test_max_per_country
+    c = c.withColumns({"q_dev": quota("dev", balance_dev, dev_max_per_class),
+                       "q_train": quota("rest", balance_train, train_max_per_class),
+                       "q_test": quota("n", balance_test, test_cap)})
+    needs = F.when(is_train, F.array(F.col("q_dev"), F.col("dev"), F.col("dev") + F.col("q_train"))).otherwise(F.array(F.col("q_test")))
+    cuts = c.select("pool", "unit", F.posexplode(needs).alias("cut_no", "need"))
+    h = units.withColumn("_h", sample_hash(seed, "event_id"))
+    marked = mark_bands(h, ["pool", "unit"], cuts, [F.col("_h"), F.col("event_id")], hash_levels("_h"))
+    split = (F.when(is_train & (F.col("band") == 0), "dev").when(is_train & (F.col("band") == 2), "train")
+             .when(~is_train & (F.col("band") == 0), F.col("pool")))
+    chosen = marked.select("event_id", split.alias("split")).where(F.col("split").isNotNull())
+    if balance_test and test_max_per_country > 0:
+        tests = sample_per_group(chosen.where("split like 'test%'"), ["split"], test_max_per_country, seed, "event_id")
+        chosen = chosen.where("split not like 'test%'").unionByName(tests)
+    return std.join(chosen, "event_id").select(*std.columns, "split")
 
 
 def leakage(splits: DataFrame, id_col: str = "event_id", split: str = "split") -> DataFrame:

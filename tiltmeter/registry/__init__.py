@@ -1,8 +1,8 @@
 """Registered queries and their check SQL."""
 
-from . import evaluate
+from . import curate, evaluate
 
-MODULES = [evaluate]
+MODULES = [curate, evaluate]
 
 
 def queries():
