@@ -1,8 +1,8 @@
 """Registered queries and their check SQL."""
 
-from . import curate, evaluate
+from . import curate, evaluate, language
 
-MODULES = [curate, evaluate]
+MODULES = [curate, evaluate, language]
 
 
 def queries():
