@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from . import text_patterns as P
 from .actors import any_contains
-from .annotate import match_count
+from .annotate import both_cases, match_count
+from .common import let
 
 # Weights and tier limits of the score.
 WEIGHTS = {"label_entropy": 0.35, "conf_uncertainty": 0.25, "conf_dispersion": 0.20, "text_ambiguity": 0.20}
@@ -18,11 +19,14 @@ N_CLASSES = 6
 
 def text_ambiguity(notes: Column, actor: Column) -> Column:
     """Boundary cues (three or more saturate), hedges (two), and an unclear actor name."""
-    text, who = F.lower(F.coalesce(notes, F.lit(""))), F.lower(F.coalesce(actor, F.lit("")))
-    cues = F.least(F.lit(1.0), match_count(text, P.BOUNDARY_CUES).cast("double") / 3.0)
-    hedges = F.least(F.lit(1.0), match_count(text, P.SCORE_HEDGES).cast("double") / 2.0)
+    text, who = F.coalesce(notes, F.lit("")), F.lower(F.coalesce(actor, F.lit("")))
+
+    def cues_and_hedges(t):
+        cues = F.least(F.lit(1.0), match_count(t, P.BOUNDARY_CUES, "low").cast("double") / 3.0)
+        return cues * 0.5 + F.least(F.lit(1.0), match_count(t, P.SCORE_HEDGES, "low").cast("double") / 2.0) * 0.25
+
     unclear = F.when(any_contains(who, P.SCORE_ACTOR_TERMS), 0.25).otherwise(0.0)
-    return F.when(text == "", 0.0).otherwise(F.least(F.lit(1.0), cues * 0.5 + hedges * 0.25 + unclear))
+    return F.when(text == "", 0.0).otherwise(F.least(F.lit(1.0), let(both_cases(text), cues_and_hedges) + unclear))
 
 
 def entropy_term(n: Column, total: Column) -> Column:

@@ -1,32 +1,56 @@
 """Annotation columns over event notes: provenance, verbs, casualties, voice, actor ambiguity.
 
-Every annotator is one Column over the whole text. A family of patterns is first
-tried as a single alternation, so the usual text without a hit costs one pass;
-per-pattern counts are only evaluated behind that guard.
+Every annotator is one Column over the whole text. Most patterns start with a
+literal word; a plain substring test for that word on the lower-cased text, made
+once per row, spares the usual text the regular expression.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text_patterns as P
 from .actors import any_contains
-from .common import col, has_column
+from .common import col, has_column, let
 
 ANNOTATIONS = ["annotation_provenance", "annotation_ambiguous_actor", "annotation_verb_intensity",
                "annotation_casualty_counts", "annotation_passive_voice", "annotation_notes"]
 
 
-def any_match(text: Column, patterns: list[str], flags: str = "iU") -> Column:
-    return F.coalesce(F.rlike(text, F.lit(f"(?{flags})(?:" + "|".join(patterns) + ")")), F.lit(False))
+def _opening_word(pattern: str) -> str | None:
+    """Letters every match of the pattern must start with, in lower case."""
+    m = re.match(r"\\b([A-Za-z]+)", pattern)
+    if not m:
+        return None
+    word = m.group(1)
+    optional = pattern[m.end():m.end() + 1] in ("?", "*", "{")
+    return (word[:-1] if optional else word).lower() or None
 
 
-def match_count(text: Column, patterns: list[str], flags: str = "iU") -> Column:
+def both_cases(text: Column) -> Column:
+    """The text and its lower-cased form, to be bound once by ``let``."""
+    return F.struct(text.alias("x"), F.lower(text).alias("low"))
+
+
+def _hits(t: Column, patterns: list[str], field: str, flags: str) -> list[Column]:
+    out = []
+    for p in patterns:
+        word, hit = _opening_word(p), F.rlike(t[field], F.lit(f"(?{flags})" + p))
+        out.append(F.contains(t["low"], F.lit(word)) & hit if word else hit)
+    return out
+
+
+def any_match(t: Column, patterns: list[str], field: str = "x", flags: str = "iU") -> Column:
+    """Any pattern occurs in a text bound by :func:`both_cases`."""
+    return reduce(lambda a, b: a | b, _hits(t, patterns, field, flags))
+
+
+def match_count(t: Column, patterns: list[str], field: str = "x", flags: str = "iU") -> Column:
     """How many of the patterns occur at least once."""
-    hits = [F.when(F.rlike(text, F.lit(f"(?{flags})" + p)), 1).otherwise(0) for p in patterns]
-    return F.when(any_match(text, patterns, flags), reduce(lambda a, b: a + b, hits)).otherwise(0)
+    return reduce(lambda a, b: a + b, [F.when(h, 1).otherwise(0) for h in _hits(t, patterns, field, flags)])
 
 
 def provenance(source: Column, scale: Column, notes: Column) -> Column:
@@ -37,62 +61,68 @@ def provenance(source: Column, scale: Column, notes: Column) -> Column:
     """
     s, n = F.coalesce(source, F.lit("")), F.coalesce(notes, F.lit(""))
     text = F.concat(s, F.when((s != "") & (n != ""), " ").otherwise(""), n)
-    hit = {k: any_match(text, v) for k, v in {
-        "state": P.STATE_MEDIA, "intl": P.INTERNATIONAL_MEDIA, "nga": P.NIGERIA_MEDIA, "cmr": P.CAMEROON_MEDIA,
-        "north": P.NORTH_AFRICA_MEDIA, "local": P.LOCAL_MEDIA, "social": P.SOCIAL_MEDIA,
-        "security": P.SECURITY_FIRMS}.items()}
+    families = {"state": P.STATE_MEDIA, "intl": P.INTERNATIONAL_MEDIA, "nga": P.NIGERIA_MEDIA, "cmr": P.CAMEROON_MEDIA,
+                "north": P.NORTH_AFRICA_MEDIA, "local": P.LOCAL_MEDIA, "social": P.SOCIAL_MEDIA, "security": P.SECURITY_FIRMS}
+
+    def kind(h):
+        return (F.when(h["state"] & ~(h["intl"] | h["nga"] | h["cmr"]), "State-affiliated")
+                .when(h["security"], "Security-Analysis").when(h["intl"], "Independent-International")
+                .when(h["nga"] | h["cmr"] | h["north"], "Independent-National")
+                .when(h["social"], "Social-Media").when(h["local"], "Local/Community"))
+
+    by_text = let(both_cases(text), lambda t: let(F.struct(*[any_match(t, v).alias(k) for k, v in families.items()]), kind))
     sc = F.lower(F.coalesce(scale, F.lit("")))
-    return (F.when(hit["state"] & ~(hit["intl"] | hit["nga"] | hit["cmr"]), "State-affiliated")
-            .when(hit["security"], "Security-Analysis")
-            .when(hit["intl"], "Independent-International")
-            .when(hit["nga"] | hit["cmr"] | hit["north"], "Independent-National")
-            .when(hit["social"], "Social-Media")
-            .when(hit["local"], "Local/Community")
-            .when(sc.contains("international"), "Independent-International")
-            .when(sc.contains("national"), "Independent-National")
-            .when(sc.contains("regional"), "Regional")
-            .when(sc.contains("local"), "Local/Community")
-            .when(sc.contains("new media"), "Social-Media")
-            .otherwise("Unknown"))
+    by_scale = (F.when(sc.contains("international"), "Independent-International")
+                .when(sc.contains("national"), "Independent-National").when(sc.contains("regional"), "Regional")
+                .when(sc.contains("local"), "Local/Community").when(sc.contains("new media"), "Social-Media"))
+    return F.coalesce(by_text, by_scale, F.lit("Unknown"))
 
 
 def verb_intensity(notes: Column) -> Column:
-    text = F.lower(F.coalesce(notes, F.lit("")))
-    return (F.when(text == "", "Unknown").when(any_match(text, P.HIGH_VERBS, "U"), "High")
-            .when(any_match(text, P.MEDIUM_VERBS, "U"), "Medium")
-            .when(any_match(text, P.LOW_VERBS, "U"), "Low").otherwise("Unknown"))
+    def level(t):
+        return (F.when(any_match(t, P.HIGH_VERBS, "low", "U"), "High").when(any_match(t, P.MEDIUM_VERBS, "low", "U"), "Medium")
+                .when(any_match(t, P.LOW_VERBS, "low", "U"), "Low").otherwise("Unknown"))
+
+    return let(both_cases(F.coalesce(notes, F.lit(""))), level)
 
 
 def casualties(fatalities: Column, notes: Column) -> Column:
     """Yes (n) from the fatality count, else from the first matching pattern, else No."""
-    text = F.lower(F.coalesce(notes, F.lit("")))
-    found = F.coalesce(*[F.when(F.rlike(text, F.lit("(?U)" + p)), F.regexp_extract(text, "(?U)" + p, 0))
-                         for p in P.CASUALTIES])
-    number = F.regexp_extract(found, r"(?U)\d+", 0)
+    def mention(t):
+        hits = zip(P.CASUALTIES, _hits(t, P.CASUALTIES, "low", "U"))
+        return F.coalesce(*[F.when(h, F.regexp_extract(t["low"], "(?U)" + p, 0)) for p, h in hits])
+
+    def said(found):
+        number = F.regexp_extract(found, r"(?U)\d+", 0)
+        return (F.when(found.isNull(), "No").when(number != "", F.concat(F.lit("Yes ("), number, F.lit(")")))
+                .otherwise("Yes (unspecified)"))
+
     deaths = F.nanvl(F.coalesce(fatalities.try_cast("double"), F.lit(0.0)), F.lit(0.0)).cast("bigint")
-    return (F.when(deaths > 0, F.concat(F.lit("Yes ("), deaths.cast("string"), F.lit(")")))
-            .when(~any_match(text, P.CASUALTIES, "U"), "No")
-            .when(number != "", F.concat(F.lit("Yes ("), number, F.lit(")")))
-            .otherwise("Yes (unspecified)"))
+    in_text = let(let(both_cases(F.coalesce(notes, F.lit(""))), mention), said)
+    return F.when(deaths > 0, F.concat(F.lit("Yes ("), deaths.cast("string"), F.lit(")"))).otherwise(in_text)
 
 
 def passive_voice(notes: Column) -> Column:
     """Yes / No / Mixed / Unknown from weighted counts of passive and active patterns."""
-    text = F.coalesce(notes, F.lit(""))
-    passive = (match_count(text, P.PASSIVE) + match_count(text, P.AGENT_OBSCURING) * F.lit(1.5)
-               + match_count(text, P.PASSIVE_HEDGES) + match_count(text, P.NOMINALIZATIONS)).cast("double")
-    active = (match_count(text, P.ACTIVE) * F.lit(1.5)).cast("double")
-    both = (passive > 0) & (active > 0)
-    return (F.when(text == "", "Unknown")
-            .when(both & (passive > active * 1.5), "Yes").when(both & (active > passive * 1.5), "No")
-            .when(both, "Mixed").when(passive >= 1, "Yes").when(active >= 1, "No").otherwise("Unknown"))
+    def weigh(t):
+        passive = (match_count(t, P.PASSIVE) + match_count(t, P.AGENT_OBSCURING) * F.lit(1.5)
+                   + match_count(t, P.PASSIVE_HEDGES) + match_count(t, P.NOMINALIZATIONS))
+        return F.struct(passive.cast("double").alias("p"), (match_count(t, P.ACTIVE) * F.lit(1.5)).cast("double").alias("a"))
+
+    def verdict(w):
+        p, a = w["p"], w["a"]
+        both = (p > 0) & (a > 0)
+        return (F.when(both & (p > a * 1.5), "Yes").when(both & (a > p * 1.5), "No").when(both, "Mixed")
+                .when(p >= 1, "Yes").when(a >= 1, "No").otherwise("Unknown"))
+
+    return let(let(both_cases(F.coalesce(notes, F.lit(""))), weigh), verdict)
 
 
 def ambiguous_actor(notes: Column, actor: Column) -> Column:
-    text, who = F.lower(F.coalesce(notes, F.lit(""))), F.lower(F.coalesce(actor, F.lit("")))
-    n = match_count(text, P.AMBIGUOUS_ACTOR, "U")
-    return (F.when(text == "", "Unknown").when(any_contains(who, P.AMBIGUOUS_ACTOR_TERMS), "Yes")
-            .when(n >= 2, "Yes").when(n == 1, "Partial").otherwise("No"))
+    text, who = F.coalesce(notes, F.lit("")), F.lower(F.coalesce(actor, F.lit("")))
+    n = let(both_cases(text), lambda t: match_count(t, P.AMBIGUOUS_ACTOR, "low", "U"))
+    by_text = let(n, lambda c: F.when(c >= 2, "Yes").when(c == 1, "Partial").otherwise("No"))
+    return F.when(text == "", "Unknown").when(any_contains(who, P.AMBIGUOUS_ACTOR_TERMS), "Yes").otherwise(by_text)
 
 
 def annotate(df: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
