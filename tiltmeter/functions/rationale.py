@@ -36,9 +36,10 @@ def jaccard(a: Column, b: Column) -> Column:
 def rationale_changed(before: Column, after: Column) -> Column:
     """Any paired item diverged; items without a partner do not count, an empty side means no."""
     n = F.least(F.size(before), F.size(after))
-    pairs = F.arrays_zip(F.slice(before, 1, F.greatest(n, F.lit(0))).alias("b"), F.slice(after, 1, F.greatest(n, F.lit(0))).alias("a"))
-    return F.when(n > 0, F.exists(pairs, lambda p: jaccard(content_words(p["0"]), content_words(p["1"])) < CHANGE_BELOW)
-                  ).otherwise(F.lit(False))
+    m = F.greatest(n, F.lit(0))
+    diverged = F.zip_with(F.slice(before, 1, m), F.slice(after, 1, m),
+                          lambda b, a: jaccard(content_words(b), content_words(a)) < CHANGE_BELOW)
+    return F.when(n > 0, F.array_contains(diverged, True)).otherwise(F.lit(False))
 
 
 def mentions(items: Column, token: Column) -> Column:
@@ -53,7 +54,7 @@ def word_attributions(tokens: Column, scores: Column) -> Column:
     dropped; special tokens and empty words are left out. One row in, one array
     out: a text's tokens never leave their row.
     """
-    both = F.transform(F.arrays_zip(tokens, scores), lambda z: F.struct(z["0"].alias("t"), z["1"].alias("s")))
+    both = F.zip_with(tokens, scores, lambda t, x: F.struct(t.alias("t"), x.alias("s")))
     kept = F.filter(both, lambda z: ~z["t"].isin(SPECIAL_TOKENS))
 
     def clean(t):

@@ -8,6 +8,8 @@ the cap per generator needs no window.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fluency, perturbation_rules as R
@@ -18,13 +20,12 @@ GENERATORS = ["actor", "intensity", "action", "negation", "sufficiency", "legiti
               "decontextualization", "control"]
 FIELDS = ["type", "subtype", "original", "replacement", "modifier", "action", "phrase", "source", "target",
           "pattern", "text", "description"]
-VARIANT = ", ".join(f"{f}: string" for f in FIELDS)
 
 
 def _rules(rows: list[dict]) -> Column:
-    """A literal array of rules; every rule has needle, regex and swap next to the variant fields."""
-    names = [f for f in FIELDS if f != "text"] + ["needle", "regex", "swap"]
-    return F.array(*[F.struct(*[F.lit(r.get(n)).cast("string").alias(n) for n in names]) for r in rows])
+    """A constant array of rules; every rule has needle, regex and swap next to the variant fields."""
+    fields = ", ".join(f"{f}: string" for f in [*FIELDS, "needle", "regex", "swap"])
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
 
 
 def _variant(rule: Column, text: Column, **over: Column) -> Column:
@@ -40,10 +41,6 @@ def _apply(text: Column, rows: list[dict]) -> Column:
     return F.filter(made, lambda v: v["text"] != text)
 
 
-def _empty() -> Column:
-    return F.array().cast(f"array<struct<{VARIANT}>>")
-
-
 def _replace_all(word: str) -> str:
     return rf"(?iU)\b{word}\b"
 
@@ -142,17 +139,22 @@ def control_variants(text: Column) -> Column:
                     _first_of_family(text, "cardinal_numeral", "numeral", R.NUMERALS))
 
 
-def generators(text: Column) -> dict[str, Column]:
-    made = [actor_variants, intensity_variants, action_variants, negation_variants, sufficiency_variants,
-            legitimation_variants, provenance_variants, decontextualization_variants, control_variants]
-    return {name: fn(text) for name, fn in zip(GENERATORS, made)}
+MAKERS = dict(zip(GENERATORS, [
+    actor_variants, intensity_variants, action_variants, negation_variants, sufficiency_variants, legitimation_variants,
+    provenance_variants, decontextualization_variants, control_variants]))
+
+
+def _tagged(name: str, text: Column, *extra) -> Column:
+    """Variants of one generator with its name and their position; ``extra`` adds columns made from a variant."""
+    def row(v, i):
+        return F.struct(F.lit(name).alias("generator"), i.alias("gen_idx"), *[v[f].alias(f) for f in FIELDS], *[e(v) for e in extra])
+
+    return F.transform(MAKERS[name](text), row)
 
 
 def explode_variants(df: DataFrame, names: list[str] | None = None, text: str = "notes", keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """All variants of the chosen generators, unvalidated: generator, gen_idx and the variant fields."""
-    made = generators(F.col(text))
-    tagged = [F.transform(made[n], lambda v, i, n=n: F.struct(F.lit(n).alias("generator"), i.alias("gen_idx"), *[v[f].alias(f) for f in FIELDS]))
-              for n in (names or GENERATORS)]
+    tagged = [_tagged(n, F.col(text)) for n in (names or GENERATORS)]
     return df.select(*keep, F.explode(F.concat(*tagged)).alias("_v")).select(*keep, "_v.*")
 
 
@@ -165,11 +167,10 @@ def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int =
     enough. One row per event goes in, so nothing is shuffled.
     """
     t = F.col(text)
-    lists = [F.filter(F.transform(v, lambda x, i, n=n: F.struct(
-        F.lit(n).alias("generator"), i.alias("gen_idx"), *[x[f].alias(f) for f in FIELDS],
-        fluency.grammaticality(x["text"]).alias("fluency_score"))),
-        lambda x: (x["fluency_score"] >= fluency.MIN_FLUENCY) & (fluency.similarity_bound(t, x["text"]) > 1.0 - fluency.MAX_DISTANCE))
-        for n, v in generators(t).items()]
+    def plausible(x):
+        return (x["fluency_score"] >= fluency.MIN_FLUENCY) & (fluency.similarity_bound(t, x["text"]) > 1.0 - fluency.MAX_DISTANCE)
+
+    lists = [F.filter(_tagged(n, t, lambda v: fluency.grammaticality(v["text"]).alias("fluency_score")), plausible) for n in GENERATORS]
     d = df.where(t.isNotNull()).select(*keep, t.alias("_text"), F.array(*lists).alias("_lists"))
     d = d.withColumn("_r", fluency.first_valid_similarities(
         "_text", F.transform("_lists", lambda a: F.transform(a, lambda x: x["text"])), F.lit(max_per_generator)))

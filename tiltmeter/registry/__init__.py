@@ -1,8 +1,8 @@
 """Registered queries and their check SQL."""
 
-from . import curate, evaluate, language
+from . import curate, evaluate, language, robust
 
-MODULES = [curate, evaluate, language]
+MODULES = [curate, evaluate, language, robust]
 
 
 def queries():
