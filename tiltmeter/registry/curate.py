@@ -44,7 +44,7 @@ H42 = "md5(concat('42|', CAST(event_id AS STRING))), event_id"
 
 
 def std(spark, d):
-    return C.standardize(raw_events(spark, d), order=["seq"])
+    return C.standardize(spread(raw_events(spark, d)), order=["seq"])
 
 
 # Raw to standard ---------------------------------------------------------------
@@ -64,7 +64,7 @@ u AS (SELECT event_id_cnty, seq, regexp_replace("NOTES",'\\s+',' ','g') AS notes
  WHERE regexp_matches(lower(coalesce("ACTOR1",'')),'(military|police) forces of cameroon') AND "NOTES" IS NOT NULL AND "EVENT_TYPE" IN {CLASSES})
 SELECT event_id_cnty, notes, event_type, actor_norm FROM (SELECT *, row_number() OVER (PARTITION BY event_id_cnty ORDER BY seq) rn FROM u) WHERE rn=1""")
 def _(spark, d):
-    return C.usable_state_rows(raw_events(spark, d), "Cameroon", order=["seq"])
+    return C.usable_state_rows(spread(raw_events(spark, d)), "Cameroon", order=["seq"])
 
 
 @q("resolved_columns", """SELECT event_id_cnty AS event_id, "EVENT_TYPE" AS event_type, "INTER1" AS inter1 FROM raw""")

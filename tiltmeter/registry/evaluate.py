@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as C, classification as K, compare as M, fairness as A, harm as H, sampling as S
 from ..operators import ranking as R
-from .inputs import CTE, MODELS, VALID, calibrated, flips, predictions, r6, rounded
+from .inputs import CTE, MODELS, VALID, calibrated, flips, predictions, r6, rounded, spread
 
 Q: dict = {}
 O: dict = {}
@@ -315,7 +315,7 @@ pr AS (SELECT *, {', '.join(f'e{x}/(eV+eB+eE+eP+eR+eS+1e-12::DOUBLE) AS prob_{x}
 
 @q("class_probabilities", f""", {_PROBS} SELECT model, event_id, {', '.join(f'{r6(f"prob_{x}")} AS "prob_{x}"' for x in 'VBEPRS')} FROM pr""")
 def _(spark, d):
-    p = calibrated(spark, d).withColumn("_p", C.class_probabilities(F.col("logits"), F.lit(2.0)))
+    p = spread(calibrated(spark, d)).withColumn("_p", C.class_probabilities(F.col("logits"), F.lit(2.0)))
     return rounded(p.select("model", "event_id", *[F.get("_p", F.lit(i)).alias(f"prob_{x}") for i, x in enumerate("VBEPRS")]))
 
 
@@ -326,7 +326,7 @@ def _(spark, d):
 
 
 def _split(spark, d):
-    return S.calibration_split(calibrated(spark, d))
+    return S.calibration_split(spread(calibrated(spark, d)))
 
 
 _RANKED = "z AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5(concat('42|', CAST(event_id AS STRING))), event_id) AS rn, count(*) OVER (PARTITION BY model) AS n FROM cal)"
@@ -410,7 +410,7 @@ def _(spark, d):
 
 
 def _with_probs(spark, d):
-    p = calibrated(spark, d).withColumn("_p", C.class_probabilities(F.col("logits"), F.lit(2.0)))
+    p = spread(calibrated(spark, d)).withColumn("_p", C.class_probabilities(F.col("logits"), F.lit(2.0)))
     return p.withColumns({f"prob_{x}": F.get("_p", F.lit(i)) for i, x in enumerate("VBEPRS")})
 
 

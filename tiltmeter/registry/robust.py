@@ -324,7 +324,7 @@ _AFTER = """CASE WHEN (event_id+mi+pert_idx)%13=0 THEN NULL ELSE concat('Actors:
 def rationales(spark, d):
     p = predictions(spark, d).select("model", "event_id", F.lit(-1).alias("pert_idx"), F.split(F.expr(_BEFORE), r"\|").alias("reasoning"))
     f = flips(spark, d).select("model", "event_id", "pert_idx", F.split(F.expr(_AFTER), r"\|").alias("reasoning"))
-    return p.unionByName(f)
+    return spread(p.unionByName(f))
 
 
 _STOP = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -390,8 +390,8 @@ def attributions(spark, d):
     def scored(df):
         return df.withColumn("tokens", tok).withColumn("scores", F.expr(f"transform(tokens, (t, i) -> {_SCORE.format(i='i')})")).select("model", "event_id", "pert_idx", "tokens", "scores")
 
-    p = predictions(spark, d).withColumn("pert_idx", F.lit(-1))
-    f = flips(spark, d).where("label_flipped").select("model", "event_id", "pert_idx", "mi")
+    p = spread(predictions(spark, d).select("model", "event_id", "mi", "notes")).withColumn("pert_idx", F.lit(-1))
+    f = spread(flips(spark, d).where("label_flipped").select("model", "event_id", "pert_idx", "mi"))
     n = events(spark, d).select("event_id", F.concat("notes", F.lit(" Extra wording here")).alias("notes"))
     return scored(p).unionByName(scored(f.join(n, "event_id")))
 
