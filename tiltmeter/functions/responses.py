@@ -19,8 +19,13 @@ _OBJECT_WITH_LABEL = r'\{[^{}]*"label"\s*:\s*"[VBEPRS]"[^{}]*\}'
 
 
 def _parsed(text: Column) -> Column:
-    """Variant of a text that is one whole JSON value, else null."""
-    return F.try_parse_json(text)
+    """Variant with the value at $.v of a text that is one whole JSON value, else null.
+
+    The parser stops after the first value, so the text is set into an object
+    with a closing field that must be seen too.
+    """
+    v = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(', "closing_field":1}')))
+    return F.when(F.try_variant_get(v, "$.closing_field", "int") == 1, v)
 
 
 def parse_response(raw: Column) -> Column:
@@ -37,8 +42,8 @@ def parse_response(raw: Column) -> Column:
     loose = _parsed(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
 
     def from_json(v: Column) -> Column:
-        return F.struct(F.try_variant_get(v, "$.label", "string").alias("label"),
-                        F.try_variant_get(v, "$.confidence", "double").alias("confidence"), F.lit(True).alias("found"))
+        return F.struct(F.try_variant_get(v, "$.v.label", "string").alias("label"),
+                        F.try_variant_get(v, "$.v.confidence", "double").alias("confidence"), F.lit(True).alias("found"))
 
     none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("found"))
     return (F.when(whole.isNotNull(), from_json(whole)).when(part.isNotNull(), from_json(part))
