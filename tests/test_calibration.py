@@ -28,7 +28,7 @@ def test_isotonic_map(spark, seed):
     x = np.round(rnd.random(200), 3 if seed % 2 else 1)
     x[: 70] = 0.9  # one confidence holds a third of the rows
     y = rnd.random(200) < x * x
-    got = C.isotonic_maps(frame(spark, x.tolist(), y.tolist()), slices=16).first()
+    got = C.isotonic_maps(frame(spark, x.tolist(), y.tolist())).first()
     xs, ys = isotonic(x.tolist(), y.tolist())
     assert np.allclose(got["y"], np.interp(np.linspace(0, 1, 101), xs, ys), atol=1e-12)
     assert np.all(np.diff(got["y"]) >= 0)

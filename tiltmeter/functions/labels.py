@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import col, lit_array, lookup, strip
+from .tables import control_table
 
 # The six event classes, their codes in canonical order, and the
 # harm groups used by the set definition of false (il)legitimization.
@@ -132,4 +133,4 @@ def select_models(df: DataFrame, wanted: list[str], model: str = "model") -> Dat
                      F.max("_p").over(everyone).alias("_any_p"))
              .where(F.when(F.col("_any_e"), F.col("_e")).when(F.col("_any_p"), F.col("_p")).otherwise(True))
              .select(model))
-    return df.join(names, model, "left_semi")
+    return df.join(control_table(names), model, "left_semi")

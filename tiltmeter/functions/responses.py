@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import lookup, strip
 from .labels import CLASS_CODES, LABELS, clean_label, strict_label
+from .tables import control_table
 
 # Names under which a model may return its scores, in order.
 SCORE_KEYS = ["logits", "log_probs", "scores", "label_scores"]
@@ -124,6 +125,6 @@ def class_names(df: DataFrame, id2label: DataFrame, idx: str = "class_id", unmap
     lists = own.where(F.col("_code").isNotNull()).groupBy("model").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("_i").cast("int"), "_code"))).alias("_map"))
     default = F.map_from_entries(F.array(*[F.struct(F.lit(i), F.lit(c)) for i, c in enumerate(fallback or LABELS)]))
-    d = df.join(lists, "model", "left")
+    d = df.join(control_table(lists), "model", "left")
     return d.withColumn("pred_label", F.coalesce(F.try_element_at(
         F.coalesce("_map", default), F.col(idx).cast("int")), F.lit(unmapped))).drop("_map")

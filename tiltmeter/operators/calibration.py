@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.common import col, let, lit_array, ratio
 from ..functions.labels import LABELS, is_valid
+from ..functions.tables import control_table
 
 # Thresholds of the sweep, candidates of the per-class choice (the
 # tenths as doubles of i * 0.1) and interior edges of ten reliability bins.
@@ -42,10 +45,23 @@ def _pool(lo, hi, s, n):
     return out
 
 
-def _pool_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("lo")
-    blocks = _pool(pdf["lo"], pdf["hi"], pdf["s"], pdf["n"])
-    return pd.DataFrame(blocks, columns=["lo", "hi", "s", "n"]).assign(model=pdf["model"].iloc[0])
+def _pool_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool one sorted partition as its batches come; blocks of a model leave when the next model starts."""
+    model, blocks = None, []
+
+    def out():
+        return pd.DataFrame(blocks, columns=["lo", "hi", "s", "n"]).assign(model=model)
+
+    for b in batches:
+        for name, part in b.groupby("model", sort=False):
+            if name != model and blocks:
+                yield out()
+                blocks = []
+            model = name
+            old = list(zip(*blocks)) or [(), (), (), ()]
+            blocks = _pool(*[list(o) + list(part[c]) for o, c in zip(old, ("lo", "lo", "s", "n"))])
+    if blocks:
+        yield out()
 
 
 def _pool_model(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -58,24 +74,24 @@ def _pool_model(pdf: pd.DataFrame) -> pd.DataFrame:
                          "y": [np.interp(grid, xs, ys).tolist()]})
 
 
-def isotonic_maps(train: DataFrame, slices: int = 1024) -> DataFrame:
+def isotonic_maps(train: DataFrame) -> DataFrame:
     """(model, x[101], y[101]): isotonic fit of correctness on confidence, sampled on a grid.
 
     Rows are first counted per distinct confidence, so ties are pooled by a
-    plain aggregate. Violators are then pooled inside confidence slices in
-    parallel, and only the surviving blocks of a model meet in one group: their
-    means are strictly increasing fractions of row counts, which bounds their
-    number by about rows^(2/3). Pooling is associative, so the result is exact.
+    plain aggregate. The distinct confidences are range-partitioned (even ranges
+    however the values cluster) and violators pooled in each range; only the
+    surviving blocks of a model meet in one group. Their means are strictly
+    increasing fractions of row counts, which bounds their number by about
+    rows^(2/3). Pooling is associative, so the ranges do not affect the result.
     """
     p = confidence("pred_conf")
     ok = (F.col("pred_label") == F.col("true_label")).cast("double")
     points = (train.where(is_valid("true_label") & is_valid("pred_label"))
               .groupBy("model", p.alias("lo")).agg(F.sum(ok).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
-              .withColumns({"hi": F.col("lo"), "slice": F.floor(F.col("lo") * slices)}))
-    blocks = points.groupBy("model", "slice").applyInPandas(
-        lambda pdf: _pool_slice(pdf), "lo double, hi double, s double, n double, model string")
+              .repartitionByRange("model", "lo").sortWithinPartitions("model", "lo"))
+    blocks = points.mapInPandas(_pool_range, "lo double, hi double, s double, n double, model string")
     return blocks.groupBy("model").applyInPandas(
-        lambda pdf: _pool_model(pdf), "model string, x array<double>, y array<double>")
+        _pool_model, "model string, x array<double>, y array<double>")
 
 
 def interpolate(p: Column, y: Column) -> Column:
@@ -116,12 +132,12 @@ def apply_calibration(test: DataFrame, maps: DataFrame, params: DataFrame | None
     """Add pred_conf_iso, pred_conf_temp and prob_V..prob_S.
 
     ``params`` holds (model, T, T_multiclass), both 1 where missing. Maps and
-    parameters are one row per model; Spark decides from their size at run time
-    whether to broadcast them.
+    parameters are one row per model and are broadcast after a size check.
     """
-    d = test.join(maps.select("model", F.col("y").alias("_y")), "model", "left")
+    d = test.join(control_table(maps.select("model", F.col("y").alias("_y"))), "model", "left")
     if params is not None:
-        d = d.join(params.select("model", F.col("T").alias("_T"), F.col("T_multiclass").alias("_TM")), "model", "left")
+        params = params.select("model", F.col("T").alias("_T"), F.col("T_multiclass").alias("_TM"))
+        d = d.join(control_table(params), "model", "left")
         t, tm = F.coalesce("_T", F.lit(1.0)), F.coalesce("_TM", F.lit(1.0))
     else:
         t = tm = F.lit(1.0)
@@ -231,14 +247,14 @@ def apply_class_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """accepted, coverage, accuracy per model when each prediction must reach its class threshold."""
     prob = F.coalesce(*[F.when(F.col("pred_label") == lab, confidence(f"prob_{lab}")) for lab in LABELS])
     t = thresholds.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("label", "threshold"))).alias("_m"))
-    d = df.join(t, "model").withColumn("_in", is_valid("true_label") & is_valid("pred_label") & F.coalesce(
+    d = df.join(control_table(t), "model").withColumn("_in", is_valid("true_label") & is_valid("pred_label") & F.coalesce(
         prob >= F.coalesce(F.try_element_at("_m", F.col("pred_label")), F.lit(0.0)), F.lit(False)))
     return _performance(d)
 
 
 def apply_single_threshold(df: DataFrame, thresholds: DataFrame, prob_col: str = "pred_conf") -> DataFrame:
     """The same with one (model, threshold) and one confidence column; labels are not filtered."""
-    d = df.join(thresholds.select("model", F.col("threshold").alias("_th")), "model")
+    d = df.join(control_table(thresholds.select("model", F.col("threshold").alias("_th"))), "model")
     return _performance(d.withColumn("_in", confidence(prob_col) >= F.col("_th")))
 
 

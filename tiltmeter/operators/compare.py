@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.common import lookup
 from ..functions.stats import chi2_p
+from ..functions.tables import control_table
 from .harm import fl_fi_counts
 
 PAIRED_FLIP_TYPES = ["actor_substitution", "intensity_high", "action_substitution"]
@@ -116,7 +117,7 @@ def add_robustness(core: DataFrame, flip_rates: DataFrame, rfc_by_tier: DataFram
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Drop old rows whose key occurs in the new rows, append the new rows, align columns."""
-    kept = old.join(new.select(*keys).distinct(), list(keys), "left_anti")
+    kept = old.join(control_table(new.select(*keys).distinct()), list(keys), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 

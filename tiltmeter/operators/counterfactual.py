@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import significance_stars
 from ..functions.stats import signed_rank_p, t_p
+from ..functions.tables import control_table
 
 TIERS = ["High", "Medium", "Low"]
 
@@ -59,8 +60,8 @@ def differential_effect(flips: DataFrame, by: Sequence[str] = ("type", "model"),
     by = list(by)
     d = flips.where(F.col("success") & F.col("confidence_delta").isNotNull())
     x = F.col("confidence_delta")
-    basic = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg(x).alias("CDE_mean"),
-                               F.stddev_pop(x).alias("CDE_std"), F.stddev_samp(x).alias("_s"))
+    basic = control_table(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg(x).alias("CDE_mean"),
+                               F.stddev_pop(x).alias("CDE_std"), F.stddev_samp(x).alias("_s")))
     values = d.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
     def position(v: DataFrame, key: str) -> DataFrame:

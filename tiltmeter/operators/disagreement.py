@@ -8,26 +8,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ambiguity
 from ..functions.annotate import annotate
+from ..functions.tables import control_table, stored
 from .cleaning import enrich_metadata
-from .ranking import head_global, sample_hash, stored
+from .ranking import head_global, keep_one, sample_hash
 
 META = ["true_label", "actor_norm", "notes"]
 
 
+def vote_counts(df: DataFrame, prob: str = "pred_conf_temp") -> DataFrame:
+    """disagreement_count and max_confidence of events judged by every model, with no missing value.
+
+    Narrow on purpose: texts are not carried through this aggregate, only
+    whether they are there (see :func:`event_meta` for the texts).
+    """
+    complete = F.lit(True)
+    for c in META:
+        if c in df.columns:
+            complete = complete & F.col(c).isNotNull()
+    n_models = control_table(df.select("model").distinct().agg(F.count(F.lit(1)).alias("_n")))
+    votes = df.select("event_id", "model", "pred_label", F.col(prob).alias("_p"), complete.alias("_full")).groupBy("event_id").agg(
+        F.size(F.collect_set("pred_label")).alias("disagreement_count"), F.max("_p").alias("max_confidence"),
+        F.min_by("_full", "model").alias("_full"),
+        F.count(F.when(F.col("pred_label").isNotNull() & F.col("_p").isNotNull(), 1)).alias("_n"))
+    return votes.where("_full").join(n_models, "_n", "left_semi").drop("_n", "_full")
+
+
+def event_meta(df: DataFrame) -> DataFrame:
+    """True label, actor and notes of each event, from its first model by name."""
+    meta = [c for c in META if c in df.columns]
+    return keep_one(df.select("event_id", "model", *meta), ["event_id"], ["model"]).drop("model")
+
+
 def event_votes(df: DataFrame, prob: str = "pred_conf_temp") -> DataFrame:
     """One row per event judged by every model, with no missing value.
 
     disagreement_count is the number of distinct predictions, max_confidence the
-    largest confidence. Aggregates only; the wide table is :func:`widen`.
+    largest confidence. The wide table is :func:`widen`.
     """
-    meta = [c for c in META if c in df.columns]
-    n_models = df.select("model").distinct().agg(F.count(F.lit(1)).alias("_m"))
-    votes = df.groupBy("event_id").agg(
-        F.min_by(F.struct(*meta), F.col("model")).alias("_meta"),
-        F.size(F.collect_set("pred_label")).alias("disagreement_count"), F.max(prob).alias("max_confidence"),
-        F.count(F.when(F.col("pred_label").isNotNull() & F.col(prob).isNotNull(), 1)).alias("_n"))
-    votes = votes.select("event_id", "_meta.*", "disagreement_count", "max_confidence", "_n").dropna(subset=meta)
-    return votes.join(n_models, F.col("_n") == F.col("_m"), "left_semi").drop("_n")
+    return event_meta(df).join(vote_counts(df, prob), "event_id")
 
 
 def disagreements(df: DataFrame, prob: str = "pred_conf_temp") -> DataFrame:
@@ -82,9 +100,11 @@ def top_disagreements(df: DataFrame, n: int = 20, prob: str = "pred_conf_temp")
 
     The top n are taken first; only their rows are scored and widened.
     """
-    top = disagreements(df, prob).orderBy(F.desc("max_confidence"), "event_id").limit(n)
+    votes = vote_counts(df, prob).where(F.col("disagreement_count") > 1)
+    top = control_table(votes.orderBy(F.desc("max_confidence"), "event_id").limit(n))
     rows = df.join(top.select("event_id"), "event_id", "left_semi")
-    return annotate_ambiguity(top, event_ambiguity(rows, prob))
+    events = event_meta(rows).join(top, "event_id")
+    return annotate_ambiguity(events, event_ambiguity(rows, prob)).orderBy(F.desc("max_confidence"), "event_id")
 
 
 def top_percent(events: DataFrame, percent: float, score: str = "max_confidence", id_col: str = "event_id") -> DataFrame:
@@ -118,7 +138,7 @@ def error_cases(df: DataFrame, size: int = 200, seed: int = 42) -> DataFrame:
     by_model = Window.partitionBy("error_kind", "model").orderBy("_h", "event_id")
     by_kind = Window.partitionBy("error_kind").orderBy("model", "_h", "event_id")
     e = e.withColumn("_r", F.row_number().over(by_model)).where(F.col("_r") <= size)
-    e = e.join(limits, "error_kind").where(F.col("_r") <= F.col("_cap"))
+    e = e.join(control_table(limits), "error_kind").where(F.col("_r") <= F.col("_cap"))
     e = e.withColumn("_r2", F.row_number().over(by_kind)).where(F.col("_r2") <= size)
     return e.select(*df.columns, "error_kind")
 

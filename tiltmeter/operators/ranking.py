@@ -15,11 +15,12 @@ before the shuffle when a ``row_number`` is compared with a literal.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.tables import control_table
+
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
     """One row per key: the first (or last) in the given total order."""
@@ -40,23 +41,6 @@ def hash_levels(h: str) -> list[Column]:
     return [F.substring(F.col(h), 1, 3)]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for a table that several passes read.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without one gets a temporary folder; a cluster without one gets the table
-    back unstored, which is slower but right.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            return df
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tiltmeter-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def mark_bands(df: DataFrame, keys: Sequence[str], cuts: DataFrame, order: Sequence[Column],
                levels: Sequence[Column], band: str = "band") -> DataFrame:
     """Add ``band``: how many of its group's cuts a row lies behind, in ascending ``order``.
@@ -65,28 +49,30 @@ def mark_bands(df: DataFrame, keys: Sequence[str], cuts: DataFrame, order: Seque
     first ``need`` rows. A row of a group without cuts gets null. ``levels`` are
     coarse columns that never decrease along ``order`` (a hash prefix, a rounded
     score): each pass counts rows per level value and goes on with the one value
-    in which a cut falls, so that only a sliver of a group is ever ranked.
-    ``order`` must be a total order without nulls.
+    in which a cut falls, so that only a sliver of a group is ever ranked. Every
+    pass is a scan with a map-side aggregate; the rows themselves are never
+    shuffled. ``order`` must be a total order without nulls.
     """
     keys = list(keys)
     names = [f"_l{i}" for i in range(len(levels))]
     d = df.withColumns({**dict(zip(names, levels)), "_o": F.struct(*order)})
     if not keys:
         d, cuts, keys = d.withColumn("_all", F.lit(0)), cuts.withColumn("_all", F.lit(0)), ["_all"]
-    cuts = cuts.select(*keys, "cut_no", F.col("need").cast("bigint").alias("need"))
+    cuts = control_table(cuts.select(*keys, "cut_no", F.col("need").cast("bigint").alias("need")))
     rows, group, goal = d.select(*keys, *names, "_o"), keys, cuts.where(F.col("need") > 0)
     for name in names:
         running = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
         hist = rows.groupBy(*group, name).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(running))
         goal = (hist.join(goal, group).where((F.col("_cum") >= F.col("need")) & (F.col("_cum") - F.col("_n") < F.col("need")))
                 .select(*keys, "cut_no", name, (F.col("need") - F.col("_cum") + F.col("_n")).alias("need")))
+        goal = control_table(goal)
         rows = rows.join(goal.drop("need"), [c for c in rows.columns if c in (*group, name)])
         goal, group = goal.drop(name), [*keys, "cut_no"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_o"))
     found = (rows.withColumn("_r", rank).join(goal, group).where(F.col("_r") == F.col("need"))
              .select(*group, F.struct(*names, "_o").alias("_cut")))
-    lists = (cuts.join(found, [*keys, "cut_no"], "left").groupBy(*keys)
-             .agg(F.collect_list(F.struct("need", "_cut")).alias("_cuts")))
+    lists = control_table(cuts.join(found, [*keys, "cut_no"], "left").groupBy(*keys)
+                          .agg(F.collect_list(F.struct("need", "_cut")).alias("_cuts")))
     here = F.struct(*names, "_o")
     behind = F.filter("_cuts", lambda c: (c["need"] <= 0) | F.coalesce(c["_cut"] < here, F.lit(False)))
     return (d.join(lists, keys, "left").withColumn(band, F.when(F.col("_cuts").isNotNull(), F.size(behind)))
@@ -116,13 +102,14 @@ def sample_per_group(df: DataFrame, keys: Sequence[str], quota: DataFrame | int,
     return marked.where("in_head").select(*df.columns)
 
 
-def head_global(df: DataFrame, quota: DataFrame, score: str, id_col: str, steps: int = 4096) -> DataFrame:
-    """First ``quota`` rows by score descending, then id hash, however large the quota.
+def head_global(df: DataFrame, quota: DataFrame, score: str, id_col: str) -> DataFrame:
+    """First ``quota`` rows by score (0 to 1) descending, then id hash, however large the quota.
 
-    The score is narrowed to a slice of 1/steps, then to one value, then to a
-    hash prefix, so a third of all rows may share one score.
+    The score is narrowed twelve binary digits at a time, then to one value,
+    then to a hash prefix: no step sees many distinct values, even if all scores
+    are close to 1, and a third of all rows may share one score.
     """
     d = df.withColumns({"_neg": -F.col(score), "_h": sample_hash(0, id_col)})
-    levels = [F.floor(F.col("_neg") * steps), F.col("_neg"), F.substring("_h", 1, 3)]
+    levels = [*[F.floor(F.col("_neg") * float(1 << b)) for b in (12, 24, 36)], F.col("_neg"), F.substring("_h", 1, 3)]
     marked = mark_head(d, [], quota, [F.col("_neg"), F.col("_h"), F.col(id_col)], levels)
     return marked.where("in_head").select(*df.columns)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import CLASSES, COUNTRIES, actor_type, class_code, example_quality
-from .ranking import hash_levels, mark_bands, mark_head, sample_hash, sample_per_group, stored
+from ..functions.tables import CONTROL_ROWS, control_table, stored
+from .ranking import hash_levels, mark_bands, mark_head, sample_hash, sample_per_group
 
 
 def largest_remainder(counts: DataFrame, n: Column, group: str, part: list[str] | None = None,
@@ -79,6 +80,7 @@ def stratified_sample(df: DataFrame, group: str, n_total: int, primary: str | No
     if not replace:
         return sample_per_group(d, [group], quota.select(group, "quota"), seed, id_col)
     again = (F.col("quota") > F.col("n")) | (F.col(group) == F.lit(primary) if primary else F.lit(False))
+    quota = control_table(quota)
     once = sample_per_group(d, [group], quota.where(~again).select(group, "quota"), seed, id_col)
     return once.unionByName(_draw_again(d, group, quota.where(again & (F.col("quota") > 0)), seed, id_col))
 
@@ -95,10 +97,10 @@ def _draw_again(df: DataFrame, group: str, quota: DataFrame, seed: int, id_col:
     base = (h.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
             .withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     inner = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", id_col))
-    ranked = h.withColumn("_r", inner).join(base, [group, "_b"]).withColumn("_rank", F.col("_base") + F.col("_r"))
+    ranked = h.withColumn("_r", inner).join(control_table(base), [group, "_b"]).withColumn("_rank", F.col("_base") + F.col("_r"))
     draws = quota.select(group, "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("quota"))).alias("_i"))
     draws = draws.select(group, (F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("_i")), F.col("n")) + 1).alias("_rank"))
-    return ranked.join(draws, [group, "_rank"]).select(*df.columns)
+    return ranked.join(control_table(draws, 10 * CONTROL_ROWS), [group, "_rank"]).select(*df.columns)
 
 
 def balanced_actor_quota(df: DataFrame, event: str, actor_code: str, n_total: int, balance_ratio: float = 0.5,
@@ -271,6 +273,7 @@ def calibration_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, id
     n = F.col("n")
     quota = (df.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("quota", F.when(n < 2, n).otherwise(F.ceil(n * F.lit(test_share)))))
+    quota = control_table(quota)
     h = df.join(quota.select("model", (n < 2).alias("_tiny")), "model").withColumn("_h", sample_hash(seed, id_col))
     marked = mark_head(h, ["model"], quota.select("model", "quota"), [F.col("_h"), F.col(id_col)],
                        hash_levels("_h"), "is_test")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import counterfactual as CF, disagreement as D, perturb as PB, trace as T
-from ..operators.ranking import stored
+from ..functions.tables import stored
 from ..operators.scoring import Predictor, collect_rationales, score_variants
 
 

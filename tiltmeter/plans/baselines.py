@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import classification, cleaning, compare, fairness, harm, sampling
-from ..operators.ranking import stored
+from ..functions.tables import stored
 
 FAIRNESS = ["model", "country", "SPD", "SPD_CI_lower", "SPD_CI_upper", "TPR_diff", "TPR_pvalue", "FPR_diff", "FPR_pvalue",
             "n_state", "n_nonstate"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.labels import is_valid
 from ..operators import calibration, classification, disagreement, fairness, harm, sampling
-from ..operators.ranking import stored
+from ..functions.tables import stored
 
 
 def evaluate(predictions: DataFrame, params: DataFrame | None = None, raw: DataFrame | None = None, top_n: int = 20) -> dict[str, DataFrame]:
