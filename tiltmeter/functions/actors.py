@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .common import col
+from .common import col, let
 
 # Terms that mark a state actor in the fairness groups.
 STATE_TERMS = ["state forces", "military", "police", "government", "gendarmerie"]
@@ -40,7 +40,8 @@ def _state_terms(country: str) -> list[str]:
 
 def is_state_by_name(c: str | Column, country: str) -> Column:
     """"Military/Police Forces of <country>" in the name; country is given in lower case."""
-    return any_contains(F.lower(strip_parens(F.coalesce(col(c), F.lit("")))), _state_terms(country))
+    name = F.lower(strip_parens(F.coalesce(col(c), F.lit(""))))
+    return let(name, lambda n: any_contains(n, _state_terms(country)))
 
 
 def actor_group(c: str | Column) -> Column:
@@ -66,10 +67,12 @@ def normalize_actor(c: str | Column, groups=None, country: str = "Cameroon") ->
     ``groups`` is an ordered list of (label, terms) or (label, function from the
     lower-cased name Column to a boolean Column).
     """
-    name = F.lower(strip_parens(F.coalesce(col(c), F.lit(""))))
-    out = None
-    for label, matcher in (default_groups(country) if groups is None else groups):
-        cond = matcher(name) if callable(matcher) else any_contains(name, matcher)
-        cond = F.coalesce(cond, F.lit(False))
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return F.lit(OTHER_ACTORS) if out is None else out.otherwise(OTHER_ACTORS)
+    def first_group(name):
+        out = None
+        for label, matcher in (default_groups(country) if groups is None else groups):
+            cond = matcher(name) if callable(matcher) else any_contains(name, matcher)
+            cond = F.coalesce(cond, F.lit(False))
+            out = F.when(cond, label) if out is None else out.when(cond, label)
+        return F.lit(OTHER_ACTORS) if out is None else out.otherwise(OTHER_ACTORS)
+
+    return let(F.lower(strip_parens(F.coalesce(col(c), F.lit("")))), first_group)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import col, lit_array, lookup, strip
+from .common import col, let, lit_array, lookup, strip
 from .tables import control_table
 
 # The six event classes, their codes in canonical order, and the
@@ -39,9 +39,8 @@ def class_code(c: str | Column) -> Column:
 
 def clean_label(c: str | Column) -> Column:
     """Code in any case, or a class name as written or in title case; otherwise ERROR."""
-    raw = strip(F.coalesce(col(c), F.lit("")))
-    return F.coalesce(F.when(F.upper(raw).isin(LABELS), F.upper(raw)),
-                      lookup(CLASS_CODES, raw), lookup(CLASS_CODES, F.initcap(raw)), F.lit("ERROR"))
+    return let(strip(F.coalesce(col(c), F.lit(""))), lambda raw: F.coalesce(
+        F.when(F.upper(raw).isin(LABELS), F.upper(raw)), lookup(CLASS_CODES, raw), lookup(CLASS_CODES, F.initcap(raw)), F.lit("ERROR")))
 
 
 def strict_label(c: str | Column) -> Column:
