@@ -1,8 +1,8 @@
 """Annotation columns over event notes: provenance, verbs, casualties, voice, actor ambiguity.
 
-Every annotator is one Column over the whole text. Most patterns start with a
-literal word; a plain substring test for that word on the lower-cased text, made
-once per row, spares the usual text the regular expression.
+Every annotator is one Column over the whole text. Most patterns need some
+literal word; a plain substring test for it on the lower-cased text spares the
+usual text the regular expression.
 """
 
 from __future__ import annotations
@@ -20,14 +20,39 @@ ANNOTATIONS = ["annotation_provenance", "annotation_ambiguous_actor", "annotatio
                "annotation_casualty_counts", "annotation_passive_voice", "annotation_notes"]
 
 
-def _opening_word(pattern: str) -> str | None:
-    """Letters every match of the pattern must start with, in lower case."""
+def _longest_run(plain: str) -> str:
+    """The longest run of letters that is not cut short by an optional last letter."""
+    runs = [r[:-2] if r[-1] in "?*{" else r for r in re.findall(r"[A-Za-z]+[?*{]?", plain)]
+    return max(runs, key=len, default="").lower()
+
+
+def _needed_words(pattern: str) -> tuple[str, ...]:
+    """Words of which every match contains one, in lower case; empty if none can be told.
+
+    That is the longest word outside brackets, or, where it is short, the words
+    of the bracket whose alternatives are longest. Optional parts do not count.
+    """
+    plain = re.sub(r"\\[^A-Za-z]|\\[A-Za-z][+*?]?|\[[^\]]*\][+*?]?", " ", pattern).replace("(?:", "(")
+    choices = [tuple(_longest_run(x) for x in g.split("|")) for g in re.findall(r"\(([^()]*)\)(?![?*])", plain)]
+    while "(" in plain:
+        plain = re.sub(r"\([^()]*\)[+*?]?", " ", plain)
+    word = _longest_run(plain)
+    best = max(choices, key=lambda words: min(map(len, words)), default=())
+    if len(word) < 3 and best and min(map(len, best)) >= 3:
+        return tuple(dict.fromkeys(best))
+    return (word,) if word else ()
+
+
+def _letters_first(pattern: str) -> str:
+    """The same pattern with the boundary before its opening letters tested after them.
+
+    Java then compares letters at each position, and looks at the boundary only
+    where they are found.
+    """
     m = re.match(r"\\b([A-Za-z]+)", pattern)
-    if not m:
-        return None
-    word = m.group(1)
-    optional = pattern[m.end():m.end() + 1] in ("?", "*", "{")
-    return (word[:-1] if optional else word).lower() or None
+    optional = m and pattern[m.end():m.end() + 1] in ("?", "*", "{")
+    word = (m.group(1)[:-1] if optional else m.group(1)) if m else ""
+    return f"{word}(?<!\\w{word}){pattern[2 + len(word):]}" if word else pattern
 
 
 def both_cases(text: Column) -> Column:
@@ -35,22 +60,32 @@ def both_cases(text: Column) -> Column:
     return F.struct(text.alias("x"), F.lower(text).alias("low"))
 
 
-def _hits(t: Column, patterns: list[str], field: str, flags: str) -> list[Column]:
-    out = []
+def _hit(t: Column, pattern: str, field: str, flags: str) -> Column:
+    return F.rlike(t[field], F.lit(f"(?{flags})" + _letters_first(pattern)))
+
+
+def _guarded(t: Column, patterns: list[str], field: str, flags: str) -> list[tuple[Column, list[Column]]]:
+    """Patterns grouped by the words they need: (a needed word occurs, pattern tests)."""
+    groups: dict[tuple[str, ...], list[Column]] = {}
     for p in patterns:
-        word, hit = _opening_word(p), F.rlike(t[field], F.lit(f"(?{flags})" + p))
-        out.append(F.contains(t["low"], F.lit(word)) & hit if word else hit)
-    return out
+        groups.setdefault(_needed_words(p), []).append(_hit(t, p, field, flags))
+    return [(reduce(lambda a, b: a | b, [F.contains(t["low"], F.lit(w)) for w in words]) if words else F.lit(True), hits)
+            for words, hits in groups.items()]
 
 
 def any_match(t: Column, patterns: list[str], field: str = "x", flags: str = "iU") -> Column:
     """Any pattern occurs in a text bound by :func:`both_cases`."""
-    return reduce(lambda a, b: a | b, _hits(t, patterns, field, flags))
+    return reduce(lambda a, b: a | b, [guard & reduce(lambda a, b: a | b, hits)
+                                       for guard, hits in _guarded(t, patterns, field, flags)])
 
 
 def match_count(t: Column, patterns: list[str], field: str = "x", flags: str = "iU") -> Column:
     """How many of the patterns occur at least once."""
-    return reduce(lambda a, b: a + b, [F.when(h, 1).otherwise(0) for h in _hits(t, patterns, field, flags)])
+    def count(hits):
+        return reduce(lambda a, b: a + b, [F.when(h, 1).otherwise(0) for h in hits])
+
+    return reduce(lambda a, b: a + b, [F.when(guard, count(hits)).otherwise(0)
+                                       for guard, hits in _guarded(t, patterns, field, flags)])
 
 
 def provenance(source: Column, scale: Column, notes: Column) -> Column:
@@ -89,8 +124,8 @@ def verb_intensity(notes: Column) -> Column:
 def casualties(fatalities: Column, notes: Column) -> Column:
     """Yes (n) from the fatality count, else from the first matching pattern, else No."""
     def mention(t):
-        hits = zip(P.CASUALTIES, _hits(t, P.CASUALTIES, "low", "U"))
-        return F.coalesce(*[F.when(h, F.regexp_extract(t["low"], "(?U)" + p, 0)) for p, h in hits])
+        found = [F.when(_hit(t, p, "low", "U"), F.regexp_extract(t["low"], "(?U)" + p, 0)) for p in P.CASUALTIES]
+        return F.when(any_match(t, P.CASUALTIES, "low", "U"), F.coalesce(*found))
 
     def said(found):
         number = F.regexp_extract(found, r"(?U)\d+", 0)

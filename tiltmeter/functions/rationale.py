@@ -81,9 +81,9 @@ def word_attributions(tokens: Column, scores: Column) -> Column:
 
 def last_per_word(words: Column) -> Column:
     """Map word to score; of a repeated word the last entry (smallest |score|) counts."""
-    once = F.filter(words, lambda w, i: ~F.exists(F.slice(words, i + 2, F.greatest(F.size(words), F.lit(1))),
-                                                  lambda x: x["word"] == w["word"]))
-    return F.map_from_entries(once)
+    names_backwards = F.reverse(F.transform(words, lambda w: w["word"]))
+    return let(names_backwards, lambda names: F.map_from_entries(F.filter(
+        words, lambda w, i: F.array_position(names, w["word"]) == F.size(names) - i)))
 
 
 def attribution_delta(before: Column, after: Column, top: int = TOP_TOKENS) -> Column:

@@ -4,7 +4,7 @@ Groups here are event classes, models or countries: there are few of them and
 one may hold a third of all rows. A ``row_number`` over such a group would sort
 that third in a single task, so
 
-* de-duplication is an aggregate (``min_by``/``max_by``) with map-side combine;
+* de-duplication keeps one row per key in every task before the shuffle;
 * "first n rows of each group" finds the cut point by histograms that narrow
   down to one small bucket, ranks only that bucket, and then compares every row
   with the cut in a plain filter.
@@ -23,13 +23,15 @@ from ..functions.tables import control_table
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) in the given total order."""
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.select(*keys).distinct()
-    pick = F.max_by if last else F.min_by
-    return (df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-            .select(*keys, "_row.*").select(*df.columns))
+    """One row per key: the first (or last) in the given total order.
+
+    The rank is compared with a literal, so every task keeps one row per key
+    before the shuffle: a third of all rows may be copies of one key. Columns
+    that nobody reads later are pruned before the shuffle.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    w = Window.partitionBy(*keys).orderBy(*[c.desc() if last else c.asc() for c in by])
+    return df.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")
 
 
 def sample_hash(seed: int | str, id_col: str) -> Column:

@@ -52,9 +52,10 @@ def rfc_rates(records: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame
     """
     keys = list(keys)
     t, a = "perturbation_type", "ambiguity_tier"
-    g = records.where(F.col("concordant").isNotNull()).groupingSets([keys, [*keys, t], [*keys, a]], *keys, t, a).agg(
-        F.grouping(t).alias("_gt"), F.grouping(a).alias("_ga"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("concordant").cast("bigint")).alias("n_concordant"))
+    # Counting verdicts, rather than filtering on them, keeps the comparison from being computed twice.
+    g = records.groupingSets([keys, [*keys, t], [*keys, a]], *keys, t, a).agg(
+        F.grouping(t).alias("_gt"), F.grouping(a).alias("_ga"), F.count("concordant").alias("n"),
+        F.sum(F.col("concordant").cast("bigint")).alias("n_concordant")).where("n > 0")
     rate = ratio(F.col("n_concordant"), F.col("n"), None)
     scope = F.when(F.col("_gt") == 0, "type").when(F.col("_ga") == 0, "tier").otherwise("all")
     return g.select(*keys, scope.alias("scope"), t, a, "n", F.round(rate, 4).alias("concordant_rate"),
