@@ -124,6 +124,13 @@ def test_split_bundle_keeps_everything_without_caps(spark):
     assert all(r["count"] == round(n[r["event_type"]] * 0.1) for r in dev)
 
 
+def test_balanced_dev_ignores_classes_without_dev_rows(spark):
+    rows = [(i, "Battles" if i < 40 else "Riots" if i < 60 else "Protests", "Mali") for i in range(61)]
+    df = spark.createDataFrame(rows, "event_id bigint, event_type string, country string")
+    c = Counter((r["split"], r["event_type"]) for r in S.split_bundle(df, ["cmr"], balance_dev=True).collect())
+    assert c == {("dev", "Battles"): 2, ("dev", "Riots"): 2, ("train", "Battles"): 36, ("train", "Riots"): 18, ("train", "Protests"): 1}
+
+
 def test_evaluation_countries_in_training_leak(spark):
     b = S.split_bundle(std(spark), ["cmr"], include_eval_in_train=True)
     with pytest.raises(ValueError, match="leakage"):

@@ -174,6 +174,7 @@ def test_label_and_actor_columns(spark):
     assert [r[0] for r in df.select(L.strict_label("s")).collect()] == ["INVALID", "INVALID", "V", "INVALID", "INVALID", "INVALID"]
     df = spark.createDataFrame([("Military Forces of Cameroon (1982-) Gendarmerie",), ("Kumba Communal Militia (Nigeria)",), ("ISWAP",), ("MNJTF: x",), (None,), ("Rioters (Nigeria)",)], "s string")
     assert [r[0] for r in df.select(A.normalize_actor("s")).collect()] == ["State forces (Cameroon)", "Communal Militia", "Boko Haram / ISWAP", "MNJTF", "Other Actors", "Protesters/Rioters/Civilians"]
+    assert L.rename_legacy_columns(spark.createDataFrame([(1, 2)], "pred_x_x int, y int"), "x_x", "x").columns == ["pred_x", "y"]
     with pytest.raises(Exception, match="unsupported country"):
         spark.createDataFrame([("fra",)], "c string").select(L.country_name("c")).collect()
 

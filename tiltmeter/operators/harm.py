@@ -19,7 +19,9 @@ from ..functions.labels import ILLEGITIMATE, LEGITIMATE, condition_rank, is_vali
 from ..functions.stats import binomial_p
 from .classification import pair_counts, total
 
+# The rounded and the exact 97.5% point of the normal distribution.
 Z95 = 1.96
+Z95_EXACT = 1.959963984540054
 
 
 def _true(*labs):
@@ -64,13 +66,13 @@ def binary_harm(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
         "false_illegitimization_rate": F.round(ratio(F.col("false_illegitimization_count"), F.col("n_non_violence")), 4)})
 
 
-def wilson(k: Column, n: Column) -> tuple[Column, Column]:
+def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Wilson 95% interval in percent, clamped to 0..100; (0, 0) for n = 0."""
     k, n1 = k.cast("double"), F.greatest(n.cast("double"), F.lit(1.0))
-    p, z2 = k / n1, Z95 * Z95
+    p, z2 = k / n1, z * z
     denom = 1.0 + F.lit(z2) / n1
     center = (p + F.lit(z2) / (n1 * 2.0)) / denom
-    margin = F.lit(Z95) * F.sqrt((p * (1.0 - p) + F.lit(z2) / (n1 * 4.0)) / n1) / denom
+    margin = F.lit(z) * F.sqrt((p * (1.0 - p) + F.lit(z2) / (n1 * 4.0)) / n1) / denom
     low = F.when(n > 0, F.greatest(F.lit(0.0), center - margin) * 100.0).otherwise(0.0)
     high = F.when(n > 0, F.least(F.lit(1.0), center + margin) * 100.0).otherwise(0.0)
     return low, high
@@ -92,9 +94,9 @@ def _pair_sums(p: DataFrame, by: Sequence[str]) -> DataFrame:
                           "fi_pct": ratio(F.col("n_fi") * 100, F.col("true_b"))})
 
 
-def _with_intervals(a: DataFrame) -> DataFrame:
-    fl_lo, fl_hi = wilson(F.col("n_fl"), F.col("true_v"))
-    fi_lo, fi_hi = wilson(F.col("n_fi"), F.col("true_b"))
+def _with_intervals(a: DataFrame, z: float = Z95) -> DataFrame:
+    fl_lo, fl_hi = wilson(F.col("n_fl"), F.col("true_v"), z)
+    fi_lo, fi_hi = wilson(F.col("n_fi"), F.col("true_b"), z)
     return a.withColumns({"fl_ci_lower": fl_lo, "fl_ci_upper": fl_hi, "fi_ci_lower": fi_lo, "fi_ci_upper": fi_hi,
                           "delta_lb": F.col("fi_pct") - F.col("fl_pct")})
 
@@ -141,7 +143,7 @@ def bias_table(df: DataFrame, actors: Sequence[str] = ("Police", "Military"), by
     a = _fill_actors(_pair_sums(_actor_pairs(df, by, actors), [*by, "actor"]), by, actors)
     is_total = F.col("actor") == "Total"
     fl, fi = F.col("fl_pct"), F.col("fi_pct")
-    full = _with_intervals(a)
+    full = _with_intervals(a, Z95_EXACT)
     rr = F.when(fl > 0, fi / F.when(fl > 0, fl).otherwise(1.0)).when(fi > 0, float("inf")).otherwise(1.0)
     only_total = {c: F.when(is_total, F.col(c)) for c in
                   ("fl_ci_lower", "fl_ci_upper", "fi_ci_lower", "fi_ci_upper", "delta_lb")}

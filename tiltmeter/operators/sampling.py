@@ -212,7 +212,9 @@ def split_bundle(std: DataFrame, eval_codes: list[str], dev_ratio: float = 0.1,
     pool = Window.partitionBy("pool")
 
     def quota(size: str, balance: bool, cap: int) -> Column:
-        out = F.min(size).over(pool) if balance else F.col(size)
+        """Rows to keep of a class; balancing goes by the smallest class that has any."""
+        smallest = F.min(F.when(F.col(size) > 0, F.col(size))).over(pool)
+        out = F.when(F.col(size) > 0, smallest).otherwise(0) if balance else F.col(size)
         return F.least(out, F.lit(cap).cast("bigint")) if cap > 0 else out
 
     test_cap = 0 if balance_test else test_max_per_country

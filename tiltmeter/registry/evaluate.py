@@ -169,11 +169,11 @@ def _(spark, d):
 _CONDITION = "CASE event_id%4 WHEN 0 THEN 'zero_shot' WHEN 1 THEN 'few_shot_1' WHEN 2 THEN 'few_shot_3' ELSE 'few_shot_5' END"
 
 
-def _wilson(k, n, side):
-    z2 = "(CAST(1.96 AS DOUBLE)*CAST(1.96 AS DOUBLE))"
+def _wilson(k, n, side, z="1.96"):
+    z2 = f"(CAST({z} AS DOUBLE)*CAST({z} AS DOUBLE))"
     p = f"(CAST({k} AS DOUBLE)/{n})"
     center = f"(({p}+{z2}/(2*{n}))/(1+{z2}/{n}))"
-    margin = f"(CAST(1.96 AS DOUBLE)*sqrt(({p}*(1-{p})+{z2}/(4*{n}))/{n})/(1+{z2}/{n}))"
+    margin = f"(CAST({z} AS DOUBLE)*sqrt(({p}*(1-{p})+{z2}/(4*{n}))/{n})/(1+{z2}/{n}))"
     v = f"greatest(CAST(0 AS DOUBLE),{center}-{margin})" if side == "lo" else f"least(CAST(1 AS DOUBLE),{center}+{margin})"
     return r6(f"CASE WHEN {n}>0 THEN {v}*100 ELSE 0 END")
 
@@ -210,7 +210,9 @@ def _(spark, d):
     return rounded(H.actor_summary(predictions(spark, d)))
 
 
-_BIAS = f"""w AS (SELECT model, actor, true_v, true_b, n_fl, n_fi, fl_pct, fi_pct, {_CI}, fi_pct-fl_pct AS delta,
+_CI_EXACT = ", ".join(f"{_wilson(k, n, s, '1.959963984540054')} AS {x}_ci_{e}" for k, n, x in (("n_fl", "true_v", "fl"), ("n_fi", "true_b", "fi"))
+                      for s, e in (("lo", "lower"), ("hi", "upper")))
+_BIAS = f"""w AS (SELECT model, actor, true_v, true_b, n_fl, n_fi, fl_pct, fi_pct, {_CI_EXACT}, fi_pct-fl_pct AS delta,
  {ratio('fi_pct-fl_pct','fi_pct+fl_pct')} AS nbs, CASE WHEN fl_pct>0 THEN fi_pct/fl_pct WHEN fi_pct>0 THEN CAST('inf' AS DOUBLE) ELSE 1 END AS rr FROM p)"""
 _TOTAL = "CASE WHEN actor='Total' THEN {} END AS {}"
 
