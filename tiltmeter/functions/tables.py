@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -36,15 +37,16 @@ def control_table(df: DataFrame, most: int = CONTROL_ROWS) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for a table that several passes read.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without one gets a temporary folder; a cluster without one gets the table
-    back unstored, which is slower but right.
+    The folder is the cluster's ``spark.checkpoint.dir``, which all executors
+    share. Only a local session may do without: it gets a temporary folder. A
+    cluster without one is an error, because every pass would silently compute
+    the table anew, and could even see other rows if a model is asked again.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            return df
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tiltmeter-checkpoint-"))
     return df.checkpoint(eager=True)
