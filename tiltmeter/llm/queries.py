@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, packing, quality_rules, sharding
 
 Q: dict = {}
 O: dict = {}
@@ -23,6 +23,22 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def word_bpe():
+    """The fixed vocabulary of the packing contract, from the package that every node has installed."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@q("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), word_bpe())
+
+
+@q("op2_quality_rules")
+def op2(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", quality_rules.quality_rules("text").alias("r")).select("doc_id", "r.*")
+
+
 @q("op3_chat_format", """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 s AS (SELECT *, concat(turn, chr(1), coalesce(role, chr(2)), chr(1), coalesce(text, chr(2)), chr(3)) AS said FROM t),
