@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality_rules, sharding
+from . import chat, classifier, packing, pieces_sampling, quality_rules, sharding, token_counts
 
 Q: dict = {}
 O: dict = {}
@@ -23,15 +23,15 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def word_bpe():
-    """The fixed vocabulary of the packing contract, from the package that every node has installed."""
+def vocabulary(name):
+    """A vocabulary file of the package that every node has installed."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @q("op1_best_fit_packing")
 def op1(spark, sf_dir):
-    return packing.pack(documents(spark, sf_dir), word_bpe())
+    return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 @q("op2_quality_rules")
@@ -53,11 +53,30 @@ def op3(spark, sf_dir):
     return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@q("op4_token_counts")
+def op4(spark, sf_dir):
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 @q("op7_sharding")
 def op7(spark, sf_dir):
     return sharding.shard_by_bytes(documents(spark, sf_dir), 24)
 
 
+@q("op8_quality_classifier")
+def op8(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return classifier.classify(docs, classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@q("op10_sentencepiece_sampling")
+def op10(spark, sf_dir):
+    made = pieces_sampling.sampled_segmentations(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def queries():
     return dict(Q)
 
