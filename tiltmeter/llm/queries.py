@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, classifier, packing, pieces_sampling, quality_rules, sharding, token_counts
+from . import chat, classifier, near_duplicates, packing, pieces_sampling, quality_rules, sharding, suffix_dedup, token_counts
 
 Q: dict = {}
 O: dict = {}
@@ -58,6 +58,24 @@ def op4(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+@q("op5_suffix_dedup", """
+WITH RECURSIVE d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes FROM d),
+w AS (SELECT doc_id, s, substr(h, CAST(2*s+1 AS BIGINT), 200) AS g FROM (SELECT doc_id, h, unnest(range(0, n_bytes-99)) AS s FROM n WHERE n_bytes >= 100)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+e AS (SELECT doc_id, s, max(s+100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT doc_id, s, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM e),
+p AS (SELECT doc_id, min(s) AS a, max(s)+100 AS b FROM i GROUP BY doc_id, island),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM p),
+k AS (SELECT g.doc_id, CAST(sum(b-a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(h, CAST(2*before+1 AS BIGINT), CAST(2*(a-before) AS BIGINT)), '' ORDER BY a) || coalesce(max(CASE WHEN after IS NULL THEN substr(h, CAST(2*b+1 AS BIGINT)) END), '') AS kept
+  FROM g JOIN n ON g.doc_id = n.doc_id GROUP BY g.doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN k ON n.doc_id = k.doc_id""")
+def op5(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "repeats.*")
+
+
 @q("op7_sharding")
 def op7(spark, sf_dir):
     return sharding.shard_by_bytes(documents(spark, sf_dir), 24)
@@ -69,6 +87,26 @@ def op8(spark, sf_dir):
     return classifier.classify(docs, classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@q("op9_minhash_near_dedup", """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+  ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) END) AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+c AS (SELECT min(doc_id) AS rep, n, list(doc_id) AS ids, any_value(s) AS s FROM (SELECT doc_id, s, len(s) AS n, md5(list_sort(s)::VARCHAR) AS m FROM s WHERE len(s) > 0) GROUP BY n, m),
+x AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100*a.n >= 80*b.n AND 100*b.n >= 80*a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100*count(*) >= 80*(a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a),
+o AS (SELECT unnest(ids) AS doc_id, rep FROM c)
+SELECT n.doc_id, n_shingles, coalesce(component, n.doc_id) AS component_id, coalesce(component, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN o ON n.doc_id = o.doc_id LEFT JOIN m ON o.rep = m.rep""")
+def op9(spark, sf_dir):
+    return near_duplicates.near_duplicates(documents(spark, sf_dir), shingle_words=2)
+
+
 @q("op10_sentencepiece_sampling")
 def op10(spark, sf_dir):
     made = pieces_sampling.sampled_segmentations(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
