@@ -145,8 +145,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null text, an empty one or one without words has an empty set and is linked
     with nothing. Rows of one id are one document, of which the smallest text
-    counts where texts differ. An empty table gives an empty result. Columns
-    besides id and text are not read.
+    counts where texts differ. A row without an id is linked only with rows of an equal
+    set. An empty table gives an empty result. Columns besides id and text are not read.
     """
     rows = narrow(df, doc_id=id_col, text=F.col(f"`{text_col}`").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -180,4 +180,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = hashed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

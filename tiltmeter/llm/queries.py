@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, classifier, near_duplicates, packing, pieces_sampling, quality_rules, sharding, suffix_dedup, token_counts
+from . import chat, classifier, fingerprints, near_duplicates, packing, pieces_sampling, quality_rules, sharding, suffix_dedup, token_counts
 
 Q: dict = {}
 O: dict = {}
@@ -76,6 +76,11 @@ def op5(spark, sf_dir):
     return suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "repeats.*")
 
 
+@q("op6_document_fingerprints")
+def op6(spark, sf_dir):
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 @q("op7_sharding")
 def op7(spark, sf_dir):
     return sharding.shard_by_bytes(documents(spark, sf_dir), 24)
