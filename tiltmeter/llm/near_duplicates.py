@@ -16,6 +16,8 @@ PERMUTATIONS = 100
 BAND_ROWS = 5
 SEED = 9
 SLICE = 1 << 20
+#: Members of a bucket that one task holds when it compares its components.
+BLOCK = 1000
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -128,8 +130,102 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, kind: str, size: int, similar
     return both.mapInArrow(_alike(size, similarity), f"a {kind}, b {kind}")
 
 
+def _short_sets(size: int):
+    """Each document's set as 32-bit values: enough to tell which pairs may be links."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("rep")
+            for at, part in slices(batch.column("text"), SLICE):
+                sets, offsets = shingle_sets(part, size)
+                short = (sets >> np.uint64(32)).astype("<u4")
+                raw = [np.unique(short[a:b]).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(raw, pa.binary())], ["rep", "short"])
+    return run
+
+
+def _across(similarity: int, kind: str):
+    """Pairs that may be links, of an outsider and a home row of the same (key, block) but of another component.
+
+    Rows come sorted by (key, block), home rows first. Home rows of one block are
+    held; outsiders pass by one at a time, each against all of them at once.
+    """
+    def links(home, row, found):
+        comp, raw, rep = row
+        own = np.frombuffer(raw, "<u4")
+        mark = np.zeros(len(home["values"]), bool)
+        where = np.searchsorted(home["values"], own)
+        inside = where < len(mark)
+        hit = where[inside][home["values"][where[inside]] == own[inside]]
+        mark[hit] = True
+        both = np.add.reduceat(mark[home["codes"]], home["first"], dtype=np.int64)
+        union = home["size"] + len(own) - both
+        # Two shingles of a set may share a 32-bit value, hence the one.
+        for k in np.flatnonzero((100 * (both + 1) >= similarity * (union - 1)) & (home["component"] != comp)).tolist():
+            a, b = sorted((rep, home["rep"][k]))
+            found.append((a, b))
+
+    def ready(rows):
+        flat = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
+        values, codes = np.unique(flat, return_inverse=True)
+        size = np.array([len(r[1]) // 4 for r in rows], np.int64)
+        return {"values": values, "codes": codes, "size": size, "first": np.cumsum(size) - size, "component": np.array([r[0] for r in rows], object),
+                "rep": [r[2] for r in rows]}
+
+    def run(batches):
+        place, rows, home = None, [], None
+        for batch in batches:
+            found = []
+            cols = [batch.column(c).to_pylist() for c in ("key", "block", "home", "outsider", "component", "short", "rep")]
+            for key, block, at_home, outsider, component, short, rep in zip(*cols):
+                if (key, block) != place:
+                    if place is not None and home is None and rows:
+                        home = ready(rows)
+                        for r in (r for r in rows if r[3]):
+                            links(home, r[:3], found)
+                    place, rows, home = (key, block), [], None
+                if at_home:
+                    rows.append((component, short, rep, outsider))
+                elif rows:
+                    if home is None:
+                        home = ready(rows)
+                        for r in (r for r in rows if r[3]):
+                            links(home, r[:3], found)
+                    links(home, (component, short, rep), found)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.column("rep").type), pa.array([f[1] for f in found], batch.column("rep").type)], ["a", "b"])
+            last = batch
+        if place is not None and home is None and rows:
+            home, found = ready(rows), []
+            for r in (r for r in rows if r[3]):
+                links(home, r[:3], found)
+            kind_ = last.column("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind_), pa.array([f[1] for f in found], kind_)], ["a", "b"])
+    return run
+
+
+def _torn_links(shared: DataFrame, parts: DataFrame, texts: DataFrame, kind: str, size: int, similarity: int, block: int) -> DataFrame:
+    """Pairs that may be links between different components that meet in a bucket.
+
+    A bucket's members are dealt to blocks of about ``block``. Those outside the
+    bucket's largest component go to all of its blocks, where each is held against
+    the members at home there. No pair is made that cannot be a link, and no task
+    holds more than a block.
+    """
+    placed = shared.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    torn = (counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("members"), F.count("*").alias("parts"))
+            .filter("parts > 1").select("key", "main", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
+    rows = placed.join(torn, "key").withColumns({"outsider": F.col("component") != F.col("main"), "own": F.pmod(F.xxhash64("rep"), "blocks").cast("int")})
+    where = F.when(F.col("outsider"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = rows.select("key", "rep", "component", "outsider", "own", F.explode(where).alias("block"))
+    rows = rows.select("key", "block", "rep", "component", "outsider", (F.col("own") == F.col("block")).alias("home"))
+    short = (texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+             .mapInArrow(_short_sets(size), f"rep {kind}, short binary"))
+    met = rows.join(short, "rep").repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home"))
+    return met.mapInArrow(_across(similarity, kind), f"a {kind}, b {kind}").filter("a <> b").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: int = 80,
-                    permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, seed: int = SEED) -> DataFrame:
+                    permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Two documents are linked if 100 x intersection >= ``similarity`` x union of their
@@ -139,13 +235,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with equal sets are one class from the start, so a group of copies of any
     size is one row further on. Classes that share a band are compared in stars:
-    with the smallest class of the bucket, then with its largest, and then only
-    where a bucket still holds several components, with the members of the others.
+    with the smallest class of the bucket and with its largest. Only where a bucket
+    still holds several components, the members outside its largest one are held
+    against the others, block by block, and pairs that may be links are emitted.
     Every link is confirmed on full sets computed from the texts.
 
     A null text, an empty one or one without words has an empty set and is linked
-    with nothing. Rows of one id are one document, of which the smallest text
-    counts where texts differ. A row without an id is linked only with rows of an equal
+    with nothing. Rows of one id are one document, and a link of any of its texts is
+    a link of it. A row without an id is linked only with rows of an equal
     set. An empty table gives an empty result. Columns besides id and text are not read.
     """
     rows = narrow(df, doc_id=id_col, text=F.col(f"`{text_col}`").cast("string"))
@@ -154,29 +251,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                     f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, bands array<bigint>"))
     classes = hashed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = hashed.select("doc_id", "n", "s1", "s2", "bands").join(
-        classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n"))
+        classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
+    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     ends = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    shared = stored(buckets.join(ends, "key").select("key", "rep", "n", "low", "high"))
-    texts = rows
-    least, most = F.least("a", "b"), F.greatest("a", "b")
+    shared = stored(buckets.join(ends, "key").select("key", "rep", "low", "high"))
+    if (hashed.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > 1:
+        rows = rows.dropDuplicates(["doc_id", "text"])
     stars = (shared.select("rep", F.explode(F.array("low", "high")).alias("end")).filter("rep <> end")
              .select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct())
-    links = stored(_confirmed(stars, texts, kind, shingle_words, similarity))
+    links = stored(_confirmed(stars, rows, kind, shingle_words, similarity))
     parts = connected(links, kind)
-    # Buckets that still hold more than one component: members of different ones that no star has compared yet.
-    placed = shared.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-    open_rows = placed.join(torn, "key").select("key", "rep", "n", "component", "low", "high")
-    x = open_rows.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "low", "high")
-    y = open_rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    close = (100 * F.col("na") >= similarity * F.col("nb")) & (100 * F.col("nb") >= similarity * F.col("na"))
-    left = (x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close
-                   & (F.col("a") != F.col("low")) & (F.col("b") != F.col("high")))
-            .select("a", "b").distinct())
-    more = stored(_confirmed(left, texts, kind, shingle_words, similarity))
+    # Buckets that still hold more than one component.
+    more = stored(_confirmed(_torn_links(shared, parts, rows, kind, shingle_words, similarity, block), rows, kind, shingle_words, similarity))
     if not more.isEmpty():
-        parts = connected(links.select(least.alias("a"), most.alias("b")).union(more.select("a", "b")), kind)
+        parts = connected(links.union(more), kind)
     named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = hashed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "doc_id")
