@@ -309,7 +309,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Fewest bins: all tokens over the capacity, or with pieces over half a bin kept apart and what cannot join them left out."""
     at = np.arange(len(counts))
     best = -(-int((counts * at).sum()) // capacity)
-    for small in range(0, capacity // 2 + 1, 64):
+    for small in range(0, capacity // 2 + 1, max(1, capacity // 64)):
         alone = int(counts[at > capacity - small].sum())
         large = (at > capacity // 2) & (at <= capacity - small)
         n_large = int(counts[large].sum())
