@@ -15,7 +15,34 @@ LITERAL_SPACE_MARK = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SHARPNESS = 1.0
 SEED = 10
-SLICE = 4 << 20
+SLICE = 2 << 20
+DECODED_IDS = 1 << 18
+
+
+class HashTable:
+    """64-bit keys, scrambled already, to whole numbers: a look-up of many keys is a few gathers, however many keys there are."""
+
+    def __init__(self, keys: list[int], values: list[int]):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros((1 << bits) + 64, np.uint64)
+        self.values = np.full((1 << bits) + 64, -2, np.int64)
+        for key, value in zip(keys, values):
+            at = key >> (64 - bits)
+            while self.values[at] != -2:
+                at += 1
+            self.keys[at], self.values[at] = key, value
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, -2 for those that are not there."""
+        at = (keys >> self.shift).astype(np.int64)
+        out = self.values[at]
+        other = np.flatnonzero((self.keys[at] != keys) & (out != -2))
+        while len(other):
+            at[other] += 1
+            out[other] = self.values[at[other]]
+            other = other[(self.keys[at[other]] != keys[other]) & (out[other] != -2)]
+        return out
 
 
 def _times(k: int) -> np.uint64:
@@ -23,7 +50,7 @@ def _times(k: int) -> np.uint64:
 
 
 class Pieces:
-    """Pieces of a model by the hashes of their prefixes, their log weights, and the bytes each id stands for.
+    """Pieces of a model by the rolling hashes of their prefixes (-1: no piece, but the beginning of one), their log weights, and the bytes each id stands for.
 
     A model that scores pieces by merge order has no probabilities; its pieces
     weigh as a Zipf law of their rank, to the power of ``sharpness``. A unigram
@@ -47,7 +74,8 @@ class Pieces:
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.raw[i] = bytes([int(piece[3:5], 16)])
-        by_length: dict[int, dict[int, int]] = {}
+        prefixes: dict[int, int] = {}
+        self.longest = 0
         for i in normal:
             piece = sp.id_to_piece(i)
             self.raw[i] = piece.replace("▁", " ").encode()
@@ -55,15 +83,14 @@ class Pieces:
                 continue  # a unit has one leading space, see units()
             h = 0
             for n, c in enumerate(piece, 1):
-                h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-                by_length.setdefault(n, {}).setdefault(h, -1)
-            if by_length[len(piece)][h] not in (-1, i):
+                h = (h + ord(c) + 1) * int(BASE) & 0xFFFFFFFFFFFFFFFF
+                h ^= h >> 32
+                prefixes.setdefault(h, -1)
+            if prefixes[h] not in (-1, i):
                 raise ValueError("two pieces have the same hash")
-            by_length[len(piece)][h] = i
-        self.by_length = []
-        for n in sorted(by_length):
-            keys = np.array(sorted(by_length[n]), np.uint64)
-            self.by_length.append((keys, np.array([by_length[n][int(k)] for k in keys], np.int64)))
+            prefixes[h] = i
+            self.longest = max(self.longest, len(piece))
+        self.prefixes = HashTable([h * int(BASE) & 0xFFFFFFFFFFFFFFFF for h in prefixes], list(prefixes.values()))
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces, so texts with other characters could not be restored")
         self.byte_weight = float(self.weight[normal].min()) * 2 if normal else -20.0
@@ -102,45 +129,54 @@ class Lattice:
         h = np.zeros(len(at), np.uint64)
         alive = at
         sources, targets, found = [], [], []
-        for n, (keys, ids) in enumerate(pieces.by_length, 1):
-            fits = alive + n <= stop[alive]
-            alive, h = alive[fits], h[fits]
-            h = h * BASE + cp[alive + n - 1] + np.uint64(1)
-            where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[where] == h
-            alive, h, where = alive[hit], h[hit], where[hit]
-            real = ids[where] >= 0
-            sources.append(alive[real]), targets.append(alive[real] + n), found.append(ids[where[real]])
+        single = np.zeros(len(cp), bool)
+        for n in range(1, pieces.longest + 1):
+            if n > 1:
+                fits = alive + n <= stop[alive]
+                alive, h = alive[fits], h[fits]
+            h = (h + cp[alive + n - 1] + np.uint64(1)) * BASE
+            h ^= h >> np.uint64(32)
+            piece = pieces.prefixes.find(h * BASE)
+            real = piece >= 0
+            which = alive[real]
+            sources.append(which), targets.append(which + n), found.append(piece[real])
             if n == 1:
-                single = np.zeros(len(cp), bool)
-                single[alive[real]] = True
+                single[which] = True
+            known = piece > -2
+            alive, h = alive[known], h[known]
         # Characters without a piece of their own: one edge that stands for their UTF-8 bytes.
         bare = at[~single[at]]
         self.rare, code = np.unique(cp[bare], return_inverse=True)
         sources.append(bare), targets.append(bare + 1), found.append(pieces.size + code)
         self.rare_bytes = [chr(SPACE if c == LITERAL_SPACE_MARK else int(c)).encode("utf-8", "surrogatepass") for c in self.rare.tolist()]
         rare_weight = np.array([len(b) * pieces.byte_weight for b in self.rare_bytes])
-        src, dst, kind = np.concatenate(sources), np.concatenate(targets), np.concatenate(found)
+        # Edges in order of the node they end at. No node has two edges of one length, so each length is dealt out at once;
+        # long pieces go first, as they are the likelier ones.
+        degree = np.zeros(len(cp), np.int64)
+        for to in targets:
+            degree[to] += 1
+        self.first_edge = np.cumsum(degree) - degree
+        self.last_edge = self.first_edge + degree - 1
+        n_edges = int(degree.sum())
+        src, kind, place = np.empty(n_edges, np.int64), np.empty(n_edges, np.int64), self.first_edge.copy()
+        for a, to, piece in zip(sources[::-1], targets[::-1], found[::-1]):
+            edge = place[to]
+            src[edge], kind[edge] = a, piece
+            place[to] += 1
         weight = np.concatenate([pieces.weight, rare_weight])[kind]
-        # Forward filtering, character by character over all units at once.
-        level = dst - np.repeat(self.start, length + 1)[dst]
-        order = np.lexsort((dst, level))
-        src, dst, kind, weight, level = src[order], dst[order], kind[order], weight[order], level[order]
+        # Forward filtering, character by character over all units that are long enough.
         total = np.full(len(cp), -np.inf)
         total[self.start] = 0.0
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]]) if len(level) else np.array([0])
-        for a, b in zip(bounds, bounds[1:]):
-            first = np.concatenate([[0], np.flatnonzero(np.diff(dst[a:b])) + 1])
-            total[dst[a + first]] = np.logaddexp.reduceat(total[src[a:b]] + weight[a:b], first)
-        share = np.exp(total[src] + weight - total[dst])
+        by_length = np.argsort(-length, kind="stable")
+        start, longer = self.start[by_length], np.searchsorted(-length[by_length], -np.arange(int(length.max(initial=0)) + 1), "right")
+        for k in range(1, len(longer)):
+            nodes = start[:longer[k]] + k
+            many = degree[nodes]
+            edges = ranges(self.first_edge[nodes], many)
+            total[nodes] = np.logaddexp.reduceat(total[src[edges]] + weight[edges], np.cumsum(many) - many)
+        share = np.exp(total[src] + weight - np.repeat(total, degree))
         self.src, self.kind = src, kind
         self.cumulated = np.cumsum(share)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(dst)) + 1]) if len(dst) else np.empty(0, np.int64)
-        self.first_edge = np.zeros(len(cp), np.int64)
-        self.last_edge = np.zeros(len(cp), np.int64)
-        if len(dst):
-            self.first_edge[dst[first]] = first
-            self.last_edge[dst[first]] = np.concatenate([first[1:], [len(dst)]]) - 1
         self.before = np.concatenate([[0.0], self.cumulated])
 
     def sample(self, codes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +190,12 @@ class Lattice:
             low, high = self.first_edge[node], self.last_edge[node]
             u = (draw >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
             low_sum = self.before[low]
-            edge = np.searchsorted(self.cumulated, low_sum + u * (self.cumulated[high] - low_sum), "right")
-            edge = np.clip(edge, low, high)
+            goal = low_sum + u * (self.cumulated[high] - low_sum)
+            edge = low
+            on = np.flatnonzero((self.cumulated[edge] <= goal) & (edge < high))
+            while len(on):
+                edge[on] += 1
+                on = on[(self.cumulated[edge[on]] <= goal[on]) & (edge[on] < high[on])]
             steps.append(at), kinds.append(self.kind[edge])
             node = self.src[edge]
             more = node > self.start[codes[at]]
@@ -199,14 +239,19 @@ def encode_batch(texts: pa.Array, keys: np.ndarray, pieces: Pieces, seed: int =
 def decode_batch(ids: pa.Array, pieces: Pieces) -> pa.Array:
     """The texts that ids stand for: pieces joined, without the blank in front of the first one."""
     n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    length = pieces.raw_length[flat]
-    raw = pieces.raw_flat[ranges(pieces.raw_first[flat], length)].tobytes()
-    ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n)])]
-    out = []
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        text = raw[a:b].decode("utf-8", "replace")
-        out.append(text[1:] if text.startswith(" ") else text)
+    every = ids.flatten().to_numpy(zero_copy_only=False)
+    rows = np.concatenate([[0], np.cumsum(n)])
+    out, at = [], 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(rows, rows[at] + DECODED_IDS, "right")) - 1)
+        flat = every[rows[at]:rows[to]]
+        length = pieces.raw_length[flat]
+        raw = pieces.raw_flat[ranges(pieces.raw_first[flat], length)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(length)])[rows[at:to + 1] - rows[at]].tolist()
+        for a, b in zip(ends, ends[1:]):
+            text = raw[a:b].decode("utf-8", "replace")
+            out.append(text[1:] if text.startswith(" ") else text)
+        at = to
     return pa.array(out, pa.string())
 
 
