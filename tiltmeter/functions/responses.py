@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import lookup, strip
+from .common import let, lookup, strip
 from .labels import CLASS_CODES, LABELS, clean_label, strict_label
 from .tables import control_table
 
@@ -29,11 +29,36 @@ def _parsed(text: Column) -> Column:
     return F.when(F.try_variant_get(v, "$.closing_field", "int") == 1, v)
 
 
+def _read(v: Column, root: str) -> Column:
+    """Everything a parsed answer object says: label, confidence, scores, reasoning and its items.
+
+    Scores come from the first score field that is there, even if it is null.
+    """
+    fields = F.coalesce(*[F.try_variant_get(v, f"{root}.{k}", "variant") for k in SCORE_KEYS])
+    reasoning = F.try_variant_get(v, f"{root}.reasoning", "variant")
+
+    def text(x: Column) -> Column:
+        return F.when(~F.is_variant_null(x), F.to_json(x))
+
+    return F.struct(F.try_variant_get(v, f"{root}.label", "string").alias("label"),
+                    F.try_variant_get(v, f"{root}.confidence", "double").alias("confidence"), F.lit(True).alias("found"),
+                    text(fields).alias("scores"), text(reasoning).alias("reasoning"),
+                    F.try_variant_get(v, f"{root}.reasoning", "array<string>").alias("items"))
+
+
+def _bare(label: Column, confidence: Column, found: Column) -> Column:
+    """An answer of which only the label and the number could be read."""
+    text = F.lit(None).cast("string")
+    return F.struct(label.alias("label"), confidence.alias("confidence"), found.alias("found"), text.alias("scores"), text.alias("reasoning"),
+                    F.lit(None).cast("array<string>").alias("items"))
+
+
 def parse_response(raw: Column) -> Column:
-    """struct<label, confidence, found> of an answer.
+    """struct<label, confidence, found, scores, reasoning, items> of an answer.
 
     Tried in order: the whole answer as JSON, an object with a label in it, the
     label by itself (confidence .5 if absent), any {...} from first to last brace.
+    All fields come from the one object that was chosen.
     """
     text = strip(F.coalesce(raw, F.lit("")))
     whole = _parsed(text)
@@ -41,34 +66,23 @@ def parse_response(raw: Column) -> Column:
     label = F.nullif(F.regexp_extract(text, _LABEL, 1), F.lit(""))
     number = F.coalesce(F.nullif(F.regexp_extract(text, _CONFIDENCE, 1), F.lit("")).try_cast("double"), F.lit(0.5))
     loose = _parsed(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
-
-    def from_json(v: Column) -> Column:
-        return F.struct(F.try_variant_get(v, "$.v.label", "string").alias("label"),
-                        F.try_variant_get(v, "$.v.confidence", "double").alias("confidence"), F.lit(True).alias("found"))
-
-    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("found"))
-    return (F.when(whole.isNotNull(), from_json(whole)).when(part.isNotNull(), from_json(part))
-            .when(label.isNotNull(), F.struct(label.alias("label"), number.alias("confidence"), F.lit(True).alias("found")))
-            .when(loose.isNotNull(), from_json(loose)).otherwise(none))
+    only = F.coalesce(whole, part)
+    chosen = F.coalesce(only, F.when(label.isNull(), loose))
+    fallback = F.when(label.isNotNull(), _bare(label, number, F.lit(True))).otherwise(
+        _bare(F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(False)))
+    return let(chosen, lambda v: F.when(v.isNotNull(), _read(v, "$.v")).otherwise(fallback))
 
 
 def _first_object(text: str | None) -> str | None:
-    """The text itself if it is a JSON object, else its first balanced {...} if that is one."""
+    """The answer's first {...} as JSON text, if what starts at its first brace is an object."""
     text = (text or "").strip()
+    start = text.find("{")
+    if start < 0:
+        return None
     try:
-        if isinstance(json.loads(text), dict):
-            return text
-    except ValueError:
-        pass
-    depth, start = 0, text.find("{")
-    for i in range(max(start, 0), len(text)) if start >= 0 else ():
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            try:
-                return text[start:i + 1] if isinstance(json.loads(text[start:i + 1]), dict) else None
-            except ValueError:
-                return None
-    return None
+        return text[start:json.JSONDecoder().raw_decode(text, start)[1]]
+    except (ValueError, RecursionError):
+        return None
 
 
 @F.pandas_udf(T.StringType())
@@ -77,37 +91,42 @@ def first_json_object(text: pd.Series) -> pd.Series:
 
 
 def parse_balanced(raw: Column, strict: bool = True) -> Column:
-    """struct<label, confidence> by the first balanced object, else label and number by pattern.
+    """The same struct by the first object of an answer, else label and number by pattern.
 
     ``strict`` accepts only the six codes in the fallback and fills ERROR / 0;
     otherwise any word is taken and what is missing stays null.
     """
-    obj = first_json_object(raw)
+    v = F.try_parse_json(first_json_object(raw))
     text = F.coalesce(raw, F.lit(""))
     label = F.nullif(F.regexp_extract(text, _LABEL if strict else r'"label"\s*:\s*"([^"\s]+)"', 1), F.lit(""))
     number = F.nullif(F.regexp_extract(text, r'"confidence"\s*:\s*([0-9]*\.?[0-9]+)', 1), F.lit("")).try_cast("double")
+    found = label.isNotNull() | number.isNotNull()
     if strict:
         label, number = F.coalesce(label, F.lit("ERROR")), F.coalesce(number, F.lit(0.0))
-    v = F.try_parse_json(obj)
-    return F.when(obj.isNotNull(), F.struct(F.try_variant_get(v, "$.label", "string").alias("label"),
-                                            F.try_variant_get(v, "$.confidence", "double").alias("confidence"))).otherwise(
-        F.struct(label.alias("label"), number.alias("confidence")))
+    return F.when(v.isNotNull(), _read(v, "$")).otherwise(_bare(label, number, found))
+
+
+def parse_loose(raw: Column) -> Column:
+    return parse_balanced(raw, strict=False)
+
+
+#: How each kind of back-end's answers are read.
+PARSERS = {"structured": parse_response, "generated": parse_balanced, "generated_loose": parse_loose}
 
 
 def first_scores(raw: Column) -> Column:
-    """JSON text of the first score field present in an answer."""
+    """JSON text of the first score field present in an answer that is one JSON object."""
     return F.coalesce(*[F.get_json_object(raw, f"$.{k}") for k in SCORE_KEYS])
 
 
-def reasoning_items(raw: Column) -> Column:
-    return F.from_json(F.get_json_object(raw, "$.reasoning"), "array<string>")
+def prediction(raw: Column, clean=clean_label, parser: str = "structured") -> Column:
+    """struct<pred_label, pred_conf, logits, reasoning, items> of an answer, ERROR / 0 when nothing was found.
 
-
-def prediction_columns(raw: Column, clean=clean_label) -> dict[str, Column]:
-    """pred_label, pred_conf, logits and reasoning of an answer, ERROR / 0 when nothing was found."""
-    r = parse_response(raw)
-    return {"pred_label": clean(F.coalesce(r["label"], F.lit("ERROR"))), "pred_conf": F.coalesce(r["confidence"], F.lit(0.0)),
-            "logits": first_scores(raw), "reasoning": F.get_json_object(raw, "$.reasoning")}
+    One column, so that the answer is parsed once whatever is read from it.
+    """
+    return let(PARSERS[parser](raw), lambda r: F.struct(
+        clean(F.coalesce(r["label"], F.lit("ERROR"))).alias("pred_label"), F.coalesce(r["confidence"], F.lit(0.0)).alias("pred_conf"),
+        r["scores"].alias("logits"), r["reasoning"].alias("reasoning"), r["items"].alias("items")))
 
 
 def normalized_label(raw_label: Column) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prompts import generation_prompt, strategy as prompt_strategy
-from ..functions.responses import prediction_columns, reasoning_items
+from ..functions.responses import prediction
 
 Predictor = Callable[[], Callable[[Sequence[str]], Sequence[str]]]
 
@@ -49,27 +49,48 @@ def ask(df: DataFrame, prompt: Column, predictor: Predictor) -> DataFrame:
 
 
 def score_events(df: DataFrame, model: str, predictor: Predictor, strategy: str = "zero_shot", num_examples: int = 1,
-                 text: str = "notes") -> DataFrame:
-    """Prediction columns for every event: model, pred_label, pred_conf, logits, reasoning, latency_sec."""
+                 text: str = "notes", parser: str = "structured") -> DataFrame:
+    """Prediction columns for every event: model, pred_label, pred_conf, logits, reasoning, latency_sec.
+
+    ``parser`` names how answers are read: "structured" (a schema-bound server),
+    "generated" or "generated_loose" (free text with an object in it).
+    """
     s = prompt_strategy(strategy, num_examples)
     asked = ask(df, generation_prompt(s.prompt(F.col(text)), s.system), predictor)
-    new = prediction_columns(F.col("raw_response"))
-    return asked.withColumns({"model": F.lit(model), **new}).drop("raw_response")
+    read = asked.withColumn("_read", prediction(F.col("raw_response"), parser=parser))
+    return read.select(*[F.col(f"`{c}`") for c in df.columns if c != "model"], "latency_sec", F.lit(model).alias("model"),
+                       *[F.col(f"_read.{c}").alias(c) for c in ("pred_label", "pred_conf", "logits", "reasoning")])
+
+
+def ask_all(df: DataFrame, prompt: Column, models: dict[str, Predictor]) -> DataFrame:
+    """Every row's prompt put to every model in one pass over ``df``: model, raw_response and latency_sec per row and model."""
+    d = df.withColumn("_prompt", prompt)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = {name: factory() for name, factory in models.items()}
+        for b in batches:
+            prompts = b["_prompt"].tolist()
+            for name, fn in predict.items():
+                t0 = time.time()
+                raw = _answers(fn, prompts)
+                each = (time.time() - t0) / max(len(b), 1)
+                yield b.drop(columns="_prompt").assign(model=name, raw_response=raw, latency_sec=round(each, 4))
+
+    return d.mapInPandas(run, f"{schema}, model string, raw_response string, latency_sec double")
 
 
-def score_variants(variants: DataFrame, models: dict[str, Predictor], strategy: str = "zero_shot") -> DataFrame:
-    """Every variant scored by every model: label, confidence, success."""
-    out = None
-    for model, predictor in models.items():
-        s = score_events(variants, model, predictor, strategy, text="text")
-        s = s.withColumns({"label": F.col("pred_label"), "confidence": F.col("pred_conf"), "success": F.col("pred_label") != "ERROR"})
-        s = s.drop("pred_label", "pred_conf", "logits", "reasoning", "latency_sec")
-        out = s if out is None else out.unionByName(s)
-    return out
+def score_variants(variants: DataFrame, models: dict[str, Predictor], strategy: str = "zero_shot", parser: str = "structured") -> DataFrame:
+    """Every variant scored by every model: label, confidence, success. The variants are computed once for all models."""
+    s = prompt_strategy(strategy, 1)
+    asked = ask_all(variants, generation_prompt(s.prompt(F.col("text")), s.system), models)
+    read = asked.withColumn("_read", prediction(F.col("raw_response"), parser=parser))
+    return read.select(*[F.col(f"`{c}`") for c in variants.columns], "model", F.col("_read.pred_label").alias("label"),
+                       F.col("_read.pred_conf").alias("confidence"), (F.col("_read.pred_label") != "ERROR").alias("success"))
 
 
-def collect_rationales(texts: DataFrame, model: str, predictor: Predictor) -> DataFrame:
-    """(model, event_id, pert_idx, reasoning) by the explainable prompt; null where the answer has none."""
+def collect_rationales(texts: DataFrame, model: str, predictor: Predictor, parser: str = "structured") -> DataFrame:
+    """(model, event_id, pert_idx, reasoning) by the explainable prompt; null where the answer has no list of reasons."""
     s = prompt_strategy("explainable")
     asked = ask(texts.select("event_id", "pert_idx", "text"), generation_prompt(s.prompt(F.col("text")), s.system), predictor)
-    return asked.select(F.lit(model).alias("model"), "event_id", "pert_idx", reasoning_items(F.col("raw_response")).alias("reasoning"))
+    return asked.select(F.lit(model).alias("model"), "event_id", "pert_idx", prediction(F.col("raw_response"), parser=parser)["items"].alias("reasoning"))

@@ -220,16 +220,68 @@ def _(spark, d):
     return rounded(answers(spark, d).withColumn("r", RS.parse_response(F.col("raw"))).select("model", "event_id", "r.label", "r.confidence", "r.found"))
 
 
-@q("parsed_balanced")
+# Answers of three shapes around one object with scores and reasons: bare, in prose, and in a code fence; some without an object.
+_RICH = """CASE (event_id+mi)%5 WHEN 0 THEN obj WHEN 1 THEN concat('Sure: ', obj, ' ok') WHEN 2 THEN concat('```json', chr(10), obj, chr(10), '```')
+    WHEN 3 THEN concat('I would say "label": "', pred_label, '", "confidence": 0.75 or so') ELSE 'no idea {' END"""
+_RICH_OBJECT = """concat('{"label":"', lower(pred_label), '","confidence":', CAST((event_id+mi)%10 AS STRING), '.5', CASE event_id%4 WHEN 0 THEN ',"scores":[1,2.5]'
+    WHEN 1 THEN concat(',"logits":{"V":', CAST(event_id%7 AS STRING), ',"B":0.25}') WHEN 2 THEN ',"log_probs":null,"scores":[3]' ELSE '' END,
+    CASE event_id%3 WHEN 0 THEN concat(',"reasoning":["actors","', CAST(event_id AS STRING), ' rows"]') WHEN 1 THEN ',"reasoning":"one reason"' ELSE '' END, '}')"""
+_RICH_CTE = f"ro AS (SELECT *, {_RICH_OBJECT} AS obj FROM preds), ra AS (SELECT *, {_RICH} AS x FROM ro)"
+_RICH_SCORES = """CASE event_id%4 WHEN 0 THEN '[1,2.5]' WHEN 1 THEN concat('{"B":0.25,"V":', CAST(event_id%7 AS STRING), '}') END"""
+_RICH_REASONS = """CASE event_id%3 WHEN 0 THEN concat('["actors","', CAST(event_id AS STRING), ' rows"]') WHEN 1 THEN '"one reason"' END"""
+
+
+_TAKEN = "((event_id+mi)%5=0 OR (event_id+mi)%5 IN (1,2) AND event_id%4<>1)"
+
+
+def rich_answers(spark, d):
+    return predictions(spark, d).withColumn("obj", F.expr(_RICH_OBJECT.replace("lower(pred_label)", "pred_label"))).withColumn("raw", F.expr(_RICH))
+
+
+def _read_sql(kind):
+    """What each parser reads: label, confidence, found, scores, reasons. A structured answer's label must be one of the codes to be found in prose."""
+    has = "(event_id+mi)%5 IN (0,1,2)"
+    # An object in prose that holds another object is not taken by a structured server's parser; its label and number are.
+    read = _TAKEN if kind == "structured" else has
+    nothing = {"structured": ("NULL", "NULL", "false"), "generated": ("'ERROR'", "0", "false"), "generated_loose": ("NULL", "NULL", "false")}[kind]
+    return f"""CASE WHEN {has} THEN pred_label WHEN (event_id+mi)%5=3 THEN pred_label ELSE {nothing[0]} END AS label,
+ CAST(CASE WHEN {has} THEN (event_id+mi)%10+0.5 WHEN (event_id+mi)%5=3 THEN 0.75 ELSE {nothing[1]} END AS DOUBLE) AS confidence,
+ CASE WHEN (event_id+mi)%5=4 THEN {nothing[2]} ELSE true END AS found, CASE WHEN {read} THEN {_RICH_SCORES} END AS scores, CASE WHEN {read} THEN {_RICH_REASONS} END AS reasoning,
+ CASE WHEN {read} AND event_id%3=0 THEN concat('actors|', CAST(event_id AS STRING), ' rows') END AS items"""
+
+
+def _parser_query(kind):
+    @q(f"parsed_{kind}_answers", f" SELECT model, event_id, {_read_sql(kind)} FROM preds")
+    def _(spark, d):
+        r = rich_answers(spark, d).withColumn("r", RS.PARSERS[kind](F.col("raw")))
+        return rounded(r.select("model", "event_id", "r.label", "r.confidence", "r.found", "r.scores", "r.reasoning", F.array_join("r.items", "|").alias("items")))
+
+
+for _kind in RS.PARSERS:
+    _parser_query(_kind)
+
+
+# The first object of each answer by position: whole answers and those with one object after a brace-free beginning.
+@q("parsed_balanced", f""", {_ANSWER}, o AS (SELECT *, CASE WHEN event_id%7 IN (0,5) THEN json_valid(substring(x, CAST(strpos(x,'{{') AS BIGINT))) ELSE event_id%7=1 END AS ok,
+ regexp_extract(x, '"label"\\s*:\\s*"([VBEPRS])"', 1) AS lab, regexp_extract(x, '"confidence"\\s*:\\s*([0-9]*\\.?[0-9]+)', 1) AS num FROM a)
+SELECT model, o.event_id, CASE WHEN ok THEN CASE event_id%7 WHEN 1 THEN json_extract_string(concat(substring(x, CAST(strpos(x,'{{') AS BIGINT), CAST(strpos(x,'}}')-strpos(x,'{{')+1 AS BIGINT))), '$.label')
+  ELSE json_extract_string(substring(x, CAST(strpos(x,'{{') AS BIGINT)), '$.label') END WHEN lab<>'' THEN lab ELSE 'ERROR' END AS label,
+ CAST(CASE WHEN ok THEN CASE event_id%7 WHEN 1 THEN json_extract_string(concat(substring(x, CAST(strpos(x,'{{') AS BIGINT), CAST(strpos(x,'}}')-strpos(x,'{{')+1 AS BIGINT))), '$.confidence')
+  ELSE json_extract_string(substring(x, CAST(strpos(x,'{{') AS BIGINT)), '$.confidence') END WHEN num<>'' THEN num ELSE '0' END AS DOUBLE) AS confidence FROM o""")
 def _(spark, d):
     return rounded(answers(spark, d).withColumn("r", RS.parse_balanced(F.col("raw"))).select("model", "event_id", "r.label", "r.confidence"))
 
 
 @q("prediction_columns", f""", {_ANSWER}, {_PARSE}, u AS (SELECT model, event_id, upper(json_extract_string(js,'$.label')) AS l, json_extract_string(js,'$.confidence') AS n FROM c)
-SELECT model, event_id, CASE WHEN l IN {VALID} THEN l ELSE 'ERROR' END AS pred_label, {r6('coalesce(CAST(n AS DOUBLE),0)')} AS pred_conf FROM u""")
+SELECT model, event_id, CASE WHEN l IN {VALID} THEN l ELSE 'ERROR' END AS pred_label, {r6('coalesce(CAST(n AS DOUBLE),0)')} AS pred_conf,
+ CAST(NULL AS STRING) AS logits, CAST(NULL AS STRING) AS reasoning, 'plain' AS answers FROM u
+UNION ALL SELECT model, event_id, CASE WHEN (event_id+mi)%5=4 THEN 'ERROR' ELSE pred_label END, CAST(CASE (event_id+mi)%5 WHEN 3 THEN 0.75 WHEN 4 THEN 0 ELSE (event_id+mi)%10+0.5 END AS DOUBLE),
+ CASE WHEN {_TAKEN} THEN {_RICH_SCORES} END, CASE WHEN {_TAKEN} THEN {_RICH_REASONS} END, 'rich' FROM preds""")
 def _(spark, d):
-    new = RS.prediction_columns(F.col("raw"))
-    return rounded(answers(spark, d).select("model", "event_id", new["pred_label"].alias("pred_label"), new["pred_conf"].alias("pred_conf")))
+    plain = answers(spark, d).select("model", "event_id", "raw", F.lit("plain").alias("answers"))
+    rich = rich_answers(spark, d).select("model", "event_id", "raw", F.lit("rich").alias("answers"))
+    read = plain.unionByName(rich).withColumn("r", RS.prediction(F.col("raw")))
+    return rounded(read.select("model", "event_id", "r.pred_label", "r.pred_conf", "r.logits", "r.reasoning", "answers"))
 
 
 _SCORES = "concat('{', CASE event_id%4 WHEN 0 THEN '\"scores\": [1], \"logits\": [2]' WHEN 1 THEN '\"label_scores\": [3]' WHEN 2 THEN '\"log_probs\": [4], \"scores\": [5]' ELSE '\"other\": 1' END, '}')"
