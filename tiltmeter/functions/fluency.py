@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -32,15 +33,32 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.least(F.length(a), F.length(b)) * 2.0 / F.greatest(n, F.lit(1))).otherwise(1.0)
 
 
+def ratio(a: str, b: str, above: float = -1.0) -> float | None:
+    """Ratcliff–Obershelp ratio of two texts, or None if it cannot be more than ``above``.
+
+    The letters that both texts have, counted with repeats, are an upper limit of
+    what the matcher can match, and cost one pass over each text.
+    """
+    total = len(a) + len(b)
+    if total == 0:
+        return 1.0
+    if a == b:
+        return 1.0
+    if above >= 0 and 2.0 * sum((Counter(a) & Counter(b)).values()) / total <= above:
+        return None
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff–Obershelp ratio of two whole texts."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def first_valid_similarities(original: pd.Series, candidates: pd.Series, most: pd.Series) -> pd.Series:
     """For each list of candidates, the similarity of the first ``most`` valid ones, null for the others."""
+    low = 1.0 - MAX_DISTANCE
     out = []
     for text, lists, limit in zip(original, candidates, most):
         row = []
@@ -49,8 +67,8 @@ def first_valid_similarities(original: pd.Series, candidates: pd.Series, most: p
             for t in texts:
                 r = None
                 if kept < limit:
-                    v = SequenceMatcher(None, text, t).ratio()
-                    if 1.0 - MAX_DISTANCE < v < 1.0:
+                    v = ratio(text, t, low)
+                    if v is not None and low < v < 1.0:
                         r, kept = v, kept + 1
                 ratios.append(r)
             row.append(ratios)

@@ -24,7 +24,7 @@ ILLEGITIMATE = ["V"]
 COUNTRIES = {"cmr": "Cameroon", "nga": "Nigeria"}
 CONDITION_ORDER = {"zero_shot": 0, "few_shot_1": 1, "few_shot_3": 2, "few_shot_5": 3}
 LENGTH_BINS = [("very_short", 0, 100), ("short", 100, 200), ("medium", 200, 300),
-               ("long", 300, 500), ("very_long", 500, 10000)]
+               ("long", 300, 500), ("very_long", 500, None)]
 
 
 def is_valid(c: str | Column) -> Column:
@@ -59,11 +59,12 @@ def actor_type(code: str | Column) -> Column:
     return F.when(col(code) == 1, "state").otherwise("non-state")
 
 
-def note_length_bin(length: str | Column) -> Column:
-    """Right-closed bins; a length of 0 or above the last edge is null."""
+def note_length_bin(length: str | Column, top: int | None = None) -> Column:
+    """Right-closed bins; a length of 0 is null, and so is one above ``top`` if that is given."""
     n, out = col(length), None
     for name, lo, hi in LENGTH_BINS:
-        cond = (n > lo) & (n <= hi)
+        last = top if hi is None else hi
+        cond = (n > lo) & (n <= last) if last is not None else n > lo
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out
 

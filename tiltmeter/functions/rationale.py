@@ -77,24 +77,3 @@ def word_attributions(tokens: Column, scores: Column) -> Column:
     ordered = F.array_sort(F.transform(found, lambda w: F.struct((-F.abs(w["score"])).alias("o"), w["k"].alias("k"), w["word"].alias("word"),
                                                                  w["score"].alias("score"))))
     return F.transform(ordered, lambda w: F.struct(w["word"].alias("word"), F.round(w["score"], 6).alias("score")))
-
-
-def last_per_word(words: Column) -> Column:
-    """Map word to score; of a repeated word the last entry (smallest |score|) counts."""
-    names_backwards = F.reverse(F.transform(words, lambda w: w["word"]))
-    return let(names_backwards, lambda names: F.map_from_entries(F.filter(
-        words, lambda w, i: F.array_position(names, w["word"]) == F.size(names) - i)))
-
-
-def attribution_delta(before: Column, after: Column, top: int = TOP_TOKENS) -> Column:
-    """array<struct<token, delta>>: perturbed minus original score per word (missing = 0), largest first."""
-    zero = F.lit(0.0)
-
-    def moved(m):
-        keys = F.array_union(F.map_keys(m["b"]), F.map_keys(m["a"]))
-        return F.transform(keys, lambda w: F.struct(w.alias("token"), F.round(
-            F.coalesce(F.try_element_at(m["a"], w), zero) - F.coalesce(F.try_element_at(m["b"], w), zero), 6).alias("delta")))
-
-    deltas = let(F.struct(last_per_word(before).alias("b"), last_per_word(after).alias("a")), moved)
-    ordered = F.array_sort(F.transform(deltas, lambda d: F.struct((-F.abs(d["delta"])).alias("o"), d["token"].alias("token"), d["delta"].alias("delta"))))
-    return F.slice(F.transform(ordered, lambda d: F.struct(d["token"].alias("token"), d["delta"].alias("delta"))), 1, top)

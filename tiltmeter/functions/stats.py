@@ -12,11 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-EXACT_LIMIT = 10 ** 8
+#: numpy draws hypergeometric counts for fewer rows than this.
+DRAW_LIMIT = 10 ** 9
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
+    """Regularised incomplete beta by its continued fraction.
+
+    The fraction needs about sqrt(max(a, b)) steps; not to have settled after many
+    times that is an error, not an answer.
+    """
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
@@ -29,7 +34,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 200000):
+    for m in range(1, 10_000 + 50 * int(math.sqrt(max(a, b)))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -38,8 +43,8 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"incomplete beta of {a}, {b}, {x} did not settle")
 
 
 def normal_two_sided(z: float) -> float:
@@ -57,22 +62,25 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def binomial_half_two_sided(k: int, n: int) -> float:
-    """Exact two-sided p at one half; beyond EXACT_LIMIT the continuity-corrected normal form."""
+    """Exact two-sided p at one half, for any number of trials."""
     if n == 0:
         return 1.0
     low = min(k, n - k)
     if 2 * low == n:
         return 1.0
-    if n > EXACT_LIMIT:
-        return min(1.0, normal_two_sided((abs(k - n / 2.0) - 0.5) / math.sqrt(n / 4.0)))
     return min(1.0, 2.0 * incomplete_beta(n - low, low + 1.0, 0.5))
 
 
+def signed_rank_is_exact(n, n_ties, n_zero):
+    """Whether :func:`wilcoxon_p` sums all sign patterns; works on numbers and on Columns."""
+    return (n <= 50) & (n_ties == 0) & (n_zero == 0)
+
+
 def wilcoxon_p(w: float, n: int, tie_sum: float, has_ties: bool, has_zeros: bool) -> float | None:
     """Two-sided p of the signed-rank statistic: exact up to 50 untied values, else normal."""
     if n == 0:
         return None
-    if n <= 50 and not has_ties and not has_zeros:
+    if signed_rank_is_exact(n, int(has_ties), int(has_zeros)):
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1.0
         for r in range(1, n + 1):
@@ -139,7 +147,8 @@ def permutation_gap_p(replicates: int, seed: int):
     """Permutation p of a rate gap between two groups.
 
     Shuffling a 0/1 column between groups of fixed size draws a hypergeometric
-    count. Null with ten rows or fewer, or when a group is empty.
+    count, from DRAW_LIMIT rows on its normal form (callers report which). Null
+    with ten rows or fewer, or when a group is empty.
     """
 
     def draw(key, n_a, k_a, n_b, k_b):
@@ -147,7 +156,7 @@ def permutation_gap_p(replicates: int, seed: int):
         if n <= 10 or n_a == 0 or n_b == 0:
             return float("nan")
         rng = _rng(seed, str(key))
-        if n < 10 ** 9:
+        if n < DRAW_LIMIT:
             x = rng.hypergeometric(k, n - k, n_a, replicates)
         else:
             mean, var = n_a * k / n, n_a * (k / n) * (1 - k / n) * (n_b / (n - 1.0))

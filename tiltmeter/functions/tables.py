@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, functions as F, types as T
 
 CONTROL_ROWS = 100_000
+CONTROL_BYTES = 32 << 20
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -18,20 +19,37 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType.fromJson(json.loads(text))
 
 
-def control_table(df: DataFrame, most: int = CONTROL_ROWS) -> DataFrame:
+def sized_table(df: DataFrame, most: int = CONTROL_ROWS, most_bytes: int = CONTROL_BYTES) -> tuple[DataFrame, bool]:
+    """:func:`control_table`, and whether it is small."""
+    schema = _nullable(df.schema)
+    loose = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+    got = loose.limit(most + 1).toArrow()
+    if got.num_rows > most or got.nbytes > most_bytes:
+        return stored(df), False
+    return F.broadcast(df.sparkSession.createDataFrame(got, schema)), True
+
+
+def control_table(df: DataFrame, most: int = CONTROL_ROWS, most_bytes: int = CONTROL_BYTES) -> DataFrame:
     """A table of one row per group (quotas, cuts, model parameters), ready to be broadcast.
 
     Joining rows with such a table on the group key must not shuffle the rows:
     a third of them may share one key. So the table is fetched once, but only
-    after its size is checked; with more than ``most`` rows it stays distributed
-    and the join is left to Spark's adaptive skew handling.
+    after its size is checked, in rows and in bytes. A larger one is stored, so
+    that no later pass computes it anew, and stays distributed; the join is then
+    left to Spark's adaptive skew handling.
     """
-    schema = _nullable(df.schema)
-    loose = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
-    got = loose.limit(most + 1).toArrow()
-    if got.num_rows > most:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(got, schema))
+    return sized_table(df, most, most_bytes)[0]
+
+
+def shared_folder(spark) -> str:
+    """The folder that all executors share; only a local session may do without one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tiltmeter-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -42,11 +60,5 @@ def stored(df: DataFrame) -> DataFrame:
     cluster without one is an error, because every pass would silently compute
     the table anew, and could even see other rows if a model is asked again.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tiltmeter-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import significance_stars
-from ..functions.stats import signed_rank_p, t_p
-from ..functions.tables import control_table
+from ..functions.stats import signed_rank_is_exact, signed_rank_p, t_p
+from ..functions.tables import control_table, stored
 
 TIERS = ["High", "Medium", "Low"]
 
@@ -21,6 +21,14 @@ def measured(flips: DataFrame) -> DataFrame:
     return flips.where(F.col("success") & F.col("label_flipped").isNotNull())
 
 
+def t_of_mean(mean: Column, deviation: Column, n: Column, low: Column, high: Column) -> Column:
+    """t statistic of a mean against 0. Equal values have no deviation, whatever their sum rounds to: t is
+    infinite then, with the sign of the value, and null if the value is 0 or there is only one."""
+    root = F.sqrt(n.cast("double"))
+    equal = F.when(low > 0, F.lit(float("inf"))).when(low < 0, F.lit(float("-inf")))
+    return F.when(n > 1, F.when(low == high, equal).otherwise(mean * root / F.nullif(deviation, F.lit(0.0))))
+
+
 def _flip_columns() -> list[Column]:
     d = F.col("confidence_delta")
     return [F.avg(F.col("label_flipped").cast("double")).alias("flip_rate"), F.count(F.lit(1)).alias("n_perturbations"),
@@ -53,26 +61,33 @@ def differential_effect(flips: DataFrame, by: Sequence[str] = ("type", "model"),
                         slices: int = 4096) -> DataFrame:
     """Mean, deviation and median confidence change, t statistic and signed-rank statistic, for n > 1.
 
-    Changes are first counted per distinct value. Ranks of |change| are the
-    position inside a slice of values plus the rows of all smaller slices, so no
-    window sees more than one slice of one group. The median is found the same way.
+    Changes are first counted per distinct value, and the counts stored. Ranks of
+    |change| are the position inside a narrow slice of values, plus the rows of the
+    narrow slices before it in its wide slice, plus those of the wide slices before
+    it: where changes cluster, 4,096 narrow slices share what one wide slice holds.
+    The median is found the same way.
     """
     by = list(by)
     d = flips.where(F.col("success") & F.col("confidence_delta").isNotNull())
     x = F.col("confidence_delta")
     basic = control_table(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg(x).alias("CDE_mean"),
-                               F.stddev_pop(x).alias("CDE_std"), F.stddev_samp(x).alias("_s")))
-    values = d.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+                               F.stddev_pop(x).alias("CDE_std"), F.stddev_samp(x).alias("_s"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    values = stored(d.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n")))
 
     def position(v: DataFrame, key: str) -> DataFrame:
         """Rows before each distinct value of ``key`` within its group."""
-        v = v.withColumn("_sl", F.floor(F.col(key) * slices))
-        sums = v.groupBy(*by, "_sl").agg(F.sum("n").alias("_n"))
-        sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(
-            Window.partitionBy(*by).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        inner = Window.partitionBy(*by, "_sl").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-        return (v.withColumn("_in", F.sum("n").over(inner) - F.col("n")).join(sums, [*by, "_sl"])
-                .withColumn("before", F.col("_base") + F.col("_in")).drop("_sl", "_in", "_base"))
+        v = v.withColumns({"_s1": F.floor(F.col(key) * slices), "_s2": F.floor(F.col(key) * (slices * slices))})
+        fine = v.groupBy(*by, "_s1", "_s2").agg(F.sum("n").alias("_n"))
+        wide = fine.groupBy(*by, "_s1").agg(F.sum("_n").alias("_n"))
+
+        def before(counts: DataFrame, part: list[str], order: str, name: str) -> DataFrame:
+            w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            return counts.withColumn(name, F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+
+        inner = Window.partitionBy(*by, "_s1", "_s2").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        v = v.withColumn("_in", F.sum("n").over(inner) - F.col("n"))
+        v = v.join(before(fine, [*by, "_s1"], "_s2", "_b2"), [*by, "_s1", "_s2"]).join(before(wide, by, "_s1", "_b1"), [*by, "_s1"])
+        return v.withColumn("before", F.col("_b1") + F.col("_b2") + F.col("_in")).drop("_s1", "_s2", "_in", "_b1", "_b2")
 
     ordered = position(values, "x").join(basic.select(*by, "n_samples"), by)
     lo = F.floor((F.col("n_samples") - 1) / 2)
@@ -93,8 +108,7 @@ def differential_effect(flips: DataFrame, by: Sequence[str] = ("type", "model"),
         F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("_nt"))
     out = basic.join(median, by, "left").join(signed, by, "left").where(F.col("n_samples") > 1)
     out = out.withColumns({"wilcoxon_statistic": F.least("_wp", "_wm"),
-                           "t_statistic": F.when(F.col("_s") > 0, F.col("CDE_mean") * F.sqrt(F.col("n_samples").cast("double"))
-                                                 / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))})
+                           "t_statistic": t_of_mean(F.col("CDE_mean"), F.col("_s"), F.col("n_samples"), F.col("_lo"), F.col("_hi"))})
     shown = [*by, "n_samples", "CDE_mean", "CDE_std", "CDE_median", "t_statistic", "wilcoxon_statistic"]
     if not with_p:
         return out.select(*shown)
@@ -102,7 +116,9 @@ def differential_effect(flips: DataFrame, by: Sequence[str] = ("type", "model"),
     return out.withColumns({
         "t_pvalue": t_p("t_statistic", (F.col("n_samples") - 1).cast("double")),
         "wilcoxon_pvalue": signed_rank_p("wilcoxon_statistic", F.coalesce("_nr", F.lit(0)), F.coalesce("_ties", F.lit(0.0)),
-                                         F.coalesce("_nt", F.lit(0)), zero)}).select(*shown, "t_pvalue", "wilcoxon_pvalue")
+                                         F.coalesce("_nt", F.lit(0)), zero),
+        "wilcoxon_method": F.when(signed_rank_is_exact(F.coalesce("_nr", F.lit(0)), F.coalesce("_nt", F.lit(0)), zero), "exact").otherwise("normal"),
+    }).select(*shown, "t_pvalue", "wilcoxon_pvalue", "wilcoxon_method")
 
 
 def flip_summary(rates: DataFrame, effects: DataFrame) -> DataFrame:
@@ -139,23 +155,23 @@ def sensitivity_clusters(flips: DataFrame) -> DataFrame:
                       .otherwise(F.get(tied, F.lit(0))["type"]).alias("cluster"))
 
 
-def word_token(prefix: str = "") -> Column:
-    """Representative token of a variant: its replacement, else five words of its phrase, source or
-    modifier, else the description up to the first comma."""
+def word_token(prefix: str = "", lead_words: int | None = 5) -> Column:
+    """Representative token of a variant: its replacement, else the first ``lead_words`` words (None: all) of its
+    phrase, source or modifier, else the description up to the first comma."""
     def c(n):
         return F.col(prefix + n)
 
     phrase = F.coalesce(c("phrase"), c("source"), c("modifier"))
     words = F.filter(F.split(phrase, r"(?U)\s+"), lambda w: w != "")
-    lead = F.array_join(F.slice(words, 1, 5), " ")
+    lead = F.array_join(words if lead_words is None else F.slice(words, 1, lead_words), " ")
     desc = F.nullif(c("description"), F.lit(""))
     return (F.when(c("original").isNotNull() & c("replacement").isNotNull(), c("replacement"))
             .when(phrase.isNotNull(), lead).otherwise(F.btrim(F.substring_index(desc, ",", 1))))
 
 
-def word_rows(flips: DataFrame) -> DataFrame:
+def word_rows(flips: DataFrame, lead_words: int | None = 5) -> DataFrame:
     """(word, category, confidence_delta, label_flipped, event_id, model) of measured variants."""
-    d = flips.where(F.col("success") & F.col("confidence_delta").isNotNull()).withColumn("word", word_token())
+    d = flips.where(F.col("success") & F.col("confidence_delta").isNotNull()).withColumn("word", word_token(lead_words=lead_words))
     return d.where(F.col("word").isNotNull()).select(
         "word", F.col("type").alias("category"), "confidence_delta",
         F.coalesce("label_flipped", F.lit(False)).alias("label_flipped"), "event_id", "model")
@@ -165,16 +181,16 @@ def word_impact(words: DataFrame, with_p: bool = True) -> DataFrame:
     """Effect of each (word, category) across events and models, strongest first."""
     x = F.col("confidence_delta")
     a = words.groupBy("word", "category").agg(
-        F.avg(x).alias("delta_mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("delta_std"),
-        F.count(F.lit(1)).alias("count"), F.avg(F.col("label_flipped").cast("double")).alias("flip_rate"))
+        F.avg(x).alias("delta_mean"), F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.stddev_samp(x)).alias("delta_std"),
+        F.count(F.lit(1)).alias("count"), F.avg(F.col("label_flipped").cast("double")).alias("flip_rate"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     a = a.withColumns({"n_total": F.col("count"), "score_shift_pct": F.col("delta_mean") * 100.0})
     a = a.withColumn("impact_magnitude", F.abs("score_shift_pct") * F.sqrt(F.col("count").cast("double")))
     if with_p:
-        n, s = F.col("count"), F.col("delta_std")
-        t = F.when((n > 1) & (s > 0), F.col("delta_mean") * F.sqrt(n.cast("double")) / F.when(s > 0, s).otherwise(1.0))
+        n = F.col("count")
+        t = t_of_mean(F.col("delta_mean"), F.col("delta_std"), n, F.col("_lo"), F.col("_hi"))
         a = a.withColumn("p_value", F.when(n > 1, t_p(t, (n - 1).cast("double"))).otherwise(1.0))
         a = a.withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
-    return a.orderBy(F.desc("impact_magnitude"), "word", "category")
+    return a.drop("_lo", "_hi").orderBy(F.desc("impact_magnitude"), "word", "category")
 
 
 def word_types(flips: DataFrame) -> DataFrame:

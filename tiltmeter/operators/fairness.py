@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.actors import actor_group
 from ..functions.common import ratio
 from ..functions.labels import is_valid
-from ..functions.stats import permutation_gap_p, spd_interval
+from ..functions.stats import DRAW_LIMIT, permutation_gap_p, spd_interval
 from .classification import pair_counts, total
 
 
@@ -52,11 +52,16 @@ def equalized_odds(df: DataFrame, target: str = "V", by: Sequence[str] = ("model
 
 
 def fairness_table(df: DataFrame, target: str = "V", by: Sequence[str] = ("model",), n_bootstrap: int = 1000,
-                   seed: int = 42, **kw) -> DataFrame:
-    """Parity with bootstrap interval, equalized odds with permutation p. Seeded per key."""
+                   seed: int = 42, n_permutations: int | None = None, **kw) -> DataFrame:
+    """Parity with bootstrap interval, equalized odds with permutation p. Seeded per key.
+
+    ``n_permutations`` is ``n_bootstrap`` if not given. ``permutation_draws`` says what
+    the permutations draw: hypergeometric counts, or their normal form where a
+    group pair has 10^9 rows or more.
+    """
     g = group_counts(df, target, by, **kw)
     key = F.concat_ws("|", *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
-    reps = min(1000, n_bootstrap)
+    reps = n_bootstrap if n_permutations is None else n_permutations
     tpr_p, fpr_p = permutation_gap_p(reps, seed + 1), permutation_gap_p(reps, seed + 2)
     g = g.withColumn("_ci", spd_interval(n_bootstrap, seed)(key, "s_all", "s_hit", "n_all", "n_hit"))
     g = g.withColumns({"TPR_pvalue": tpr_p(key, "s_pos", "s_tp", "n_pos", "n_tp"),
@@ -71,7 +76,9 @@ def fairness_table(df: DataFrame, target: str = "V", by: Sequence[str] = ("model
                     F.col("_ci.upper").alias("SPD_CI_upper"), "TPR_state", "TPR_nonstate",
                     (F.col("TPR_state") - F.col("TPR_nonstate")).alias("TPR_diff"), "TPR_pvalue",
                     "FPR_state", "FPR_nonstate",
-                    (F.col("FPR_state") - F.col("FPR_nonstate")).alias("FPR_diff"), "FPR_pvalue")
+                    (F.col("FPR_state") - F.col("FPR_nonstate")).alias("FPR_diff"), "FPR_pvalue",
+                    F.when(F.greatest(F.col("s_pos") + F.col("n_pos"), F.col("s_neg") + F.col("n_neg")) < DRAW_LIMIT, "hypergeometric")
+                    .otherwise("normal").alias("permutation_draws"))
 
 
 def parity_rollup(tables: DataFrame, target: str = "V") -> DataFrame:

@@ -158,13 +158,13 @@ def explode_variants(df: DataFrame, names: list[str] | None = None, text: str =
     return df.select(*keep, F.explode(F.concat(*tagged)).alias("_v")).select(*keep, "_v.*")
 
 
-def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int = 3,
+def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int | None = 3,
                    keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Validated variants, the first ``max_per_generator`` of each generator, numbered by pert_idx.
+    """Validated variants with their validation flags, the first ``max_per_generator`` of each generator (None: all), numbered by pert_idx.
 
-    Fluency and a length bound of the similarity are checked in the JVM; only
-    the survivors go to Python, and there comparison stops once a generator has
-    enough. One row per event goes in, so nothing is shuffled.
+    Fluency and two upper limits of the similarity, by lengths and by letters, are
+    checked first; only the survivors are compared, and comparison stops once a
+    generator has enough. One row per event goes in, so nothing is shuffled.
     """
     t = F.col(text)
     def plausible(x):
@@ -173,12 +173,13 @@ def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int =
     lists = [F.filter(_tagged(n, t, lambda v: fluency.grammaticality(v["text"]).alias("fluency_score")), plausible) for n in GENERATORS]
     d = df.where(t.isNotNull()).select(*keep, t.alias("_text"), F.array(*lists).alias("_lists"))
     d = d.withColumn("_r", fluency.first_valid_similarities(
-        "_text", F.transform("_lists", lambda a: F.transform(a, lambda x: x["text"])), F.lit(max_per_generator)))
+        "_text", F.transform("_lists", lambda a: F.transform(a, lambda x: x["text"])), F.lit(max_per_generator or 2147483647)))
     flat = F.flatten(F.zip_with("_lists", "_r", lambda a, r: F.zip_with(a, r, lambda x, y: F.struct(
         x.alias("v"), y.alias("edit_distance_ratio")))))
     kept = F.filter(flat, lambda x: x["edit_distance_ratio"].isNotNull())
-    return (d.select(*keep, F.posexplode(kept).alias("pert_idx", "_x"))
-            .select(*keep, "pert_idx", "_x.v.*", "_x.edit_distance_ratio"))
+    out = (d.select(*keep, F.posexplode(kept).alias("pert_idx", "_x"))
+           .select(*keep, "pert_idx", "_x.v.*", "_x.edit_distance_ratio"))
+    return out.withColumns(fluency.validity(F.col("edit_distance_ratio"), F.col("fluency_score")))
 
 
 def validate(df: DataFrame, original: str = "original", perturbed: str = "text") -> DataFrame:

@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.common import ratio, strip
-from ..functions.rationale import (TOP_TOKENS, attribution_delta, mentions, rationale_changed, word_attributions)
+from ..functions.rationale import TOP_TOKENS, mentions, rationale_changed, word_attributions
 
-# Fixed value: flipped events per model whose rationales are collected.
-MAX_RATIONALE_EVENTS = 50
-
-
-def flipped_events(flips: DataFrame, max_events: int = MAX_RATIONALE_EVENTS) -> DataFrame:
-    """Flips of the first ``max_events`` flipped events of each model, in event order."""
+def flipped_events(flips: DataFrame, max_events: int | None = None) -> DataFrame:
+    """Flips of all flipped events, or of the first ``max_events`` of each model in event order."""
     f = flips.where(F.coalesce("label_flipped", F.lit(False)))
+    if max_events is None:
+        return f
     w = Window.partitionBy("model").orderBy("event_id")
     chosen = (f.select("model", "event_id").distinct().withColumn("_r", F.row_number().over(w))
               .where(F.col("_r") <= max_events).select("model", "event_id"))
@@ -72,17 +70,37 @@ def top_tokens(words: DataFrame, k: int = TOP_TOKENS) -> DataFrame:
     return words.withColumn("words", F.slice("words", 1, k))
 
 
-def attribution_deltas(flips: DataFrame, attributions: DataFrame, k: int = TOP_TOKENS) -> DataFrame:
-    """Words whose attribution moved most between original and flipped text.
+def attribution_deltas(flips: DataFrame, attributions: DataFrame, k: int | None = TOP_TOKENS) -> DataFrame:
+    """Words whose attribution moved most between original and flipped text; ``k`` None keeps all.
 
     ``attributions``: model, event_id, pert_idx (−1 = original), tokens, scores.
+    Only attributions of flipped events are turned into words. The words of an
+    original are taken with a minus sign once per flip, so a word's change is a
+    plain sum.
     """
-    w = attribution_words(attributions)
-    before = w.where(F.col("pert_idx") == -1).select("model", "event_id", F.col("words").alias("_b"))
-    after = w.where(F.col("pert_idx") >= 0).select("model", "event_id", "pert_idx", F.col("words").alias("_a"))
-    f = flips.where(F.coalesce("label_flipped", F.lit(False)))
-    d = f.join(after, ["model", "event_id", "pert_idx"]).join(before, ["model", "event_id"])
-    return d.select("model", "event_id", "pert_idx", "type", attribution_delta(F.col("_b"), F.col("_a"), k).alias("top_delta"))
+    f = flips.where(F.coalesce("label_flipped", F.lit(False))).select("model", "event_id", "pert_idx", "type")
+    keys = ["model", "event_id", "pert_idx", "type"]
+    after = attribution_words(attributions.where(F.col("pert_idx") >= 0).select("model", "event_id", "pert_idx", "tokens", "scores")
+                              .join(f, ["model", "event_id", "pert_idx"]))
+    per_event = f.groupBy("model", "event_id").agg(F.collect_list(F.struct("pert_idx", "type")).alias("_f"))
+    before = attribution_words(attributions.where(F.col("pert_idx") == -1).select("model", "event_id", "tokens", "scores")
+                               .join(per_event, ["model", "event_id"]))
+    before = before.select("model", "event_id", F.explode("_f").alias("_f"), "words").select("model", "event_id", "_f.*", "words")
+
+    def rows(d: DataFrame, sign: float) -> DataFrame:
+        return d.select(*keys, F.posexplode_outer("words").alias("_i", "_w")).select(
+            *keys, F.lit(sign).alias("_sign"), "_i", F.col("_w.word").alias("token"), F.col("_w.score").alias("_s"))
+
+    # A word that stands twice counts with its last, weakest place.
+    at = F.when(F.col("_sign") > 0, F.col("_i"))
+    was = F.when(F.col("_sign") < 0, F.col("_i"))
+    sums = rows(after, 1.0).unionByName(rows(before, -1.0)).groupBy(*keys, "token").agg(
+        F.max(F.col("_sign") > 0).alias("_a"), F.max(F.col("_sign") < 0).alias("_b"), F.round(
+            F.coalesce(F.max_by("_s", at), F.lit(0.0)) - F.coalesce(F.max_by("_s", was), F.lit(0.0)), 6).alias("delta"))
+    # A text without words still has its row; it only has no word to list.
+    ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct((-F.abs("delta")).alias("o"), "token", "delta"))))
+    top = F.transform(ordered if k is None else F.slice(ordered, 1, k), lambda x: F.struct(x["token"].alias("token"), x["delta"].alias("delta")))
+    return sums.groupBy(*keys).agg(top.alias("top_delta"), F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_a and _b").drop("_a", "_b")
 
 
 def attributions_from_disagreements(events: DataFrame, attributions: DataFrame, k: int = TOP_TOKENS) -> DataFrame:

@@ -10,10 +10,13 @@ from ..operators.scoring import Predictor, collect_rationales, score_variants
 
 
 def counterfactual_audit(predictions: DataFrame, models: dict[str, Predictor], top: int = 20, percent: float | None = None,
-                         prob: str = "pred_conf_temp") -> dict[str, DataFrame]:
+                         prob: str = "pred_conf_temp", max_rationale_events: int | None = None, max_per_generator: int | None = 3) -> dict[str, DataFrame]:
     """Flip, effect, quality, cluster, word and rationale tables of the chosen disagreements.
 
     Scored variants and rationales are stored, so that no model is asked twice.
+    Rationales are collected for all flips, or for those of the first
+    ``max_rationale_events`` flipped events of each model; ``max_per_generator``
+    valid variants are kept of each generator and text (None: all).
     """
     if percent is None:
         events = D.top_disagreements(predictions, top, prob)
@@ -22,12 +25,12 @@ def counterfactual_audit(predictions: DataFrame, models: dict[str, Predictor], t
         rows = predictions.join(chosen.select("event_id"), "event_id", "left_semi")
         events = D.annotate_ambiguity(chosen, D.event_ambiguity(rows, prob))
     events = stored(events)
-    variants = stored(PB.valid_variants(events, keep=("event_id", "ambiguity_tier")))
+    variants = stored(PB.valid_variants(events, keep=("event_id", "ambiguity_tier"), max_per_generator=max_per_generator))
     scored = score_variants(variants, models)
     original = predictions.withColumn("pred_conf", F.col(prob))
     flips = stored(PB.compare_with_original(scored, original))
 
-    flipped = T.flipped_events(flips)
+    flipped = T.flipped_events(flips, max_rationale_events)
     asked = None
     for model, predictor in models.items():
         mine = flipped.where(F.col("model") == model)
