@@ -33,16 +33,14 @@ def temperature_scale(p: Column, temperature: Column) -> Column:
 
 # Isotonic regression ------------------------------------------------------
 
-def _pool(lo, hi, s, n):
-    """Pool adjacent violators over blocks sorted by lo; returns the pooled blocks."""
-    out: list[list[float]] = []
-    for block in zip(lo, hi, s, n):
-        b = list(block)
-        while out and out[-1][2] * b[3] >= b[2] * out[-1][3]:
-            a = out.pop()
+def _push(blocks: list[list[float]], lo, hi, s, n) -> None:
+    """Pool adjacent violators: put blocks, sorted by lo, behind those pooled so far. Each is merged at most once, so the work is linear."""
+    for b in zip(lo, hi, s, n):
+        b = list(b)
+        while blocks and blocks[-1][2] * b[3] >= b[2] * blocks[-1][3]:
+            a = blocks.pop()
             b = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
-        out.append(b)
-    return out
+        blocks.append(b)
 
 
 def _pool_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,15 +56,15 @@ def _pool_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield out()
                 blocks = []
             model = name
-            old = list(zip(*blocks)) or [(), (), (), ()]
-            blocks = _pool(*[list(o) + list(part[c]) for o, c in zip(old, ("lo", "lo", "s", "n"))])
+            _push(blocks, *[part[c].tolist() for c in ("lo", "hi", "s", "n")])
     if blocks:
         yield out()
 
 
 def _pool_model(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("lo")
-    blocks = _pool(pdf["lo"], pdf["hi"], pdf["s"], pdf["n"])
+    blocks: list[list[float]] = []
+    _push(blocks, *[pdf[c].tolist() for c in ("lo", "hi", "s", "n")])
     xs = [v for b in blocks for v in (b[0], b[1])]
     ys = [b[2] / b[3] for b in blocks for _ in (0, 1)]
     grid = np.linspace(0.0, 1.0, GRID)
@@ -74,23 +72,30 @@ def _pool_model(pdf: pd.DataFrame) -> pd.DataFrame:
                          "y": [np.interp(grid, xs, ys).tolist()]})
 
 
+#: Ranges of the second pooling, each of many ranges of the first.
+WIDE_RANGES = 16
+
+
 def isotonic_maps(train: DataFrame) -> DataFrame:
     """(model, x[101], y[101]): isotonic fit of correctness on confidence, sampled on a grid.
 
     Rows are first counted per distinct confidence, so ties are pooled by a
     plain aggregate. The distinct confidences are range-partitioned (even ranges
-    however the values cluster) and violators pooled in each range; only the
-    surviving blocks of a model meet in one group. Their means are strictly
-    increasing fractions of row counts, which bounds their number by about
-    rows^(2/3). Pooling is associative, so the ranges do not affect the result.
+    however the values cluster) and violators pooled in each range, then again in
+    few wide ranges; what survives of a model meets in one group. Block means are
+    strictly increasing fractions of row counts, which bounds the number of blocks
+    of a model by about rows^(2/3) however wide the range. Pooling is associative,
+    so the ranges do not affect the result.
     """
     p = confidence("pred_conf")
     ok = (F.col("pred_label") == F.col("true_label")).cast("double")
     points = (train.where(is_valid("true_label") & is_valid("pred_label"))
               .groupBy("model", p.alias("lo")).agg(F.sum(ok).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
-              .repartitionByRange("model", "lo").sortWithinPartitions("model", "lo"))
-    blocks = points.mapInPandas(_pool_range, "lo double, hi double, s double, n double, model string")
-    return blocks.groupBy("model").applyInPandas(
+              .withColumn("hi", F.col("lo")).repartitionByRange("model", "lo").sortWithinPartitions("model", "lo"))
+    shape = "lo double, hi double, s double, n double, model string"
+    blocks = points.mapInPandas(_pool_range, shape)
+    wide = blocks.repartitionByRange(WIDE_RANGES, "model", "lo").sortWithinPartitions("model", "lo").mapInPandas(_pool_range, shape)
+    return wide.groupBy("model").applyInPandas(
         _pool_model, "model string, x array<double>, y array<double>")
 
 

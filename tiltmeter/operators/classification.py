@@ -88,19 +88,18 @@ def per_class_report(df: DataFrame) -> DataFrame:
     a row for each of them.
     """
     p = pair_counts(df, ["model"])
-    t, q = F.col("true_label"), F.col("pred_label")
-    true_side = p.where(t.isNotNull()).select("model", t.alias("label"), F.lit(0).cast("bigint").alias("_p"), F.col("n").alias("_t"),
-                                              F.when(t == q, F.col("n")).otherwise(0).alias("_tp"))
-    pred_side = p.where(q.isNotNull()).select("model", q.alias("label"), F.col("n").alias("_p"), F.lit(0).cast("bigint").alias("_t"),
-                                              F.lit(0).cast("bigint").alias("_tp"))
-    names = p.where(t.isNotNull()).select(t.alias("label")).distinct().agg(F.collect_set("label").alias("_labels"))
-    zero = F.lit(0).cast("bigint")
-    grid = (p.select("model").distinct().withColumn("_k", F.lit(0))
-            .join(names.withColumn("_k", F.lit(0)), "_k")
-            .select("model", F.explode("_labels").alias("label"), zero.alias("_p"), zero.alias("_t"), zero.alias("_tp")))
-    wanted = grid.select("label").distinct()
-    s = (true_side.unionByName(pred_side).join(wanted, "label", "left_semi").unionByName(grid)
-         .groupBy("model", "label").agg(F.sum("_tp").alias("_tp"), F.sum("_p").alias("_p"), F.sum("_t").alias("support")))
+    t, q, n, zero = F.col("true_label"), F.col("pred_label"), F.col("n"), F.lit(0).cast("bigint")
+    sides = F.array(F.struct(t.alias("label"), zero.alias("_p"), n.alias("_t"), F.when(t == q, n).otherwise(zero).alias("_tp")),
+                    F.struct(q.alias("label"), n.alias("_p"), zero.alias("_t"), zero.alias("_tp")))
+    s = (p.select("model", F.explode(sides).alias("_s")).where("_s.label is not null")
+         .groupBy("model", "_s.label").agg(F.sum("_s._tp").alias("_tp"), F.sum("_s._p").alias("_p"), F.sum("_s._t").alias("_t")))
+    # Counts of (model, label) are few; the grid is laid out from one row that holds them, in the same pass.
+    cell = F.struct(F.struct("model", "label"), F.struct("_tp", "_p", "_t"))
+    every = s.agg(F.map_from_entries(F.collect_list(cell)).alias("_m"), F.collect_set("model").alias("_models"),
+                  F.collect_set(F.when(F.col("_t") > 0, F.col("label"))).alias("_labels"))
+    grid = every.select("_m", F.explode("_models").alias("model"), "_labels").select("_m", "model", F.explode("_labels").alias("label"))
+    value = F.try_element_at("_m", F.struct("model", "label"))
+    s = grid.select("model", "label", *[F.coalesce(value[c], zero).alias(o) for c, o in (("_tp", "_tp"), ("_p", "_p"), ("_t", "support"))])
     return s.select("model", "label", ratio(F.col("_tp"), F.col("_p")).alias("precision"),
                     ratio(F.col("_tp"), F.col("support")).alias("recall"),
                     ratio(F.col("_tp") * 2, F.col("_p") + F.col("support")).alias("f1"), "support")
@@ -130,9 +129,9 @@ def _lengths(df: DataFrame, length: str | None) -> DataFrame:
                     (F.col("true_label") != F.col("pred_label")).cast("bigint").alias("is_error")))
 
 
-def length_error_rates(df: DataFrame, length: str | None = None) -> DataFrame:
-    """Error rate per note-length bin and its distance from the model's overall rate."""
-    by_bin = (_lengths(df, length).groupBy("model", note_length_bin("length").alias("length_bin"))
+def length_error_rates(df: DataFrame, length: str | None = None, top: int | None = None) -> DataFrame:
+    """Error rate per note-length bin and its distance from the model's overall rate; the last bin ends at ``top``, if given."""
+    by_bin = (_lengths(df, length).groupBy("model", note_length_bin("length", top).alias("length_bin"))
               .agg(F.count(F.lit(1)).alias("n_samples"), F.sum("is_error").alias("_e")))
     whole = Window.partitionBy("model")
     overall = F.sum("_e").over(whole).cast("double") / F.sum("n_samples").over(whole).cast("double")

@@ -53,9 +53,12 @@ def disagreements(df: DataFrame, prob: str = "pred_conf_temp") -> DataFrame:
 
 
 def widen(df: DataFrame, prob: str = "pred_conf_temp", models: Sequence[str] | None = None) -> DataFrame:
-    """pred_label_<model> and pred_prob_<model> columns per event."""
+    """pred_label_<model> and pred_prob_<model> columns per event; of several rows of one model, the least confident.
+
+    With ``models`` nothing is read to learn their names.
+    """
     p = df.groupBy("event_id").pivot("model", list(models) if models else None).agg(
-        F.first("pred_label").alias("label"), F.first(prob).alias("prob"))
+        F.min_by("pred_label", F.struct(prob, "pred_label")).alias("label"), F.min(prob).alias("prob"))
     renamed = {}
     for c in p.columns[1:]:
         model, kind = c.rsplit("_", 1)
@@ -63,24 +66,28 @@ def widen(df: DataFrame, prob: str = "pred_conf_temp", models: Sequence[str] | N
     return p.withColumnsRenamed(renamed)
 
 
+def _per_event(df: DataFrame, prob: str, *more: Column) -> DataFrame:
+    """Label entropy, confidence uncertainty and dispersion per event, and whatever else is asked for, in one aggregate.
+
+    An event has as many rows as there are models, so its labels fit in a list.
+    """
+    g = df.groupBy("event_id").agg(F.array_sort(F.collect_list("pred_label")).alias("_l"), F.avg(prob).alias("_m"),
+                                   F.stddev_pop(prob).alias("_s"), *more)
+    counts = F.array_sort(F.transform(F.array_distinct("_l"), lambda x: F.size(F.filter("_l", lambda y: y == x)).cast("bigint")))
+    entropy = F.aggregate(counts, F.lit(0.0), lambda a, n: a + ambiguity.entropy_term(n, F.size("_l").cast("bigint")))
+    return g.withColumns({"label_entropy": entropy, "conf_uncertainty": F.coalesce(ambiguity.uncertainty(F.col("_m")), F.lit(0.0)),
+                          "conf_dispersion": F.coalesce(ambiguity.dispersion(F.col("_s")), F.lit(0.0))}).drop("_l", "_m", "_s")
+
+
 def behavioural_ambiguity(df: DataFrame, prob: str = "pred_conf_temp") -> DataFrame:
     """Label entropy, confidence uncertainty and dispersion per event, over its models."""
-    by_label = df.where(F.col("pred_label").isNotNull()).groupBy("event_id", "pred_label").agg(F.count(F.lit(1)).alias("_n"))
-    ent = (by_label.groupBy("event_id").agg(F.collect_list("_n").alias("_c"), F.sum("_n").alias("_t"))
-           .select("event_id", F.aggregate(F.array_sort("_c"), F.lit(0.0), lambda a, n: a + ambiguity.entropy_term(n, F.col("_t")))
-                   .alias("label_entropy")))
-    conf = df.groupBy("event_id").agg(F.avg(prob).alias("_m"), F.stddev_pop(prob).alias("_s"))
-    conf = conf.select("event_id", F.coalesce(ambiguity.uncertainty(F.col("_m")), F.lit(0.0)).alias("conf_uncertainty"),
-                       F.coalesce(ambiguity.dispersion(F.col("_s")), F.lit(0.0)).alias("conf_dispersion"))
-    return conf.join(ent, "event_id", "left").withColumn("label_entropy", F.coalesce("label_entropy", F.lit(0.0)))
+    return _per_event(df, prob).select("event_id", "conf_uncertainty", "conf_dispersion", "label_entropy")
 
 
 def event_ambiguity(df: DataFrame, prob: str = "pred_conf_temp") -> DataFrame:
     """Ambiguity score, tier and components per event; the tier uses the unrounded score."""
-    meta = df.select("event_id", "notes", "actor_norm", "model")
-    meta = meta.groupBy("event_id").agg(F.min_by(F.struct("notes", "actor_norm"), F.col("model")).alias("_m")).select("event_id", "_m.*")
-    d = behavioural_ambiguity(df, prob).join(meta, "event_id")
-    d = d.withColumn("text_ambiguity", ambiguity.text_ambiguity(F.col("notes"), F.col("actor_norm")))
+    d = _per_event(df, prob, F.min_by(F.struct("notes", "actor_norm"), F.col("model")).alias("_meta"))
+    d = d.withColumn("text_ambiguity", ambiguity.text_ambiguity(F.col("_meta.notes"), F.col("_meta.actor_norm")))
     d = d.withColumn("_eas", ambiguity.combine(F.col("label_entropy"), F.col("conf_uncertainty"),
                                                F.col("conf_dispersion"), F.col("text_ambiguity")))
     return d.select("event_id", F.round("_eas", 4).alias("ambiguity_score"), ambiguity.tier(F.col("_eas")).alias("ambiguity_tier"),
@@ -131,8 +138,9 @@ def error_cases(df: DataFrame, size: int = 200, seed: int = 42) -> DataFrame:
     """
     e = df.withColumn("error_kind", error_kind()).where(F.col("error_kind").isNotNull())
     e = e.withColumn("_h", sample_hash(seed, "event_id"))
-    n_models = df.select("model").distinct().agg(F.count(F.lit(1)).alias("_m")).withColumn("_k", F.lit(1))
-    sizes = e.groupBy("error_kind").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
+    # Both keys are false, but no constants, so that this stays a hash join.
+    n_models = df.select("model").distinct().agg(F.count(F.lit(1)).alias("_m")).withColumn("_k", F.col("_m") < 0)
+    sizes = e.groupBy("error_kind").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.col("_n") < 0)
     limits = sizes.join(n_models, "_k").select("error_kind", F.when(
         F.col("_n") > size, F.floor(F.lit(size) / F.col("_m")) + 1).otherwise(size).alias("_cap"))
     by_model = Window.partitionBy("error_kind", "model").orderBy("_h", "event_id")

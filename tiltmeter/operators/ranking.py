@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.tables import control_table
+from ..functions.tables import sized_table
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
@@ -40,7 +40,8 @@ def sample_hash(seed: int | str, id_col: str) -> Column:
 
 
 def hash_levels(h: str) -> list[Column]:
-    return [F.substring(F.col(h), 1, 3)]
+    """4,096 prefixes, then 4,096 more inside the one that a cut falls in, so that hardly any row of a group is ranked."""
+    return [F.substring(F.col(h), 1, 3), F.substring(F.col(h), 1, 6)]
 
 
 def mark_bands(df: DataFrame, keys: Sequence[str], cuts: DataFrame, order: Sequence[Column],
@@ -59,22 +60,26 @@ def mark_bands(df: DataFrame, keys: Sequence[str], cuts: DataFrame, order: Seque
     names = [f"_l{i}" for i in range(len(levels))]
     d = df.withColumns({**dict(zip(names, levels)), "_o": F.struct(*order)})
     if not keys:
-        d, cuts, keys = d.withColumn("_all", F.lit(0)), cuts.withColumn("_all", F.lit(0)), ["_all"]
-    cuts = control_table(cuts.select(*keys, "cut_no", F.col("need").cast("bigint").alias("need")))
+        # A key that is the same for all rows but not a constant, so that joins on it stay hash joins.
+        d, cuts, keys = d.withColumn("_all", F.col("_o").isNull()), cuts.withColumn("_all", F.col("need").isNull()), ["_all"]
+    cuts, small = sized_table(cuts.select(*keys, "cut_no", F.col("need").cast("bigint").alias("need")))
+    # Every table below has at most one row a cut, so it is as small as the cuts were found to be.
+    hint = F.broadcast if small else (lambda t: t)
     rows, group, goal = d.select(*keys, *names, "_o"), keys, cuts.where(F.col("need") > 0)
-    for name in names:
+    for i, name in enumerate(names):
         running = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
         hist = rows.groupBy(*group, name).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(running))
         goal = (hist.join(goal, group).where((F.col("_cum") >= F.col("need")) & (F.col("_cum") - F.col("_n") < F.col("need")))
                 .select(*keys, "cut_no", name, (F.col("need") - F.col("_cum") + F.col("_n")).alias("need")))
-        goal = control_table(goal)
+        # Every other level is fetched, so that plans of many levels do not contain each other.
+        goal = sized_table(goal)[0] if i % 2 and i + 1 < len(names) else hint(goal)
         rows = rows.join(goal.drop("need"), [c for c in rows.columns if c in (*group, name)])
         goal, group = goal.drop(name), [*keys, "cut_no"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_o"))
     found = (rows.withColumn("_r", rank).join(goal, group).where(F.col("_r") == F.col("need"))
              .select(*group, F.struct(*names, "_o").alias("_cut")))
-    lists = control_table(cuts.join(found, [*keys, "cut_no"], "left").groupBy(*keys)
-                          .agg(F.collect_list(F.struct("need", "_cut")).alias("_cuts")))
+    lists = hint(cuts.join(found, [*keys, "cut_no"], "left").groupBy(*keys)
+                 .agg(F.collect_list(F.struct("need", "_cut")).alias("_cuts")))
     here = F.struct(*names, "_o")
     behind = F.filter("_cuts", lambda c: (c["need"] <= 0) | F.coalesce(c["_cut"] < here, F.lit(False)))
     return (d.join(lists, keys, "left").withColumn(band, F.when(F.col("_cuts").isNotNull(), F.size(behind)))
@@ -112,6 +117,6 @@ def head_global(df: DataFrame, quota: DataFrame, score: str, id_col: str) -> Dat
     are close to 1, and a third of all rows may share one score.
     """
     d = df.withColumns({"_neg": -F.col(score), "_h": sample_hash(0, id_col)})
-    levels = [*[F.floor(F.col("_neg") * float(1 << b)) for b in (12, 24, 36)], F.col("_neg"), F.substring("_h", 1, 3)]
+    levels = [*[F.floor(F.col("_neg") * float(1 << b)) for b in (12, 24, 36)], F.col("_neg"), *hash_levels("_h")]
     marked = mark_head(d, [], quota, [F.col("_neg"), F.col("_h"), F.col(id_col)], levels)
     return marked.where("in_head").select(*df.columns)

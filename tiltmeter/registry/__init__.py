@@ -1,8 +1,8 @@
 """Registered queries and their check SQL."""
 
-from . import curate, evaluate, language, robust
+from . import curate, evaluate, files, language, robust
 
-MODULES = [curate, evaluate, language, robust]
+MODULES = [curate, evaluate, language, robust, files]
 
 
 def queries():

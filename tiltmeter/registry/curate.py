@@ -140,7 +140,7 @@ def _(spark, d):
 
 
 @q("note_length_bins", """SELECT CASE WHEN n_chars>0 AND n_chars<=100 THEN 'very_short' WHEN n_chars>100 AND n_chars<=200 THEN 'short' WHEN n_chars>200 AND n_chars<=300 THEN 'medium'
- WHEN n_chars>300 AND n_chars<=500 THEN 'long' WHEN n_chars>500 AND n_chars<=10000 THEN 'very_long' END AS length_bin, CAST(count(*) AS BIGINT) AS n, CAST(max(n_chars) AS BIGINT) AS longest FROM e GROUP BY 1""")
+ WHEN n_chars>300 AND n_chars<=500 THEN 'long' WHEN n_chars>500 THEN 'very_long' END AS length_bin, CAST(count(*) AS BIGINT) AS n, CAST(max(n_chars) AS BIGINT) AS longest FROM e GROUP BY 1""")
 def _(spark, d):
     return events(spark, d).groupBy(L.note_length_bin("n_chars").alias("length_bin")).agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"))
 
@@ -239,6 +239,21 @@ def _(spark, d):
     return _bundle(spark, d)
 
 
+# The same with the other options: held-out events stay in the pool, and every split is balanced before its cap.
+_ROUNDS = f""", {STD}, {rk('event_type', 'std')}, sp AS (SELECT event_id, event_type, country, CASE WHEN rn<={_NDEV} THEN 'dev' ELSE 'train' END AS split FROM rk),
+un AS (SELECT * FROM sp UNION ALL SELECT event_id, event_type, country, CASE lower(country) WHEN 'cameroon' THEN 'test_cmr' ELSE 'test_nga' END FROM std WHERE lower(country) IN ('cameroon','nigeria')),
+un2 AS (SELECT *, row_number() OVER (PARTITION BY split, event_type ORDER BY {H42}) AS k, count(*) OVER (PARTITION BY split, event_type) AS size FROM un),
+un3 AS (SELECT *, min(size) OVER (PARTITION BY split) AS smallest FROM un2),
+un4 AS (SELECT * FROM un3 WHERE split='train' AND k<=least(size, 7) OR split='dev' AND k<=smallest OR split LIKE 'test%' AND k<=smallest),
+un5 AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {H42}) AS pos FROM un4)"""
+
+
+@q("split_bundle_balanced", _ROUNDS + " SELECT event_id, event_type, country, split FROM un5 WHERE split NOT LIKE 'test%' OR pos<=40")
+def _(spark, d):
+    return S.split_bundle(std(spark, d).select("event_id", "event_type", "country"), ["cmr", "nga"], include_eval_in_train=True, balance_dev=True, balance_test=True,
+                          train_max_per_class=7, test_max_per_country=40)
+
+
 @q("split_manifest", _BUNDLE + """, c AS (SELECT split, event_type, count(*) n FROM bundle GROUP BY 1,2)
 SELECT split, CAST(sum(n) AS BIGINT) AS n_rows, string_agg(concat(event_type,'=',n), ',' ORDER BY event_type) AS classes FROM c GROUP BY 1""")
 def _(spark, d):
@@ -306,6 +321,24 @@ def _(spark, d):
     return S.stratified_sample(events(spark, d).select("event_id", "event_type"), "event_type", 200, "Battles", 0.3)
 
 
+# Drawing again is random, its numbers are not: rows per class, and how many of them are distinct at most.
+@q("stratified_sample_replace", f""", n0 AS (SELECT event_type AS grp, count(*) AS n FROM e GROUP BY 1), want AS (SELECT least(200, sum(n)) AS w FROM n0),
+pr AS (SELECT least(floor(w*0.3::DOUBLE), n) AS prim FROM n0, want WHERE grp='Battles'), o0 AS (SELECT grp, n, w-prim AS slots, 1 AS part FROM n0, want, pr WHERE grp<>'Battles'), {lr('o1', 'o0', 'part')},
+q AS (SELECT grp, n, CAST(alloc AS BIGINT) AS quota FROM o1 UNION ALL SELECT grp, n, CAST(prim AS BIGINT) FROM n0, pr WHERE grp='Battles')
+SELECT grp AS event_type, quota AS n, true AS distinct_fits FROM q WHERE quota>0""")
+def _(spark, d):
+    s = S.stratified_sample(events(spark, d).select("event_id", "event_type"), "event_type", 200, "Battles", 0.3, replace=True)
+    counts = s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
+    again = F.col("event_type") == "Battles"
+    return counts.select("event_type", "n", F.when(again, F.col("ids") <= F.col("n")).otherwise(F.col("ids") == F.col("n")).alias("distinct_fits"))
+
+
+@q("renamed_legacy_columns", "SELECT event_id, n_chars AS new_chars, ti AS new_ti FROM e")
+def _(spark, d):
+    old = events(spark, d).select("event_id", F.col("n_chars").alias("old_chars"), F.col("ti").alias("old_ti"))
+    return L.rename_legacy_columns(old, "old_", "new_")
+
+
 _CELLS = f"""x AS (SELECT *, CASE WHEN 1+sn%8=1 THEN 'state' ELSE 'non-state' END AS actor_type FROM e),
 t AS (SELECT event_type, count(*) FILTER (WHERE actor_type='state') AS st, count(*) FILTER (WHERE actor_type<>'state') AS ns FROM x GROUP BY 1),
 cell AS (SELECT event_type AS grp, 'state' AS actor_type, st AS n, 80 AS half FROM t WHERE st>=3 AND ns>=3 UNION ALL SELECT event_type, 'non-state', ns, 120 FROM t WHERE st>=3 AND ns>=3),

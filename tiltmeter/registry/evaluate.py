@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as C, classification as K, compare as M, fairness as A, harm as H, sampling as S
 from ..operators import ranking as R
-from .inputs import CTE, MODELS, VALID, calibrated, flips, predictions, r6, rounded, spread
+from .inputs import CTE, MODELS, VALID, calibrated, erfc_sql, flips, predictions, r6, rounded, spread, t_p_sql
 
 Q: dict = {}
 O: dict = {}
@@ -99,7 +99,7 @@ def _(spark, d):
 
 
 _BIN = """CASE WHEN n_chars>0 AND n_chars<=100 THEN 'very_short' WHEN n_chars>100 AND n_chars<=200 THEN 'short' WHEN n_chars>200 AND n_chars<=300 THEN 'medium'
- WHEN n_chars>300 AND n_chars<=500 THEN 'long' WHEN n_chars>500 AND n_chars<=10000 THEN 'very_long' END"""
+ WHEN n_chars>300 AND n_chars<=500 THEN 'long' WHEN n_chars>500 THEN 'very_long' END"""
 
 
 @q("length_error_rates", f""",
@@ -122,7 +122,10 @@ def _(spark, d):
     return rounded(K.length_error_correlation(predictions(spark, d), "n_chars", with_p=False))
 
 
-@q("length_error_correlation_test")
+@q("length_error_correlation_test", _RHO.replace("SELECT model, CAST(count(*) AS BIGINT) AS n_samples, " + r6('corr(rx,ry)') + " AS correlation FROM y GROUP BY 1 HAVING count(*)>10",
+                                                 "c AS (SELECT model, count(*) AS n, corr(rx,ry) AS r FROM y GROUP BY 1 HAVING count(*)>10)")
+   .replace("FROM x)\nc AS", "FROM x),\nc AS") + f""",
+t AS (SELECT *, r*sqrt((n-2)/(1-r*r)) AS t FROM c) SELECT model, CAST(n AS BIGINT) AS n_samples, {r6('r')} AS correlation, {r6(t_p_sql('t', '(n-2)'))} AS p_value FROM t""")
 def _(spark, d):
     return rounded(K.length_error_correlation(predictions(spark, d), "n_chars"))
 
@@ -264,14 +267,61 @@ def _(spark, d):
     return rounded(A.equalized_odds(messy(spark, d)))
 
 
-@q("fairness_table")
+def _fair_sql(by):
+    """The fixed columns by value; interval and p values, which are drawn, have passed the checks of ``_fair``."""
+    pos, neg = "true_label='V'", "true_label<>'V'"
+    sizes = {"state": "g='state'", "non-state": "g='non-state'"}
+    return f""", g AS (SELECT *, CASE WHEN regexp_matches(lower(actor_norm),'state forces|military|police|government|gendarmerie') THEN 'state' ELSE 'non-state' END AS g FROM preds)
+SELECT {by}, 'V' AS target_label, {cnt(sizes['state'])} AS n_state, {cnt(sizes['non-state'])} AS n_nonstate, {r6(_rate('state', '') + '-' + _rate('non-state', ''))} AS "SPD",
+ {r6(_rate('state', f' AND {pos}'))} AS "TPR_state", {r6(_rate('non-state', f' AND {pos}'))} AS "TPR_nonstate", {r6(_rate('state', f' AND {pos}') + '-' + _rate('non-state', f' AND {pos}'))} AS "TPR_diff",
+ {r6(_rate('state', f' AND {neg}'))} AS "FPR_state", {r6(_rate('non-state', f' AND {neg}'))} AS "FPR_nonstate", {r6(_rate('state', f' AND {neg}') + '-' + _rate('non-state', f' AND {neg}'))} AS "FPR_diff",
+ 'hypergeometric' AS permutation_draws, true AS interval_fits, {cnt(pos)}<=10 OR {cnt(pos + " AND g='state'")}=0 OR {cnt(pos + " AND g='non-state'")}=0 AS "TPR_untested",
+ {cnt(neg)}<=10 OR {cnt(neg + " AND g='state'")}=0 OR {cnt(neg + " AND g='non-state'")}=0 AS "FPR_untested", true AS p_fits
+FROM g GROUP BY {by} HAVING {cnt(sizes['state'])}>0 AND {cnt(sizes['non-state'])}>0"""
+
+
+def _fair(table, groups, by, draws):
+    """Drawn columns held against their normal forms.
+
+    The interval must hold the parity's normal interval's middle and have about its
+    width; a permutation p must lie within five standard errors of the draws (plus
+    the width of the largest step) around the normal p with and without correction.
+    """
+    g = groups.select(*by, *[c for c in groups.columns if c not in by])
+    t = table.join(g, by)
+    rate = lambda k, n: F.col(k) / F.greatest(F.col(n), F.lit(1))
+    spread_ = F.sqrt(rate("s_hit", "s_all") * (1 - rate("s_hit", "s_all")) / F.col("s_all") + rate("n_hit", "n_all") * (1 - rate("n_hit", "n_all")) / F.col("n_all"))
+    width = F.col("SPD_CI_upper") - F.col("SPD_CI_lower")
+    step = 1.0 / F.least(F.col("s_all"), F.col("n_all"))
+    t = t.withColumn("interval_fits", (F.col("SPD_CI_lower") <= F.col("SPD") + step) & (F.col("SPD") <= F.col("SPD_CI_upper") + step)
+                     & (F.abs(width - 3.92 * spread_) <= 0.25 * 3.92 * spread_ + 2 * step))
+    fits = F.lit(True)
+    for side, a, k, b, m in (("TPR", "s_pos", "s_tp", "n_pos", "n_tp"), ("FPR", "s_neg", "s_fp", "n_neg", "n_fp")):
+        p, n = F.col(f"{side}_pvalue"), (F.col(a) + F.col(b)).cast("double")
+        share = (F.col(k) + F.col(m)) / F.greatest(n, F.lit(1.0))
+        deviation = F.sqrt(share * (1 - share) * n * n / F.greatest(n - 1, F.lit(1.0)) / F.greatest(F.col(a) * F.col(b), F.lit(1)))
+        gap = F.abs(rate(k, a) - rate(m, b))
+        tick = n / F.greatest(F.col(a) * F.col(b), F.lit(1))
+        # The normal two-sided p by a logistic form that is within 0.02 of it everywhere.
+        two = lambda z: 2 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+        z = lambda d: F.greatest(d, F.lit(0.0)) / F.greatest(deviation, F.lit(1e-9))
+        slack = 5 * F.sqrt(F.lit(0.25) / draws) + 0.02
+        fits = fits & F.coalesce((p >= two(z(gap + tick)) - slack) & (p <= two(z(gap - tick)) + slack), F.lit(True))
+        t = t.withColumn(f"{side}_untested", p.isNull())
+    return rounded(t.withColumn("p_fits", fits).select(*[c for c in table.columns if c not in ("SPD_CI_lower", "SPD_CI_upper", "TPR_pvalue", "FPR_pvalue")],
+                                                       "interval_fits", "TPR_untested", "FPR_untested", "p_fits"))
+
+
+@q("fairness_table", _fair_sql("model"))
 def _(spark, d):
-    return rounded(A.fairness_table(predictions(spark, d)))
+    p = predictions(spark, d)
+    return _fair(A.fairness_table(p), A.group_counts(p), ["model"], 1000)
 
 
-@q("fairness_by_country")
+@q("fairness_by_country", _fair_sql("model, country"))
 def _(spark, d):
-    return rounded(A.fairness_table(predictions(spark, d), by=["model", "country"], n_bootstrap=300))
+    p, by = predictions(spark, d), ["model", "country"]
+    return _fair(A.fairness_table(p, by=by, n_bootstrap=300), A.group_counts(p, by=by), by, 300)
 
 
 # Each country stands for one fairness file; its interval is the parity plus or minus a tenth.
@@ -339,7 +389,19 @@ def _(spark, d):
     return _split(spark, d).select("model", "event_id", "is_test", "is_train")
 
 
-@q("isotonic_maps")
+# The isotonic fit at a point is the largest, over starts up to it, of the smallest mean of a stretch from there over it.
+_ISO = f"""{_RANKED}, pts AS (SELECT model, pred_conf AS x, sum(CAST(true_label=pred_label AS INT)) AS s, count(*) AS n FROM z WHERE (rn>ceil(n*0.2::DOUBLE) OR n<2) AND {BOTH} GROUP BY 1,2),
+cum AS (SELECT model, x, s, n, sum(s) OVER w AS cs, sum(n) OVER w AS cn, row_number() OVER w AS i FROM pts WINDOW w AS (PARTITION BY model ORDER BY x)),
+stretch AS (SELECT a.model, a.i AS a, b.i AS b, (b.cs-a.cs+a.s)/CAST(b.cn-a.cn+a.n AS DOUBLE) AS mean FROM cum a JOIN cum b ON a.model=b.model AND a.i<=b.i),
+least_ AS (SELECT model, a, b, min(mean) OVER (PARTITION BY model, a ORDER BY b DESC) AS v FROM stretch),
+fit AS (SELECT model, b AS i, max(v) AS y FROM least_ GROUP BY 1,2), fx AS (SELECT fit.model, x, y FROM fit JOIN cum ON cum.model=fit.model AND cum.i=fit.i),
+grid AS (SELECT model, k, k/100.0::DOUBLE AS g FROM (SELECT DISTINCT model FROM fx) CROSS JOIN (SELECT unnest(range(101)) AS k)),
+near_ AS (SELECT grid.model, k, g, max(x) FILTER (x<=g+1e-9) AS x0, min(x) FILTER (x>=g-1e-9) AS x1 FROM grid JOIN fx ON fx.model=grid.model GROUP BY 1,2,3),
+iso AS (SELECT n.model, k, g AS x, CASE WHEN x0 IS NULL THEN b.y WHEN x1 IS NULL OR x1-x0<1e-9 THEN a.y ELSE a.y+(b.y-a.y)*(g-x0)/(x1-x0) END AS y
+ FROM near_ n LEFT JOIN fx a ON a.model=n.model AND a.x=x0 LEFT JOIN fx b ON b.model=n.model AND b.x=x1)"""
+
+
+@q("isotonic_maps", f", {_ISO} SELECT model, {r6('x')} AS x, {r6('y')} AS y FROM iso")
 def _(spark, d):
     m = C.isotonic_maps(_split(spark, d).where("is_train"))
     return rounded(m.select("model", F.explode(F.arrays_zip("x", "y")).alias("p")).select("model", "p.x", "p.y"))
@@ -352,14 +414,15 @@ def _calibrated_test(spark, d):
     return C.apply_calibration(s.where("is_test"), maps, params)
 
 
-@q("calibrated_predictions")
+_ISO_TEST = f"""{_ISO}, ct AS (SELECT z.*, iso.y AS pred_conf_iso, {_temp_sql()} AS pred_conf_temp FROM z JOIN iso ON iso.model=z.model AND iso.k=CAST(round(pred_conf*100) AS BIGINT) WHERE rn<=ceil(n*0.2::DOUBLE))"""
+
+
+@q("calibrated_predictions", f""", {_ISO_TEST}, {_PROBS} SELECT ct.model, ct.event_id, {r6('pred_conf_iso')} AS pred_conf_iso, {r6('pred_conf_temp')} AS pred_conf_temp,
+ {', '.join(f'{r6(f"prob_{x}")} AS "prob_{x}"' for x in 'VBEPRS')} FROM ct JOIN pr ON pr.model=ct.model AND pr.event_id=ct.event_id""")
 def _(spark, d):
     return rounded(_calibrated_test(spark, d).select("model", "event_id", "pred_conf_iso", "pred_conf_temp", *[f"prob_{x}" for x in "VBEPRS"]))
 
 
-@q("brier_scores_calibrated")
-def _(spark, d):
-    return rounded(C.brier_scores(_calibrated_test(spark, d)))
 
 
 # A monotone stand-in for the isotonic column lets the scores be checked in SQL.
@@ -374,6 +437,17 @@ def _bs(c):
     return f"avg(({c}-CAST(true_label=pred_label AS INT))*({c}-CAST(true_label=pred_label AS INT)))"
 
 
+def _brier_sql(table):
+    return f"""b AS (SELECT model, count(*) n, {_bs('pred_conf')} r, {_bs('pred_conf_iso')} i, {_bs('pred_conf_temp')} t FROM {table} WHERE {BOTH} GROUP BY 1)
+SELECT model, CAST(n AS BIGINT) AS n_samples, {r6('r')} AS brier_score_raw, {r6('i')} AS brier_score_isotonic, {r6('t')} AS brier_score_temperature,
+ {r6('CASE WHEN r<>0 AND i<>0 THEN r-i END')} AS brier_improvement_iso, {r6('CASE WHEN r<>0 AND t<>0 THEN r-t END')} AS brier_improvement_temp FROM b"""
+
+
+@q("brier_scores_calibrated", f", {_ISO_TEST}, {_brier_sql('ct')}")
+def _(spark, d):
+    return rounded(C.brier_scores(_calibrated_test(spark, d)))
+
+
 @q("brier_scores", f""", {_THREE}, b AS (SELECT model, count(*) n, {_bs('pred_conf')} r, {_bs('pred_conf_iso')} i, {_bs('pred_conf_temp')} t FROM three WHERE {BOTH} GROUP BY 1)
 SELECT model, CAST(n AS BIGINT) AS n_samples, {r6('r')} AS brier_score_raw, {r6('i')} AS brier_score_isotonic, {r6('t')} AS brier_score_temperature,
  {r6('CASE WHEN r<>0 AND i<>0 THEN r-i END')} AS brier_improvement_iso, {r6('CASE WHEN r<>0 AND t<>0 THEN r-t END')} AS brier_improvement_temp FROM b""")
@@ -429,6 +503,11 @@ def _(spark, d):
     return rounded(C.class_thresholds(_with_probs(spark, d), target=0.6))
 
 
+@q("class_thresholds_default", f", {_CLASS_T.replace('n>=0.6', 'n>=0.8')} SELECT model, label, {r6('threshold')} AS threshold FROM thr")
+def _(spark, d):
+    return rounded(C.class_thresholds(_with_probs(spark, d)))
+
+
 @q("apply_class_thresholds", f""", {_CLASS_T},
 x AS (SELECT pr.model, true_label, pred_label, CASE pred_label {' '.join(f"WHEN '{x}' THEN coalesce(prob_{x},0)" for x in 'VBEPRS')} END>=threshold AS inn FROM pr JOIN thr ON thr.model=pr.model AND thr.label=pred_label)
 SELECT model, {cnt('inn')} AS accepted, {r6(ratio(cnt('inn'), 'count(*)'))} AS coverage, {r6(ratio(cnt('inn AND true_label=pred_label'), cnt('inn'), 'NULL'))} AS accuracy, CAST(count(*) AS BIGINT) AS total_valid FROM x GROUP BY 1""")
@@ -459,7 +538,13 @@ def _(spark, d):
     return rounded(M.paired_correctness(messy(spark, d), with_p=False))
 
 
-@q("paired_correctness_test")
+@q("paired_correctness_test", f""", want AS (SELECT * FROM (VALUES ('model_a','model_b'),('model_a','model_c'),('model_a','model_z'),('model_b','model_c'),('model_b','model_z'),('model_c','model_z')) AS t(model_a,model_b)),
+x AS (SELECT a.model AS model_a, b.model AS model_b, a.pred_label=a.true_label AS ca, b.pred_label=b.true_label AS cb FROM preds a JOIN preds b ON a.event_id=b.event_id AND a.model<b.model),
+s0 AS (SELECT model_a, model_b, CAST(count(*) AS BIGINT) AS n_common, {cnt('ca AND cb')} AS both_correct, {cnt('ca AND NOT cb')} AS a_correct_b_wrong, {cnt('NOT ca AND cb')} AS a_wrong_b_correct,
+ {cnt('NOT ca AND NOT cb')} AS both_wrong FROM x GROUP BY 1,2),
+s AS (SELECT want.model_a, want.model_b, {', '.join(f'coalesce({c},0) AS {c}' for c in ('n_common', 'both_correct', 'a_correct_b_wrong', 'a_wrong_b_correct', 'both_wrong'))} FROM want LEFT JOIN s0 ON s0.model_a=want.model_a AND s0.model_b=want.model_b),
+mm AS (SELECT *, {_MC.format(b='a_correct_b_wrong', c='a_wrong_b_correct')} AS mc FROM s)
+SELECT model_a, model_b, n_common, both_correct, a_correct_b_wrong, a_wrong_b_correct, both_wrong, {r6('mc')} AS mcnemar_stat, {r6(erfc_sql('sqrt(mc/2)'))} AS mcnemar_p FROM mm""")
 def _(spark, d):
     return rounded(M.paired_correctness(predictions(spark, d), MODELS[:3] + ["model_z"]))
 

@@ -107,13 +107,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give text-heavy work at least one split per core.
+    """Give text-heavy work on a table of a few small files one split per core.
 
-    A small file is one row group and would be one task; a large table has more
-    splits than cores and passes through untouched.
+    A small file is one row group and would be one task. A table of more files than
+    that has splits enough and passes through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 8) else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,4 +171,21 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def erfc_sql(x: str) -> str:
+    """The complementary error function of x >= 0, by the series of positive terms exp(-x^2) (2x)^(2k+1) k! / (2k+1)!."""
+    term = f"exp((2*k+1)*ln(({x})) + k*ln(2.0::DOUBLE) + 0.5::DOUBLE*ln(pi()) - (k+1)*ln(2.0::DOUBLE) - lgamma(k+1.5::DOUBLE) - ({x})*({x}))"
+    return (f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x})<=0 THEN 1.0::DOUBLE WHEN ({x})>8 THEN 0.0::DOUBLE "
+            f"ELSE greatest(0.0::DOUBLE, 1-2/sqrt(pi())*list_sum(list_transform(range(260), lambda k: {term}))) END)")
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom: with theta = atan(|t|/sqrt(df)), the finite series of cosines."""
+    th = f"atan(abs({t})/sqrt({df}))"
+    even = f"sin({th})*list_sum(list_transform(range(CAST({df}//2 AS BIGINT)), lambda j: exp(lgamma(j+0.5::DOUBLE)-lgamma(j+1.0::DOUBLE)-0.5::DOUBLE*ln(pi())+2*j*ln(cos({th})))))"
+    odd = (f"2/pi()*({th}+coalesce(sin({th})*list_sum(list_transform(range(CAST(({df}-1)//2 AS BIGINT)), "
+           f"lambda j: exp(0.5::DOUBLE*ln(pi())-ln(2.0::DOUBLE)+lgamma(j+1.0::DOUBLE)-lgamma(j+1.5::DOUBLE)+(2*j+1)*ln(cos({th}))))),0))")
+    return (f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL THEN NULL WHEN isinf({t}) THEN 0.0::DOUBLE WHEN ({t})=0 THEN 1.0::DOUBLE "
+            f"WHEN CAST({df} AS BIGINT)%2=0 THEN greatest(0.0::DOUBLE, 1-{even}) ELSE greatest(0.0::DOUBLE, 1-{odd}) END)")
+
+
 VALID = "('V','B','E','P','R','S')"

@@ -9,7 +9,7 @@ from ..functions.rationale import STOP_WORDS
 from ..operators import classification as K, compare as M, counterfactual as CF, perturb as PB, trace as T
 from ..operators.scoring import collect_rationales, score_variants
 from ..sources.readers import flatten_counterfactuals
-from .inputs import CTE, events, flips, predictions, r6, rich_events, rounded, spread
+from .inputs import CTE, erfc_sql, events, flips, predictions, r6, rich_events, rounded, spread, t_p_sql
 
 Q: dict = {}
 O: dict = {}
@@ -173,12 +173,22 @@ def _(spark, d):
 
 
 
-@q("collected_rationales")
+def _answers_by_number():
+    """A stub that finds the event's number in its prompt and answers bare, in prose, in a code fence, with a text for reasons, or without any."""
+    import re
+
+    def answer(p):
+        n = int(re.search(r"\[#(\d+)\]", p).group(1))
+        obj = '{"reasoning": ["actors", "number %d"], "label": "%s", "confidence": 0.5}' % (n, "VBEPRS"[n % 6])
+        return [obj, "Well: " + obj + " done", "```json\n" + obj + "\n```", '{"reasoning": "because", "label": "V"}', "no reasons"][n % 5]
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+@q("collected_rationales", "SELECT 'model_a' AS model, event_id, -1 AS pert_idx, CASE WHEN event_id%5<3 THEN concat('actors|number ', CAST(event_id AS STRING)) END AS reasoning FROM e")
 def _(spark, d):
-    def factory():
-        return lambda prompts: ['{"reasoning": ["actors", "length %d"], "label": "V"}' % len(p) if len(p) % 5 else "no reasons" for p in prompts]
-    t = spread(events(spark, d)).select("event_id", F.lit(-1).alias("pert_idx"), F.col("notes").alias("text"))
-    return collect_rationales(t, "model_a", factory).select("model", "event_id", "pert_idx", F.concat_ws("|", "reasoning").alias("reasoning"))
+    t = spread(rich_events(spark, d)).select("event_id", F.lit(-1).alias("pert_idx"), F.expr("concat('[#', event_id, '] ', body)").alias("text"))
+    got = collect_rationales(t, "model_a", _answers_by_number)
+    return got.select("model", "event_id", "pert_idx", F.when(F.col("reasoning").isNotNull(), F.array_join("reasoning", "|")).alias("reasoning"))
 
 
 # Flips ------------------------------------------------------------------------------------------
@@ -218,14 +228,36 @@ def _(spark, d):
     return rounded(CF.differential_effect(flips(spark, d), with_p=False))
 
 
-@q("differential_effect_test")
+# Two groups have equal changes: model_d's intensity changes are all 0.3 (sums of which are not), its delegitimation changes 0.
+_CONSTANT = "CASE WHEN model='model_d' AND type='intensity_high' THEN 0.3::DOUBLE WHEN model='model_d' AND type='delegitimation_add' THEN 0::DOUBLE ELSE confidence_delta END"
+
+
+def constant(spark, d):
+    return flips(spark, d).withColumn("confidence_delta", F.when(F.col("success"), F.expr(_CONSTANT.replace("::DOUBLE", "D"))))
+
+
+_EFFECT = f"""fx AS (SELECT *, {_CONSTANT} AS v FROM flips WHERE success),
+rk AS (SELECT type, model, v, rank() OVER (PARTITION BY type, model ORDER BY abs(v)) + (count(*) OVER (PARTITION BY type, model, abs(v))-1)/2.0::DOUBLE AS r FROM fx WHERE v<>0),
+wx AS (SELECT type, model, least(coalesce(sum(r) FILTER (v>0),0), coalesce(sum(r) FILTER (v<0),0)) AS w, count(*) AS nr FROM rk GROUP BY 1,2),
+ti AS (SELECT type, model, sum(c*c*c-c) AS ties, count(*) FILTER (c>1) AS nt FROM (SELECT type, model, abs(v) AS a, CAST(count(*) AS DOUBLE) AS c FROM rk GROUP BY 1,2,3) GROUP BY 1,2),
+ba AS (SELECT type, model, count(*) AS n, avg(v) AS m, stddev_pop(v) AS sp, median(v) AS md, CASE WHEN min(v)=max(v) THEN CASE WHEN min(v)>0 THEN 'inf'::DOUBLE WHEN min(v)<0 THEN '-inf'::DOUBLE END ELSE avg(v)*sqrt(count(*))/stddev_samp(v) END AS t
+ FROM fx GROUP BY 1,2 HAVING count(*)>1),
+ef AS (SELECT ba.*, w, nr, ties, nt, coalesce(nr,0)<=50 AND coalesce(nt,0)=0 AND n=coalesce(nr,0) AS exact,
+ CASE WHEN nr>0 THEN (w-nr*(nr+1.0)/4)/sqrt(nr*(nr+1.0)*(2.0*nr+1)/24-ties/48) END AS zz FROM ba LEFT JOIN wx ON wx.type=ba.type AND wx.model=ba.model LEFT JOIN ti ON ti.type=ba.type AND ti.model=ba.model)"""
+_EFFECT_P = f"{r6(t_p_sql('t', '(n-1)'))} AS t_pvalue, {r6(erfc_sql('abs(zz)/sqrt(2.0::DOUBLE)'))} AS wilcoxon_pvalue"
+
+
+@q("differential_effect_test", f""", {_EFFECT} SELECT type, model, CAST(n AS BIGINT) AS n_samples, {r6('m')} AS "CDE_mean", {r6('sp')} AS "CDE_std", {r6('md')} AS "CDE_median", {r6('t')} AS t_statistic,
+ {r6('w')} AS wilcoxon_statistic, {_EFFECT_P}, CASE WHEN exact THEN 'exact' ELSE 'normal' END AS wilcoxon_method FROM ef""")
 def _(spark, d):
-    return rounded(CF.differential_effect(flips(spark, d)))
+    return rounded(CF.differential_effect(constant(spark, d)))
 
 
-@q("flip_summary")
+@q("flip_summary", f""", {_EFFECT}, ra AS (SELECT type, model, avg(CAST(label_flipped AS INT)) AS fr, count(*) AS np, avg(v) AS md0, avg(abs(v)) AS ma FROM fx GROUP BY 1,2)
+SELECT ra.type, ra.model, {r6('fr')} AS flip_rate, CAST(np AS BIGINT) AS n_perturbations, {r6('md0')} AS mean_confidence_delta, {r6('ma')} AS mean_abs_confidence_delta, {r6('m')} AS "CDE_mean", {r6('md')} AS "CDE_median",
+ {_EFFECT_P} FROM ra LEFT JOIN ef ON ef.type=ra.type AND ef.model=ra.model""")
 def _(spark, d):
-    f = flips(spark, d)
+    f = constant(spark, d)
     return rounded(CF.flip_summary(CF.flip_rates(f), CF.differential_effect(f)))
 
 
@@ -263,9 +295,26 @@ def _(spark, d):
     return rounded(CF.word_impact(CF.word_rows(bare(spark, d)), with_p=False))
 
 
-@q("word_impact_test")
+# Words with few rows, and words whose changes are all equal: 'severely' always 0.3, 'unprovoked' always 0.
+_RARE_CTE = f"""b0 AS ({_BARE}), b AS (SELECT * REPLACE (CASE WHEN modifier='severely' THEN 0.3::DOUBLE WHEN phrase='unprovoked' THEN 0::DOUBLE ELSE confidence_delta END AS confidence_delta,
+ CASE WHEN pert_idx=3 THEN concat('said ', CAST(event_id%60 AS STRING)) ELSE replacement END AS replacement) FROM b0)"""
+
+
+def rare(spark, d):
+    return bare(spark, d).withColumns({
+        "confidence_delta": F.when(F.col("success"), F.expr("CASE WHEN modifier='severely' THEN 0.3D WHEN phrase='unprovoked' THEN 0D ELSE confidence_delta END")),
+        "replacement": F.expr("CASE WHEN pert_idx=3 THEN concat('said ', CAST(event_id%60 AS STRING)) ELSE replacement END")})
+
+
+_TESTED = f"""{_RARE_CTE}, w AS (SELECT {_WORD} AS word, type AS category, confidence_delta AS v, label_flipped FROM b WHERE success),
+im AS (SELECT word, category, avg(v) AS dm, CASE WHEN min(v)=max(v) THEN 0 ELSE stddev_samp(v) END AS ds, count(*) AS n, avg(CAST(label_flipped AS INT)) AS fr,
+ CASE WHEN count(*)>1 THEN CASE WHEN min(v)=max(v) THEN CASE WHEN min(v)>0 THEN 'inf'::DOUBLE WHEN min(v)<0 THEN '-inf'::DOUBLE END ELSE avg(v)*sqrt(count(*))/stddev_samp(v) END END AS t FROM w GROUP BY 1,2),
+ip AS (SELECT *, CASE WHEN n>1 THEN {t_p_sql('t', '(n-1)')} ELSE 1 END AS p FROM im)"""
+
+
+@q("word_impact_test", f", {_TESTED} SELECT {_IMPACT_COLS}, {r6('p')} AS p_value, coalesce(p<0.05, false) AS significant FROM ip im")
 def _(spark, d):
-    return rounded(CF.word_impact(CF.word_rows(bare(spark, d))))
+    return rounded(CF.word_impact(CF.word_rows(rare(spark, d))))
 
 
 @q("word_types", """, w AS (SELECT coalesce(modifier,source,phrase,replacement) AS word, type, event_id, pert_idx FROM flips WHERE coalesce(modifier,source,phrase,replacement)<>''),
@@ -274,13 +323,14 @@ def _(spark, d):
     return CF.word_types(flips(spark, d))
 
 
-@q("ranked_words", f""", {_IMPACT}, ww AS (SELECT coalesce(modifier,source,phrase,replacement) AS word, type, event_id, pert_idx FROM flips WHERE coalesce(modifier,source,phrase,replacement)<>''),
+@q("ranked_words", f""", {_TESTED}, ww AS (SELECT coalesce(modifier,source,phrase,replacement) AS word, type, event_id, pert_idx FROM flips WHERE coalesce(modifier,source,phrase,replacement)<>''),
 z AS (SELECT word, type, row_number() OVER (PARTITION BY word ORDER BY event_id DESC, pert_idx DESC) AS rn FROM ww)
-SELECT im.word, category, type AS perturbation_type, CAST(n AS BIGINT) AS n_total, {r6('fr')} AS flip_rate FROM im LEFT JOIN (SELECT * FROM z WHERE rn=1) z ON z.word=im.word WHERE n>=10 AND NOT contains(lower(im.word),'did not')""")
+SELECT im.word, category, type AS perturbation_type, CAST(n AS BIGINT) AS n_total, {r6('fr')} AS flip_rate, {r6('p')} AS p_value,
+ CASE WHEN p<0.001 THEN '***' WHEN p<0.01 THEN '**' WHEN p<0.05 THEN '*' ELSE 'n.s.' END AS stars
+FROM ip im LEFT JOIN (SELECT * FROM z WHERE rn=1) z ON z.word=im.word WHERE (n>=10 OR p<0.05) AND NOT contains(lower(im.word),'did not')""")
 def _(spark, d):
-    f = bare(spark, d)
-    r = CF.ranked_words(CF.word_impact(CF.word_rows(f)).where("n_total >= 10"), CF.word_types(flips(spark, d)))
-    return rounded(r.select("word", "category", "perturbation_type", "n_total", "flip_rate"))
+    r = CF.ranked_words(CF.word_impact(CF.word_rows(rare(spark, d))), CF.word_types(flips(spark, d)))
+    return rounded(r.select("word", "category", "perturbation_type", "n_total", "flip_rate", "p_value", "stars"))
 
 
 @q("report_counters", """SELECT CAST(count(DISTINCT event_id) AS BIGINT) AS n_events, CAST(count(DISTINCT concat(event_id,'-',pert_idx)) AS BIGINT) AS n_perturbations_total,
@@ -313,7 +363,7 @@ def _(spark, d):
 @q("flipped_events", """, r AS (SELECT model, event_id, row_number() OVER (PARTITION BY model ORDER BY event_id) AS rn FROM (SELECT DISTINCT model, event_id FROM flips WHERE label_flipped))
 SELECT f.model, f.event_id, f.pert_idx FROM flips f JOIN r ON r.model=f.model AND r.event_id=f.event_id WHERE label_flipped AND rn<=50""")
 def _(spark, d):
-    return T.flipped_events(flips(spark, d)).select("model", "event_id", "pert_idx")
+    return T.flipped_events(flips(spark, d), 50).select("model", "event_id", "pert_idx")
 
 
 _BEFORE = """CASE WHEN (event_id+mi)%9=0 THEN NULL ELSE concat('Actors: the military and the civilians|Actions: ', notes, '|Rationale: label ', pred_label, ' fits the event') END"""

@@ -11,14 +11,18 @@ from ..operators.ranking import keep_one
 from . import schemas
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """CSV with header, quoted line breaks and a declared schema; columns are matched by the header."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+    """CSV with header and a declared schema; columns are matched by the header.
+
+    ``line_breaks`` allows them inside quotes, at the price of one task a file;
+    without, large files are split.
+    """
+    return (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("escape", '"')
             .option("enforceSchema", False).csv(path))
 
 
-def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.RAW_EVENTS)
+def read_raw_events(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    return read_csv(spark, path, schemas.RAW_EVENTS, line_breaks)
 
 
 def file_slug(path: Column, name_pattern: str) -> Column:
@@ -40,13 +44,13 @@ def path_sample_size(path: Column) -> Column:
 
 
 def read_model_results(spark: SparkSession, root: str, name_pattern: str, models: Sequence[str] | None = None,
-                       schema: T.StructType = schemas.PREDICTIONS, glob: str = "*.csv") -> DataFrame:
+                       schema: T.StructType = schemas.PREDICTIONS, glob: str = "*.csv", line_breaks: bool = True) -> DataFrame:
     """All per-model files under ``root`` in one read, with slug, source_file and file_time.
 
     Files whose name does not fit are left out; ``models`` keeps the listed
     model names (compared as slugs).
     """
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("escape", '"')
           .option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root))
     df = df.select("*", F.col("_metadata.file_path").alias("source_file"),
                    F.col("_metadata.file_modification_time").alias("file_time"),
@@ -67,6 +71,11 @@ def tag_from_path(df: DataFrame, path: str = "source_file") -> DataFrame:
     return df.withColumns({"country": path_country(F.col(path)), "sample_size": path_sample_size(F.col(path))})
 
 
+def read_event_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Nested results, one event on each line: files of any size are split, and no document has to fit in one task."""
+    return spark.read.schema(schemas.EVENT_RESULT).json(path)
+
+
 def read_counterfactuals(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Nested reports, one JSON document per file; the first file of each folder counts."""
     df = spark.read.schema(schemas.COUNTERFACTUAL_FILE).option("multiLine", True).json(path)

@@ -22,7 +22,8 @@ LAYOUT = ["country", "strategy", "sample_size", "num_examples", "model_dir"]
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        # Spark trims blanks around written values unless told not to.
+        w = w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.format(fmt).save(path)
 
 
