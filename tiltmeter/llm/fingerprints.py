@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.common import let
 from .common import narrow
 
-#: Where a text is cut: after line breaks, after the end of a sentence, and after words of fourteen or more characters, so that
-#: texts without punctuation have parts too. What is cut off depends on the text nearby only.
-BOUNDARY = r"\n+|(?<=[.!?]|\S{14})\s+"
+#: A paragraph: a line, or of a long line the next 120 characters up to the end of a sentence or of a long word, whichever comes
+#: first. Counting starts anew with every line, so an edit changes the paragraphs of its own line only.
+PARAGRAPH = r"[^\n]{120,}?(?:(?<=[.!?])|(?<=\S{14}))\s+|[^\n]+"
 #: Cells per subtable in the printed fingerprint. Cell numbers are low bits, so it is the fold of any larger sketch.
 PRINTED = 4
 TABLES = 3
@@ -30,8 +30,7 @@ COARSE = 256
 
 def paragraph_digests(text: Column) -> Column:
     """64-bit digests of the distinct paragraphs of a text."""
-    parts = F.filter(F.split(text, BOUNDARY), lambda p: F.length(p) > 0)
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
 
 
 def cell_of(digest: Column, table: Column | int, cells: Column | int) -> Column:
