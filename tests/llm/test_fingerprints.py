@@ -9,7 +9,7 @@ from tiltmeter.llm import fingerprints as G
 
 
 def paragraphs(text):
-    return {p.rstrip(" ") for p in re.findall(r"(?a)[^\n]{120,}?(?:(?<=[.!?])|(?<=\S{14}))\s+|[^\n]+", text)}
+    return {p.rstrip(" ") for p in re.findall(r"(?a)[^\n]{30,}?(?:(?<=[.!?])|(?<=\S{14}))\s+|[^\n]+", text)}
 
 
 def near(a, b):

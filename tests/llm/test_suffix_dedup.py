@@ -43,7 +43,7 @@ def test_documents(spark):
 
 
 def test_odd_rows(spark):
-    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(300))
+    long = "".join(random.Random(1).choices("abcdefgh ", k=300))
     rows = [(5, long), (5, long), (None, long), (6, None), (7, ""), (8, long[:99]), (9, long[50:150] + "!"), (10, "z" * 1000)]
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.repeats.n_removed, r.repeats.n_spans, len(r.text)) for r in S.remove_repeats(frame(spark, rows)).collect())
     # the null id sorts first, so both rows of id 5 repeat it; a run of one letter repeats itself from its second place on
@@ -51,7 +51,7 @@ def test_odd_rows(spark):
 
 
 def test_equal_rows_do_not_repeat_each_other(spark):
-    long = "".join(random.Random(2).choice("abcdefgh ") for _ in range(300))
+    long = "".join(random.Random(2).choices("abcdefgh ", k=300))
     got = [tuple(r.repeats)[:3] for r in S.remove_repeats(frame(spark, [(5, long), (5, long)])).collect()]
     assert got == [(300, 0, 0)] * 2
 
