@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, narrow, ranges, slices, worker_cache
+from .common import mix64, narrow, ranges, release, slices, worker_cache
 
 SPACE = 0x2581
 #: A literal U+2581 of a text must not look like a space, so it stands for a code point that no piece has.
@@ -15,7 +15,11 @@ LITERAL_SPACE_MARK = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SHARPNESS = 1.0
 SEED = 10
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Per character, in logarithms: about what a character of a common word costs.
+SCALE = 2.0
+#: Units from this many characters on are summed in logarithms.
+LONG = 48
 DECODED_IDS = 1 << 18
 
 
@@ -111,6 +115,13 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(n)])
 
 
+def joined(strings: pa.Array) -> str:
+    """All strings of an array without nulls, one after the other."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset:strings.offset + len(strings) + 1]
+    body = strings.buffers()[2]
+    return body.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes().decode() if body is not None and len(strings) else ""
+
+
 class Lattice:
     """Edges of the lattices of distinct units, with the chance of each edge among those that end where it ends."""
 
@@ -120,7 +131,7 @@ class Lattice:
         self.start = np.cumsum(length + 1) - (length + 1)  # nodes of a unit: before, between and after its characters
         self.end = self.start + length
         cp = np.full(int((length + 1).sum()), 0, np.uint64)
-        text = np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        text = np.frombuffer(joined(distinct).encode("utf-32-le"), np.uint32).astype(np.uint64)
         text = np.where(text == SPACE, np.uint64(LITERAL_SPACE_MARK), text)
         cp[ranges(self.start + 1, n_chars)] = text
         cp[self.start] = SPACE
@@ -131,9 +142,6 @@ class Lattice:
         sources, targets, found = [], [], []
         single = np.zeros(len(cp), bool)
         for n in range(1, pieces.longest + 1):
-            if n > 1:
-                fits = alive + n <= stop[alive]
-                alive, h = alive[fits], h[fits]
             h = (h + cp[alive + n - 1] + np.uint64(1)) * BASE
             h ^= h >> np.uint64(32)
             piece = pieces.prefixes.find(h * BASE)
@@ -142,7 +150,7 @@ class Lattice:
             sources.append(which), targets.append(which + n), found.append(piece[real])
             if n == 1:
                 single[which] = True
-            known = piece > -2
+            known = (piece > -2) & (alive + n < stop[alive])
             alive, h = alive[known], h[known]
         # Characters without a piece of their own: one edge that stands for their UTF-8 bytes.
         bare = at[~single[at]]
@@ -163,21 +171,40 @@ class Lattice:
             edge = place[to]
             src[edge], kind[edge] = a, piece
             place[to] += 1
-        weight = np.concatenate([pieces.weight, rare_weight])[kind]
-        # Forward filtering, character by character over all units that are long enough.
-        total = np.full(len(cp), -np.inf)
-        total[self.start] = 0.0
+        # Forward filtering, character by character over all units that are long enough. Weights are scaled by a constant per
+        # character, which leaves shares as they are and keeps sums of short units near 1; long units are summed in logarithms.
+        scale = np.concatenate([pieces.weight, rare_weight])[kind] + SCALE * (np.repeat(np.arange(len(cp)), degree) - src)
+        share = np.empty(n_edges)
         by_length = np.argsort(-length, kind="stable")
-        start, longer = self.start[by_length], np.searchsorted(-length[by_length], -np.arange(int(length.max(initial=0)) + 1), "right")
+        start, sizes = self.start[by_length], length[by_length]
+        n_long = int(np.searchsorted(-sizes, -LONG, "left"))
+        for part, size, logs in ((start[:n_long], sizes[:n_long], True), (start[n_long:], sizes[n_long:], False)):
+            self._filter(part, size, logs, scale, src, degree, share)
+        self.src, self.kind = src, kind
+        self.cumulated = np.cumsum(share)
+        self.before = np.concatenate([[0.0], self.cumulated])
+
+    def _filter(self, start, sizes, logs: bool, scale, src, degree, share) -> None:
+        """Fills in the share of each edge among those that end at its node, for units sorted by falling length."""
+        if not len(start):
+            return
+        every = ranges(start, sizes + 1)
+        weight = scale if logs else np.exp(scale)
+        total = np.full(len(degree), -np.inf if logs else 0.0)
+        total[start] = 0.0 if logs else 1.0
+        longer = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), "right")
         for k in range(1, len(longer)):
             nodes = start[:longer[k]] + k
             many = degree[nodes]
             edges = ranges(self.first_edge[nodes], many)
-            total[nodes] = np.logaddexp.reduceat(total[src[edges]] + weight[edges], np.cumsum(many) - many)
-        share = np.exp(total[src] + weight - np.repeat(total, degree))
-        self.src, self.kind = src, kind
-        self.cumulated = np.cumsum(share)
-        self.before = np.concatenate([[0.0], self.cumulated])
+            at = np.cumsum(many) - many
+            if logs:
+                total[nodes] = np.logaddexp.reduceat(total[src[edges]] + weight[edges], at)
+            else:
+                total[nodes] = np.add.reduceat(total[src[edges]] * weight[edges], at)
+        edges = ranges(self.first_edge[every], degree[every])
+        here = np.repeat(total[every], degree[every])
+        share[edges] = np.exp(total[src[edges]] + weight[edges] - here) if logs else total[src[edges]] * weight[edges] / here
 
     def sample(self, codes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Kinds of the sampled pieces of each unit (flat, in text order) and how many each unit has."""
@@ -215,6 +242,7 @@ def encode_batch(texts: pa.Array, keys: np.ndarray, pieces: Pieces, seed: int =
     """Sampled ids of each text; ``keys`` are 64-bit row keys."""
     values, ends, done = [], [np.zeros(1, np.int64)], 0
     for at, part in slices(texts, SLICE):
+        release()
         flat, offsets = units(part)
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -252,6 +280,7 @@ def decode_batch(ids: pa.Array, pieces: Pieces) -> pa.Array:
             text = raw[a:b].decode("utf-8", "replace")
             out.append(text[1:] if text.startswith(" ") else text)
         at = to
+    release()
     return pa.array(out, pa.string())
 
 
