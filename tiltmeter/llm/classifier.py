@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, narrow, ranges, word_hashes, word_slices
+from .common import mix64, narrow, ranges, release, tidy, word_hashes, word_slices
 
 #: Rows of the vector table. What a training document sends to the driver has at most as many entries.
 BUCKETS = 1 << 18
@@ -16,7 +16,9 @@ DIM = 8
 CHAR_GRAMS = (3, 4)
 #: Expected number of labelled documents that the model is fitted on, drawn by a hash of their id.
 TRAIN_ROWS = 4_000
+#: Passes over the training texts; few texts are passed over more often, until there are enough steps.
 EPOCHS = 6
+LEAST_STEPS = 6_000
 RATE = 0.25
 SEED = 8
 THRESHOLD = 0.3
@@ -86,6 +88,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     share = np.clip(np.bincount(labels, minlength=2) / max(len(labels), 1), 0.01, 0.99) if len(labels) else np.array([0.5, 0.5])
     bias = np.log(share).astype(np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // max(len(texts), 1))) if texts else 0
     steps, done = max(1, epochs * len(texts)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
@@ -149,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = narrow(documents, doc=key, text=F.col(f"`{text_col}`").cast("string"))
     joined = texts.join(F.broadcast(drawn), texts["doc"] == drawn["key"]).select(F.col("label"), F.xxhash64("key").alias("key"), "text")
-    got = joined.mapInArrow(_training_rows, "label int, key bigint, buckets binary, counts binary").toArrow()
+    got = joined.mapInArrow(tidy(_training_rows), "label int, key bigint, buckets binary, counts binary").toArrow()
     rows = sorted(zip(got.column("key").to_pylist(), got.column("buckets").to_pylist(), got.column("counts").to_pylist(), got.column("label").to_pylist()))
     return train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for _, b, c, _ in rows], np.array([r[3] for r in rows], np.int64), epochs, rate, seed)
 
@@ -171,6 +174,7 @@ def score(model: Model, text: str | Column = "text") -> Column:
             total = np.bincount(owner, weights=each[codes], minlength=n) + np.bincount(doc, weights=gains[pairs], minlength=n)
             features = np.bincount(owner, weights=many[codes], minlength=n) + np.bincount(doc, minlength=n)
             out.append(1 / (1 + np.exp(-(start + total / np.maximum(features, 1)))))
+        release()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return scored(F.col(text).cast("string") if isinstance(text, str) else text.cast("string"))
