@@ -19,7 +19,7 @@ from ..functions.tables import stored
 SLICE_BYTES = 4 << 20
 INNER = "__llm_"
 
-__all__ = ["stored", "narrow", "slices", "words", "word_slices", "worker_cache", "mix64", "word_hashes", "ranges", "INNER"]
+__all__ = ["stored", "narrow", "slices", "words", "word_slices", "worker_cache", "mix64", "word_hashes", "ranges", "release", "tidy", "INNER"]
 
 
 def narrow(df: DataFrame, **named: str | Column) -> DataFrame:
@@ -38,6 +38,29 @@ def worker_cache(name: str, make):
     return cache[name]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, and others need what it no longer uses."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
+def tidy(run):
+    """A function over batches that leaves no memory behind: functions travel by value, so each task brings its own copies."""
+    def wrapped(batches):
+        import gc
+        gc.collect()
+        try:
+            for out in run(batches):
+                yield out
+        finally:
+            release()
+    return wrapped
+
+
 def filled(texts: pa.Array) -> pa.Array:
     """Texts as a string array without nulls."""
     return pc.fill_null(texts.cast(pa.string()), "")

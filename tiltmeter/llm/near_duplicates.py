@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, narrow, ranges, slices, stored, word_hashes, words
+from .common import mix64, narrow, ranges, slices, stored, tidy, word_hashes, words
 from .components import connected
 
 #: 100 permutations give 200 values, the least and the greatest of each; 40 bands of 5. Two sets with similarity 0.8
@@ -127,7 +127,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, kind: str, size: int, similar
     first = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     second = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(first, "b").join(second, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_alike(size, similarity), f"a {kind}, b {kind}")
+    return both.mapInArrow(tidy(_alike(size, similarity)), f"a {kind}, b {kind}")
 
 
 def _short_sets(size: int):
@@ -219,9 +219,9 @@ def _torn_links(shared: DataFrame, parts: DataFrame, texts: DataFrame, kind: str
     rows = rows.select("key", "rep", "component", "outsider", "own", F.explode(where).alias("block"))
     rows = rows.select("key", "block", "rep", "component", "outsider", (F.col("own") == F.col("block")).alias("home"))
     short = (texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-             .mapInArrow(_short_sets(size), f"rep {kind}, short binary"))
+             .mapInArrow(tidy(_short_sets(size)), f"rep {kind}, short binary"))
     met = rows.join(short, "rep").repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home"))
-    return met.mapInArrow(_across(similarity, kind), f"a {kind}, b {kind}").filter("a <> b").distinct()
+    return met.mapInArrow(tidy(_across(similarity, kind)), f"a {kind}, b {kind}").filter("a <> b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: int = 80,
@@ -247,7 +247,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = narrow(df, doc_id=id_col, text=F.col(f"`{text_col}`").cast("string"))
     kind = dict(rows.dtypes)["doc_id"]
-    hashed = stored(rows.mapInArrow(_hashed(shingle_words, permutations, band_rows, seed),
+    hashed = stored(rows.mapInArrow(tidy(_hashed(shingle_words, permutations, band_rows, seed)),
                                     f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, bands array<bigint>"))
     classes = hashed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = hashed.select("doc_id", "n", "s1", "s2", "bands").join(

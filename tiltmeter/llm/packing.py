@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import narrow, ranges, slices, stored, worker_cache, words
+from .common import narrow, ranges, slices, stored, tidy, worker_cache, words
 
 CAPACITY = 4096
 END_ID = 1
@@ -20,7 +20,7 @@ WIDTH = 4
 NODES = 8_000
 #: Pieces of one length are ranked inside hash buckets of about this many.
 BUCKET_ROWS = 50_000
-CACHE_PARTS = 500_000
+CACHE_PARTS = 250_000
 
 
 # Tokens --------------------------------------------------------------------------------------
@@ -132,7 +132,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                                                  ["doc_id"] + [n for n, _ in fields])
 
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    return source.mapInArrow(cut, schema)
+    return source.mapInArrow(tidy(cut), schema)
 
 
 # Bin completion ------------------------------------------------------------------------------
@@ -378,4 +378,4 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+        tidy(place), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from .common import ranges, word_slices
+from .common import ranges, release, word_slices
 
 SYMBOLS = "[#*$%&|<>]"
 RESULT = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
@@ -139,5 +139,7 @@ def quality_rules(text: str | Column = "text", bands=BANDS, min_words: int = MIN
                 ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
                 ("n_repeat_words", pa.int64()), ("whole_ratio", pa.float64()), ("chunk_ratio", pa.float64()), ("base_failed", pa.bool_()),
                 ("kept", pa.bool_()))]))
-        return judge(texts, bands, min_words)
+        out = judge(texts, bands, min_words)
+        release()
+        return out
     return rules(F.col(text).cast("string") if isinstance(text, str) else text.cast("string"))

@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import INNER, filled, mix64, narrow, ranges, stored
+from .common import INNER, filled, mix64, narrow, ranges, stored, tidy, worker_cache
 
 LENGTH = 100
 GRAM = 32
 #: Contexts of one gram that one task sorts; grams with more are compared string by string, in as many tasks as needed.
 HOT = 250_000
 CHUNK_ROWS = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Longest stretch of one text that is handled at once; longer texts are handled in stretches that overlap by a string.
 STRETCH = 8 << 20
 PLACE_BITS = np.uint64(24)
@@ -44,8 +44,6 @@ LOWEST = -(1 << 63)
 class Prefix:
     """Prefix sums of byte · base^place (mod 2^64), so that any substring's hash is one difference."""
 
-    powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
     def __init__(self, data: np.ndarray, base: int):
         up, down = self.tables(len(data) + 1, base)
         self.down = down
@@ -55,17 +53,16 @@ class Prefix:
     @classmethod
     def tables(cls, n: int, base: int):
         """base^i and base^-i; the base is odd, so it has an inverse mod 2^64."""
-        have = cls.powers.get(base)
-        if have is None or len(have[0]) < n:
-            size = max(n, 1 << 20)
-            inverse = pow(base, -1, 1 << 64)
+        def make(size):
             tables = []
-            for b in (base, inverse):
+            for b in (base, pow(base, -1, 1 << 64)):
                 t = np.full(size, b, np.uint64)
                 t[0] = 1
                 tables.append(np.multiply.accumulate(t))
-            have = cls.powers[base] = tuple(tables)
-        return have
+            return tables
+
+        usual = SLICE + (SLICE >> 4)
+        return worker_cache(f"powers:{base}", lambda: make(usual)) if n <= usual else make(n)
 
     def hashes(self, start: np.ndarray, length) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.down[start]
@@ -412,26 +409,26 @@ def _keyed(df: DataFrame, others: list[str], id_col: str, text_col: str) -> Data
 def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc, tie, a, b): byte ranges that strings cover which also start earlier. Ranges of a text may overlap."""
     row = "doc bigint, tie bigint"
-    found = narrow(keyed, doc=DOC, tie=TIE, text=TEXT).mapInArrow(_find_anchors(length, gram), f"gram bigint, context bigint, {row}, place bigint")
+    found = narrow(keyed, doc=DOC, tie=TIE, text=TEXT).mapInArrow(tidy(_find_anchors(length, gram)), f"gram bigint, context bigint, {row}, place bigint")
     settled = stored(found.repartition("gram").sortWithinPartitions("gram", "context", "doc", "tie", "place")
-                     .mapInArrow(_settle(length), f"gram bigint, {row}, a bigint, b bigint"))
+                     .mapInArrow(tidy(_settle(length)), f"gram bigint, {row}, a bigint, b bigint"))
     whole = settled.filter("b >= 0").select("doc", "tie", "a", "b")
     unsettled = settled.filter("b < 0").select("gram", "doc", "tie", F.col("a").alias("place"))
 
     def contexts(places: DataFrame) -> DataFrame:
         wanted = places.groupBy(F.col("doc").alias(DOC), F.col("tie").alias(TIE)).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
         # All columns go into the Python step, so that this exchange of the texts is the one that the last join uses again.
-        return keyed.join(wanted, [DOC, TIE]).mapInArrow(_fetch(length), f"gram bigint, {row}, place bigint, bytes binary")
+        return keyed.join(wanted, [DOC, TIE]).mapInArrow(tidy(_fetch(length)), f"gram bigint, {row}, place bigint, bytes binary")
 
     def sorted_out(places: DataFrame) -> DataFrame:
         return (contexts(places).repartition("gram").sortWithinPartitions("gram", "doc", "tie", "place")
-                .mapInArrow(_sort_contexts(length), f"{row}, a bigint, b bigint"))
+                .mapInArrow(tidy(_sort_contexts(length)), f"{row}, a bigint, b bigint"))
 
     heavy = unsettled.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("gram")
     if heavy.isEmpty():
         return whole.union(sorted_out(unsettled))
     # Grams with more contexts than one task should hold.
-    strings = contexts(unsettled.join(heavy, "gram", "left_semi")).mapInArrow(_strings(length), f"h1 bigint, h2 bigint, {row}, start bigint")
+    strings = contexts(unsettled.join(heavy, "gram", "left_semi")).mapInArrow(tidy(_strings(length)), f"h1 bigint, h2 bigint, {row}, start bigint")
     firsts = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
     again = (strings.join(firsts, ["h1", "h2"]).filter(F.struct("doc", "tie", "start") > F.col("first"))
              .select("doc", "tie", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
@@ -495,4 +492,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = {f.name: f.dataType for f in df.schema.fields} | {text_col: T.StringType()}
     schema = T.StructType([T.StructField(c, types[c]) for c in others]
                           + [T.StructField(f"{INNER}result", T.StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))])
-    return keyed.join(found, [DOC, TIE], "left").mapInArrow(_cut(others, text_col), schema).withColumnRenamed(f"{INNER}result", result)
+    return keyed.join(found, [DOC, TIE], "left").mapInArrow(tidy(_cut(others, text_col)), schema).withColumnRenamed(f"{INNER}result", result)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import narrow, word_slices, worker_cache
+from .common import narrow, release, word_slices, worker_cache
 
 RESULT = "struct<n_words:bigint,n_tokens:bigint,n_unknown:bigint>"
 SLICE = 8 << 20
@@ -106,6 +106,7 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             tokens = np.where(unknown, 1, each)
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[codes])])[offsets]) for x in (tokens, unknown)]
             cols.append((np.diff(offsets), *sums))
+        release()
         joined = [np.concatenate([c[k] for c in cols]) if cols else np.empty(0, np.int64) for k in range(3)]
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in joined], ["n_words", "n_tokens", "n_unknown"])
 
