@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.common import let
 from .common import narrow
 
-#: A paragraph: a line, or of a long line the next 120 characters up to the end of a sentence or of a long word, whichever comes
+#: A paragraph: a line, or of a longer line 30 characters and more up to the end of a sentence or of a long word, whichever comes
 #: first. Counting starts anew with every line, so an edit changes the paragraphs of its own line only.
-PARAGRAPH = r"[^\n]{120,}?(?:(?<=[.!?])|(?<=\S{14}))\s+|[^\n]+"
+PARAGRAPH = r"[^\n]{30,}?(?:(?<=[.!?])|(?<=\S{14}))\s+|[^\n]+"
 #: Cells per subtable in the printed fingerprint. Cell numbers are low bits, so it is the fold of any larger sketch.
 PRINTED = 4
 TABLES = 3
@@ -64,9 +64,10 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     edges = [low, *[c + 1 for c in cuts], (high or 0) + 1] if n else [0, 1]
     inner = max(1, wanted // coarse)
     part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("key"))) if cuts else F.lit(0)
-    lows, widths = [F.lit(edges[:-1]).cast("array<decimal(20,0)>"), F.lit([max(1, b - a) for a, b in zip(edges, edges[1:])]).cast("array<decimal(20,0)>")]
+    # In doubles: a step may be a little off for ids beyond 2^53, but it still never falls as the key grows.
+    lows, widths = F.lit([float(a) for a in edges[:-1]]), F.lit([float(max(1, b - a)) for a, b in zip(edges, edges[1:])])
     rows = rows.withColumn("part", part)
-    step = F.floor((F.col("key").cast("decimal(20,0)") - F.get(lows, F.col("part"))).cast("double") * inner / F.get(widths, F.col("part")).cast("double"))
+    step = F.floor((F.col("key").cast("double") - F.get(lows, F.col("part"))) * inner / F.get(widths, F.col("part")))
     return rows.withColumn("bucket", (F.col("part") * inner + F.least(F.greatest(step, F.lit(0)), F.lit(inner - 1))).cast("int")).drop("part")
 
 
