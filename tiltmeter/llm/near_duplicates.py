@@ -257,6 +257,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = stored(buckets.join(ends, "key").select("key", "rep", "low", "high"))
     if (hashed.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > 1:
         rows = rows.dropDuplicates(["doc_id", "text"])
+    # Only documents that share a bucket are ever compared; their texts are set aside once.
+    rows = stored(rows.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     stars = (shared.select("rep", F.explode(F.array("low", "high")).alias("end")).filter("rep <> end")
              .select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct())
     links = stored(_confirmed(stars, rows, kind, shingle_words, similarity))
