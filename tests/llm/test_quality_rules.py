@@ -73,3 +73,53 @@ def test_long_text_is_judged_whole(spark):
 
 def test_empty_table(spark):
     assert empty(spark).select(quality_rules("text").alias("q")).count() == 0
+
+
+LICENCE = """Mozilla Public License Version 2.0
+==================================
+
+1. Definitions
+--------------
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.
+
+1.2. "Contributor Version"
+    means the combination of the Contributions of others (if any) used
+    by a Contributor and that particular Contributor's Contribution.
+
+1.3. "Contribution"
+    means Covered Software of a particular Contributor.
+
+1.4. "Covered Software"
+    means Source Code Form to which the initial Contributor has attached
+    the notice in Exhibit A, the Executable Form of such Source Code
+    Form, and Modifications of such Source Code Form, in each case
+    including portions thereof.
+
+1.5. "Incompatible With Secondary Licenses"
+    means
+
+    (a) that the initial Contributor has attached the notice described
+        in Exhibit B to the Covered Software; or
+
+    (b) that the Covered Software was made available under the terms of"""
+
+
+def test_real_prose_has_bands_of_its_own(spark):
+    import base64
+    import random
+
+    import zstandard
+
+    from tiltmeter.llm.quality_rules import REAL_PROSE, compression
+    menu = " ".join(f"{w} |" for w in "home news about contact terms privacy".split() for _ in range(60))
+    noise = base64.b64encode(random.Random(3).randbytes(900)).decode()
+    noise = " ".join(noise[i:i + 20] for i in range(0, len(noise), 20))
+    df = spark.createDataFrame([(1, LICENCE), (2, menu), (3, noise)], "doc_id bigint, text string")
+    got = {r.doc_id: r.q for r in df.select("doc_id", quality_rules("text", REAL_PROSE)["kept"].alias("q")).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    compress = zstandard.ZstdCompressor(level=3).compress
+    assert [compression(compress, x.encode(), REAL_PROSE)[2] for x in (LICENCE, menu, noise)] == [True, False, False]
+    assert not df.where("doc_id = 1").select(quality_rules("text")["kept"]).first()[0]
