@@ -123,3 +123,30 @@ def test_real_prose_has_bands_of_its_own(spark):
     compress = zstandard.ZstdCompressor(level=3).compress
     assert [compression(compress, x.encode(), REAL_PROSE)[2] for x in (LICENCE, menu, noise)] == [True, False, False]
     assert not df.where("doc_id = 1").select(quality_rules("text")["kept"]).first()[0]
+
+
+def test_every_part_of_a_text_is_judged(spark):
+    import base64
+    import random
+
+    import zstandard
+    from llm_odd import WORDS
+
+    from tiltmeter.llm.quality_rules import compression
+    rng = random.Random(11)
+    compress = zstandard.ZstdCompressor(level=3).compress
+    judged = lambda x: compression(compress, x, BANDS)[2]
+
+    def noise(n):
+        return b" ".join(base64.b64encode(rng.randbytes(45)) for _ in range(n // 61 + 1))[:n]
+    def word():
+        return rng.choice(WORDS) if rng.random() < 0.65 else "".join(rng.choices("etaoinshrdlcumwfgypbvk", range(22, 0, -1), k=rng.randint(2, 9)))
+    clean = " ".join(word() for _ in range(8_000)).encode()[:30_000]
+    assert judged(clean) and judged(clean[:3_950])
+    menu = b"home | news | about | contact | terms | privacy | " * 80
+    texts = {"clean": clean, "clean and short": clean[:3_950], "noise first": noise(790) + clean[:3_160], "noise last": clean[:3_160] + noise(790),
+             "noise inside": clean[:15_000] + noise(6_000) + clean[15_000:], "menu inside": clean[:16_384] + menu[:2_048] + clean[16_384:],
+             "menu last": clean[:26_000] + menu[:2_500]}
+    df = spark.createDataFrame([(k, v.decode()) for k, v in texts.items()], "name string, text string")
+    got = {r.name: r.kept for r in df.select("name", quality_rules("text")["kept"].alias("kept")).collect()}
+    assert got == {k: k.startswith("clean") for k in texts}

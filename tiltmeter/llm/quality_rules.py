@@ -23,11 +23,13 @@ class Bands:
     ``whole``: (log2 of the bytes, lowest, highest) points for the ratio of the whole
     text, joined by straight lines and level beyond the ends. ``chunks``: (chunk
     size, lowest, highest) for the mean ratio of the full chunks of a text; a text
-    is cut at the largest size that it can fill.
+    is cut at the largest size that it can fill. ``single``: how far above the
+    highest mean a chunk may lie by itself; none may lie below the lowest.
     """
 
     whole: tuple[tuple[float, float, float], ...]
     chunks: tuple[tuple[int, float, float], ...]
+    single: float = 0.05
 
     def whole_limits(self, n_bytes: int) -> tuple[float, float]:
         x, low, high = zip(*self.whole)
@@ -51,7 +53,7 @@ BANDS = Bands(
 REAL_PROSE = Bands(
     whole=((5, 0.5, 2.2), (8, 1.1, 2.2), (9, 1.2, 2.5), (9.5, 1.25, 2.7), (10, 1.4, 2.85), (10.5, 1.5, 2.95), (11, 1.55, 3.05), (11.5, 1.6, 3.1),
            (12, 1.65, 3.15), (12.5, 1.7, 3.2), (13, 1.75, 3.3), (13.5, 1.75, 3.55), (16, 1.9, 3.55), (18, 1.95, 3.6)),
-    chunks=((512, 1.3, 2.5), (1024, 1.45, 2.9), (2048, 1.6, 3.05)))
+    chunks=((512, 1.3, 2.5), (1024, 1.45, 2.9), (2048, 1.6, 3.05)), single=1.6)
 LEVEL = 3
 MIN_WORDS = 50
 
@@ -89,9 +91,10 @@ def _dup_lines(text: str) -> int:
 
 
 def compression(compress, raw: bytes, bands: Bands) -> tuple[float, float, bool]:
-    """(ratio of the whole, mean ratio of its full chunks, both inside their bands); 0, 0 and true for no bytes.
+    """(ratio of the whole, mean ratio of its full chunks, both and every chunk inside their bands); 0, 0 and true for no bytes.
 
-    A text that fills no chunk has its whole ratio as its chunk ratio.
+    What the full chunks leave at the end is judged with the bytes before it, as one more chunk
+    that counts by itself only. A text that fills no chunk has its whole ratio as its chunk ratio.
     """
     if not raw:
         return 0.0, 0.0, True
@@ -105,7 +108,9 @@ def compression(compress, raw: bytes, bands: Bands) -> tuple[float, float, bool]
     view = memoryview(raw)
     each = [size / len(compress(view[k:k + size])) for k in range(0, len(raw) - size + 1, size)]
     chunk = sum(each) / len(each)
-    return whole, chunk, fine and low <= chunk <= high
+    if len(raw) % size:
+        each.append(size / len(compress(view[len(raw) - size:])))
+    return whole, chunk, fine and low <= chunk <= high and low <= min(each) and max(each) <= high + bands.single
 
 
 def judge(texts: pa.Array, bands=BANDS, min_words: int = MIN_WORDS) -> pa.Array:
@@ -134,7 +139,8 @@ def quality_rules(text: str | Column = "text", bands=BANDS, min_words: int = MIN
 
     ``base_failed``: fewer than ``min_words`` words, or more than half of its words
     lie in three-word windows that the text has twice or more. ``kept``: not
-    base_failed, and both compression ratios inside the band for its length.
+    base_failed, both compression ratios inside the band for its length, and no
+    chunk of it, up to its last byte, outside by itself.
 
     Words are runs of anything but ASCII white space. A null text has no words, no
     ratio (0) and is base_failed, as is an empty one. Every row is judged alone, so
