@@ -150,3 +150,21 @@ def test_every_part_of_a_text_is_judged(spark):
     df = spark.createDataFrame([(k, v.decode()) for k, v in texts.items()], "name string, text string")
     got = {r.name: r.kept for r in df.select("name", quality_rules("text")["kept"].alias("kept")).collect()}
     assert got == {k: k.startswith("clean") for k in texts}
+
+
+def test_text_with_more_distinct_words_than_a_window_key_holds(spark):
+    from pyspark.sql import functions as F
+    n = (1 << 21) + 5_000
+    text = F.concat(F.expr(f"array_join(transform(sequence(1, {n}), i -> hex(i)), ' ')"), F.lit(" 1 2 3 4 5 1 9 3"))
+    r = spark.range(1).select(quality_rules(text).alias("q")).first().q
+    assert (r.n_words, r.n_repeat_words, r.base_failed) == (n + 8, 10, False)
+
+
+def test_keys_of_numbered_pairs_are_exact(monkeypatch):
+    import pyarrow as pa
+
+    from tiltmeter.llm import quality_rules as Q
+    texts = [t for _, t in documents()]
+    monkeypatch.setattr(Q, "MAX_KEY_CODES", 0)
+    got = Q.judge(pa.array(texts)).to_pylist()
+    assert [r["n_repeat_words"] for r in got] == [brute(t)[4] for t in texts]

@@ -56,6 +56,8 @@ REAL_PROSE = Bands(
     chunks=((512, 1.3, 2.5), (1024, 1.45, 2.9), (2048, 1.6, 3.05)), single=1.6)
 LEVEL = 3
 MIN_WORDS = 50
+#: Up to as many distinct words three codes make one 64-bit key.
+MAX_KEY_CODES = 1 << 21
 
 
 def _repeat_words(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,10 +68,11 @@ def _repeat_words(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(at):
         return np.zeros(len(n), np.int64)
     c = codes.astype(np.uint64)
-    bits = np.uint64(21)
-    if len(c) and int(c.max()) >= 1 << 21:
-        raise ValueError("a slice has too many distinct words for exact window keys")
-    key = (c[at] << (bits + bits)) | (c[at + 1] << bits) | c[at + 2]
+    n_codes = int(c.max()) + 1
+    pair = c[at] * np.uint64(n_codes) + c[at + 1]
+    if n_codes > MAX_KEY_CODES:  # three codes are too wide for a key; a number for each pair is not, as there are no more pairs than words
+        pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+    key = pair * np.uint64(n_codes) + c[at + 2]
     doc = np.searchsorted(offsets, starts, "right")
     order = np.lexsort((key, doc))
     same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
