@@ -137,7 +137,7 @@ def _(spark, d):
 
 
 def _valid(spark, d):
-    return PB.valid_variants(spread(events(spark, d).select("event_id", "notes")))
+    return PB.valid_variants(spread(rich_events(spark, d).select("event_id", "body")), "body")
 
 
 @q("valid_variants")
@@ -152,8 +152,10 @@ def _(spark, d):
 
 @q("validated_pairs")
 def _(spark, d):
-    e = spread(events(spark, d)).select("event_id", "notes", F.expr("CASE event_id%3 WHEN 0 THEN notes WHEN 1 THEN concat(notes, ' Then it was over.') ELSE substring(notes, 1, 30) END").alias("text"))
-    return rounded(PB.validate(e, "notes").drop("notes", "text"))
+    e = spread(rich_events(spark, d).select("event_id", "body"))
+    e = e.withColumn("text", F.expr("""CASE event_id%4 WHEN 0 THEN body WHEN 1 THEN concat(body, ' Then it was over.') WHEN 2 THEN left(body, CAST(length(body)*9/10 AS INT))
+        ELSE left(body, CAST(length(body)/2 AS INT)) END"""))
+    return rounded(PB.validate(e, "body").drop("body", "text"))
 
 
 def _by_length():
