@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, classifier, fingerprints, near_duplicates, packing, pieces_sampling, quality_rules, sharding, suffix_dedup, token_counts
+from . import chat, classifier, fingerprints, near_duplicates, packing, periodic_runs, pieces_sampling, quality_rules, sharding, suffix_dedup, token_counts
 
 Q: dict = {}
 O: dict = {}
@@ -120,6 +120,11 @@ def op10(spark, sf_dir):
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+@q("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periodic_runs.run_report(documents(spark, sf_dir), text=periodic_runs.repeated_tail(F.col("text"), F.col("doc_id")))
+
+
 def queries():
     return dict(Q)
 
