@@ -14,6 +14,9 @@ COLUMNS = {
     "op7": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op8": ["doc_id", "held_out", "score", "predicted"],
     "op9": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op11": ["lang", "source", "part", "item", "value", "rank"],
+    "op12": ["doc_id", "held_out", "lang_pred", "score"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
@@ -31,6 +34,6 @@ def test_query(spark, duck, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}
     import __spark_entry__ as e
     assert set(queries()) | {"pipeline"} <= set(e.queries())

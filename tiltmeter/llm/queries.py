@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, classifier, fingerprints, near_duplicates, packing, periodic_runs, pieces_sampling, quality_rules, sharding, suffix_dedup, token_counts
+from . import chat, classifier, fingerprints, near_duplicates, packing, periodic_runs, pieces_sampling, quality_rules, sharding, source_divergence, suffix_dedup, token_counts
 
 Q: dict = {}
 O: dict = {}
@@ -120,6 +120,30 @@ def op10(spark, sf_dir):
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+@q("op11_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS m FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, sum(m) AS total, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, w.source, w.term),
+x AS (SELECT g.lang, g.source, k.term, k.m, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY lang, source),
+p AS (SELECT x.lang, x.source, x.term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (t.total + 5 * v) AS BIGINT) AS p,
+  CAST(1 + (CAST(1000000000 AS HUGEINT) * (m + 5)) // (l.total + 5 * v) AS BIGINT) AS q
+  FROM x JOIN t ON x.lang = t.lang AND x.source = t.source JOIN l ON x.lang = l.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f) WHERE part = 'pair' OR rank <= 50""")
+def op11(spark, sf_dir):
+    return source_divergence.divergence(documents(spark, sf_dir))
+
+
 @q("op13_periodic_runs")
 def op13(spark, sf_dir):
     return periodic_runs.run_report(documents(spark, sf_dir), text=periodic_runs.repeated_tail(F.col("text"), F.col("doc_id")))
