@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, classifier, fingerprints, near_duplicates, packing, periodic_runs, pieces_sampling, quality_rules, sharding, source_divergence, suffix_dedup, token_counts
+from . import chat, classifier, fingerprints, language_id, near_duplicates, packing, periodic_runs, pieces_sampling, quality_rules, sharding, source_divergence, suffix_dedup, token_counts
 
 Q: dict = {}
 O: dict = {}
@@ -144,6 +144,12 @@ def op11(spark, sf_dir):
     return source_divergence.divergence(documents(spark, sf_dir))
 
 
+@q("op12_language_id")
+def op12(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language_id.language_of(docs, language_id.fit(docs))
+
+
 @q("op13_periodic_runs")
 def op13(spark, sf_dir):
     return periodic_runs.run_report(documents(spark, sf_dir), text=periodic_runs.repeated_tail(F.col("text"), F.col("doc_id")))
