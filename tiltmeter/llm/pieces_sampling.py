@@ -15,7 +15,7 @@ LITERAL_SPACE_MARK = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SHARPNESS = 1.0
 SEED = 10
-SLICE = 1 << 20
+SLICE = 3 << 20
 #: Per character, in logarithms: about what a character of a common word costs.
 SCALE = 2.0
 #: Units from this many characters on are summed in logarithms.
@@ -123,20 +123,32 @@ def joined(strings: pa.Array) -> str:
 
 
 class Lattice:
-    """Edges of the lattices of distinct units, with the chance of each edge among those that end where it ends."""
+    """Edges of the lattices of distinct units, with the chance of each edge among those that end where it ends.
+
+    Nodes are numbered by their place in the unit, then by falling length of the
+    unit, so that what a step of the filter reads and writes lies side by side.
+    """
 
     def __init__(self, distinct: pa.Array, pieces: Pieces):
         n_chars = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
         length = n_chars + 1
-        self.start = np.cumsum(length + 1) - (length + 1)  # nodes of a unit: before, between and after its characters
-        self.end = self.start + length
+        begin = np.cumsum(length + 1) - (length + 1)  # unit by unit: before, between and after its characters
+        by_length = np.argsort(-length, kind="stable")
+        rank = np.empty(len(length), np.int64)
+        rank[by_length] = np.arange(len(length))
+        # Units that have a place, and the first node of it; all units begin in the first ones.
+        reach = np.searchsorted(-length[by_length], -np.arange(int(length.max(initial=0)) + 1), "right")
+        base = np.cumsum(reach) - reach
+        self.n_units = len(length)
+        self.end = base[length] + rank
+        node = base[ranges(np.zeros(len(length), np.int64), length + 1)] + np.repeat(rank, length + 1)
         cp = np.full(int((length + 1).sum()), 0, np.uint64)
         text = np.frombuffer(joined(distinct).encode("utf-32-le"), np.uint32).astype(np.uint64)
         text = np.where(text == SPACE, np.uint64(LITERAL_SPACE_MARK), text)
-        cp[ranges(self.start + 1, n_chars)] = text
-        cp[self.start] = SPACE
-        stop = np.repeat(self.end, length + 1)
-        at = ranges(self.start, length)
+        cp[ranges(begin + 1, n_chars)] = text
+        cp[begin] = SPACE
+        stop = np.repeat(begin + length, length + 1)
+        at = ranges(begin, length)
         h = np.zeros(len(at), np.uint64)
         alive = at
         sources, targets, found = [], [], []
@@ -147,7 +159,7 @@ class Lattice:
             piece = pieces.prefixes.find(h * BASE)
             real = piece >= 0
             which = alive[real]
-            sources.append(which), targets.append(which + n), found.append(piece[real])
+            sources.append(node[which]), targets.append(node[which + n]), found.append(piece[real])
             if n == 1:
                 single[which] = True
             known = (piece > -2) & (alive + n < stop[alive])
@@ -155,7 +167,7 @@ class Lattice:
         # Characters without a piece of their own: one edge that stands for their UTF-8 bytes.
         bare = at[~single[at]]
         self.rare, code = np.unique(cp[bare], return_inverse=True)
-        sources.append(bare), targets.append(bare + 1), found.append(pieces.size + code)
+        sources.append(node[bare]), targets.append(node[bare + 1]), found.append(pieces.size + code)
         self.rare_bytes = [chr(SPACE if c == LITERAL_SPACE_MARK else int(c)).encode("utf-8", "surrogatepass") for c in self.rare.tolist()]
         rare_weight = np.array([len(b) * pieces.byte_weight for b in self.rare_bytes])
         # Edges in order of the node they end at. No node has two edges of one length, so each length is dealt out at once;
@@ -173,39 +185,29 @@ class Lattice:
             place[to] += 1
         # Forward filtering, character by character over all units that are long enough. Weights are scaled by a constant per
         # character, which leaves shares as they are and keeps sums of short units near 1; long units are summed in logarithms.
-        scale = np.concatenate([pieces.weight, rare_weight])[kind] + SCALE * (np.repeat(np.arange(len(cp)), degree) - src)
-        share = np.empty(n_edges)
-        by_length = np.argsort(-length, kind="stable")
-        start, sizes = self.start[by_length], length[by_length]
-        n_long = int(np.searchsorted(-sizes, -LONG, "left"))
-        for part, size, logs in ((start[:n_long], sizes[:n_long], True), (start[n_long:], sizes[n_long:], False)):
-            self._filter(part, size, logs, scale, src, degree, share)
+        place = np.repeat(np.arange(len(reach)), reach)
+        scale = np.concatenate([pieces.weight, rare_weight])[kind] + SCALE * (np.repeat(place, degree) - place[src])
+        share, total = np.empty(n_edges), np.empty(len(cp))
+        n_long = int(np.searchsorted(-length[by_length], -LONG, "left"))
+        total[:n_long], total[n_long:self.n_units] = 0.0, 1.0
+        for first, n in zip(base[1:].tolist(), reach[1:].tolist()):
+            for logs, a, b in ((True, first, first + min(n, n_long)), (False, first + min(n, n_long), first + n)):
+                if a == b:
+                    continue
+                edges = slice(int(self.first_edge[a]), int(self.last_edge[b - 1]) + 1)
+                into, many = self.first_edge[a:b] - edges.start, degree[a:b]
+                if logs:
+                    way = total[src[edges]] + scale[edges]
+                    total[a:b] = np.logaddexp.reduceat(way, into)
+                    share[edges] = np.exp(way - np.repeat(total[a:b], many))
+                else:
+                    way = total[src[edges]] * np.exp(scale[edges])
+                    total[a:b] = np.add.reduceat(way, into)
+                    share[edges] = way / np.repeat(total[a:b], many)
         self.src, self.kind = src, kind
         self.cumulated = np.cumsum(share)
         self.before = np.concatenate([[0.0], self.cumulated])
 
-    def _filter(self, start, sizes, logs: bool, scale, src, degree, share) -> None:
-        """Fills in the share of each edge among those that end at its node, for units sorted by falling length."""
-        if not len(start):
-            return
-        every = ranges(start, sizes + 1)
-        weight = scale if logs else np.exp(scale)
-        total = np.full(len(degree), -np.inf if logs else 0.0)
-        total[start] = 0.0 if logs else 1.0
-        longer = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), "right")
-        for k in range(1, len(longer)):
-            nodes = start[:longer[k]] + k
-            many = degree[nodes]
-            edges = ranges(self.first_edge[nodes], many)
-            at = np.cumsum(many) - many
-            if logs:
-                total[nodes] = np.logaddexp.reduceat(total[src[edges]] + weight[edges], at)
-            else:
-                total[nodes] = np.add.reduceat(total[src[edges]] * weight[edges], at)
-        edges = ranges(self.first_edge[every], degree[every])
-        here = np.repeat(total[every], degree[every])
-        share[edges] = np.exp(total[src[edges]] + weight[edges] - here) if logs else total[src[edges]] * weight[edges] / here
-
     def sample(self, codes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Kinds of the sampled pieces of each unit (flat, in text order) and how many each unit has."""
         node = self.end[codes].copy()
@@ -225,7 +227,7 @@ class Lattice:
                 on = on[(self.cumulated[edge[on]] <= goal[on]) & (edge[on] < high[on])]
             steps.append(at), kinds.append(self.kind[edge])
             node = self.src[edge]
-            more = node > self.start[codes[at]]
+            more = node >= self.n_units
             at, node = at[more], node[more]
             k += 1
         count = np.zeros(len(codes), np.int64)
