@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import mix64, narrow, ranges, release, tidy, word_hashes, word_slices
 
-#: Rows of the vector table. What a training document sends to the driver has at most as many entries.
+#: Bytes of text whose features are held at a time.
+SLICE = 1 << 20
+#: Rows of the vector table. A training document has at most as many entries.
 BUCKETS = 1 << 18
 DIM = 8
 CHAR_GRAMS = (3, 4)
@@ -113,7 +115,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
 def _training_rows(batches):
     """doc buckets and counts of whole texts, as bytes."""
     for batch in batches:
-        for at, _, codes, distinct, offsets in word_slices(batch.column("text")):
+        for at, _, codes, distinct, offsets in word_slices(batch.column("text"), SLICE):
             hashes = word_hashes(distinct)
             flat, many = word_features(distinct, hashes)
             first = np.cumsum(many) - many
@@ -140,7 +142,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """A model of ``label_col`` (0 or 1), from labelled rows that are not held out.
 
     About ``train_rows`` of them are drawn by a hash of the id; with fewer, all are
-    used. Each sends its distinct buckets to the driver, never its text. Labels that
+    used. Their distinct buckets, never their texts, meet in one task that learns from
+    them; the driver gets the model. Labels that
     are null or not 0/1 and ids that are null are ignored; an id with several labels
     counts with the smallest. Without any label the model scores every text 0.5.
     """
@@ -152,9 +155,18 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = narrow(documents, doc=key, text=F.col(f"`{text_col}`").cast("string"))
     joined = texts.join(F.broadcast(drawn), texts["doc"] == drawn["key"]).select(F.col("label"), F.xxhash64("key").alias("key"), "text")
-    got = joined.mapInArrow(tidy(_training_rows), "label int, key bigint, buckets binary, counts binary").toArrow()
-    rows = sorted(zip(got.column("key").to_pylist(), got.column("buckets").to_pylist(), got.column("counts").to_pylist(), got.column("label").to_pylist()))
-    return train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for _, b, c, _ in rows], np.array([r[3] for r in rows], np.int64), epochs, rate, seed)
+    features = joined.mapInArrow(tidy(_training_rows), "label int, key bigint, buckets binary, counts binary")
+
+    def learned(batches):
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "buckets", "counts", "label"))))
+        model = train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for _, b, c, _ in rows], np.array([r[3] for r in rows], np.int64), epochs, rate, seed)
+        yield pa.RecordBatch.from_pylist([{"vectors": model.vectors.tobytes(), "out": model.out.tobytes(), "bias": model.bias.tobytes(), "n": model.trained_on}],
+                                         pa.schema([("vectors", pa.binary()), ("out", pa.binary()), ("bias", pa.binary()), ("n", pa.int64())]))
+
+    # One task, as gradient steps follow each other; it holds the bounded sample, and another executor can take it over.
+    got = features.repartition(1).mapInArrow(tidy(learned), "vectors binary, out binary, bias binary, n bigint").first()
+    vectors, out, bias = (np.frombuffer(got[c], np.float32) for c in ("vectors", "out", "bias"))
+    return Model(vectors.reshape(BUCKETS, DIM), out.reshape(DIM, 2), bias, got["n"])
 
 
 def score(model: Model, text: str | Column = "text") -> Column:
@@ -164,7 +176,7 @@ def score(model: Model, text: str | Column = "text") -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         out = []
-        for _, _, codes, distinct, offsets in word_slices(texts):
+        for _, _, codes, distinct, offsets in word_slices(texts, SLICE):
             hashes = word_hashes(distinct)
             flat, many = word_features(distinct, hashes)
             each = np.bincount(np.repeat(np.arange(len(many)), many), weights=gains[flat], minlength=len(many))

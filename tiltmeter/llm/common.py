@@ -30,17 +30,30 @@ def narrow(df: DataFrame, **named: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in named.items()])
 
 
+#: A kept value that no task asked for during so many releases is let go.
+IDLE_RELEASES = 2
+
+
 def worker_cache(name: str, make):
-    """A value made once per Python worker process and kept for its later tasks."""
-    cache = sys.__dict__.setdefault("_tiltmeter_llm", {})
-    if name not in cache:
-        cache[name] = make()
-    return cache[name]
+    """A value made once per Python worker process and kept for its later tasks, until other work goes on without it.
+
+    A worker outlives the stage that it was started for; what only earlier stages
+    need must not stay beside what the next ones do.
+    """
+    held = sys.__dict__.setdefault("_tiltmeter_llm", {"clock": 0, "values": {}})
+    entry = held["values"].get(name) or [make(), 0]
+    entry[1] = held["clock"]
+    held["values"][name] = entry
+    return entry[0]
 
 
 def release() -> None:
-    """Gives freed memory back to the system: a worker lives on between tasks, and others need what it no longer uses."""
+    """Gives freed memory back to the system, and lets go of kept values that are not used any more."""
     import ctypes
+    held = sys.__dict__.setdefault("_tiltmeter_llm", {"clock": 0, "values": {}})
+    held["clock"] += 1
+    for name in [n for n, (_, used) in held["values"].items() if held["clock"] - used > IDLE_RELEASES]:
+        del held["values"][name]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -53,6 +66,7 @@ def tidy(run):
     def wrapped(batches):
         import gc
         gc.collect()
+        release()
         try:
             for out in run(batches):
                 yield out

@@ -244,7 +244,6 @@ def encode_batch(texts: pa.Array, keys: np.ndarray, pieces: Pieces, seed: int =
     """Sampled ids of each text; ``keys`` are 64-bit row keys."""
     values, ends, done = [], [np.zeros(1, np.int64)], 0
     for at, part in slices(texts, SLICE):
-        release()
         flat, offsets = units(part)
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -262,6 +261,8 @@ def encode_batch(texts: pa.Array, keys: np.ndarray, pieces: Pieces, seed: int =
         by_kind = np.concatenate([[0], np.cumsum(took)])
         ends.append(by_kind[by_unit[offsets[1:]]] + done)
         done += int(by_kind[-1])
+        del lattice, kinds, codes, coded, flat
+    release()
     flat = np.concatenate(values) if values else np.empty(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(flat, pa.int32()))
 
@@ -282,7 +283,6 @@ def decode_batch(ids: pa.Array, pieces: Pieces) -> pa.Array:
             text = raw[a:b].decode("utf-8", "replace")
             out.append(text[1:] if text.startswith(" ") else text)
         at = to
-    release()
     return pa.array(out, pa.string())
 
 
