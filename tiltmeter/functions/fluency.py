@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections import Counter
-from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import strip
 
@@ -33,7 +35,148 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.least(F.length(a), F.length(b)) * 2.0 / F.greatest(n, F.lit(1))).otherwise(1.0)
 
 
-def ratio(a: str, b: str, above: float = -1.0) -> float | None:
+#: In a second text of this many letters, a letter that makes up more than one in a hundred starts no block.
+LONG_TEXT = 200
+
+
+def _shared(a: str, i: int, b: str, j: int, most: int, step: int) -> int:
+    """Equal letters of ``a`` from i and of ``b`` from j on (step 1) or before i and j (step -1), at most ``most``."""
+    low, high = 0, most
+    while low < high:
+        n = (low + high + 1) // 2 if high < most or low else high  # all of it first
+        if (a[i + low:i + n] == b[j + low:j + n]) if step > 0 else (a[i - n:i - low] == b[j - n:j - low]):
+            low = n
+        else:
+            high = n - 1
+    return low
+
+
+class _Stretches:
+    """Stretches of starting letters of a text, and the first longest of any neighbouring ones: levels over 1, 2, 4, … of them."""
+
+    def __init__(self, a: str, letters: str):
+        found = re.finditer("[" + re.escape(letters) + "]+", a) if letters else ()
+        spans = [m.span() for m in found]
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+        self.lengths = [e - s for s, e in spans]
+        size, levels = np.array(self.lengths, np.int64), [np.arange(len(spans))]
+        while 2 ** len(levels) <= len(spans):
+            half, last = 2 ** (len(levels) - 1), levels[-1]
+            left, right = last[:-half], last[half:]
+            levels.append(np.where(size[left] >= size[right], left, right))
+        self.levels = [x.tolist() for x in levels]
+
+    def longest(self, lo: int, hi: int) -> int:
+        """The first longest of the stretches lo, …, hi - 1."""
+        k = (hi - lo).bit_length() - 1
+        x, y = self.levels[k][lo], self.levels[k][hi - 2 ** k]
+        return x if self.lengths[x] >= self.lengths[y] else y
+
+    def within(self, alo: int, ahi: int, size: int):
+        """(start, end) of the stretches of a range, cut at its ends, that have ``size`` letters there, in order."""
+        lo, hi = bisect.bisect_right(self.ends, alo), bisect.bisect_left(self.starts, ahi)
+        if lo >= hi:
+            return
+        first, last = (max(alo, self.starts[lo]), min(ahi, self.ends[lo])), (max(alo, self.starts[hi - 1]), min(ahi, self.ends[hi - 1]))
+        if first[1] - first[0] >= size:
+            yield first
+        todo = [(lo + 1, hi - 1)]
+        while todo:
+            x, y = todo.pop()
+            if x < 0:
+                yield self.starts[y], self.ends[y]
+            elif x < y:
+                m = self.longest(x, y)
+                if self.lengths[m] >= size:
+                    todo += [(m + 1, y), (-1, m), (x, m)]
+        if hi - 1 > lo and last[1] - last[0] >= size:
+            yield last
+
+    def whole(self, alo: int, ahi: int) -> tuple[int, int] | None:
+        """(start, letters) of the first longest stretch of a range, cut at its ends."""
+        lo, hi = bisect.bisect_right(self.ends, alo), bisect.bisect_left(self.starts, ahi)
+        if lo >= hi:
+            return None
+        s = max(alo, self.starts[lo])
+        best = s, min(ahi, self.ends[lo]) - s
+        if hi - lo > 2:
+            m = self.longest(lo + 1, hi - 1)
+            if self.lengths[m] > best[1]:
+                best = self.starts[m], self.lengths[m]
+        if hi - lo > 1:
+            s = self.starts[hi - 1]
+            if min(ahi, self.ends[hi - 1]) - s > best[1]:
+                best = s, min(ahi, self.ends[hi - 1]) - s
+        return best
+
+
+def _longest_block(a: str, b: str, stretches: _Stretches, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int] | None:
+    """(place in a, place in b, letters) of the longest string of starting letters in both ranges, first in a, then first in b.
+
+    The first longest stretch of starting letters in a is looked for whole first:
+    texts that differ by one edit have it in common. Otherwise the length is halved,
+    as a string that is shared shares all its parts.
+    """
+    top = stretches.whole(alo, ahi)
+    if top is None:
+        return None
+    i, size = top
+    j = b.find(a[i:i + size], blo, bhi)
+    if j >= 0:
+        return i, j, size
+
+    def first(size):
+        seen = set()
+        for s, e in stretches.within(alo, ahi, size):
+            for i in range(s, e - size + 1):
+                w = a[i:i + size]
+                if w not in seen:
+                    seen.add(w)
+                    j = b.find(w, blo, bhi)
+                    if j >= 0:
+                        return i, j, size
+        return None
+
+    low, high, best = 0, size, None
+    while low < high:
+        size = (low + high + 1) // 2
+        block = first(size)
+        if block:
+            low, best = size, block
+        else:
+            high = size - 1
+    return best
+
+
+def matched_letters(a: str, b: str, memo: dict | None = None) -> int:
+    """Letters in the blocks of Ratcliff and Obershelp: the longest block, then the same on both sides of it.
+
+    A block starts from letters that are not frequent in ``b`` (in a short text all
+    of them are not) and is then carried on over equal letters both ways. ``memo``
+    serves calls with the same ``a``.
+    """
+    starting = set(b)
+    if len(b) >= LONG_TEXT:
+        counts = Counter(b) if len(starting) > 100 else {c: b.count(c) for c in starting}
+        starting = [c for c, n in counts.items() if n <= len(b) // 100 + 1]
+    letters, memo = "".join(sorted(starting)), {} if memo is None else memo
+    stretches = memo.get(letters) or memo.setdefault(letters, _Stretches(a, letters))
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        i, j, n = _longest_block(a, b, stretches, alo, ahi, blo, bhi) or (alo, blo, 0)
+        back = _shared(a, i, b, j, min(i - alo, j - blo), -1)
+        i, j, n = i - back, j - back, n + back
+        n += _shared(a, i + n, b, j + n, min(ahi - i - n, bhi - j - n), 1)
+        if n:
+            total += n
+            todo += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+    return total
+
+
+def ratio(a: str, b: str, above: float = -1.0, memo: dict | None = None) -> float | None:
     """Ratcliff–Obershelp ratio of two texts, or None if it cannot be more than ``above``.
 
     The letters that both texts have, counted with repeats, are an upper limit of
@@ -44,36 +187,55 @@ def ratio(a: str, b: str, above: float = -1.0) -> float | None:
         return 1.0
     if a == b:
         return 1.0
-    if above >= 0 and 2.0 * sum((Counter(a) & Counter(b)).values()) / total <= above:
+    least = min(len(a), len(b))
+    if above >= 0 and 2.0 * least / total <= above:
+        return None
+    ends = _shared(a, 0, b, 0, least, 1)
+    ends += _shared(a, len(a), b, len(b), least - ends, -1)
+    if above >= 0 and 2.0 * ends / total <= above and 2.0 * sum((Counter(a) & Counter(b)).values()) / total <= above:
         return None
-    return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * matched_letters(a, b, memo) / total
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Ratcliff–Obershelp ratio of two whole texts."""
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return pa.array([ratio(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
 
+RATIOS = T.ArrayType(T.ArrayType(T.DoubleType()))
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def first_valid_similarities(original: pd.Series, candidates: pd.Series, most: pd.Series) -> pd.Series:
+
+def first_valid_similarities(text: str, lists: list[list[str]], most: int) -> list[list[float | None]]:
     """For each list of candidates, the similarity of the first ``most`` valid ones, null for the others."""
-    low = 1.0 - MAX_DISTANCE
-    out = []
-    for text, lists, limit in zip(original, candidates, most):
-        row = []
-        for texts in lists:
-            kept, ratios = 0, []
-            for t in texts:
-                r = None
-                if kept < limit:
-                    v = ratio(text, t, low)
-                    if v is not None and low < v < 1.0:
-                        r, kept = v, kept + 1
-                ratios.append(r)
-            row.append(ratios)
-        out.append(row)
-    return pd.Series(out)
+    low, out, memo = 1.0 - MAX_DISTANCE, [], {}
+    for texts in lists:
+        kept, ratios = 0, []
+        for t in texts:
+            v = ratio(text, t, low, memo) if kept < most else None
+            valid = v is not None and low < v < 1.0
+            kept += valid
+            ratios.append(v if valid else None)
+        out.append(ratios)
+    return out
+
+
+def with_similarities(df: DataFrame, text: str, lists: str, result: str, most: int) -> DataFrame:
+    """Adds the similarities of every candidate (a struct with ``text``) to the row's text, and drops that text.
+
+    The candidates of a row are made once: rows go through Python and back, instead
+    of being made once for Python and once more for what follows.
+    """
+    def rows(batches):
+        for batch in batches:
+            texts, found = batch.column(text), batch.column(lists)
+            values = [first_valid_similarities(t.as_py(), [[x["text"].as_py() for x in one.values] if len(one) else [] for one in c.values], most)
+                      for t, c in zip(texts, found)]
+            names = [n for n in batch.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values, pa.list_(pa.list_(pa.float64())))], [*names, result])
+
+    kept = [f for f in df.schema.fields if f.name != text]
+    return df.mapInArrow(rows, T.StructType([*kept, T.StructField(result, RATIOS)]))
 
 
 def validity(ratio: Column, fluency: Column) -> dict[str, Column]:

@@ -172,8 +172,7 @@ def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int |
 
     lists = [F.filter(_tagged(n, t, lambda v: fluency.grammaticality(v["text"]).alias("fluency_score")), plausible) for n in GENERATORS]
     d = df.where(t.isNotNull()).select(*keep, t.alias("_text"), F.array(*lists).alias("_lists"))
-    d = d.withColumn("_r", fluency.first_valid_similarities(
-        "_text", F.transform("_lists", lambda a: F.transform(a, lambda x: x["text"])), F.lit(max_per_generator or 2147483647)))
+    d = fluency.with_similarities(d, "_text", "_lists", "_r", max_per_generator or 2147483647)
     flat = F.flatten(F.zip_with("_lists", "_r", lambda a, r: F.zip_with(a, r, lambda x, y: F.struct(
         x.alias("v"), y.alias("edit_distance_ratio")))))
     kept = F.filter(flat, lambda x: x["edit_distance_ratio"].isNotNull())
