@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import exact
 from ..functions.labels import significance_stars
 from ..functions.stats import signed_rank_is_exact, signed_rank_p, t_p
 from ..functions.tables import control_table, stored
@@ -32,13 +33,17 @@ def t_of_mean(mean: Column, deviation: Column, n: Column, low: Column, high: Col
 def _flip_columns() -> list[Column]:
     d = F.col("confidence_delta")
     return [F.avg(F.col("label_flipped").cast("double")).alias("flip_rate"), F.count(F.lit(1)).alias("n_perturbations"),
-            F.avg(d).alias("mean_confidence_delta"), F.stddev_pop(d).alias("std_confidence_delta"),
-            F.avg(F.abs(d)).alias("mean_abs_confidence_delta")]
+            exact.moments(d).alias("_d"), exact.moments(F.abs(d), squares=False).alias("_a")]
+
+
+def _flip_rates(aggregated: DataFrame) -> DataFrame:
+    return aggregated.withColumns({"mean_confidence_delta": exact.mean(F.col("_d")), "std_confidence_delta": exact.deviation(F.col("_d")),
+                                   "mean_abs_confidence_delta": exact.mean(F.col("_a"))}).drop("_d", "_a")
 
 
 def flip_rates(flips: DataFrame, by: Sequence[str] = ("type", "model")) -> DataFrame:
-    """Flip rate, count, mean / population deviation / mean size of the confidence change."""
-    return measured(flips).groupBy(*by).agg(*_flip_columns())
+    """Flip rate, count, mean / population deviation / mean size of the confidence change, the same in any order of rows."""
+    return _flip_rates(measured(flips).groupBy(*by).agg(*_flip_columns()))
 
 
 def flip_rates_by_tier(flips: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def flip_rates_by_tier(flips: DataFrame) -> DataFrame:
     g = m.groupingSets([["tier", "type", "model"], ["type", "model"]], "tier", "type", "model")
     out = g.agg(F.grouping("tier").alias("_g"), *_flip_columns())
     out = out.withColumn("tier", F.when(F.col("_g") == 1, "all").otherwise(F.col("tier"))).drop("_g")
-    return out.where(F.col("tier").isin(*TIERS, "all"))
+    return _flip_rates(out.where(F.col("tier").isin(*TIERS, "all")))
 
 
 def tier_event_counts(flips: DataFrame) -> DataFrame:
@@ -70,8 +75,9 @@ def differential_effect(flips: DataFrame, by: Sequence[str] = ("type", "model"),
     by = list(by)
     d = flips.where(F.col("success") & F.col("confidence_delta").isNotNull())
     x = F.col("confidence_delta")
-    basic = control_table(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg(x).alias("CDE_mean"),
-                               F.stddev_pop(x).alias("CDE_std"), F.stddev_samp(x).alias("_s"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    basic = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), exact.moments(x).alias("_m"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    basic = control_table(basic.withColumns({"CDE_mean": exact.mean(F.col("_m")), "CDE_std": exact.deviation(F.col("_m")),
+                                             "_s": exact.deviation(F.col("_m"), sample=True)}).drop("_m"))
     values = stored(d.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n")))
 
     def position(v: DataFrame, key: str) -> DataFrame:
@@ -178,11 +184,13 @@ def word_rows(flips: DataFrame, lead_words: int | None = 5) -> DataFrame:
 
 
 def word_impact(words: DataFrame, with_p: bool = True) -> DataFrame:
-    """Effect of each (word, category) across events and models, strongest first."""
+    """Effect of each (word, category) across events and models, strongest first; the same in any order of rows."""
     x = F.col("confidence_delta")
     a = words.groupBy("word", "category").agg(
-        F.avg(x).alias("delta_mean"), F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.stddev_samp(x)).alias("delta_std"),
-        F.count(F.lit(1)).alias("count"), F.avg(F.col("label_flipped").cast("double")).alias("flip_rate"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        exact.moments(x).alias("_m"), F.count(F.lit(1)).alias("count"), F.avg(F.col("label_flipped").cast("double")).alias("flip_rate"),
+        F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    a = a.select("word", "category", exact.mean(F.col("_m")).alias("delta_mean"), exact.deviation(F.col("_m"), sample=True).alias("delta_std"),
+                 "count", "flip_rate", "_lo", "_hi").withColumn("delta_std", F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.col("delta_std")))
     a = a.withColumns({"n_total": F.col("count"), "score_shift_pct": F.col("delta_mean") * 100.0})
     a = a.withColumn("impact_magnitude", F.abs("score_shift_pct") * F.sqrt(F.col("count").cast("double")))
     if with_p:
