@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 #: numpy draws hypergeometric counts for fewer rows than this.
@@ -170,3 +171,51 @@ def permutation_gap_p(replicates: int, seed: int):
         return p.where(p.notna(), None)
 
     return p_value
+
+
+#: Standard deviations on both sides of the mode beyond which a hypergeometric law has no weight that a double could add.
+SUPPORT = 45
+
+
+def hypergeometric_gap_p(n_a: int, k_a: int, n_b: int, k_b: int) -> float | None:
+    """Chance that shuffling n_a + n_b marks, k_a + k_b of them hits, sets the two rates at least as far apart as they are.
+
+    The weights of the law follow each other by a ratio; they are summed outward from
+    the mode, within its effective support, so there is no draw and no largest size.
+    Which counts are as far apart is decided in whole numbers. None with ten marks or
+    fewer, or when a group is empty.
+    """
+    n, k = n_a + n_b, k_a + k_b
+    if n <= 10 or n_a == 0 or n_b == 0:
+        return None
+    least, most = max(0, n_a - (n - k)), min(n_a, k)
+    gap = abs(k_a * n - k * n_a)
+    if gap == 0 or least == most:
+        return 1.0
+    mode = min(max((n_a + 1) * (k + 1) // (n + 2), least), most)
+    reach = int(SUPPORT * math.sqrt(n_a * (k / n) * (1 - k / n) * (n_b / (n - 1)))) + 60
+    low, high = max(least, mode - reach), min(most, mode + reach)
+
+    def outward(to, step):
+        """Weights beside the mode, relative to it, up to ``to``."""
+        x = np.arange(mode, to, step, dtype=np.float64)
+        if step > 0:
+            ratio = (k - x) * (n_a - x) / ((x + 1) * (n - k - n_a + x + 1))
+        else:
+            ratio = x * (n - k - n_a + x) / ((k - x + 1) * (n_a - x + 1))
+        return np.exp(np.cumsum(np.log(ratio)))
+
+    up, down = outward(high, 1), outward(low, -1)
+    below, above = (k * n_a - gap) // n, -((-k * n_a - gap) // n)  # last count and first count as far apart
+    total = math.fsum([1.0, float(up.sum()), float(down.sum())])
+    tails = 0.0
+    if above <= high:
+        tails += float(up[max(above - mode - 1, 0):].sum()) + (above <= mode) + float(down[:max(mode - above, 0)].sum())
+    if below >= low:
+        tails += float(down[max(mode - below - 1, 0):].sum()) + (below >= mode) + float(up[:max(below - mode, 0)].sum())
+    return min(1.0, tails / total)
+
+
+@F.arrow_udf(T.DoubleType())
+def exact_gap_p(n_a: pa.Array, k_a: pa.Array, n_b: pa.Array, k_b: pa.Array) -> pa.Array:
+    return pa.array([None if None in row else hypergeometric_gap_p(*row) for row in zip(*(c.to_pylist() for c in (n_a, k_a, n_b, k_b)))], pa.float64())

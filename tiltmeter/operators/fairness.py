@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.actors import actor_group
 from ..functions.common import ratio
 from ..functions.labels import is_valid
-from ..functions.stats import DRAW_LIMIT, permutation_gap_p, spd_interval
+from ..functions.stats import DRAW_LIMIT, exact_gap_p, permutation_gap_p, spd_interval
 from .classification import pair_counts, total
 
 
@@ -51,6 +51,17 @@ def equalized_odds(df: DataFrame, target: str = "V", by: Sequence[str] = ("model
             .select(*by, "TPR_state", "TPR_nonstate", "TPR_diff", "FPR_state", "FPR_nonstate", "FPR_diff"))
 
 
+def equalized_odds_test(df: DataFrame, target: str = "V", by: Sequence[str] = ("model",), **kw) -> DataFrame:
+    """Gaps of true and false positive rates with their permutation p, by the exact law of all shuffles instead of drawn ones."""
+    g = group_counts(df, target, by, **kw)
+    gaps = {"TPR": ("pos", "tp"), "FPR": ("neg", "fp")}
+    cols = []
+    for name, (n, k) in gaps.items():
+        n_a, k_a, n_b, k_b = (F.col(c) for c in (f"s_{n}", f"s_{k}", f"n_{n}", f"n_{k}"))
+        cols += [(ratio(k_a, n_a) - ratio(k_b, n_b)).alias(f"{name}_diff"), exact_gap_p(n_a, k_a, n_b, k_b).alias(f"{name}_pvalue")]
+    return g.select(*by, *cols)
+
+
 def fairness_table(df: DataFrame, target: str = "V", by: Sequence[str] = ("model",), n_bootstrap: int = 1000,
                    seed: int = 42, n_permutations: int | None = None, **kw) -> DataFrame:
     """Parity with bootstrap interval, equalized odds with permutation p. Seeded per key.

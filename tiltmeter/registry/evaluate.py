@@ -324,6 +324,33 @@ def _(spark, d):
     return _fair(A.fairness_table(p, by=by, n_bootstrap=300), A.group_counts(p, by=by), by, 300)
 
 
+def _choose(n, k):
+    return f"(lgamma({n}+1)-lgamma({k}+1)-lgamma({n}-{k}+1))"
+
+
+def _odds_sql(by):
+    """Every count that a shuffle can give, with its hypergeometric weight."""
+    return f""", o AS (SELECT {by}, CASE WHEN true_label='V' THEN 'TPR' ELSE 'FPR' END AS side, CAST(pred_label='V' AS BIGINT) AS hit,
+ CAST(regexp_matches(lower(actor_norm),'state forces|military|police|government|gendarmerie') AS BIGINT) AS st FROM preds),
+c AS (SELECT {by}, side, count(*) AS n, CAST(sum(hit) AS BIGINT) AS k, CAST(sum(st) AS BIGINT) AS na, CAST(sum(hit*st) AS BIGINT) AS ka FROM o GROUP BY ALL),
+x AS (SELECT *, unnest(range(greatest(0, na-(n-k)), least(k, na)+1)) AS x FROM c),
+w AS (SELECT {by}, side, n, k, na, ka, sum(CASE WHEN abs(x*n-k*na)>=abs(ka*n-k*na) THEN exp({_choose('k', 'x')}+{_choose('(n-k)', '(na-x)')}-{_choose('n', 'na')}) ELSE 0 END) AS p FROM x GROUP BY ALL),
+v AS (SELECT {by}, side, CASE WHEN na>0 THEN ka/na ELSE 0 END - CASE WHEN n>na THEN (k-ka)/(n-na) ELSE 0 END AS gap, CASE WHEN n>10 AND na>0 AND na<n THEN least(p, 1) END AS p FROM w),
+b AS (SELECT {by} FROM o GROUP BY {by} HAVING sum(st)>0 AND sum(1-st)>0)
+SELECT {by}, {r6("coalesce(max(CASE WHEN side='TPR' THEN gap END), 0)")} AS "TPR_diff", {r6("max(CASE WHEN side='TPR' THEN p END)")} AS "TPR_pvalue",
+ {r6("coalesce(max(CASE WHEN side='FPR' THEN gap END), 0)")} AS "FPR_diff", {r6("max(CASE WHEN side='FPR' THEN p END)")} AS "FPR_pvalue" FROM v JOIN b USING ({by}) GROUP BY {by}"""
+
+
+@q("equalized_odds_exact", _odds_sql("model"))
+def _(spark, d):
+    return rounded(A.equalized_odds_test(predictions(spark, d)))
+
+
+@q("equalized_odds_exact_by_country", _odds_sql("model, country"))
+def _(spark, d):
+    return rounded(A.equalized_odds_test(predictions(spark, d), by=["model", "country"]))
+
+
 # Each country stands for one fairness file; its interval is the parity plus or minus a tenth.
 @q("parity_rollup", _GROUPS + f""",
 t AS (SELECT model, country, {_rate('state', '')}-{_rate('non-state', '')} AS spd, {cnt("g='state'")} AS n_state FROM f GROUP BY 1,2
