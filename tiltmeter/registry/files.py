@@ -81,6 +81,21 @@ def _(spark, d):
     return rounded(flat.select("event_id", "pert_idx", "type", "original", "replacement", "model", "label", "confidence", "success", "label_flipped"))
 
 
+@q("model_files", f"""SELECT replace(replace(model, ':', '-'), '/', '_') AS slug, model, CAST(event_id AS STRING) AS event_id, true_label, pred_label, {r6('pred_conf')} AS pred_conf,
+ md5(concat(model, chr(10), '"', actor_norm, '",', chr(10))) AS notes_md5 FROM preds""")
+def _(spark, d):
+    """Files of all models in one folder tree, found by their names; every note has line breaks and quotes."""
+    path = new_folder(spark)
+    slug = F.replace(F.replace("model", F.lit(":"), F.lit("-")), F.lit("/"), F.lit("_"))
+    note = F.concat("model", F.lit('\n"'), "actor_norm", F.lit('",\n'))
+    none = F.lit(None).cast("string")
+    rows = predictions(spark, d).select(F.concat(F.lit("results_"), slug, F.lit("_cmr.csv")).alias("file"), "model", F.col("event_id").cast("string"), "true_label", "pred_label", "pred_conf",
+                                        none.alias("logits"), none.alias("reasoning"), F.lit(0.0).alias("latency_sec"), "actor_norm", note.alias("notes"))
+    sinks.csv_writer(rows).partitionBy("file").save(path)
+    files = readers.read_model_results(spark, path, r"file=results_(.+)_cmr\.csv")
+    return rounded(files.select("slug", "model", "event_id", "true_label", "pred_label", "pred_conf", F.md5(F.col("notes").cast("binary")).alias("notes_md5")))
+
+
 # Given labels and conversations ------------------------------------------------------------------
 
 # A toxic document stands for violence, a good one for battles, any other for protests.

@@ -9,20 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators.cleaning import union_training_tables
 from ..operators.ranking import keep_one
 from . import schemas
+from .records import parse_records, read_records
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, line_breaks: bool = True) -> DataFrame:
-    """CSV with header and a declared schema; columns are matched by the header.
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, line_breaks: bool = True, split: bool = True) -> DataFrame:
+    """CSV with header and a declared schema; the header must name its columns in their order.
 
-    ``line_breaks`` allows them inside quotes, at the price of one task a file;
-    without, large files are split.
+    ``line_breaks`` allows them inside quotes. Large files are split between
+    tasks in any case; ``split=False`` reads each file in one task, for quotes
+    that do not follow RFC 4180.
     """
+    if line_breaks and split:
+        return parse_records(read_records(spark, path), schema).select(*schema.names)
     return (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("escape", '"')
             .option("enforceSchema", False).csv(path))
 
 
-def read_raw_events(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
-    return read_csv(spark, path, schemas.RAW_EVENTS, line_breaks)
+def read_raw_events(spark: SparkSession, path: str, line_breaks: bool = True, split: bool = True) -> DataFrame:
+    return read_csv(spark, path, schemas.RAW_EVENTS, line_breaks, split)
 
 
 def file_slug(path: Column, name_pattern: str) -> Column:
@@ -44,18 +48,25 @@ def path_sample_size(path: Column) -> Column:
 
 
 def read_model_results(spark: SparkSession, root: str, name_pattern: str, models: Sequence[str] | None = None,
-                       schema: T.StructType = schemas.PREDICTIONS, glob: str = "*.csv", line_breaks: bool = True) -> DataFrame:
+                       schema: T.StructType = schemas.PREDICTIONS, glob: str = "*.csv", line_breaks: bool = True, split: bool = True) -> DataFrame:
     """All per-model files under ``root`` in one read, with slug, source_file and file_time.
 
-    Files whose name does not fit are left out; ``models`` keeps the listed
-    model names (compared as slugs).
+    Files are left out if neither their name nor that of their folder (as Spark
+    writes a file in parts) fits; ``models`` keeps the listed model names
+    (compared as slugs). ``row_in_run`` grows along each file.
     """
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("escape", '"')
-          .option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root))
-    df = df.select("*", F.col("_metadata.file_path").alias("source_file"),
-                   F.col("_metadata.file_modification_time").alias("file_time"),
-                   F.monotonically_increasing_id().alias("row_in_run"))
-    df = df.withColumn("slug", file_slug(F.col("source_file"), name_pattern)).where(F.col("slug").isNotNull())
+    where = {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    if line_breaks and split:
+        df = parse_records(read_records(spark, root, **where), schema).withColumnRenamed("place", "row_in_run")
+    else:
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("escape", '"')
+              .option("enforceSchema", False).options(**where).csv(root))
+        df = df.select("*", F.col("_metadata.file_path").alias("source_file"),
+                       F.col("_metadata.file_modification_time").alias("file_time"),
+                       F.monotonically_increasing_id().alias("row_in_run"))
+    folder = F.regexp_replace("source_file", "/[^/]*$", "")
+    slug = F.coalesce(file_slug(F.col("source_file"), name_pattern), file_slug(folder, name_pattern))
+    df = df.withColumn("slug", slug).where(F.col("slug").isNotNull())
     if models:
         df = df.where(F.col("slug").isin([m.strip().replace(":", "-").replace("/", "_") for m in models if m.strip()]))
     return df

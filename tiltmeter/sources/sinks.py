@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 
 from ..functions.labels import model_dir_slug
 from ..functions.prompts import training_records
@@ -19,12 +19,15 @@ from ..operators.sampling import assert_no_leakage, manifest
 LAYOUT = ["country", "strategy", "sample_size", "num_examples", "model_dir"]
 
 
+def csv_writer(df: DataFrame, mode: str = "overwrite") -> DataFrameWriter:
+    """CSV with header and doubled quotes; Spark trims blanks around written values unless told not to."""
+    return (df.write.mode(mode).format("csv").option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    w = df.write.mode(mode)
-    if fmt == "csv":
-        # Spark trims blanks around written values unless told not to.
-        w = w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    w.format(fmt).save(path)
+    w = csv_writer(df, mode) if fmt == "csv" else df.write.mode(mode).format(fmt)
+    w.save(path)
 
 
 def with_condition(df: DataFrame, country: str, strategy: str = "zero_shot", sample_size: int = 500,
