@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -219,3 +220,73 @@ def hypergeometric_gap_p(n_a: int, k_a: int, n_b: int, k_b: int) -> float | None
 @F.arrow_udf(T.DoubleType())
 def exact_gap_p(n_a: pa.Array, k_a: pa.Array, n_b: pa.Array, k_b: pa.Array) -> pa.Array:
     return pa.array([None if None in row else hypergeometric_gap_p(*row) for row in zip(*(c.to_pylist() for c in (n_a, k_a, n_b, k_b)))], pa.float64())
+
+
+#: Standard deviations beyond which binomial counts are left out of an interval; together they weigh less than 1e-30.
+TAIL = 12
+#: Largest group of an exact interval: differences of counts are compared as 64-bit whole numbers.
+INTERVAL_LIMIT = 10 ** 12
+
+
+def binomial_weights(n: int, k: int) -> tuple[int, np.ndarray]:
+    """First count and weights of a binomial law of n draws at rate k / n, within its effective support.
+
+    Weights follow each other by a ratio, outward from the mode.
+    """
+    if k == 0 or k == n:
+        return k, np.ones(1)
+    mode = min((n + 1) * k // n, n)
+    reach = int(TAIL * math.sqrt(k * (n - k) / n)) + 80
+    low, high = max(0, mode - reach), min(n, mode + reach)
+    up = np.arange(mode, high, dtype=np.float64)
+    down = np.arange(mode, low, -1, dtype=np.float64)
+    odds = k / (n - k)
+    above = np.exp(np.cumsum(np.log((n - up) / (up + 1) * odds)))
+    below = np.exp(np.cumsum(np.log(down / (n - down + 1) / odds)))
+    w = np.concatenate([below[::-1], [1.0], above])
+    return low, w / w.sum()
+
+
+def share_gap_quantiles(n_a: int, k_a: int, n_b: int, k_b: int, levels: Sequence[float]) -> list[float]:
+    """Quantiles of the difference of two resampled shares: the least difference with at least that much of the law up to it.
+
+    Resampling 0/1 marks with replacement draws binomial counts x and y; x / n_a - y / n_b
+    is compared as the whole number x * n_b - y * n_a. A search over these numbers
+    weighs each x with the part of y's distribution function that keeps the difference small.
+    """
+    if max(n_a, n_b) > INTERVAL_LIMIT:
+        raise OverflowError(f"groups of {n_a} and {n_b} are over {INTERVAL_LIMIT}")
+    low_x, wx = binomial_weights(n_a, k_a)
+    low_y, wy = binomial_weights(n_b, k_b)
+    # Counted from both first counts; base is the difference there.
+    base = low_x * n_b - low_y * n_a
+    i = np.arange(len(wx), dtype=np.int64) * n_b
+    at_least = np.append(np.cumsum(wy[::-1])[::-1], 0.0)
+
+    def weight(t: int) -> float:
+        """Chance of a difference of at most ``t``: y must be at least (i - t) / n_a, rounded up."""
+        j = np.clip(-((t - i) // n_a), 0, len(wy))
+        return float(np.dot(wx, at_least[j]))
+
+    out = []
+    for level in levels:
+        least, most = -(len(wy) - 1) * n_a - 1, int(i[-1])
+        while most - least > 1:
+            middle = (least + most) // 2
+            if weight(middle) >= level:
+                most = middle
+            else:
+                least = middle
+        out.append((base + most) / (n_a * n_b))
+    return out
+
+
+def exact_spd_interval(level: float):
+    """Percentile interval of the parity difference by the law of all resamples, without draws."""
+    levels = [(1 - level) / 2, (1 + level) / 2]
+
+    @F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
+    def interval(n_a: pd.Series, k_a: pd.Series, n_b: pd.Series, k_b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([share_gap_quantiles(*map(int, row), levels) for row in zip(n_a, k_a, n_b, k_b)], columns=["lower", "upper"], dtype="float64")
+
+    return interval

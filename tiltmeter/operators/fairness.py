@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.actors import actor_group
 from ..functions.common import ratio
 from ..functions.labels import is_valid
-from ..functions.stats import DRAW_LIMIT, exact_gap_p, permutation_gap_p, spd_interval
+from ..functions.stats import DRAW_LIMIT, exact_gap_p, exact_spd_interval, permutation_gap_p, spd_interval
 from .classification import pair_counts, total
 
 
@@ -41,6 +41,15 @@ def parity(df: DataFrame, target: str = "V", by: Sequence[str] = ("model",), **k
                     (ratio(F.col("s_hit"), F.col("s_all")) - ratio(F.col("n_hit"), F.col("n_all"))).alias("SPD"))
 
 
+def parity_interval(df: DataFrame, target: str = "V", by: Sequence[str] = ("model",), level: float = 0.95, **kw) -> DataFrame:
+    """Parity with its bootstrap interval by the exact law of all resamples; ``significant`` if it leaves out 0."""
+    g = group_counts(df, target, by, **kw).withColumn("_ci", exact_spd_interval(level)("s_all", "s_hit", "n_all", "n_hit"))
+    low, high = F.col("_ci.lower"), F.col("_ci.upper")
+    return g.select(*by, F.lit(target).alias("target_label"), F.col("s_all").alias("n_state"), F.col("n_all").alias("n_nonstate"),
+                    (ratio(F.col("s_hit"), F.col("s_all")) - ratio(F.col("n_hit"), F.col("n_all"))).alias("SPD"),
+                    low.alias("SPD_CI_lower"), high.alias("SPD_CI_upper"), ((low > 0) | (high < 0)).alias("significant"))
+
+
 def equalized_odds(df: DataFrame, target: str = "V", by: Sequence[str] = ("model",), **kw) -> DataFrame:
     """True and false positive rates per group and their gaps; an empty side counts as 0."""
     g = group_counts(df, target, by, **kw)

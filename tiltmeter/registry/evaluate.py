@@ -351,6 +351,30 @@ def _(spark, d):
     return rounded(A.equalized_odds_test(predictions(spark, d), by=["model", "country"]))
 
 
+def _interval_sql(by):
+    """Every pair of resampled counts with its weight, added up along the difference of the shares."""
+    def law(n, k, x):
+        return f"CASE WHEN {k}=0 THEN CAST({x}=0 AS DOUBLE) WHEN {k}={n} THEN CAST({x}={n} AS DOUBLE) ELSE exp({_choose(n, x)}+{x}*ln({k}/{n})+({n}-{x})*ln(1-{k}/{n})) END"
+    return f""", o AS (SELECT {by}, CAST(pred_label='V' AS BIGINT) AS hit, regexp_matches(lower(actor_norm),'state forces|military|police|government|gendarmerie') AS st FROM preds),
+c AS (SELECT {by}, count(*) FILTER (st) AS na, count(*) FILTER (st AND hit=1) AS ka, count(*) FILTER (NOT st) AS nb, count(*) FILTER (NOT st AND hit=1) AS kb FROM o GROUP BY ALL HAVING na>0 AND nb>0),
+xs AS (SELECT *, {law('na', 'ka', 'x')} AS px FROM (SELECT *, unnest(range(0, na+1)) AS x FROM c)),
+ys AS (SELECT {by}, y, {law('nb', 'kb', 'y')} AS py FROM (SELECT *, unnest(range(0, nb+1)) AS y FROM c)),
+g AS (SELECT {by}, na, ka, nb, kb, x*nb-y*na AS t, sum(px*py) AS p FROM xs JOIN ys USING ({by}) WHERE px>1e-18 AND py>1e-18 GROUP BY ALL),
+f AS (SELECT *, sum(p) OVER (PARTITION BY {by} ORDER BY t) AS upto FROM g),
+i AS (SELECT {by}, na, ka, nb, kb, min(t) FILTER (upto>=0.025::DOUBLE)/(na*nb) AS lo, min(t) FILTER (upto>=0.975::DOUBLE)/(na*nb) AS hi FROM f GROUP BY {by}, na, ka, nb, kb)
+SELECT {by}, 'V' AS target_label, na AS n_state, nb AS n_nonstate, {r6('ka/na-kb/nb')} AS "SPD", {r6('lo')} AS "SPD_CI_lower", {r6('hi')} AS "SPD_CI_upper", (lo>0 OR hi<0) AS significant FROM i"""
+
+
+@q("parity_interval_exact", _interval_sql("model"))
+def _(spark, d):
+    return rounded(A.parity_interval(predictions(spark, d)))
+
+
+@q("parity_interval_exact_by_country", _interval_sql("model, country"))
+def _(spark, d):
+    return rounded(A.parity_interval(predictions(spark, d), by=["model", "country"]))
+
+
 # Each country stands for one fairness file; its interval is the parity plus or minus a tenth.
 @q("parity_rollup", _GROUPS + f""",
 t AS (SELECT model, country, {_rate('state', '')}-{_rate('non-state', '')} AS spd, {cnt("g='state'")} AS n_state FROM f GROUP BY 1,2
