@@ -8,29 +8,14 @@ Arrow batch. A failing row becomes label ERROR with confidence 0.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prompts import generation_prompt, strategy as prompt_strategy
 from ..functions.responses import prediction
-
-Predictor = Callable[[], Callable[[Sequence[str]], Sequence[str]]]
-
-
-def _answers(predict, prompts: list[str]) -> list[str | None]:
-    try:
-        return list(predict(prompts))
-    except Exception:
-        out = []
-        for p in prompts:
-            try:
-                out.append(predict([p])[0])
-            except Exception:
-                out.append(None)
-        return out
-
+from .ledger import Predictor, answered, answers_of
 
 def ask(df: DataFrame, prompt: Column, predictor: Predictor) -> DataFrame:
     """Add raw_response and latency_sec. The prompt travels to Python with the other columns, once."""
@@ -41,7 +26,7 @@ def ask(df: DataFrame, prompt: Column, predictor: Predictor) -> DataFrame:
         predict = predictor()
         for b in batches:
             t0 = time.time()
-            raw = _answers(predict, b["_prompt"].tolist())
+            raw = answers_of(predict, b["_prompt"].tolist())
             each = (time.time() - t0) / max(len(b), 1)
             yield b.drop(columns="_prompt").assign(raw_response=raw, latency_sec=round(each, 4))
 
@@ -49,14 +34,18 @@ def ask(df: DataFrame, prompt: Column, predictor: Predictor) -> DataFrame:
 
 
 def score_events(df: DataFrame, model: str, predictor: Predictor, strategy: str = "zero_shot", num_examples: int = 1,
-                 text: str = "notes", parser: str = "structured") -> DataFrame:
+                 text: str = "notes", parser: str = "structured", ledger: str | None = None) -> DataFrame:
     """Prediction columns for every event: model, pred_label, pred_conf, logits, reasoning, latency_sec.
 
+    With a ``ledger`` folder, each distinct prompt is asked once and its answer kept
+    there (see ``operators/ledger.py``); so for the other two.
+
     ``parser`` names how answers are read: "structured" (a schema-bound server),
     "generated" or "generated_loose" (free text with an object in it).
     """
     s = prompt_strategy(strategy, num_examples)
-    asked = ask(df, generation_prompt(s.prompt(F.col(text)), s.system), predictor)
+    prompt = generation_prompt(s.prompt(F.col(text)), s.system)
+    asked = ask(df, prompt, predictor) if ledger is None else answered(df, prompt, {model: predictor}, ledger).drop("model")
     read = asked.withColumn("_read", prediction(F.col("raw_response"), parser=parser))
     return read.select(*[F.col(f"`{c}`") for c in df.columns if c != "model"], "latency_sec", F.lit(model).alias("model"),
                        *[F.col(f"_read.{c}").alias(c) for c in ("pred_label", "pred_conf", "logits", "reasoning")])
@@ -73,24 +62,28 @@ def ask_all(df: DataFrame, prompt: Column, models: dict[str, Predictor]) -> Data
             prompts = b["_prompt"].tolist()
             for name, fn in predict.items():
                 t0 = time.time()
-                raw = _answers(fn, prompts)
+                raw = answers_of(fn, prompts)
                 each = (time.time() - t0) / max(len(b), 1)
                 yield b.drop(columns="_prompt").assign(model=name, raw_response=raw, latency_sec=round(each, 4))
 
     return d.mapInPandas(run, f"{schema}, model string, raw_response string, latency_sec double")
 
 
-def score_variants(variants: DataFrame, models: dict[str, Predictor], strategy: str = "zero_shot", parser: str = "structured") -> DataFrame:
+def score_variants(variants: DataFrame, models: dict[str, Predictor], strategy: str = "zero_shot", parser: str = "structured",
+                   ledger: str | None = None) -> DataFrame:
     """Every variant scored by every model: label, confidence, success. The variants are computed once for all models."""
     s = prompt_strategy(strategy, 1)
-    asked = ask_all(variants, generation_prompt(s.prompt(F.col("text")), s.system), models)
+    prompt = generation_prompt(s.prompt(F.col("text")), s.system)
+    asked = ask_all(variants, prompt, models) if ledger is None else answered(variants, prompt, models, ledger)
     read = asked.withColumn("_read", prediction(F.col("raw_response"), parser=parser))
     return read.select(*[F.col(f"`{c}`") for c in variants.columns], "model", F.col("_read.pred_label").alias("label"),
                        F.col("_read.pred_conf").alias("confidence"), (F.col("_read.pred_label") != "ERROR").alias("success"))
 
 
-def collect_rationales(texts: DataFrame, model: str, predictor: Predictor, parser: str = "structured") -> DataFrame:
+def collect_rationales(texts: DataFrame, model: str, predictor: Predictor, parser: str = "structured",
+                       ledger: str | None = None) -> DataFrame:
     """(model, event_id, pert_idx, reasoning) by the explainable prompt; null where the answer has no list of reasons."""
     s = prompt_strategy("explainable")
-    asked = ask(texts.select("event_id", "pert_idx", "text"), generation_prompt(s.prompt(F.col("text")), s.system), predictor)
+    texts, prompt = texts.select("event_id", "pert_idx", "text"), generation_prompt(s.prompt(F.col("text")), s.system)
+    asked = ask(texts, prompt, predictor) if ledger is None else answered(texts, prompt, {model: predictor}, ledger)
     return asked.select(F.lit(model).alias("model"), "event_id", "pert_idx", prediction(F.col("raw_response"), parser=parser)["items"].alias("reasoning"))

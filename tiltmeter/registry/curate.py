@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import actors as A, labels as L, prompts as P
 from ..operators import cleaning as C, sampling as S
+from ..functions.tables import shared_folder
 from ..operators.scoring import score_events
 from ..sources.readers import path_country, path_sample_size
 from .inputs import CTE, VALID, events, predictions, raw_events, rich_events, rounded, spread
@@ -470,8 +473,20 @@ def _stub():
 _STUB_LEN = len(P.strategy("zero_shot").template) - len("<<NOTE>>") + len("### User\n\n\n### Assistant\n")
 
 
-@q("score_events", f""", x AS (SELECT event_id, length(body)+{_STUB_LEN} AS n FROM rich)
-SELECT event_id, 'stub' AS model, CASE WHEN n%17=0 THEN 'ERROR' ELSE substring('VBEPRS', CAST(n%6 AS INT)+1, 1) END AS pred_label, CASE WHEN n%17=0 THEN CAST(0 AS DOUBLE) ELSE CAST(n%10 AS DOUBLE)/10 END AS pred_conf FROM x""")
+_SCORED = f""", x AS (SELECT event_id, length(body)+{_STUB_LEN} AS n FROM rich)
+SELECT event_id, 'stub' AS model, CASE WHEN n%17=0 THEN 'ERROR' ELSE substring('VBEPRS', CAST(n%6 AS INT)+1, 1) END AS pred_label, CASE WHEN n%17=0 THEN CAST(0 AS DOUBLE) ELSE CAST(n%10 AS DOUBLE)/10 END AS pred_conf FROM x"""
+
+
+@q("score_events", _SCORED)
 def _(spark, d):
     e = spread(rich_events(spark, d).select("event_id", F.col("body").alias("notes")))
     return rounded(score_events(e, "stub", _stub).select("event_id", "model", "pred_label", "pred_conf"))
+
+
+@q("score_events_ledger", _SCORED)
+def _(spark, d):
+    """Through a ledger that half of the events have filled before."""
+    ledger = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    e = rich_events(spark, d).select("event_id", F.col("body").alias("notes"))
+    score_events(e.where("event_id % 2 = 0"), "stub", _stub, ledger=ledger)
+    return rounded(score_events(e, "stub", _stub, ledger=ledger).select("event_id", "model", "pred_label", "pred_conf"))
