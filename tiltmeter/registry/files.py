@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import responses as RS
 from ..functions.tables import shared_folder
 from ..operators import classification as K, fairness as A, harm as H
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 from .evaluate import BOTH, _harm_sql, _rate, cnt
 from .inputs import CTE, events, flips, predictions, r6, rich_events, rounded, table
 
@@ -81,6 +81,17 @@ def _(spark, d):
     return rounded(flat.select("event_id", "pert_idx", "type", "original", "replacement", "model", "label", "confidence", "success", "label_flipped"))
 
 
+@q("upsert_versions", f"""SELECT model, event_id, true_label, pred_label, {r6('pred_conf')} AS pred_conf, CAST(NULL AS STRING) AS run FROM preds WHERE model IN ('model_a','model_b')
+UNION ALL SELECT model, event_id, true_label, pred_label, {r6('pred_conf')}, 'new' FROM preds WHERE model IN ('model_c','model_d') AND country='en'""")
+def _(spark, d):
+    """Three models are written, then two, one of them again; the newest version is read."""
+    root = new_folder(spark)
+    p = predictions(spark, d).select("model", "event_id", "true_label", "pred_label", "pred_conf", "country")
+    versions.upsert_version(p.where("model <> 'model_d'").drop("country"), root)
+    versions.upsert_version(p.where("model in ('model_c', 'model_d') and country = 'en'").drop("country").withColumn("run", F.lit("new")), root)
+    return rounded(versions.read_version(spark, root).select("model", "event_id", "true_label", "pred_label", "pred_conf", "run"))
+
+
 @q("model_files", f"""SELECT replace(replace(model, ':', '-'), '/', '_') AS slug, model, CAST(event_id AS STRING) AS event_id, true_label, pred_label, {r6('pred_conf')} AS pred_conf,
  md5(concat(model, chr(10), '"', actor_norm, '",', chr(10))) AS notes_md5 FROM preds""")
 def _(spark, d):

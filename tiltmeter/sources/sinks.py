@@ -7,9 +7,10 @@ upsert writes to a new folder; a table is never read and overwritten in place.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, DataFrameWriter, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ..functions.labels import model_dir_slug
 from ..functions.prompts import training_records
@@ -17,6 +18,7 @@ from ..operators.compare import upsert
 from ..operators.sampling import assert_no_leakage, manifest
 
 LAYOUT = ["country", "strategy", "sample_size", "num_examples", "model_dir"]
+FEWEST_TASKS = 200
 
 
 def csv_writer(df: DataFrame, mode: str = "overwrite") -> DataFrameWriter:
@@ -38,10 +40,38 @@ def with_condition(df: DataFrame, country: str, strategy: str = "zero_shot", sam
                            "num_examples": F.lit(shots).cast("int")})
 
 
-def write_results(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Predictions under country/strategy/sample_size/num_examples/model folders."""
+def sized(df: DataFrame, layout: Sequence[str] = ()) -> DataFrame:
+    """Rows brought together by the folders they go to, in tasks of about ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.
+
+    Adaptive execution splits the rows of a hot folder over several tasks and lets
+    small folders share one, so a folder gets about as many files as its size
+    asks for, and not one from every task. Only a folder whose hash falls into
+    the same task as a hot one is split with it; many tasks before they are
+    joined make that rare.
+    """
+    tasks = max(FEWEST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.hint("rebalance", tasks, *[F.col(c) for c in layout])
+
+
+@contextmanager
+def advisory_size(spark: SparkSession, shuffle_bytes: int | None) -> Iterator[None]:
+    """Set the size that tasks of :func:`sized` aim at while a table is written; None leaves the session's."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    if shuffle_bytes is not None:
+        spark.conf.set(key, str(shuffle_bytes))
+    try:
+        yield
+    finally:
+        if shuffle_bytes is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def write_results(df: DataFrame, root: str, mode: str = "append", shuffle_bytes: int | None = None) -> None:
+    """Predictions under country/strategy/sample_size/num_examples/model folders, in files of even size (see :func:`sized`)."""
     d = df.withColumn("model_dir", model_dir_slug("model"))
-    d.write.mode(mode).partitionBy(*LAYOUT).parquet(root)
+    with advisory_size(df.sparkSession, shuffle_bytes):
+        sized(d, LAYOUT).write.mode(mode).partitionBy(*LAYOUT).parquet(root)
 
 
 def write_upsert(old: DataFrame, new: DataFrame, path: str, keys: Sequence[str] = ("model",), fmt: str = "parquet") -> None:
@@ -49,11 +79,13 @@ def write_upsert(old: DataFrame, new: DataFrame, path: str, keys: Sequence[str]
     write_table(upsert(old, new, keys), path, fmt, mode="errorifexists")
 
 
-def write_split_bundle(splits: DataFrame, path: str, params: dict | None = None, may_overlap: bool = False) -> None:
+def write_split_bundle(splits: DataFrame, path: str, params: dict | None = None, may_overlap: bool = False,
+                       shuffle_bytes: int | None = None) -> None:
     """Splits partitioned by name under rows/, counts and parameters as JSON under manifest/."""
     if not may_overlap:
         assert_no_leakage(splits)
-    splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
+    with advisory_size(splits.sparkSession, shuffle_bytes):
+        sized(splits, ["split"]).write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
     m = manifest(splits).withColumn("params", F.lit(json.dumps(params or {}, sort_keys=True)))
     m.write.mode("overwrite").json(f"{path}/manifest")
 
