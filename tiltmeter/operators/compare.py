@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.common import lookup
@@ -20,28 +23,67 @@ def mcnemar_statistic(b: Column, c: Column) -> Column:
     return F.when(b + c > 0, d * d / F.greatest((b + c).cast("double"), F.lit(1.0)))
 
 
+_PAIRS = "_oa int, _ob int, model_a string, model_b string, both_yes long, only_a long, only_b long, neither long"
+#: Cells of the tables of models and keys that a task multiplies at a time.
+CELLS = 1 << 21
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joint counts of all pairs of models over the keys of a task, one row per pair and task.
+
+    A slice of keys is a table of models by keys with the number of true outcomes,
+    and one of false ones; their products hold the counts of every pair at once.
+    """
+    known: dict[tuple, int] = {}
+    sums = [np.zeros((0, 0), np.int64) for _ in range(3)]
+    for batch in batches:
+        lists = batch.column("_p")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        coded = pc.struct_field(flat, "model").dictionary_encode("encode")
+        models = coded.dictionary.to_pylist()
+        named = np.stack([pc.struct_field(flat, "o").to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)])
+        distinct, local = np.unique(named, axis=1, return_inverse=True)
+        at = np.array([known.setdefault((int(o), models[m]), len(known)) for o, m in distinct.T], dtype=np.int64)
+        more = len(known) - len(sums[0])
+        sums = [np.pad(t, ((0, more), (0, more))) for t in sums]
+        yes, no = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("yes", "no"))
+        key = np.repeat(np.arange(len(lengths)), lengths)
+        local, ends, step = local.ravel(), np.concatenate([[0], np.cumsum(lengths)]), max(1, CELLS // max(1, len(at)))
+        most = int(max(yes.max(initial=0), no.max(initial=0)))
+        # Products of doubles are exact below 2^53; beyond, whole numbers are multiplied.
+        kind = np.float64 if most * most * step < 1 << 53 else np.int64
+        for first in range(0, len(lengths), step):
+            last = min(first + step, len(lengths))
+            part = slice(ends[first], ends[last])
+            y, n = (np.zeros((len(at), last - first), kind) for _ in range(2))
+            y[local[part], key[part] - first] = yes[part]
+            n[local[part], key[part] - first] = no[part]
+            for t, product in zip(sums, (y @ y.T, y @ n.T, n @ n.T)):
+                t[np.ix_(at, at)] += product.astype(np.int64)
+    order = sorted(known, key=lambda k: (k[0], k[1] is not None, k[1] or ""))
+    at = np.array([known[k] for k in order], dtype=np.int64)
+    yy, yn, nn = (t[np.ix_(at, at)] for t in sums)
+    i, j = np.triu_indices(len(at), 1)
+    i, j = (v[(yy + yn + yn.T + nn)[i, j] > 0] for v in (i, j))
+    o, m = np.array([k[0] for k in order], dtype=np.int32), pa.array([k[1] for k in order], pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(o[i]), pa.array(o[j]), m.take(pa.array(i)), m.take(pa.array(j)),
+                                      *[pa.array(v) for v in (yy[i, j], yn[i, j], yn[j, i], nn[i, j])]],
+                                     names=["_oa", "_ob", "model_a", "model_b", "both_yes", "only_a", "only_b", "neither"])
+
+
 def _model_pairs(hits: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     """Joint counts for every pair of models over shared keys.
 
     ``hits`` holds (key, model, yes, no) with the number of true and false
-    outcomes. Keys with the same outcome pattern are counted first; pairs are
-    spelled out on the few distinct patterns, not on the keys. Repeated rows of
-    a key multiply, as in a join.
+    outcomes. Keys are brought together once; each task counts all pairs on its
+    keys, and only these counts are shuffled. Repeated rows of a key multiply, as
+    in a join.
     """
-    patterns = (hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
-        order.alias("o"), F.col("model"), F.col("yes"), F.col("no")))).alias("_p"))
-        .where(F.size("_p") > 1).groupBy("_p").agg(F.count(F.lit(1)).alias("_n")))
-    pairs = F.flatten(F.transform("_p", lambda a, i: F.transform(
-        F.slice("_p", i + 2, F.size("_p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    d = patterns.select(F.explode(pairs).alias("_q"), "_n")
-    a, b, n = F.col("_q.a"), F.col("_q.b"), F.col("_n")
-
-    def s(x, y):
-        return F.sum(x * y * n).cast("bigint")
-
-    return d.groupBy(a["o"].alias("_oa"), b["o"].alias("_ob"), a["model"].alias("model_a"), b["model"].alias("model_b")).agg(
-        s(a["yes"], b["yes"]).alias("both_yes"), s(a["yes"], b["no"]).alias("only_a"),
-        s(a["no"], b["yes"]).alias("only_b"), s(a["no"], b["no"]).alias("neither"))
+    one = F.struct(order.cast("int").alias("o"), F.col("model"), F.col("yes"), F.col("no"))
+    lists = hits.groupBy(*key).agg(F.collect_list(one).alias("_p")).where(F.size("_p") > 1).select("_p")
+    names = ["_oa", "_ob", "model_a", "model_b"]
+    return lists.mapInArrow(_count_pairs, _PAIRS).groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("both_yes", "only_a", "only_b", "neither")])
 
 
 def _order(models: Sequence[str] | None) -> Column:
