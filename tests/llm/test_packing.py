@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def reference_ids(text):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -28,6 +27,12 @@ def test_ids_are_the_tokenizers():
             assert ids[ends[k]:ends[k + 1]].tolist() == reference_ids(texts[at + k])
 
 
+def test_added_tokens_are_one_id(spark):
+    out = {r.doc_id: r for r in P.pack(frame(spark, [(1, "a story <|endoftext|> and"), (2, "a story"), (3, None)]), PATH, 64).collect()}
+    assert (out[1].length, out[2].length, out[3].length) == (5, 3, 1)
+    assert out[1].ids_crc32 == zlib.crc32(np.array([320, 1134, 49407, 537, 1], "<u4").tobytes())
+
+
 def check_packing(rows, capacity, texts):
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:

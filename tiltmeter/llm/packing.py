@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -52,7 +53,9 @@ class PartEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that the parts alone do not settle: other characters, or the literal of an added token in any case.
+        self.hard = "|".join([_HARD, *[f"(?i:{re.escape(t)})" for t in added]])
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.seen: dict[str, list[int]] = {}
@@ -73,10 +76,11 @@ class PartEncoder:
 def token_ids(texts: pa.Array, encoder: PartEncoder, end_id: int = END_ID):
     """(first row, ids of all texts of a slice, offsets of each text's ids); every text ends with ``end_id``.
 
-    Texts with characters beyond Latin-1 letters go through the whole tokenizer, one by one.
+    Texts with characters beyond Latin-1 letters, or with the literal of a token that
+    the file adds (which is one id then), go through the whole tokenizer, one by one.
     """
     for at, part in slices(texts, SLICE):
-        hard = pc.match_substring_regex(part, _HARD)
+        hard = pc.match_substring_regex(part, encoder.hard)
         rare = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
         if len(rare):
             part = pc.if_else(hard, "", part)
