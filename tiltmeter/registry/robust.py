@@ -480,24 +480,24 @@ def _(spark, d):
     return t.select("model", "event_id", "pert_idx", shown(F.col("top_delta"), "token", "delta").alias("top_delta"))
 
 
-_EVT = "ev AS (SELECT event_id, CASE WHEN event_id%5=0 THEN NULL ELSE 'High' END AS ambiguity_tier, CASE WHEN event_id%8=6 THEN ' ' ELSE notes END AS notes FROM e WHERE ti<3)"
+_EVT = "ev AS (SELECT event_id, CASE WHEN event_id%5=0 THEN NULL ELSE 'High' END AS ambiguity_tier, CASE WHEN event_id%8=6 THEN ' ' ELSE notes END AS notes FROM e)"
 
 
 def _traced(spark, d):
-    ev = events(spark, d).where("ti < 3").select("event_id", F.expr("CASE WHEN event_id%5=0 THEN NULL ELSE 'High' END").alias("ambiguity_tier"), F.expr("CASE WHEN event_id%8=6 THEN ' ' ELSE notes END").alias("notes"))
-    a = attributions(spark, d).where("pert_idx = -1 and model = 'model_a'")
+    ev = events(spark, d).select("event_id", F.expr("CASE WHEN event_id%5=0 THEN NULL ELSE 'High' END").alias("ambiguity_tier"), F.expr("CASE WHEN event_id%8=6 THEN ' ' ELSE notes END").alias("notes"))
+    a = attributions(spark, d).where("pert_idx = -1")
     return T.attributions_from_disagreements(ev, a)
 
 
-@q("attributions_from_disagreements", f""", {_ATTR}, {_EVT} SELECT w.event_id, any_value(coalesce(ev.ambiguity_tier,'Unknown')) AS ambiguity_tier, string_agg(concat(word,':',CAST(round(score*1000) AS BIGINT)), ',' ORDER BY rk) AS words
- FROM w JOIN ev ON ev.event_id=w.event_id WHERE rk<=10 AND model='model_a' AND pert_idx=-1 AND trim(ev.notes)<>'' GROUP BY 1""")
+@q("attributions_from_disagreements", f""", {_ATTR}, {_EVT} SELECT model, w.event_id, any_value(coalesce(ev.ambiguity_tier,'Unknown')) AS ambiguity_tier, string_agg(concat(word,':',CAST(round(score*1000) AS BIGINT)), ',' ORDER BY rk) AS words
+ FROM w JOIN ev ON ev.event_id=w.event_id WHERE rk<=10 AND pert_idx=-1 AND trim(ev.notes)<>'' GROUP BY 1, 2""")
 def _(spark, d):
-    return _traced(spark, d).select("event_id", "ambiguity_tier", shown(F.col("words"), "word", "score").alias("words"))
+    return _traced(spark, d).select("model", "event_id", "ambiguity_tier", shown(F.col("words"), "word", "score").alias("words"))
 
 
-@q("trace_summary", f""", {_RFC}, {_ATTR}, {_EVT}, lig AS (SELECT w.event_id, coalesce(ev.ambiguity_tier,'Unknown') AS tier, word FROM w JOIN ev ON ev.event_id=w.event_id WHERE rk=1 AND model='model_a' AND pert_idx=-1 AND trim(ev.notes)<>'')
+@q("trace_summary", f""", {_RFC}, {_ATTR}, {_EVT}, lig AS (SELECT model, w.event_id, coalesce(ev.ambiguity_tier,'Unknown') AS tier, word FROM w JOIN ev ON ev.event_id=w.event_id WHERE rk=1 AND pert_idx=-1 AND trim(ev.notes)<>'')
 SELECT 'rfc' AS source, model, event_id, ambiguity_tier, perturbation_type, coalesce(original_word,'') AS original_word, coalesce(replacement_word,'') AS replacement_word, coalesce(CAST(concordant AS STRING),'') AS concordant,
  coalesce(CAST(rationale_changed AS STRING),'') AS rationale_changed, coalesce(CAST(mentions_change AS STRING),'') AS mentions_change, CASE WHEN concordant THEN '1.0' WHEN NOT concordant THEN '0.0' ELSE '' END AS rfc_score, '' AS top_attributed_token FROM rfc
-UNION ALL SELECT 'lig', 'model_a', event_id, tier, '', '', '', '', '', '', '', word FROM lig""")
+UNION ALL SELECT 'lig', model, event_id, tier, '', '', '', '', '', '', '', word FROM lig""")
 def _(spark, d):
     return T.trace_summary(records(spark, d), _traced(spark, d)).drop("attribution_score")
