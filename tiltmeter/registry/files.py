@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import responses as RS
 from ..functions.tables import shared_folder
 from ..operators import classification as K, fairness as A, harm as H
-from ..sources import readers, sinks, versions
+from ..sources import readers, schemas, sinks, versions
 from .evaluate import BOTH, _harm_sql, _rate, cnt
 from .inputs import CTE, events, flips, predictions, r6, rich_events, rounded, table
 
@@ -66,21 +66,39 @@ def _(spark, d):
     return readers.combine_model_results(files)
 
 
-@q("event_result_lines", f"SELECT CAST(event_id AS STRING) AS event_id, pert_idx, type, original, replacement, model, label, {r6('confidence')} AS confidence, success, label_flipped FROM flips")
-def _(spark, d):
-    path = new_folder(spark)
+def nested_events(spark, d):
+    """Event results of all flips, with the report they go to: one for every 20,000 ids."""
     f = flips(spark, d)
     variant = F.struct("type", "original", "replacement", "modifier", "phrase")
     result = F.struct("label", "confidence", "success", "label_flipped", "confidence_delta")
     per = f.groupBy("event_id", "pert_idx").agg(F.min(variant).alias("perturbation"), F.map_from_entries(F.collect_list(F.struct(F.col("model"), result))).alias("model_results"))
     nested = per.groupBy("event_id").agg(F.collect_list(F.struct("pert_idx", "perturbation", F.map_entries("model_results").alias("m"))).alias("_p"))
     ordered = F.transform(F.array_sort("_p", lambda x, y: x["pert_idx"] - y["pert_idx"]), lambda x: F.struct(x["perturbation"].alias("perturbation"), F.map_from_entries(x["m"]).alias("model_results")))
-    nested.select(F.col("event_id").cast("string").alias("event_id"), F.lit("").alias("original_text"), F.lit("").alias("true_label"), F.lit("Low").alias("ambiguity_tier"),
-                  ordered.alias("perturbations")).write.json(path)
+    report = F.concat(F.lit("r"), F.expr("event_id div 20000").cast("string"))
+    return nested.select(report.alias("report"), F.col("event_id").cast("string").alias("event_id"), F.lit("").alias("original_text"), F.lit("").alias("true_label"), F.lit("Low").alias("ambiguity_tier"),
+                         ordered.alias("perturbations"))
+
+
+@q("event_result_lines", f"SELECT CAST(event_id AS STRING) AS event_id, pert_idx, type, original, replacement, model, label, {r6('confidence')} AS confidence, success, label_flipped FROM flips")
+def _(spark, d):
+    path = new_folder(spark)
+    nested_events(spark, d).drop("report").write.json(path)
     flat = readers.flatten_counterfactuals(readers.read_event_results(spark, path))
     return rounded(flat.select("event_id", "pert_idx", "type", "original", "replacement", "model", "label", "confidence", "success", "label_flipped"))
 
 
+@q("event_reports", f"SELECT concat('r', event_id//20000) AS report, 'all' AS country, CAST(event_id AS STRING) AS event_id, pert_idx, type, original, replacement, model, label, {r6('confidence')} AS confidence, success, label_flipped FROM flips")
+def _(spark, d):
+    """Nested reports of up to 20,000 events, each read by as many tasks as its size asks for."""
+    path = new_folder(spark)
+    sinks.write_reports(nested_events(spark, d), path, "report", {"country": "all", "models": ["}", "]"]})
+    files = f"{path}/report=*"
+    told = readers.read_report_metadata(spark, files).select("folder", "country")
+    flat = readers.flatten_counterfactuals(readers.read_report_events(spark, files).select("folder", *schemas.EVENT_RESULT.names), "folder")
+    report = F.regexp_extract("folder", "report=([^/]*)$", 1)
+    return rounded(flat.join(told, "folder").select(report.alias("report"), "country", "event_id", "pert_idx", "type", "original", "replacement", "model", "label", "confidence", "success", "label_flipped"))
+
+
 @q("upsert_versions", f"""SELECT model, event_id, true_label, pred_label, {r6('pred_conf')} AS pred_conf, CAST(NULL AS STRING) AS run FROM preds WHERE model IN ('model_a','model_b')
 UNION ALL SELECT model, event_id, true_label, pred_label, {r6('pred_conf')}, 'new' FROM preds WHERE model IN ('model_c','model_d') AND country='en'""")
 def _(spark, d):

@@ -10,6 +10,7 @@ from ..operators.cleaning import union_training_tables
 from ..operators.ranking import keep_one
 from . import schemas
 from .records import parse_records, read_records
+from .reports import read_objects
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, line_breaks: bool = True, split: bool = True) -> DataFrame:
@@ -88,7 +89,7 @@ def read_event_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_counterfactuals(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Nested reports, one JSON document per file; the first file of each folder counts."""
+    """Nested reports, one JSON document per file, each in one task and one row; the first file of each folder counts."""
     df = spark.read.schema(schemas.COUNTERFACTUAL_FILE).option("multiLine", True).json(path)
     df = df.select("*", F.col("_metadata.file_path").alias("source_file"))
     df = df.withColumn("folder", F.regexp_replace("source_file", "/[^/]*$", ""))
@@ -96,11 +97,31 @@ def read_counterfactuals(spark: SparkSession, path: str | list[str]) -> DataFram
     return df.join(first, "source_file", "left_semi")
 
 
-def flatten_counterfactuals(events: DataFrame) -> DataFrame:
-    """One row per (event, variant, model) from rows of event results."""
-    p = events.select("event_id", "original_text", "true_label", "ambiguity_tier",
+def _read_from_reports(spark: SparkSession, path: str | list[str], key: str, in_array: bool, schema: T.StructType) -> DataFrame:
+    objects = read_objects(spark, path, key, in_array, first_of_folder=True)
+    folder = F.regexp_replace("source_file", "/[^/]*$", "")
+    return objects.select("source_file", folder.alias("folder"), "place", F.from_json("record", schema).alias("_e")).select("source_file", "folder", "place", "_e.*")
+
+
+def read_report_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Event results of nested reports, one row each, with source_file, folder and place; the first file of each folder counts.
+
+    A report of any size is shared by several tasks, and no task holds more of it
+    than one event. Documents that are not whole are an error; :func:`read_counterfactuals` takes them as nulls.
+    """
+    return _read_from_reports(spark, path, "detailed_results", True, schemas.EVENT_RESULT)
+
+
+def read_report_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Metadata of nested reports, one row per folder, for a join on source_file with :func:`read_report_events`."""
+    return _read_from_reports(spark, path, "metadata", False, schemas.COUNTERFACTUAL_FILE["metadata"].dataType)
+
+
+def flatten_counterfactuals(events: DataFrame, *kept: str) -> DataFrame:
+    """One row per (event, variant, model) from rows of event results, with the ``kept`` columns."""
+    p = events.select(*kept, "event_id", "original_text", "true_label", "ambiguity_tier",
                       F.posexplode("perturbations").alias("pert_idx", "_p"))
-    m = p.select("event_id", "original_text", "true_label", "ambiguity_tier", "pert_idx", "_p.perturbation.*",
+    m = p.select(*kept, "event_id", "original_text", "true_label", "ambiguity_tier", "pert_idx", "_p.perturbation.*",
                  F.explode("_p.model_results").alias("model", "_r"))
     return m.select("*", "_r.*").drop("_r")
 

@@ -15,7 +15,7 @@ and a header that does not fit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -29,10 +29,10 @@ BLOCK = ["source_file", "block_start", "block_length"]
 _FRAGMENTS = "source_file string, file_time timestamp, block_start long, place long, record string, begun boolean, ended boolean"
 
 
-def read_lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """Lines with the block of the file they begin in, in the order of the file within each block."""
+def read_lines(spark: SparkSession, path: str | list[str], end: str = "\n", **options) -> DataFrame:
+    """Lines (up to each ``end``) with the block of the file they begin in, in the order of the file within each block."""
     m = "_metadata."
-    text = spark.read.options(lineSep="\n", **options).text(path)
+    text = spark.read.options(lineSep=end, **options).text(path)
     return text.select(F.col("value").alias("line"), F.col(m + "file_path").alias("source_file"), F.col(m + "file_modification_time").alias("file_time"),
                        F.col(m + "file_block_start").alias("block_start"), F.col(m + "file_block_length").alias("block_length"))
 
@@ -103,34 +103,44 @@ def _join_lines(batches: Iterator[pa.RecordBatch], torn: bool) -> Iterator[pa.Re
         yield rows(pa.array(["\n".join(held)]), [begun], [odd == 0])
 
 
-def read_records(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """One row per CSV record: record (with its line breaks as LF), source_file, file_time, place.
+def join_fragments(lines: DataFrame, blocks: DataFrame, join: Callable, glue: str) -> DataFrame:
+    """What ``join`` makes of the lines of each block, given the block's row of ``blocks``: record, source_file, file_time, place.
 
-    ``place`` grows with the order in the file; only its first record has 0. Of
-    CRLF, the CR goes. Empty lines between records are left out. Both passes
-    over the files must see the same blocks; if the cluster splits them otherwise
-    in between, that is an error, not another result.
+    ``join(batches, torn)`` gives the whole records of its blocks or, if ``torn``,
+    the parts of those that cross a border, which are put together here.
     """
-    lines = read_lines(spark, path, **options).withColumn("line", F.regexp_replace("line", r"\r$", ""))
-    blocks, small = sized_table(block_parity(lines))
-    lost = F.raise_error(F.concat(F.lit("blocks have changed in "), "source_file")).cast("long")
+    blocks, small = sized_table(blocks)
+    told = [c for c in blocks.columns if c not in BLOCK]
     if small:
         marked = lines.join(blocks, BLOCK, "left")
     else:
         # Blocks as partitions: a join that shuffles loses the order of lines.
         marked = (lines.withColumn("at", F.monotonically_increasing_id()).join(blocks, BLOCK, "left")
                   .repartition(*BLOCK).sortWithinPartitions(*BLOCK, "at").drop("at"))
-    marked = marked.withColumn("inside", F.coalesce("inside", lost))
-    whole = marked.mapInArrow(partial(_join_lines, torn=False), _FRAGMENTS).select("source_file", "file_time", "block_start", "place", "record")
+    lost = F.raise_error(F.concat(F.lit("blocks have changed in "), "source_file")).cast("long")
+    marked = marked.withColumn(told[0], F.coalesce(told[0], lost))
+    whole = marked.mapInArrow(partial(join, torn=False), _FRAGMENTS).select("source_file", "file_time", "block_start", "place", "record")
     order = Window.partitionBy("source_file").orderBy("block_start", "place")
-    torn = marked.mapInArrow(partial(_join_lines, torn=True), _FRAGMENTS).withColumn("head", F.last(F.when(F.col("begun"), F.col("block_start")), True).over(order))
+    torn = marked.mapInArrow(partial(join, torn=True), _FRAGMENTS).withColumn("head", F.last(F.when(F.col("begun"), F.col("block_start")), True).over(order))
     lines_of = F.array_sort(F.collect_list(F.struct("block_start", "place", "record")))
     joined = torn.groupBy("source_file", "head").agg(F.min("file_time").alias("file_time"), lines_of.alias("p")).select(
-        "source_file", "file_time", F.col("head").alias("block_start"), F.col("p")[0]["place"].alias("place"), F.array_join("p.record", "\n").alias("record"))
+        "source_file", "file_time", F.col("head").alias("block_start"), F.col("p")[0]["place"].alias("place"), F.array_join("p.record", glue).alias("record"))
     # A block has no more records than bytes, so its start plus their number grows along the file.
     return whole.unionByName(joined).select("source_file", "file_time", (F.col("block_start") + F.col("place")).alias("place"), "record")
 
 
+def read_records(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """One row per CSV record: record (with its line breaks as LF), source_file, file_time, place.
+
+    ``place`` grows with the order in the file; only its first record has 0. Of
+    CRLF, the CR goes. Empty lines between records are left out. Both passes
+    over the files must see the same blocks; if the cluster splits them otherwise
+    in between, that is an error, not another result.
+    """
+    lines = read_lines(spark, path, **options).withColumn("line", F.regexp_replace("line", r"\r$", ""))
+    return join_fragments(lines, block_parity(lines), _join_lines, "\n")
+
+
 def header_fits(record: Column, schema: T.StructType) -> Column:
     """Whether a header record names the schema's columns in their order."""
     names = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schema))] + [T.StructField("_rest", T.StringType())])

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window, functions as F
 
 from ..functions.labels import model_dir_slug
 from ..functions.prompts import training_records
@@ -90,5 +90,21 @@ def write_split_bundle(splits: DataFrame, path: str, params: dict | None = None,
     m.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def write_reports(events: DataFrame, path: str, folder: str, metadata: dict) -> None:
+    """One nested JSON document per value of ``folder``, the rest of each row being an event of it, one on each line in the order of event_id.
+
+    A document is one file, so one task writes it; its rows stream through a sort
+    that spills. Without events there is no file, as there is no folder.
+    """
+    event = F.to_json(F.struct(*[c for c in events.columns if c != folder]))
+    first = F.row_number().over(Window.partitionBy(folder).orderBy("event_id")) == 1
+    head = json.dumps({"metadata": metadata, "detailed_results": []})[:-2]
+    lines = events.select(folder, F.lit(1).alias("_part"), "event_id", F.concat(F.when(first, "").otherwise(","), event).alias("_line"))
+    ends = events.select(folder).distinct().select(folder, F.explode(F.array(F.struct(F.lit(0).alias("_part"), F.lit(head).alias("_line")), F.struct(F.lit(2).alias("_part"), F.lit("]}").alias("_line")))).alias("_e"))
+    rows = lines.unionByName(ends.select(folder, "_e._part", F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), "_e._line"))
+    rows = rows.repartition(folder).sortWithinPartitions(folder, "_part", "event_id").select(F.col("_line").alias("value"), folder)
+    rows.write.mode("overwrite").partitionBy(folder).text(path)
+
+
 def write_training_jsonl(df: DataFrame, path: str, **kw) -> None:
     training_records(df, **kw).write.mode("overwrite").json(path)
