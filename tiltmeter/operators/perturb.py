@@ -9,11 +9,12 @@ the cap per generator needs no window.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fluency, perturbation_rules as R
-from ..functions.common import capitalize
+from ..functions.common import capitalize, let
 
 # Order of the generators.
 GENERATORS = ["actor", "intensity", "action", "negation", "sufficiency", "legitimation", "provenance",
@@ -33,12 +34,27 @@ def _variant(rule: Column, text: Column, **over: Column) -> Column:
     return F.struct(*[got[f].cast("string").alias(f) for f in FIELDS])
 
 
-def _apply(text: Column, rows: list[dict]) -> Column:
+def _every(text: Column, rules: Column, make: Callable[[Column], Column]) -> Column:
+    """The variants of all rules that change the text."""
+    return F.filter(F.transform(rules, make), lambda v: v["text"] != text)
+
+
+def _first(text: Column, rules: Column, make: Callable[[Column], Column]) -> Column:
+    """The first variant of :func:`_every`; none is made of the rules after it."""
+    none = F.array().cast("array<struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">>")
+    return F.aggregate(rules, none, lambda got, r: F.when(F.size(got) > 0, got).otherwise(F.filter(F.array(make(r)), lambda v: v["text"] != text)))
+
+
+#: How the variants of a list of rules are taken; a third way is in :func:`_first_plausible`.
+Take = Callable[[Column, Column, Callable[[Column], Column]], Column]
+
+
+def _apply(text: Column, rows: list[dict], take: Take = _every) -> Column:
     """Variants of the rules whose needle is in the text and whose edit changes it."""
-    low = F.lower(text)
-    open_ = F.filter(_rules(rows), lambda r: F.contains(low, r["needle"]))
-    made = F.transform(open_, lambda r: _variant(r, F.regexp_replace(text, r["regex"], r["swap"])))
-    return F.filter(made, lambda v: v["text"] != text)
+    needles = F.array(*[F.lit(n) for n in dict.fromkeys(r["needle"] for r in rows)])
+    here = let(F.lower(text), lambda low: F.filter(needles, lambda n: F.contains(low, n)))
+    open_ = let(here, lambda found: F.filter(_rules(rows), lambda r: F.array_contains(found, r["needle"])))
+    return take(text, open_, lambda r: _variant(r, F.regexp_replace(text, r["regex"], r["swap"])))
 
 
 def _replace_all(word: str) -> str:
@@ -49,30 +65,30 @@ def _replace_first(inner: str, flags: str = "isU") -> str:
     return rf"(?{flags})^(.*?){inner}"
 
 
-def actor_variants(text: Column) -> Column:
+def actor_variants(text: Column, take: Take = _every) -> Column:
     return _apply(text, [
         {"type": "actor_substitution", "original": w, "replacement": s, "needle": w, "regex": _replace_all(w), "swap": s,
-         "description": f'Replace "{w}" with "{s}"'} for w, swaps in R.ACTORS.items() for s in swaps])
+         "description": f'Replace "{w}" with "{s}"'} for w, swaps in R.ACTORS.items() for s in swaps], take)
 
 
-def intensity_variants(text: Column) -> Column:
+def intensity_variants(text: Column, take: Take = _every) -> Column:
     """A modifier before the first occurrence of a verb (the verb may be the start of a longer word)."""
     return _apply(text, [
         {"type": f"intensity_{k}", "modifier": m, "action": v, "needle": v, "regex": _replace_first(rf"\b{v}"),
          "swap": f"$1{m} {v}", "description": f'Add "{m}" before "{v}"'}
-        for k, mods in R.INTENSITY.items() for m in mods for v in R.INTENSITY_VERBS])
+        for k, mods in R.INTENSITY.items() for m in mods for v in R.INTENSITY_VERBS], take)
 
 
-def action_variants(text: Column) -> Column:
+def action_variants(text: Column, take: Take = _every) -> Column:
     return _apply(text, [
         {"type": "action_substitution", "original": w, "replacement": s, "needle": w, "regex": _replace_all(w), "swap": s,
-         "description": f'Replace "{w}" with "{s}"'} for w, swaps in R.ACTIONS.items() for s in swaps])
+         "description": f'Replace "{w}" with "{s}"'} for w, swaps in R.ACTIONS.items() for s in swaps], take)
 
 
-def negation_variants(text: Column) -> Column:
+def negation_variants(text: Column, take: Take = _every) -> Column:
     return _apply(text, [
         {"type": "negation", "target": w, "needle": w, "regex": _replace_first(rf"\b{w}"), "swap": f"$1did not {b}",
-         "description": f'Negate "{w}" → "did not {b}"'} for w, b in R.NEGATION.items()])
+         "description": f'Negate "{w}" → "did not {b}"'} for w, b in R.NEGATION.items()], take)
 
 
 def sufficiency_variants(text: Column) -> Column:
@@ -89,46 +105,49 @@ def sufficiency_variants(text: Column) -> Column:
     return F.transform(F.filter(spans, lambda s: s["text"] != ""), variant)
 
 
-def legitimation_variants(text: Column) -> Column:
+def legitimation_variants(text: Column, take: Take = _every) -> Column:
     """The first legitimizing phrase at the end; each delegitimizing phrase in front."""
     first = R.LEGITIMIZING[0]
-    add = _rules([{"type": "legitimation_add", "phrase": first, "description": f'Add legitimizing phrase: "{first}"'}])
-    front = _rules([{"type": "delegitimation_add", "phrase": p, "swap": p.capitalize() + ", ",
-                     "description": f'Add delegitimizing phrase: "{p}"'} for p in R.DELEGITIMIZING])
-    body = capitalize(text)
-    ended = F.transform(add, lambda r: _variant(r, F.concat(F.rtrim(text, F.lit(".!?")), F.lit(" "), r["phrase"], F.lit("."))))
-    led = F.transform(front, lambda r: _variant(r, F.concat(r["swap"], body)))
-    return F.filter(F.concat(ended, led), lambda v: v["text"] != text)
+    rules = _rules([{"type": "legitimation_add", "phrase": first, "description": f'Add legitimizing phrase: "{first}"'}]
+                   + [{"type": "delegitimation_add", "phrase": p, "swap": p.capitalize() + ", ",
+                       "description": f'Add delegitimizing phrase: "{p}"'} for p in R.DELEGITIMIZING])
+    ended = F.rtrim(text, F.lit(".!?"))
+    return let(capitalize(text), lambda body: take(text, rules, lambda r: _variant(r, F.when(
+        r["type"] == "legitimation_add", F.concat(ended, F.lit(" "), r["phrase"], F.lit("."))).otherwise(F.concat(r["swap"], body)))))
 
 
-def provenance_variants(text: Column) -> Column:
+def provenance_variants(text: Column, take: Take = _every) -> Column:
     """Each attribution in front; an attribution the text starts with taken away."""
     front = _rules([{"type": "provenance_add", "source": s, "description": f'Add source attribution: "{s}"'} for s in R.SOURCES])
-    body = capitalize(text)
-    added = F.transform(front, lambda r: _variant(r, F.concat(r["source"], F.lit(" "), body)))
-    removed = _apply(text, [{"type": "provenance_remove", "source": s, "needle": s.lower(), "regex": rf"(?iU)^\Q{s}\E\s*",
-                             "swap": "", "description": f'Remove source attribution: "{s}"'} for s in R.SOURCES])
-    return F.concat(added, removed)
+    away = _rules([{"type": "provenance_remove", "source": s, "needle": s.lower(), "regex": rf"(?iU)^\Q{s}\E\s*",
+                    "swap": "", "description": f'Remove source attribution: "{s}"'} for s in R.SOURCES])
+    rules = F.concat(front, let(F.lower(text), lambda low: F.filter(away, lambda r: F.contains(low, r["needle"]))))
+    return let(capitalize(text), lambda body: take(text, rules, lambda r: _variant(r, F.when(
+        r["type"] == "provenance_add", F.concat(r["source"], F.lit(" "), body)).otherwise(F.regexp_replace(text, r["regex"], r["swap"])))))
 
 
 def decontextualization_variants(text: Column) -> Column:
     """The first bracketed place, else the first "in <Place>", swapped for a placeholder."""
     in_brackets, in_place = ["(?U)" + p for p in R.PLACE_PATTERNS]
-    a, b = F.regexp_extract(text, in_brackets, 0), F.regexp_extract(text, in_place, 0)
-    found = F.when(a != "", a).otherwise(b)
-    first = F.when(a != "", _replace_first(R.PLACE_PATTERNS[0], "sU")).otherwise(_replace_first(R.PLACE_PATTERNS[1], "sU"))
+    first_brackets, first_place = [F.lit(_replace_first(p, "sU")) for p in R.PLACE_PATTERNS]
     rules = _rules([{"type": "decontextualization", "replacement": p, "swap": f"$1{p}"} for p in R.PLACES])
-    made = F.transform(rules, lambda r: _variant(
-        r, F.regexp_replace(text, first, r["swap"]), original=found,
-        description=F.concat(F.lit('Replace location "'), found, F.lit('" with "'), r["replacement"], F.lit('"'))))
-    return F.filter(made, lambda v: (found != "") & (v["text"] != text))
+
+    def made(place: Column) -> Column:
+        found, first = place["found"], place["first"]
+        return _every(text, F.filter(rules, lambda r: found != ""), lambda r: _variant(
+            r, F.regexp_replace(text, first, r["swap"]), original=found,
+            description=F.concat(F.lit('Replace location "'), found, F.lit('" with "'), r["replacement"], F.lit('"'))))
+
+    return let(F.regexp_extract(text, in_brackets, 0), lambda a: let(
+        F.when(a != "", F.struct(a.alias("found"), first_brackets.alias("first")))
+        .otherwise(F.struct(F.regexp_extract(text, in_place, 0).alias("found"), first_place.alias("first"))), made))
 
 
 def _first_of_family(text: Column, subtype: str, what: str, swaps: dict[str, str]) -> Column:
     rows = [{"type": "neutral_control", "subtype": subtype, "original": w, "replacement": s, "needle": w.lower(),
              "regex": _replace_first(rf"\b{w}\b"), "swap": f"$1{s}",
              "description": f'Neutral {what} swap: "{w}" → "{s}"'} for w, s in swaps.items()]
-    return F.slice(_apply(text, rows), 1, 1)
+    return _apply(text, rows, _first)
 
 
 def control_variants(text: Column) -> Column:
@@ -144,12 +163,49 @@ MAKERS = dict(zip(GENERATORS, [
     provenance_variants, decontextualization_variants, control_variants]))
 
 
+#: Generators with more rules than a text mostly needs: their variants can be taken one rule after the other.
+STEPWISE = {"actor", "intensity", "action", "negation", "legitimation", "provenance"}
+
+
+def _row(name: str, v: Column, i: Column, *extra) -> Column:
+    return F.struct(F.lit(name).alias("generator"), i.alias("gen_idx"), *[v[f].alias(f) for f in FIELDS], *[e(v) for e in extra])
+
+
 def _tagged(name: str, text: Column, *extra) -> Column:
     """Variants of one generator with its name and their position; ``extra`` adds columns made from a variant."""
-    def row(v, i):
-        return F.struct(F.lit(name).alias("generator"), i.alias("gen_idx"), *[v[f].alias(f) for f in FIELDS], *[e(v) for e in extra])
+    return F.transform(MAKERS[name](text), lambda v, i: _row(name, v, i, *extra))
 
-    return F.transform(MAKERS[name](text), row)
+
+def _fluent(v: Column) -> Column:
+    return fluency.grammaticality(v["text"]).alias("fluency_score")
+
+
+def _plausible(text: Column) -> Callable[[Column], Column]:
+    return lambda x: (x["fluency_score"] >= fluency.MIN_FLUENCY) & (fluency.similarity_bound(text, x["text"]) > 1.0 - fluency.MAX_DISTANCE)
+
+
+def _all_plausible(name: str, text: Column) -> Column:
+    return F.filter(_tagged(name, text, _fluent), _plausible(text))
+
+
+def _first_plausible(name: str, text: Column, most: int) -> Column:
+    """The first ``most`` of :func:`_all_plausible`; no variant is made of the rules after them."""
+    if name not in STEPWISE:
+        return F.slice(_all_plausible(name, text), 1, most)
+    fields = ["generator: string", "gen_idx: int", *[f"{f}: string" for f in FIELDS], "fluency_score: double"]
+
+    def take(text: Column, rules: Column, make) -> Column:
+        def step(got, rule):
+            def tried(v):
+                here = F.filter(F.array(_row(name, v, got["made"], _fluent)), _plausible(text))
+                return F.when(v["text"] != text, F.struct((got["made"] + 1).alias("made"), F.concat(got["kept"], here).alias("kept"))).otherwise(got)
+
+            return F.when(F.size(got["kept"]) >= most, got).otherwise(let(make(rule), tried))
+
+        none = F.struct(F.lit(0).alias("made"), F.array().cast(f"array<struct<{', '.join(fields)}>>").alias("kept"))
+        return F.aggregate(rules, none, step, lambda got: got["kept"])
+
+    return MAKERS[name](text, take)
 
 
 def explode_variants(df: DataFrame, names: list[str] | None = None, text: str = "notes", keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
@@ -164,15 +220,20 @@ def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int |
 
     Fluency and two upper limits of the similarity, by lengths and by letters, are
     checked first; only the survivors are compared, and comparison stops once a
-    generator has enough. One row per event goes in, so nothing is shuffled.
+    generator has enough. With a maximum, only so many survivors of each generator
+    are made at first; where one of them is not valid, that generator makes all of
+    its survivors in a second turn. One row per event goes in, so nothing is shuffled.
     """
-    t = F.col(text)
-    def plausible(x):
-        return (x["fluency_score"] >= fluency.MIN_FLUENCY) & (fluency.similarity_bound(t, x["text"]) > 1.0 - fluency.MAX_DISTANCE)
-
-    lists = [F.filter(_tagged(n, t, lambda v: fluency.grammaticality(v["text"]).alias("fluency_score")), plausible) for n in GENERATORS]
-    d = df.where(t.isNotNull()).select(*keep, t.alias("_text"), F.array(*lists).alias("_lists"))
-    d = fluency.with_similarities(d, "_text", "_lists", "_r", max_per_generator or 2147483647)
+    t, most = F.col("_text"), max_per_generator
+    d = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
+    if most is None:
+        d = fluency.with_similarities(d.withColumn("_lists", F.array(*[_all_plausible(n, t) for n in GENERATORS])), "_text", "_lists", "_r")
+    else:
+        d = d.withColumn("_lists", F.array(*[_first_plausible(n, t, most) for n in GENERATORS]))
+        d = fluency.with_similarities(d, "_text", "_lists", "_r", most, "_again")
+        again = [F.when(F.array_contains("_again", i), _all_plausible(n, t)).otherwise(F.get("_lists", F.lit(i))) for i, n in enumerate(GENERATORS)]
+        d = d.withColumn("_lists", F.when(t.isNull(), F.col("_lists")).otherwise(F.array(*again))).drop("_again")
+        d = fluency.with_similarities(d, "_text", "_lists", "_r", most)
     flat = F.flatten(F.zip_with("_lists", "_r", lambda a, r: F.zip_with(a, r, lambda x, y: F.struct(
         x.alias("v"), y.alias("edit_distance_ratio")))))
     kept = F.filter(flat, lambda x: x["edit_distance_ratio"].isNotNull())
