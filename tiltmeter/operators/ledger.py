@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,6 +27,10 @@ Predictor = Callable[[], Callable[[Sequence[str]], Sequence[str]]]
 ROW = "model string, prompt_key string, raw_response string, latency_sec double, asked_at timestamp"
 ROUNDS = 8
 
+#: A predictor gets so many prompts at once at most, and no second one beyond so many bytes.
+MOST_PROMPTS = 1000
+MOST_BYTES = 2 << 20
+
 
 def answers_of(predict, prompts: list[str]) -> list[str | None]:
     """Answers of a batch; if it fails as a whole each prompt by itself, with None for those that fail."""
@@ -39,6 +46,28 @@ def answers_of(predict, prompts: list[str]) -> list[str | None]:
         return out
 
 
+def portions(batches: Iterator[pa.RecordBatch], prompt: str) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow's batches, which hold up to 64 MB, so that only few prompts are Python strings at a time."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(prompt)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(b):
+            limit = (ends[at - 1] if at else 0) + MOST_BYTES
+            n = max(1, min(MOST_PROMPTS, int(np.searchsorted(ends, limit, "right")) - at))
+            yield b.slice(at, n)
+            at += n
+
+
+def with_answers(b: pa.RecordBatch, drop: Sequence[str], predict, prompt: str, **more: pa.Array) -> pa.RecordBatch:
+    """A portion without the columns ``drop``, with any more columns, raw_response and latency_sec."""
+    t0 = time.time()
+    raw = answers_of(predict, b.column(prompt).to_pylist())
+    each = round((time.time() - t0) / max(len(b), 1), 4)
+    kept = {n: b.column(i) for i, n in enumerate(b.schema.names) if n not in drop} | more
+    kept |= {"raw_response": pa.array(raw, pa.string(), from_pandas=True), "latency_sec": pa.array([each] * len(b), pa.float64())}
+    return pa.RecordBatch.from_arrays(list(kept.values()), list(kept))
+
+
 def prompt_key(prompt: Column) -> Column:
     """128 bits more than any number of prompts needs; a null prompt has a key of its own."""
     return F.coalesce(F.sha2(prompt.cast("binary"), 256), F.lit("none"))
@@ -57,17 +86,16 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _asker(models: dict[str, Predictor]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = {}
-        for b in batches:
-            for model, part in b.groupby("model", sort=True):
+        for b in portions(batches, "prompt"):
+            for model in sorted(set(b.column("model").to_pylist())):
+                part = b.filter(pc.equal(b.column("model"), model))
                 if model not in made:
                     made[model] = models[model]()
-                t0 = time.time()
-                raw = answers_of(made[model], part["prompt"].tolist())
-                each = (time.time() - t0) / len(part)
-                out = part[["model", "prompt_key"]].assign(raw_response=raw, latency_sec=round(each, 4), asked_at=pd.Timestamp.now("UTC"))
-                yield out[out["raw_response"].notna()]
+                out = with_answers(part, ["prompt"], made[model], "prompt")
+                out = out.append_column("asked_at", pa.array([datetime.now(timezone.utc)] * len(out), pa.timestamp("us", "UTC")))
+                yield out.filter(pc.is_valid(out.column("raw_response")))
     return run
 
 
@@ -82,7 +110,7 @@ def fill_ledger(df: DataFrame, prompt: Column, models: dict[str, Predictor], fol
                   .withColumn("round", F.pmod(F.xxhash64("prompt_key"), F.lit(rounds))))
     for i in range(rounds):
         here = rest.where(F.col("round") == i).select("model", "prompt_key", "prompt")
-        here.mapInPandas(_asker(models), ROW).write.mode("append").parquet(folder)
+        here.mapInArrow(_asker(models), ROW).write.mode("append").parquet(folder)
 
 
 def answered(df: DataFrame, prompt: Column, models: dict[str, Predictor], folder: str, rounds: int = ROUNDS) -> DataFrame:

@@ -2,35 +2,32 @@
 
 The engine ships no model. A predictor is ``factory() -> (list of prompts ->
 list of raw answers)``; the factory runs once per task, the function once per
-Arrow batch. A failing row becomes label ERROR with confidence 0.
+portion of an Arrow batch. A failing row becomes label ERROR with confidence 0.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prompts import generation_prompt, strategy as prompt_strategy
 from ..functions.responses import prediction
-from .ledger import Predictor, answered, answers_of
+from .ledger import Predictor, answered, portions, with_answers
+
 
 def ask(df: DataFrame, prompt: Column, predictor: Predictor) -> DataFrame:
     """Add raw_response and latency_sec. The prompt travels to Python with the other columns, once."""
     d = df.withColumn("_prompt", prompt)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor()
-        for b in batches:
-            t0 = time.time()
-            raw = answers_of(predict, b["_prompt"].tolist())
-            each = (time.time() - t0) / max(len(b), 1)
-            yield b.drop(columns="_prompt").assign(raw_response=raw, latency_sec=round(each, 4))
+        for b in portions(batches, "_prompt"):
+            yield with_answers(b, ["_prompt"], predict, "_prompt")
 
-    return d.mapInPandas(run, f"{schema}, raw_response string, latency_sec double")
+    return d.mapInArrow(run, f"{schema}, raw_response string, latency_sec double")
 
 
 def score_events(df: DataFrame, model: str, predictor: Predictor, strategy: str = "zero_shot", num_examples: int = 1,
@@ -56,17 +53,13 @@ def ask_all(df: DataFrame, prompt: Column, models: dict[str, Predictor]) -> Data
     d = df.withColumn("_prompt", prompt)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = {name: factory() for name, factory in models.items()}
-        for b in batches:
-            prompts = b["_prompt"].tolist()
+        for b in portions(batches, "_prompt"):
             for name, fn in predict.items():
-                t0 = time.time()
-                raw = answers_of(fn, prompts)
-                each = (time.time() - t0) / max(len(b), 1)
-                yield b.drop(columns="_prompt").assign(model=name, raw_response=raw, latency_sec=round(each, 4))
+                yield with_answers(b, ["_prompt"], fn, "_prompt", model=pa.array([name] * len(b), pa.string()))
 
-    return d.mapInPandas(run, f"{schema}, model string, raw_response string, latency_sec double")
+    return d.mapInArrow(run, f"{schema}, model string, raw_response string, latency_sec double")
 
 
 def score_variants(variants: DataFrame, models: dict[str, Predictor], strategy: str = "zero_shot", parser: str = "structured",
