@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.common import ratio, strip
+from ..functions.common import let, ratio, strip
 from ..functions.rationale import TOP_TOKENS, mentions, rationale_changed, word_attributions
 
 def flipped_events(flips: DataFrame, max_events: int | None = None) -> DataFrame:
@@ -70,13 +70,36 @@ def top_tokens(words: DataFrame, k: int = TOP_TOKENS) -> DataFrame:
     return words.withColumn("words", F.slice("words", 1, k))
 
 
+def _word_changes(before: Column, after: Column) -> Column:
+    """array<struct<token, delta>>: each word's last, weakest place after minus that before; both are arrays of texts' words."""
+    def placed(texts: Column, side: int) -> Column:
+        return F.flatten(F.transform(texts, lambda t: F.transform(t, lambda w, i: F.struct(
+            w["word"].alias("token"), F.lit(side).alias("side"), i.alias("i"), F.coalesce(w["score"], F.lit(0.0)).alias("s")))))
+
+    def last(z: Column) -> Column:
+        nxt = lambda k: F.get(z, k + 1)
+        return F.filter(z, lambda x, k: F.coalesce((nxt(k)["token"] != x["token"]) | (nxt(k)["side"] != x["side"]), F.lit(True)))
+
+    def changes(z: Column) -> Column:
+        """At most one entry of each side for a word, that of before first."""
+        def change(x, k):
+            other = F.get(z, k - 1)
+            was = F.when(F.coalesce(other["token"] == x["token"], F.lit(False)), other["s"]).otherwise(0.0)
+            return F.struct(x["token"].alias("token"), F.round(F.when(x["side"] == 1, x["s"] - was).otherwise(F.lit(0.0) - x["s"]), 6).alias("delta"),
+                            F.coalesce(F.get(z, k + 1)["token"] != x["token"], F.lit(True)).alias("ends"))
+
+        return F.transform(F.filter(F.transform(z, change), lambda c: c["ends"]), lambda c: F.struct(c["token"].alias("token"), c["delta"].alias("delta")))
+
+    return let(F.array_sort(F.concat(placed(before, 0), placed(after, 1))), lambda z: let(last(z), changes))
+
+
 def attribution_deltas(flips: DataFrame, attributions: DataFrame, k: int | None = TOP_TOKENS) -> DataFrame:
     """Words whose attribution moved most between original and flipped text; ``k`` None keeps all.
 
     ``attributions``: model, event_id, pert_idx (−1 = original), tokens, scores.
-    Only attributions of flipped events are turned into words. The words of an
-    original are taken with a minus sign once per flip, so a word's change is a
-    plain sum.
+    Only attributions of flipped events are turned into words. A text's words stay
+    in one row as an array: those of a flip and of its original meet in one group
+    and are held against each other there, so no task keeps a row per word.
     """
     f = flips.where(F.coalesce("label_flipped", F.lit(False))).select("model", "event_id", "pert_idx", "type")
     keys = ["model", "event_id", "pert_idx", "type"]
@@ -87,20 +110,15 @@ def attribution_deltas(flips: DataFrame, attributions: DataFrame, k: int | None
                                .join(per_event, ["model", "event_id"]))
     before = before.select("model", "event_id", F.explode("_f").alias("_f"), "words").select("model", "event_id", "_f.*", "words")
 
-    def rows(d: DataFrame, sign: float) -> DataFrame:
-        return d.select(*keys, F.posexplode_outer("words").alias("_i", "_w")).select(
-            *keys, F.lit(sign).alias("_sign"), "_i", F.col("_w.word").alias("token"), F.col("_w.score").alias("_s"))
+    def rows(d: DataFrame, is_after: bool) -> DataFrame:
+        return d.select(*keys, F.coalesce("words", F.array().cast(d.schema["words"].dataType)).alias("_w"), F.lit(is_after).alias("_after"))
 
-    # A word that stands twice counts with its last, weakest place.
-    at = F.when(F.col("_sign") > 0, F.col("_i"))
-    was = F.when(F.col("_sign") < 0, F.col("_i"))
-    sums = rows(after, 1.0).unionByName(rows(before, -1.0)).groupBy(*keys, "token").agg(
-        F.max(F.col("_sign") > 0).alias("_a"), F.max(F.col("_sign") < 0).alias("_b"), F.round(
-            F.coalesce(F.max_by("_s", at), F.lit(0.0)) - F.coalesce(F.max_by("_s", was), F.lit(0.0)), 6).alias("delta"))
+    both = rows(after, True).unionByName(rows(before, False)).groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("_after"), F.col("_w"))).alias("_a"), F.collect_list(F.when(~F.col("_after"), F.col("_w"))).alias("_b"))
     # A text without words still has its row; it only has no word to list.
-    ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct((-F.abs("delta")).alias("o"), "token", "delta"))))
+    ordered = F.array_sort(F.transform(_word_changes(F.col("_b"), F.col("_a")), lambda x: F.struct((-F.abs(x["delta"])).alias("o"), x["token"].alias("token"), x["delta"].alias("delta"))))
     top = F.transform(ordered if k is None else F.slice(ordered, 1, k), lambda x: F.struct(x["token"].alias("token"), x["delta"].alias("delta")))
-    return sums.groupBy(*keys).agg(top.alias("top_delta"), F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_a and _b").drop("_a", "_b")
+    return both.where((F.size("_a") > 0) & (F.size("_b") > 0)).select(*keys, top.alias("top_delta"))
 
 
 def attributions_from_disagreements(events: DataFrame, attributions: DataFrame, k: int = TOP_TOKENS) -> DataFrame:
