@@ -69,3 +69,8 @@ def test_a_limit_only_drops_what_is_below():
                 want = SequenceMatcher(None, a, b).ratio() if a or b else 1.0
                 got = FL.ratio(a, b, 0.7, known)
                 assert got == want if want > 0.7 else got is None or got == want
+
+
+def test_null_text(frame):
+    got = PB.explode_variants(frame.where("notes IS NULL")).collect()
+    assert [(r["generator"], r["gen_idx"], r["text"]) for r in got] == [("provenance", i, None) for i in range(8)]

@@ -119,11 +119,20 @@ def legitimation_variants(text: Column, take: Take = _every) -> Column:
 def provenance_variants(text: Column, take: Take = _every) -> Column:
     """Each attribution in front; an attribution the text starts with taken away."""
     front = _rules([{"type": "provenance_add", "source": s, "description": f'Add source attribution: "{s}"'} for s in R.SOURCES])
-    away = _rules([{"type": "provenance_remove", "source": s, "needle": s.lower(), "regex": rf"(?iU)^\Q{s}\E\s*",
-                    "swap": "", "description": f'Remove source attribution: "{s}"'} for s in R.SOURCES])
-    rules = F.concat(front, let(F.lower(text), lambda low: F.filter(away, lambda r: F.contains(low, r["needle"]))))
-    return let(capitalize(text), lambda body: take(text, rules, lambda r: _variant(r, F.when(
-        r["type"] == "provenance_add", F.concat(r["source"], F.lit(" "), body)).otherwise(F.regexp_replace(text, r["regex"], r["swap"])))))
+    cut = _rules([{"type": "provenance_remove", "source": s, "needle": s.lower(), "regex": rf"(?iU)^\Q{s}\E\s*",
+                   "swap": "", "description": f'Remove source attribution: "{s}"'} for s in R.SOURCES])
+    away = let(F.lower(text), lambda low: F.filter(cut, lambda r: F.contains(low, r["needle"])))
+
+    def taken(body: Column) -> Column:
+        def make(r):
+            return _variant(r, F.when(r["type"] == "provenance_add", F.concat(r["source"], F.lit(" "), body))
+                            .otherwise(F.regexp_replace(text, r["regex"], r["swap"])))
+
+        if take is _every:  # an addition always changes the text; a null text has its additions too
+            return F.concat(F.transform(front, make), _every(text, away, make))
+        return take(text, F.concat(front, away), make)
+
+    return let(capitalize(text), taken)
 
 
 def decontextualization_variants(text: Column) -> Column:
