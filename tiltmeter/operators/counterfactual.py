@@ -72,7 +72,7 @@ def differential_effect(flips: DataFrame, by: Sequence[str] = ("type", "model"),
     d = flips.where(F.col("success") & F.col("confidence_delta").isNotNull())
     x = F.col("confidence_delta")
     basic = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), exact.moments(x).alias("_m"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    basic = control_table(basic.withColumns({"CDE_mean": exact.mean(F.col("_m")), "CDE_std": exact.deviation(F.col("_m")),
+    basic = control_table(basic.withColumns({"CDE_mean": exact.mean(F.col("_m")), "CDE_std": F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(exact.deviation(F.col("_m"))),
                                              "_s": exact.deviation(F.col("_m"), sample=True)}).drop("_m"))
     values = stored(d.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n")))
 
