@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def col(c: str | Column) -> Column:
@@ -19,7 +19,7 @@ def col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Trim every kind of blank, not only spaces."""
-    return F.btrim(col(c), F.lit(_BLANKS))
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def collapse_blanks(c: str | Column) -> Column:

@@ -9,18 +9,19 @@ the cap per generator needs no window.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import fluency, perturbation_rules as R
+from ..functions import edits as E, fluency, perturbation_rules as R
 from ..functions.common import capitalize, let
+from ..functions.edits import FIELDS, MAKERS as EDITS, OTHERS, Text
+from ..functions.fluency import MAX_DISTANCE, MIN_FLUENCY, Variants, first_valid_similarities, grammatical
 
 # Order of the generators.
 GENERATORS = ["actor", "intensity", "action", "negation", "sufficiency", "legitimation", "provenance",
               "decontextualization", "control"]
-FIELDS = ["type", "subtype", "original", "replacement", "modifier", "action", "phrase", "source", "target",
-          "pattern", "text", "description"]
 
 
 def _rules(rows: list[dict]) -> Column:
@@ -57,38 +58,21 @@ def _apply(text: Column, rows: list[dict], take: Take = _every) -> Column:
     return take(text, open_, lambda r: _variant(r, F.regexp_replace(text, r["regex"], r["swap"])))
 
 
-def _replace_all(word: str) -> str:
-    return rf"(?iU)\b{word}\b"
-
-
-def _replace_first(inner: str, flags: str = "isU") -> str:
-    return rf"(?{flags})^(.*?){inner}"
-
-
 def actor_variants(text: Column, take: Take = _every) -> Column:
-    return _apply(text, [
-        {"type": "actor_substitution", "original": w, "replacement": s, "needle": w, "regex": _replace_all(w), "swap": s,
-         "description": f'Replace "{w}" with "{s}"'} for w, swaps in R.ACTORS.items() for s in swaps], take)
+    return _apply(text, E.ACTOR, take)
 
 
 def intensity_variants(text: Column, take: Take = _every) -> Column:
     """A modifier before the first occurrence of a verb (the verb may be the start of a longer word)."""
-    return _apply(text, [
-        {"type": f"intensity_{k}", "modifier": m, "action": v, "needle": v, "regex": _replace_first(rf"\b{v}"),
-         "swap": f"$1{m} {v}", "description": f'Add "{m}" before "{v}"'}
-        for k, mods in R.INTENSITY.items() for m in mods for v in R.INTENSITY_VERBS], take)
+    return _apply(text, E.INTENSITY, take)
 
 
 def action_variants(text: Column, take: Take = _every) -> Column:
-    return _apply(text, [
-        {"type": "action_substitution", "original": w, "replacement": s, "needle": w, "regex": _replace_all(w), "swap": s,
-         "description": f'Replace "{w}" with "{s}"'} for w, swaps in R.ACTIONS.items() for s in swaps], take)
+    return _apply(text, E.ACTION, take)
 
 
 def negation_variants(text: Column, take: Take = _every) -> Column:
-    return _apply(text, [
-        {"type": "negation", "target": w, "needle": w, "regex": _replace_first(rf"\b{w}"), "swap": f"$1did not {b}",
-         "description": f'Negate "{w}" → "did not {b}"'} for w, b in R.NEGATION.items()], take)
+    return _apply(text, E.NEGATION, take)
 
 
 def sufficiency_variants(text: Column) -> Column:
@@ -107,10 +91,7 @@ def sufficiency_variants(text: Column) -> Column:
 
 def legitimation_variants(text: Column, take: Take = _every) -> Column:
     """The first legitimizing phrase at the end; each delegitimizing phrase in front."""
-    first = R.LEGITIMIZING[0]
-    rules = _rules([{"type": "legitimation_add", "phrase": first, "description": f'Add legitimizing phrase: "{first}"'}]
-                   + [{"type": "delegitimation_add", "phrase": p, "swap": p.capitalize() + ", ",
-                       "description": f'Add delegitimizing phrase: "{p}"'} for p in R.DELEGITIMIZING])
+    rules = _rules(E.LEGITIMATION + E.DELEGITIMATION)
     ended = F.rtrim(text, F.lit(".!?"))
     return let(capitalize(text), lambda body: take(text, rules, lambda r: _variant(r, F.when(
         r["type"] == "legitimation_add", F.concat(ended, F.lit(" "), r["phrase"], F.lit("."))).otherwise(F.concat(r["swap"], body)))))
@@ -118,9 +99,7 @@ def legitimation_variants(text: Column, take: Take = _every) -> Column:
 
 def provenance_variants(text: Column, take: Take = _every) -> Column:
     """Each attribution in front; an attribution the text starts with taken away."""
-    front = _rules([{"type": "provenance_add", "source": s, "description": f'Add source attribution: "{s}"'} for s in R.SOURCES])
-    cut = _rules([{"type": "provenance_remove", "source": s, "needle": s.lower(), "regex": rf"(?iU)^\Q{s}\E\s*",
-                   "swap": "", "description": f'Remove source attribution: "{s}"'} for s in R.SOURCES])
+    front, cut = _rules(E.PROVENANCE), _rules(E.NO_PROVENANCE)
     away = let(F.lower(text), lambda low: F.filter(cut, lambda r: F.contains(low, r["needle"])))
 
     def taken(body: Column) -> Column:
@@ -138,8 +117,8 @@ def provenance_variants(text: Column, take: Take = _every) -> Column:
 def decontextualization_variants(text: Column) -> Column:
     """The first bracketed place, else the first "in <Place>", swapped for a placeholder."""
     in_brackets, in_place = ["(?U)" + p for p in R.PLACE_PATTERNS]
-    first_brackets, first_place = [F.lit(_replace_first(p, "sU")) for p in R.PLACE_PATTERNS]
-    rules = _rules([{"type": "decontextualization", "replacement": p, "swap": f"$1{p}"} for p in R.PLACES])
+    first_brackets, first_place = [F.lit(E.replace_first(p, "sU")) for p in R.PLACE_PATTERNS]
+    rules = _rules(E.DECONTEXTUALIZATION)
 
     def made(place: Column) -> Column:
         found, first = place["found"], place["first"]
@@ -152,19 +131,9 @@ def decontextualization_variants(text: Column) -> Column:
         .otherwise(F.struct(F.regexp_extract(text, in_place, 0).alias("found"), first_place.alias("first"))), made))
 
 
-def _first_of_family(text: Column, subtype: str, what: str, swaps: dict[str, str]) -> Column:
-    rows = [{"type": "neutral_control", "subtype": subtype, "original": w, "replacement": s, "needle": w.lower(),
-             "regex": _replace_first(rf"\b{w}\b"), "swap": f"$1{s}",
-             "description": f'Neutral {what} swap: "{w}" → "{s}"'} for w, s in swaps.items()]
-    return _apply(text, rows, _first)
-
-
 def control_variants(text: Column) -> Column:
     """At most one neutral swap per family."""
-    return F.concat(_first_of_family(text, "reporting_verb", "verb", R.REPORTING_VERBS),
-                    _first_of_family(text, "day_of_week", "day", R.WEEKDAYS),
-                    _first_of_family(text, "temporal_connective", "connective", R.CONNECTIVES),
-                    _first_of_family(text, "cardinal_numeral", "numeral", R.NUMERALS))
+    return F.concat(*[_apply(text, rows, _first) for rows in E.CONTROL])
 
 
 MAKERS = dict(zip(GENERATORS, [
@@ -223,31 +192,82 @@ def explode_variants(df: DataFrame, names: list[str] | None = None, text: str =
     return df.select(*keep, F.explode(F.concat(*tagged)).alias("_v")).select(*keep, "_v.*")
 
 
+#: Texts that are Python strings at a time, and letters of variants in a batch that goes back.
+TEXTS = 64
+LETTERS = 4 << 20
+
+Row = tuple[str, int, tuple, str, float, float]
+
+
+def _valid_of(text: str, most: int) -> Iterator[Row]:
+    """(generator, gen_idx, fields but the text, text, fluency, similarity) of the first ``most`` valid variants of each generator."""
+    t, low = Text(text), 1.0 - MAX_DISTANCE
+    same = Variants(text, t.body)
+    for name in GENERATORS:
+        kept = 0
+        for k, (fields, variant, removed, added) in enumerate(EDITS[name](t)):
+            fluent = grammatical(variant)
+            if fluent >= MIN_FLUENCY:
+                ratio = same.ratio(variant, removed, added, low)
+                if ratio is not None and low < ratio < 1.0:
+                    yield name, k, fields, variant, fluent, ratio
+                    kept += 1
+                    if kept == most:
+                        break
+
+
+def _valid_of_lists(text: str, lists: list[list[dict]], most: int) -> Iterator[Row]:
+    """The same where the plausible variants are made already."""
+    ratios = first_valid_similarities(text, [[v["text"] for v in one] for one in lists], most)
+    for v, r in zip((v for one in lists for v in one), (r for one in ratios for r in one)):
+        if r is not None:
+            yield v["generator"], v["gen_idx"], tuple(v[f] for f in OTHERS), v["text"], v["fluency_score"], r
+
+
 def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int | None = 3,
                    keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Validated variants with their validation flags, the first ``max_per_generator`` of each generator (None: all), numbered by pert_idx.
 
-    Fluency and two upper limits of the similarity, by lengths and by letters, are
-    checked first; only the survivors are compared, and comparison stops once a
-    generator has enough. With a maximum, only so many survivors of each generator
-    are made at first; where one of them is not valid, that generator makes all of
-    its survivors in a second turn. One row per event goes in, so nothing is shuffled.
+    Variants are made and compared in Python one rule after the other until a
+    generator has enough (``functions/edits.py``): only a text goes there, only its
+    valid variants come back. The rare texts for which Java's letters may differ
+    from Python's bring their variants along, made as Columns. Nothing is shuffled.
     """
-    t, most = F.col("_text"), max_per_generator
+    t, most = F.col("_text"), max_per_generator if max_per_generator is not None else 2147483647
+    rare = (F.octet_length(t) != F.length(t)) & F.rlike(t, F.lit(E.RARE))
     d = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
-    if most is None:
-        d = fluency.with_similarities(d.withColumn("_lists", F.array(*[_all_plausible(n, t) for n in GENERATORS])), "_text", "_lists", "_r")
-    else:
-        d = d.withColumn("_lists", F.array(*[_first_plausible(n, t, most) for n in GENERATORS]))
-        d = fluency.with_similarities(d, "_text", "_lists", "_r", most, "_again")
-        again = [F.when(F.array_contains("_again", i), _all_plausible(n, t)).otherwise(F.get("_lists", F.lit(i))) for i, n in enumerate(GENERATORS)]
-        d = d.withColumn("_lists", F.when(t.isNull(), F.col("_lists")).otherwise(F.array(*again))).drop("_again")
-        d = fluency.with_similarities(d, "_text", "_lists", "_r", most)
-    flat = F.flatten(F.zip_with("_lists", "_r", lambda a, r: F.zip_with(a, r, lambda x, y: F.struct(
-        x.alias("v"), y.alias("edit_distance_ratio")))))
-    kept = F.filter(flat, lambda x: x["edit_distance_ratio"].isNotNull())
-    out = (d.select(*keep, F.posexplode(kept).alias("pert_idx", "_x"))
-           .select(*keep, "pert_idx", "_x.v.*", "_x.edit_distance_ratio"))
+    d = d.withColumn("_lists", F.when(rare, F.array(*[_all_plausible(n, t) for n in GENERATORS])))
+    names = ["generator", "gen_idx", *FIELDS, "fluency_score", "edit_distance_ratio"]
+    types = [T.StringType(), T.IntegerType(), *[T.StringType()] * len(FIELDS), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([*d.select(*keep).schema.fields, T.StructField("pert_idx", T.IntegerType()), *map(T.StructField, names, types)])
+    kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.string()] * len(FIELDS), pa.float64(), pa.float64()]
+    others = [FIELDS.index(f) for f in OTHERS]
+
+    def batch_of(batch: pa.RecordBatch, rows: list[tuple[int, int, Row]]) -> pa.RecordBatch:
+        came, numbers, made = zip(*rows)
+        generators, places, fields, texts, fluent, ratios = zip(*made)
+        by_field = dict(zip(others, zip(*fields))) | {FIELDS.index("text"): texts}
+        values = [numbers, generators, places, *[by_field[i] for i in range(len(FIELDS))], fluent, ratios]
+        kept = batch.select(list(keep)).take(pa.array(came, pa.int64())).columns
+        return pa.RecordBatch.from_arrays([*kept, *map(pa.array, values, kinds)], [f.name for f in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, letters = [], 0
+            for at in range(0, len(batch), TEXTS):
+                texts, lists = (batch.column(c).slice(at, TEXTS) for c in ("_text", "_lists"))
+                for i, (one, made) in enumerate(zip(texts.to_pylist(), lists), at):
+                    found = _valid_of_lists(one, made.as_py(), most) if made.is_valid else _valid_of(one, most)
+                    for n, row in enumerate(found):
+                        rows.append((i, n, row))
+                        letters += len(row[3])
+                        if letters >= LETTERS:
+                            yield batch_of(batch, rows)
+                            rows, letters = [], 0
+            if rows:
+                yield batch_of(batch, rows)
+
+    out = d.mapInArrow(run, schema)
     return out.withColumns(fluency.validity(F.col("edit_distance_ratio"), F.col("fluency_score")))
 
 
