@@ -143,17 +143,18 @@ class Text:
         return put.join(text[x:y] for x, y in zip(starts, [*(s for s, _ in spans), len(text)]))
 
 
-#: The fields of a variant but its text, its text, what of the text it lacks and what it has instead. Where the last but one
-#: is None, the last is put in front of the body; where both are None, nothing is told of it.
-Variant = tuple[tuple, str, str | None, str | None]
+#: The fields of a variant but its text, its text, what of the text it lacks, what it has instead, and how many letters before and
+#: behind that both have at least. Where it lacks None, the next is put in front of the body; where both are None, nothing is told of it.
+Variant = tuple[tuple, str, str | None, str | None, int, int]
 
 
 def _words(t: Text, rules: list[tuple]) -> Iterator[Variant]:
+    known = t.known
     for fields, needle, word, which, put in rules:
-        if t.has(needle) and (spans := t.places(word, which)):
+        if (known[needle] if needle in known else t.has(needle)) and (spans := t.places(word, which)):
             text = t.replaced(spans, put)
             if text != t.text:
-                yield fields, text, "".join(t.text[s:e] for s, e in spans), put * len(spans)
+                yield fields, text, "".join(t.text[s:e] for s, e in spans), put * len(spans), spans[0][0], len(t.text) - spans[-1][1]
 
 
 def _sufficiency(t: Text) -> Iterator[Variant]:
@@ -171,7 +172,7 @@ def _sufficiency(t: Text) -> Iterator[Variant]:
             n = bisect.bisect_left(objects, (actions[m][1], 0)) if m < len(actions) else len(objects)
             if n < len(objects) and objects[n][1] <= line:
                 span = t.text[start:objects[n][1]]
-                yield _fields({"type": "sufficiency", "pattern": f"pattern_{k}", "description": f'Keep only key elements: "{span}"'}), span, None, None
+                yield _fields({"type": "sufficiency", "pattern": f"pattern_{k}", "description": f'Keep only key elements: "{span}"'}), span, None, None, 0, 0
                 break
 
 
@@ -179,18 +180,18 @@ def _legitimation(t: Text) -> Iterator[Variant]:
     ended = t.text.rstrip(".!?")
     for fields, end in _LEGITIMATION:
         if ended + end != t.text:
-            yield fields, ended + end, t.text[len(ended):], end
+            yield fields, ended + end, t.text[len(ended):], end, len(ended), 0
     for fields, front in _DELEGITIMATION:
-        yield fields, front + t.body, None, front
+        yield fields, front + t.body, None, front, 0, 0
 
 
 def _provenance(t: Text) -> Iterator[Variant]:
     for fields, front in _PROVENANCE:
-        yield fields, front + t.body, None, front
+        yield fields, front + t.body, None, front, 0, 0
     for fields, needle in _NO_PROVENANCE:
         if t.low.startswith(needle):
             text = t.text[len(needle):].lstrip(BLANKS)
-            yield fields, text, t.text[:len(t.text) - len(text)], ""
+            yield fields, text, t.text[:len(t.text) - len(text)], "", 0, len(text)
 
 
 def _place(t: Text) -> tuple[int, int] | None:
@@ -217,7 +218,7 @@ def _decontextualization(t: Text) -> Iterator[Variant]:
         for row in DECONTEXTUALIZATION:
             put = row["replacement"]
             if put != was:
-                yield _fields(row | {"original": was, "description": f'Replace location "{was}" with "{put}"'}), t.replaced([span], put), was, put
+                yield _fields(row | {"original": was, "description": f'Replace location "{was}" with "{put}"'}), t.replaced([span], put), was, put, span[0], len(t.text) - span[1]
 
 
 def _control(t: Text) -> Iterator[Variant]:

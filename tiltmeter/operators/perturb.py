@@ -205,10 +205,10 @@ def _valid_of(text: str, most: int) -> Iterator[Row]:
     same = Variants(text, t.body)
     for name in GENERATORS:
         kept = 0
-        for k, (fields, variant, removed, added) in enumerate(EDITS[name](t)):
+        for k, (fields, variant, *edit) in enumerate(EDITS[name](t)):
             fluent = grammatical(variant)
             if fluent >= MIN_FLUENCY:
-                ratio = same.ratio(variant, removed, added, low)
+                ratio = same.ratio(variant, *edit, low)
                 if ratio is not None and low < ratio < 1.0:
                     yield name, k, fields, variant, fluent, ratio
                     kept += 1
