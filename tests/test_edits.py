@@ -18,9 +18,9 @@ RARE = ["İ", "ı", "ſ", "K", "Σ", "ɤ", "\U000e0080"]
 
 def texts():
     rng, made = random.Random(11), []
-    for k in (1, 3, 8, 20, 70, 300):
+    for k in (1, 3, 8, 20, 70):
         for odd in ([], ODD, ODD, ODD + RARE):
-            for _ in range(8 if k < 100 else 2):
+            for _ in range(8 if k < 70 else 2):
                 picked = []
                 for w in rng.choices(WORDS, k=k):
                     w = rng.choice([w, w, w, w.lower(), w.title(), w.upper()])
@@ -38,11 +38,17 @@ def frame(spark):
     return spark.createDataFrame(list(enumerate(texts())), "event_id int, notes string").repartition(8).cache()
 
 
-def test_same_variants_as_columns(frame):
-    """All rules, whether valid or not; where Java and Python may differ, ``valid_variants`` takes the Columns."""
-    rare = F.rlike("notes", F.lit(E.RARE))
-    rows = frame.where(~rare).select("notes", *[PB._tagged(n, F.col("notes"), PB._fluent).alias(n) for n in PB.GENERATORS]).collect()
-    assert len(rows) > 150
+@pytest.fixture(scope="module")
+def columns(frame):
+    """The variants of all rules by the Columns, whether valid or not."""
+    made = [PB._tagged(n, F.col("notes"), PB._fluent).alias(n) for n in PB.GENERATORS]
+    return frame.select("event_id", "notes", F.rlike("notes", F.lit(E.RARE)).alias("rare"), *made).collect()
+
+
+def test_same_variants_as_columns(columns):
+    """Where Java and Python may differ, ``valid_variants`` takes the Columns."""
+    rows = [r for r in columns if not r["rare"]]
+    assert 100 < len(rows) < len(columns)
     for r in rows:
         t = E.Text(r["notes"])
         for n in PB.GENERATORS:
@@ -50,21 +56,25 @@ def test_same_variants_as_columns(frame):
             assert [(*f, text, i, FL.grammatical(text)) for i, (f, text, *_) in enumerate(E.MAKERS[n](t))] == want, (n, r["notes"])
 
 
-@pytest.mark.parametrize("most", [None, 1, 3])
-def test_valid_variants(frame, most):
+def test_valid_variants(frame, columns):
     """Of all texts, also of those that go by the Columns, against all Columns and the standard library."""
-    want, low = [], 1.0 - FL.MAX_DISTANCE
-    for r in frame.select("event_id", "notes", *[PB._tagged(n, F.col("notes"), PB._fluent).alias(n) for n in PB.GENERATORS]).collect():
-        number = 0
-        for n in PB.GENERATORS:
-            kept = 0
-            for v in r[n]:
-                ratio = SequenceMatcher(None, r["notes"], v["text"]).ratio()
-                if low < ratio < 1.0 and v["fluency_score"] >= FL.MIN_FLUENCY and (most is None or kept < most):
-                    want.append((r["event_id"], number, n, v["gen_idx"], v["type"], v["text"], v["fluency_score"], ratio))
-                    number, kept = number + 1, kept + 1
-    got = PB.valid_variants(frame, max_per_generator=most).select("event_id", "pert_idx", "generator", "gen_idx", "type", "text", "fluency_score", "edit_distance_ratio")
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    ratios, low = {}, 1.0 - FL.MAX_DISTANCE
+    for most in (None, 1, 3):
+        want = []
+        for r in columns:
+            number = 0
+            for n in PB.GENERATORS:
+                kept = 0
+                for v in r[n]:
+                    if v["fluency_score"] >= FL.MIN_FLUENCY and (most is None or kept < most):
+                        pair = r["notes"], v["text"]
+                        if pair not in ratios:
+                            ratios[pair] = SequenceMatcher(None, *pair).ratio()
+                        if low < ratios[pair] < 1.0:
+                            want.append((r["event_id"], number, n, v["gen_idx"], v["type"], v["text"], v["fluency_score"], ratios[pair]))
+                            number, kept = number + 1, kept + 1
+        got = PB.valid_variants(frame, max_per_generator=most).select("event_id", "pert_idx", "generator", "gen_idx", "type", "text", "fluency_score", "edit_distance_ratio")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_letters_of_java(spark):
@@ -87,8 +97,8 @@ def test_letters_of_java(spark):
 def test_similarities_of_edits():
     """What is told of an edit, and blocks shared by fronts, change no ratio."""
     rng = random.Random(2)
-    for size in (20, 150, 198, 260, 900, 4000):
-        for _ in range(25 if size < 1000 else 4):
+    for size in (20, 150, 198, 260, 900, 2500):
+        for _ in range(8 if size < 300 else 2):
             letters = rng.choice(["etaoin shrdluMNQ.", "etaoin shrdluJjQqZz., (", "ab ", "żetaoin srJjXx.\n"])
             text = "".join(rng.choices(letters, weights=[20] * 8 + [1] * (len(letters) - 8) if len(letters) > 8 else None, k=size))
             for w in ("Soldiers killed", "police"):
@@ -112,3 +122,16 @@ def test_variants_come_back_in_small_batches(spark, monkeypatch):
     got = PB.valid_variants(df)
     assert got.groupBy("event_id").agg(F.max("pert_idx") + 1 == F.count("*")).distinct().collect()[0][1]
     assert got.where("event_id = 0").select("pert_idx", "text").sort("pert_idx").collect() == got.where("event_id = 39").select("pert_idx", "text").sort("pert_idx").collect()
+
+
+def test_texts_stay_where_they_are_asked(spark):
+    from tiltmeter.operators.scoring import score_variants
+
+    def model():
+        return lambda prompts: ['{"label": "%s", "confidence": 0.5}' % "VB"["killed" in p] for p in prompts]
+
+    v = spark.createDataFrame([(1, 0, "They killed."), (1, 1, "They left."), (2, 0, None)], "event_id int, pert_idx int, text string")
+    every, kept = (score_variants(v, {"a": model, "b": model}, keep=k) for k in (None, ["event_id", "pert_idx"]))
+    assert every.columns == ["event_id", "pert_idx", "text", "model", "label", "confidence", "success"]
+    assert sorted(map(str, every.drop("text").collect())) == sorted(map(str, kept.collect()))
+    assert kept.count() == 6 and {r["label"] for r in kept.where("event_id = 1").collect()} == {"V", "B"}

@@ -7,7 +7,7 @@ portion of an Arrow batch. A failing row becomes label ERROR with confidence 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,10 +48,14 @@ def score_events(df: DataFrame, model: str, predictor: Predictor, strategy: str
                        *[F.col(f"_read.{c}").alias(c) for c in ("pred_label", "pred_conf", "logits", "reasoning")])
 
 
-def ask_all(df: DataFrame, prompt: Column, models: dict[str, Predictor]) -> DataFrame:
-    """Every row's prompt put to every model in one pass over ``df``: model, raw_response and latency_sec per row and model."""
-    d = df.withColumn("_prompt", prompt)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def ask_all(df: DataFrame, prompt: Column, models: dict[str, Predictor], keep: Sequence[str] | None = None) -> DataFrame:
+    """Every row's prompt put to every model in one pass over ``df``: model, raw_response and latency_sec per row and model.
+
+    With ``keep``, only these columns go to Python beside the prompt, and come back.
+    """
+    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    d = df.select(*kept, prompt.alias("_prompt"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = {name: factory() for name, factory in models.items()}
@@ -63,13 +67,16 @@ def ask_all(df: DataFrame, prompt: Column, models: dict[str, Predictor]) -> Data
 
 
 def score_variants(variants: DataFrame, models: dict[str, Predictor], strategy: str = "zero_shot", parser: str = "structured",
-                   ledger: str | None = None) -> DataFrame:
-    """Every variant scored by every model: label, confidence, success. The variants are computed once for all models."""
+                   ledger: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Every variant scored by every model: label, confidence, success. The variants are computed once for all models.
+
+    ``keep`` names the columns of the variants that are wanted back (None: all); their texts are long.
+    """
     s = prompt_strategy(strategy, 1)
     prompt = generation_prompt(s.prompt(F.col("text")), s.system)
-    asked = ask_all(variants, prompt, models) if ledger is None else answered(variants, prompt, models, ledger)
+    asked = ask_all(variants, prompt, models, keep) if ledger is None else answered(variants, prompt, models, ledger)
     read = asked.withColumn("_read", prediction(F.col("raw_response"), parser=parser))
-    return read.select(*[F.col(f"`{c}`") for c in variants.columns], "model", F.col("_read.pred_label").alias("label"),
+    return read.select(*[F.col(f"`{c}`") for c in (variants.columns if keep is None else keep)], "model", F.col("_read.pred_label").alias("label"),
                        F.col("_read.pred_conf").alias("confidence"), (F.col("_read.pred_label") != "ERROR").alias("success"))
 
 

@@ -169,8 +169,8 @@ def _by_vowels():
 @q("rescored_variants")
 def _(spark, d):
     v = _valid(spark, d).select("event_id", "pert_idx", "type", "text")
-    scored = score_variants(v, {"model_a": _by_length, "model_b": _by_vowels})
-    return rounded(PB.compare_with_original(scored, predictions(spark, d)).drop("text"))
+    scored = score_variants(v, {"model_a": _by_length, "model_b": _by_vowels}, keep=["event_id", "pert_idx", "type"])
+    return rounded(PB.compare_with_original(scored, predictions(spark, d)))
 
 
 
