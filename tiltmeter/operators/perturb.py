@@ -3,7 +3,8 @@
 Each generator is one Column: an array of variants built by filtering and
 mapping a fixed rule array over the text. Variants stay in the row of their
 event until they are exploded, so generation needs no join and no shuffle, and
-the cap per generator needs no window.
+the cap per generator needs no window. Valid variants are made in Python by the
+same rules (``functions/edits.py``), where they are compared.
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ def valid_variants(df: DataFrame, text: str = "notes", max_per_generator: int |
     d = d.withColumn("_lists", F.when(rare, F.array(*[_all_plausible(n, t) for n in GENERATORS])))
     names = ["generator", "gen_idx", *FIELDS, "fluency_score", "edit_distance_ratio"]
     types = [T.StringType(), T.IntegerType(), *[T.StringType()] * len(FIELDS), T.DoubleType(), T.DoubleType()]
-    schema = T.StructType([*d.select(*keep).schema.fields, T.StructField("pert_idx", T.IntegerType()), *map(T.StructField, names, types)])
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("pert_idx", T.IntegerType()), *map(T.StructField, names, types)])
     kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.string()] * len(FIELDS), pa.float64(), pa.float64()]
     others = [FIELDS.index(f) for f in OTHERS]
 
